@@ -83,3 +83,17 @@ SELECT {", ".join("b." + c for c in groups) + ", " if groups else ""}b.n, b.mini
        COUNT(CASE WHEN s.v < b.lf OR s.v > b.uf THEN 1 END) AS outliers
 FROM bx_s b JOIN bx_r s ON {join_on}
 GROUP BY {", ".join("b." + c for c in groups) + ", " if groups else ""}b.n, b.minimo, b.q1, b.mediana, b.q3, b.maximo, b.iqr"""
+
+
+def rhe(num: str, den: str) -> str:
+    n = f"CAST({num} AS HUGEINT)"
+    d = f"NULLIF(CAST({den} AS HUGEINT), 0)"
+    q = f"({n} // {d})"
+    r2 = f"(({n} - {q} * {d}) * 2)"
+    return f"(CASE WHEN {r2} > {d} THEN {q} + 1 WHEN {r2} = {d} AND {q} % 2 = 1 THEN {q} + 1 ELSE {q} END)"
+
+
+def pct_of(num: str, den: str, digits: int = 1, half_even: bool = True) -> str:
+    s = 10 ** digits
+    f = rhe if half_even else rhu
+    return f"(CAST({f(cents(num) + f' * {100 * s}', cents(den))} AS DOUBLE) / {float(s)}::DOUBLE)"

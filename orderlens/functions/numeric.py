@@ -68,3 +68,19 @@ def money_text(c: Column) -> Column:
     millions = F.concat(F.lit("R$ "), F.format_number(F.bround(v / 1e6, 1), 1), F.lit("M"))
     units = F.concat(F.lit("R$ "), F.translate(F.format_number(F.bround(v, 0), 0), ",", "."))
     return F.when(v >= 1e6, millions).otherwise(units)
+
+
+def rhe_div(num: Column, den: Column) -> Column:
+    """round(num / den) half to even (Python / pandas rounding), integers, num >= 0, den > 0."""
+    n = num.cast(WIDE)
+    d = F.nullif(den.cast(WIDE), F.lit(0).cast(WIDE))
+    q = F.call_function("div", n, d)
+    r2 = (n - q * d) * 2
+    return F.when(r2 > d, q + 1).when((r2 == d) & (q % 2 == 1), q + 1).otherwise(q)
+
+
+def pct_of(num: Column, den: Column, digits: int = 1, half_even: bool = True) -> Column:
+    """100 * num / den for money values, rounded (half-even by default, as Python's round)."""
+    scale = 10 ** digits
+    div = rhe_div if half_even else rhu_div
+    return div(cents(num) * (100 * scale), cents(den)) / F.lit(float(scale))

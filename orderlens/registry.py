@@ -81,3 +81,50 @@ def _r9b(t):
 @register("R10_top_customers")
 def _r10(t):
     return rfv.top_customers(rfv.rfv_fixed(t.pedidos, t.clientes))
+
+
+# ---------------------------------------------------------------- products
+from orderlens.operators import products  # noqa: E402
+
+# parameter: a category that occurs in the test tables (the model's own is 'Commodity')
+PR8_CATEGORY = "STANDARD"
+
+
+@register("PR1_product_revenue")
+def _pr1(t):
+    return products.product_revenue(t.itens_pedido, t.pedidos, t.produtos)
+
+
+@register("PR2_top_products_pct")
+def _pr2(t):
+    return products.top_products_pct(products.product_revenue(t.itens_pedido, t.pedidos, t.produtos))
+
+
+@register("PR3_margin_ranking")
+def _pr3(t):
+    return products.margin_ranking(t.itens_pedido, t.pedidos, t.produtos)
+
+
+@register("PR4_margin_top")
+def _pr4(t):
+    return products.margin_top(t.itens_pedido, t.pedidos, t.produtos)
+
+
+@register("PR5_top_share_of_total")
+def _pr5(t):
+    return products.top_share_of_total(t.itens_pedido, t.pedidos, t.produtos)
+
+
+@register("PR6_product_kpis")
+def _pr6(t):
+    return products.product_kpis(products.margin_ranking(t.itens_pedido, t.pedidos, t.produtos))
+
+
+@register("PR7_top_revenue_all_time")
+def _pr7(t):
+    return products.top_revenue_all_time(t.itens_pedido, t.pedidos, t.produtos)
+
+
+@register("PR8_seasonality")
+def _pr8(t):
+    return products.seasonality(t.itens_pedido, t.pedidos, t.produtos, categoria=PR8_CATEGORY)
