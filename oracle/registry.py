@@ -9,7 +9,7 @@ def oracle_queries() -> dict[str, str]:
     from oracle import sql_rfv
     modules = [sql_rfv]
     for name in ("sql_products", "sql_trends", "sql_inactivity", "sql_divergence", "sql_dashboard",
-                 "sql_sharing", "sql_lineage", "sql_quality", "sql_sources", "sql_text"):
+                 "sql_sharing", "sql_lineage", "sql_quality", "sql_sources", "sql_text", "sql_misc"):
         try:
             modules.append(__import__(f"oracle.{name}", fromlist=["SQL"]))
         except ImportError:

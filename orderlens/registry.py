@@ -128,3 +128,89 @@ def _pr7(t):
 @register("PR8_seasonality")
 def _pr8(t):
     return products.seasonality(t.itens_pedido, t.pedidos, t.produtos, categoria=PR8_CATEGORY)
+
+
+# ---------------------------------------------------------------- trends
+from orderlens.operators import trends  # noqa: E402
+
+# parameters: a year and quarter present in the test tables
+TR9_YEAR, TR9_QUARTER = 2000, 2
+
+
+@register("TR1_monthly_trend")
+def _tr1(t):
+    return trends.monthly_trend(t.pedidos)
+
+
+@register("TR2_monthly_trend_ytd")
+def _tr2(t):
+    return trends.monthly_trend_ytd(t.pedidos)
+
+
+@register("TR3_monthly_trend_test")
+def _tr3(t):
+    return trends.monthly_trend_test(t.pedidos)
+
+
+@register("TR4_trend_kpis")
+def _tr4(t):
+    return trends.trend_kpis(trends.monthly_trend(t.pedidos))
+
+
+@register("TR5_trend_table")
+def _tr5(t):
+    return trends.trend_table(trends.monthly_trend(t.pedidos))
+
+
+@register("TR6_year_month_matrix")
+def _tr6(t):
+    return trends.year_month_matrix(t.pedidos)
+
+
+@register("TR7_year_comparison")
+def _tr7(t):
+    return trends.year_comparison(trends.year_month_matrix(t.pedidos))
+
+
+@register("TR8_chart_feed")
+def _tr8(t):
+    return trends.chart_feed(trends.monthly_trend(t.pedidos))
+
+
+@register("TR9_trend_year_quarter")
+def _tr9(t):
+    return trends.monthly_trend(t.pedidos, ano=TR9_YEAR, trimestre=TR9_QUARTER)
+
+
+# ---------------------------------------------------------------- inactivity
+from orderlens.operators import inactivity  # noqa: E402
+
+
+@register("IN1_inactive_customers")
+def _in1(t):
+    return inactivity.inactive_customers(t.pedidos, t.clientes)
+
+
+@register("IN2_inactive_or_never")
+def _in2(t):
+    return inactivity.inactive_or_never(t.pedidos, t.clientes)
+
+
+@register("IN3_inactive_six_months")
+def _in3(t):
+    return inactivity.inactive_six_months(t.pedidos, t.clientes)
+
+
+@register("IN4_inactivity_kpis")
+def _in4(t):
+    return inactivity.inactivity_kpis(inactivity.inactive_customers(t.pedidos, t.clientes, min_days=90))
+
+
+@register("IN5_inactivity_by_region")
+def _in5(t):
+    return inactivity.inactivity_by_region(inactivity.inactive_customers(t.pedidos, t.clientes, min_days=90))
+
+
+@register("IN6_inactivity_labels")
+def _in6(t):
+    return inactivity.inactivity_labels(inactivity.inactive_customers(t.pedidos, t.clientes))
