@@ -56,7 +56,7 @@ SELECT CAST(r.range AS INTEGER) AS bin, hb.lo + (hb.hi - hb.lo) * r.range // {bi
 FROM range({bins}) r CROSS JOIN hb LEFT JOIN hc ON hc.bin = r.range"""
 
 
-def box_sql(src: str, groups: list[str], value: str, tiebreak: str) -> str:
+def box_sql(src: str, groups: list[str], value: str, tiebreak: str, extra: str = "") -> str:
     """Box summary per group with linear-interpolated quartiles, 1.5*IQR whiskers, outliers."""
     g = ", ".join(groups)
     gsel = (g + ", ") if groups else ""
@@ -80,20 +80,30 @@ bx_s AS (SELECT *, q3 - q1 AS iqr, q1 - (q3 - q1) * 1.5 AS lf, q3 + (q3 - q1) *
 SELECT {", ".join("b." + c for c in groups) + ", " if groups else ""}b.n, b.minimo, b.q1, b.mediana, b.q3, b.maximo, b.iqr,
        MIN(CASE WHEN s.v >= b.lf THEN s.v END) AS bigode_inferior,
        MAX(CASE WHEN s.v <= b.uf THEN s.v END) AS bigode_superior,
-       COUNT(CASE WHEN s.v < b.lf OR s.v > b.uf THEN 1 END) AS outliers
+       COUNT(CASE WHEN s.v < b.lf OR s.v > b.uf THEN 1 END) AS outliers{extra}
 FROM bx_s b JOIN bx_r s ON {join_on}
 GROUP BY {", ".join("b." + c for c in groups) + ", " if groups else ""}b.n, b.minimo, b.q1, b.mediana, b.q3, b.maximo, b.iqr"""
 
 
 def rhe(num: str, den: str) -> str:
-    n = f"CAST({num} AS HUGEINT)"
+    n = f"ABS(CAST({num} AS HUGEINT))"
     d = f"NULLIF(CAST({den} AS HUGEINT), 0)"
     q = f"({n} // {d})"
     r2 = f"(({n} - {q} * {d}) * 2)"
-    return f"(CASE WHEN {r2} > {d} THEN {q} + 1 WHEN {r2} = {d} AND {q} % 2 = 1 THEN {q} + 1 ELSE {q} END)"
+    mag = f"(CASE WHEN {r2} > {d} THEN {q} + 1 WHEN {r2} = {d} AND {q} % 2 = 1 THEN {q} + 1 ELSE {q} END)"
+    return f"(CASE WHEN CAST({num} AS HUGEINT) < 0 THEN -{mag} ELSE {mag} END)"
 
 
 def pct_of(num: str, den: str, digits: int = 1, half_even: bool = True) -> str:
     s = 10 ** digits
     f = rhe if half_even else rhu
     return f"(CAST({f(cents(num) + f' * {100 * s}', cents(den))} AS DOUBLE) / {float(s)}::DOUBLE)"
+
+
+def money_millions_text(x: str) -> str:
+    t = rhe(cents(x), "10000000")
+    return f"('R$ ' || CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR) || 'M')"
+
+
+def money_units_text(x: str) -> str:
+    return f"('R$ ' || replace(format('{{:,}}', CAST({rhe(cents(x), '100')} AS BIGINT)), ',', '.'))"

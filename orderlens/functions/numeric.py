@@ -59,24 +59,27 @@ def round_money(c: Column, digits: int = 2) -> Column:
     return F.round(c, digits).cast("double")
 
 
-def money_text(c: Column) -> Column:
-    """Brazilian money text: 'R$ 5.2M' at a million and above, else 'R$ 18.450'.
+def money_millions_text(total: Column) -> Column:
+    """'R$ 5.2M': millions with one decimal, half-even on the exact value."""
+    tenths = rhe_div(cents(total), F.lit(10 ** 7))
+    return F.concat(F.lit("R$ "), F.call_function("div", tenths, F.lit(10)).cast("string"), F.lit("."),
+                    (tenths % 10).cast("string"), F.lit("M"))
 
-    Thousands use '.' as separator; whole units, half-even like Python's format.
-    """
-    v = c.cast("double")
-    millions = F.concat(F.lit("R$ "), F.format_number(F.bround(v / 1e6, 1), 1), F.lit("M"))
-    units = F.concat(F.lit("R$ "), F.translate(F.format_number(F.bround(v, 0), 0), ",", "."))
-    return F.when(v >= 1e6, millions).otherwise(units)
+
+def money_units_text(total: Column) -> Column:
+    """'R$ 18.450': whole units, half-even, '.' as thousands separator."""
+    units = rhe_div(cents(total), F.lit(100))
+    return F.concat(F.lit("R$ "), F.translate(F.format_number(units, 0), ",", "."))
 
 
 def rhe_div(num: Column, den: Column) -> Column:
-    """round(num / den) half to even (Python / pandas rounding), integers, num >= 0, den > 0."""
-    n = num.cast(WIDE)
+    """round(num / den) half to even (Python / pandas rounding), integers, den > 0."""
+    n = F.abs(num.cast(WIDE))
     d = F.nullif(den.cast(WIDE), F.lit(0).cast(WIDE))
     q = F.call_function("div", n, d)
     r2 = (n - q * d) * 2
-    return F.when(r2 > d, q + 1).when((r2 == d) & (q % 2 == 1), q + 1).otherwise(q)
+    mag = F.when(r2 > d, q + 1).when((r2 == d) & (q % 2 == 1), q + 1).otherwise(q)
+    return F.when(num.cast(WIDE) < 0, -mag).otherwise(mag)
 
 
 def pct_of(num: Column, den: Column, digits: int = 1, half_even: bool = True) -> Column:

@@ -105,16 +105,18 @@ def correlation_matrix(df: DataFrame, cols: list[str], scale: dict[str, int] | N
         return (n * F.col(f"_p_{x}_{y}") - F.col(f"_s_{a}") * F.col(f"_s_{b}")).cast("double")
 
     rows = []
-    for a in cols:
-        for b in cols:
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
             r = F.try_divide(cov(a, b), F.sqrt(cov(a, a)) * F.sqrt(cov(b, b)))
-            rows.append(F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"),
-                                 F.bround(r, digits).alias("corr")))
+            rows.append(F.struct(F.lit(i * len(cols) + j).alias("ordem"), F.lit(a).alias("var_x"),
+                                 F.lit(b).alias("var_y"), F.bround(r, digits).alias("corr")))
     return (m.where(F.col("_n") >= min_rows)
             .select(F.explode(F.array(*rows)).alias("_r")).select("_r.*"))
 
 
 def strongest_off_diagonal(corr: DataFrame) -> DataFrame:
-    """The signed off-diagonal value with the largest magnitude (first in matrix order on ties)."""
+    """The signed off-diagonal value with the largest magnitude (first in row-major
+    matrix order on ties); 0 when there is none."""
     return corr.where(F.col("var_x") != F.col("var_y")).agg(
-        F.max_by(F.col("corr"), F.abs(F.col("corr"))).alias("correlacao_principal"))
+        F.coalesce(F.max_by(F.col("corr"), F.struct(F.abs(F.col("corr")), -F.col("ordem"))),
+                   F.lit(0.0)).alias("correlacao_principal"))

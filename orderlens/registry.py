@@ -214,3 +214,154 @@ def _in5(t):
 @register("IN6_inactivity_labels")
 def _in6(t):
     return inactivity.inactivity_labels(inactivity.inactive_customers(t.pedidos, t.clientes))
+
+
+# ---------------------------------------------------------------- divergence and correction
+from pyspark.sql import functions as F  # noqa: E402
+
+from orderlens.operators import dashboard, divergence  # noqa: E402
+
+# parameter: the run timestamp written on correction rows (fixed for repeatable output)
+CORRECTION_TIME = "2001-08-02 10:00:00"
+
+
+def _log_view(log):
+    return log.select("id_correcao", "id_pedido", "campo_corrigido",
+                      F.col("valor_anterior").cast("double").alias("valor_anterior"),
+                      F.col("valor_novo").cast("double").alias("valor_novo"),
+                      "tipo_correcao", "usuario_correcao", "motivo_correcao",
+                      F.date_format("data_correcao", "yyyy-MM-dd HH:mm:ss").alias("data_correcao"))
+
+
+def _batch_log(t):
+    log0 = divergence.empty_log(t.spark)
+    return divergence.correct_all_pending(t.pedidos, t.itens_pedido, t.clientes, log0,
+                                          quando=CORRECTION_TIME)
+
+
+@register("C1_divergences_period")
+def _c1(t):
+    return divergence.divergences_period(t.pedidos, t.itens_pedido, t.clientes)
+
+
+@register("C2_divergences_all")
+def _c2(t):
+    return divergence.divergences_all(t.pedidos, t.itens_pedido, t.clientes)
+
+
+@register("C3_divergences_relative")
+def _c3(t):
+    return divergence.divergences_relative(t.pedidos, t.itens_pedido)
+
+
+@register("C4_anomaly_view")
+def _c4(t):
+    _, log, _ = _batch_log(t)
+    return divergence.anomaly_view(t.pedidos, t.itens_pedido, t.clientes, log)
+
+
+@register("C5_correct_orders")
+def _c5(t):
+    result, _, _ = divergence.correct_orders(t.pedidos, t.itens_pedido, t.pedidos.select("id_pedido"),
+                                             divergence.empty_log(t.spark), quando=CORRECTION_TIME)
+    return result
+
+
+@register("C6_correct_all_pending_log")
+def _c6(t):
+    _, log, _ = _batch_log(t)
+    return _log_view(log)
+
+
+@register("C6b_correct_all_summary")
+def _c6b(t):
+    _, _, summary = _batch_log(t)
+    return summary
+
+
+@register("C7_correction_history")
+def _c7(t):
+    _, log, _ = _batch_log(t)
+    return divergence.correction_history(log)
+
+
+@register("C8_alert_counts")
+def _c8(t):
+    from orderlens.operators.inactivity import inactive_customers
+    return divergence.alert_counts(divergence.divergences_period(t.pedidos, t.itens_pedido, t.clientes),
+                                   inactive_customers(t.pedidos, t.clientes))
+
+
+# ---------------------------------------------------------------- dashboard and exploration
+# parameters: a region and a product term present in the test tables
+B1_REGION, B1_PRODUCT = "AMERICA", "Brand#1"
+
+
+def _filtered(t):
+    return dashboard.filtered_orders(t.pedidos, t.clientes, t.itens_pedido, t.produtos,
+                                     regiao=B1_REGION, produto=B1_PRODUCT)
+
+
+@register("B0_headline_metrics")
+def _b0(t):
+    return dashboard.headline_metrics(t.pedidos, t.clientes)
+
+
+@register("B1_dashboard_kpis")
+def _b1(t):
+    return dashboard.dashboard_kpis(_filtered(t), t.clientes)
+
+
+@register("B1b_dashboard_top_products")
+def _b1b(t):
+    return dashboard.dashboard_top_products(_filtered(t), t.itens_pedido, t.produtos)
+
+
+@register("B1c_dashboard_monthly")
+def _b1c(t):
+    return dashboard.dashboard_monthly(_filtered(t), legacy=True)
+
+
+@register("B2_value_histogram")
+def _b2(t):
+    return dashboard.value_histogram(t.pedidos)
+
+
+@register("B3_ticket_box_by_segment")
+def _b3(t):
+    return dashboard.ticket_box_by_segment(t.pedidos)
+
+
+@register("B4_items_value_sample")
+def _b4(t):
+    return dashboard.items_value_sample(t.pedidos, t.itens_pedido)
+
+
+@register("B5_customer_correlations")
+def _b5(t):
+    return dashboard.customer_correlations(t.pedidos)
+
+
+@register("B6_exploration_kpis")
+def _b6(t):
+    return dashboard.exploration_kpis(t.pedidos)
+
+
+@register("B7_summary_totals")
+def _b7(t):
+    return dashboard.summary_totals(t.pedidos, t.clientes, t.produtos)
+
+
+@register("B7b_orders_by_status")
+def _b7b(t):
+    return dashboard.orders_by_status(t.pedidos)
+
+
+@register("B8_top_customers_by_value")
+def _b8(t):
+    return dashboard.top_customers_by_value(t.pedidos, t.clientes)
+
+
+@register("B9_context_snapshot")
+def _b9(t):
+    return dashboard.context_snapshot(t.pedidos, t.clientes, t.itens_pedido, t.produtos)
