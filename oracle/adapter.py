@@ -57,50 +57,29 @@ ANCHOR = """anchor AS (
 
 # Share generator (H4) in SQL: same hash rule as orderlens.operators.sharing.
 SHARES = """top_orders AS (
-  SELECT p.id_pedido, p.id_cliente, p.valor_total, c.regiao
-  FROM (SELECT id_pedido, id_cliente, valor_total,
-               ROW_NUMBER() OVER (ORDER BY valor_total DESC, id_pedido) AS rn,
-               COUNT(*) OVER () AS n
-        FROM pedidos) p
-  JOIN clientes c ON c.id_cliente = p.id_cliente
-  WHERE p.rn <= GREATEST(1, CAST(FLOOR(p.n * CAST(0.15 AS DOUBLE)) AS BIGINT))),
-region_pos AS (
-  SELECT id_cliente, regiao,
-         ROW_NUMBER() OVER (PARTITION BY regiao ORDER BY id_cliente) - 1 AS pos,
-         COUNT(*) OVER (PARTITION BY regiao) AS cnt
-  FROM clientes),
-all_pos AS (
-  SELECT id_cliente, ROW_NUMBER() OVER (ORDER BY id_cliente) - 1 AS pos, COUNT(*) OVER () AS cnt
-  FROM clientes),
-owner_pos AS (
-  SELECT t.*, rp.pos AS rpos, rp.cnt AS rcnt, ap.pos AS apos, ap.cnt AS acnt,
-         (2654435761 * t.id_pedido + 12345) % 4294967296 AS h1,
-         (2246822519 * t.id_pedido + 67890) % 4294967296 AS h2
-  FROM top_orders t JOIN region_pos rp ON rp.id_cliente = t.id_cliente
-                    JOIN all_pos ap ON ap.id_cliente = t.id_cliente),
-pick AS (
-  SELECT o.*,
-         CASE WHEN o.rcnt > 1 THEN 'R' WHEN o.acnt > 1 THEN 'A' END AS pool,
-         CASE WHEN o.rcnt > 1 THEN (o.rpos + 1 + o.h1 % (o.rcnt - 1)) % o.rcnt
-              WHEN o.acnt > 1 THEN (o.apos + 1 + o.h1 % (o.acnt - 1)) % o.acnt END AS partner_pos,
-         CAST(2000 + o.h2 % 2001 AS BIGINT) AS co_bp
-  FROM owner_pos o),
-partners AS (
-  SELECT k.id_pedido, k.id_cliente AS owner, k.valor_total, k.co_bp,
-         COALESCE(rp.id_cliente, ap.id_cliente) AS partner
-  FROM pick k
-  LEFT JOIN region_pos rp ON k.pool = 'R' AND rp.regiao = k.regiao AND rp.pos = k.partner_pos
-  LEFT JOIN all_pos ap ON k.pool = 'A' AND ap.pos = k.partner_pos
-  WHERE k.pool IS NOT NULL),
+  SELECT id_pedido, id_cliente, valor_total FROM (
+    SELECT id_pedido, id_cliente, valor_total,
+           ROW_NUMBER() OVER (ORDER BY valor_total DESC, id_pedido) AS rn, COUNT(*) OVER () AS n FROM pedidos) t
+  WHERE rn <= GREATEST(1, CAST(FLOOR(n * CAST(0.15 AS DOUBLE)) AS BIGINT))),
+ranked AS (
+  SELECT id_cliente, regiao, ROW_NUMBER() OVER (ORDER BY regiao NULLS FIRST, id_cliente) AS rn,
+         COUNT(*) OVER () AS big_n FROM clientes),
+regions AS (SELECT regiao, MIN(rn) AS start, COUNT(*) AS rcnt FROM ranked GROUP BY regiao),
+picks AS (
+  SELECT t.id_pedido, t.id_cliente, t.valor_total,
+         CASE WHEN g.rcnt > 1 THEN g.start + (r.rn - g.start + 1 + ((t.id_pedido % 2147483648 * 1103515245 + 12345) % 2147483648) % (g.rcnt - 1)) % g.rcnt
+              WHEN r.big_n > 1 THEN (r.rn + ((t.id_pedido % 2147483648 * 1103515245 + 12345) % 2147483648) % (r.big_n - 1)) % r.big_n + 1 END AS prn,
+         2000 + ((t.id_pedido % 2147483648 * 1664525 + 1013904223) % 2147483648) % 2001 AS co_bp
+  FROM top_orders t JOIN ranked r ON r.id_cliente = t.id_cliente
+  JOIN regions g ON g.regiao IS NOT DISTINCT FROM r.regiao),
+partners AS (SELECT p.*, r2.id_cliente AS partner FROM picks p JOIN ranked r2 ON r2.rn = p.prn),
 pedido_clientes AS (
-  SELECT id_pedido, owner AS id_cliente,
-         CAST((10000 - co_bp) * 0.01 AS DECIMAL(5,2)) AS percentual_rateio,
-         CAST(ROUND(valor_total * CAST((10000 - co_bp) * 0.01 AS DECIMAL(5,2)) / 100, 2) AS DECIMAL(15,2)) AS valor_rateado
+  SELECT id_pedido, id_cliente, CAST((10000 - co_bp) * 0.01 AS DECIMAL(5,2)) AS percentual_rateio,
+         CAST(ROUND(valor_total * CAST((10000 - co_bp) * 0.01 AS DECIMAL(5,2)) * 0.01, 2) AS DECIMAL(15,2)) AS valor_rateado
   FROM partners
   UNION ALL
-  SELECT id_pedido, partner AS id_cliente,
-         CAST(co_bp * 0.01 AS DECIMAL(5,2)) AS percentual_rateio,
-         CAST(ROUND(valor_total * CAST(co_bp * 0.01 AS DECIMAL(5,2)) / 100, 2) AS DECIMAL(15,2)) AS valor_rateado
+  SELECT id_pedido, partner, CAST(co_bp * 0.01 AS DECIMAL(5,2)),
+         CAST(ROUND(valor_total * CAST(co_bp * 0.01 AS DECIMAL(5,2)) * 0.01, 2) AS DECIMAL(15,2))
   FROM partners)"""
 
 

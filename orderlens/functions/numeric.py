@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 MONEY = "decimal(15,2)"
 PRICE = "decimal(12,2)"
 WIDE = "decimal(38,0)"
+PCT_TYPE = "decimal(5,2)"
 
 
 def dec(value: str) -> Column:

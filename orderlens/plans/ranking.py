@@ -8,10 +8,14 @@ by the row counts of the earlier partitions.  The per-partition count table
 has one row per partition, so broadcasting it is bounded by the partition
 count, not by the data.
 
-The explicit partition count makes the exchange a REPARTITION_BY_NUM shuffle:
-AQE neither coalesces nor converts it to a local read, so both reads of the
-(reused) exchange see identical partition ids.  With a total order (unique
-tie-breaker last) a recomputed task reproduces the same numbers.
+The range-partitioned, locally numbered rows are written once with a
+reliable ``checkpoint()`` (into the session's checkpoint folder) before the
+per-partition counts are taken.  Counts and numbers therefore come from the
+same partitions: a second evaluation of the range exchange could sample
+different bounds when its input order comes from an upstream shuffle.  The
+checkpoint also cuts the lineage, so a lost executor re-reads the written
+partitions instead of renumbering.  The keys must form a total order (a
+unique tie-breaker last).
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderlens.session import checkpoint_dir
+
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 
 
@@ -36,11 +42,13 @@ def with_global_row_number(df: DataFrame, order: list[Column], name: str = "rn",
     is given, the total row count is added too.
     """
     n = _partitions(df, num_partitions)
+    checkpoint_dir(df.sparkSession)
     ranged = (df.repartitionByRange(n, *order)
               .sortWithinPartitions(*order)
               .withColumn("_x1_pid", F.spark_partition_id())
               .withColumn("_x1_local", F.monotonically_increasing_id()
-                          .bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
+                          .bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+              .checkpoint(eager=True))
     counts = ranged.groupBy("_x1_pid").agg(F.count(F.lit(1)).alias("_x1_cnt"))
     before = Window.orderBy("_x1_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(

@@ -365,3 +365,62 @@ def _b8(t):
 @register("B9_context_snapshot")
 def _b9(t):
     return dashboard.context_snapshot(t.pedidos, t.clientes, t.itens_pedido, t.produtos)
+
+
+# ---------------------------------------------------------------- shared purchases
+from orderlens.operators import sharing  # noqa: E402
+
+
+def _shares_view(shares):
+    return shares.select("id_pedido", "id_cliente",
+                         F.col("percentual_rateio").cast("double").alias("percentual_rateio"),
+                         F.col("valor_rateado").cast("double").alias("valor_rateado"))
+
+
+@register("H1_shared_participants")
+def _h1(t):
+    return sharing.shared_participants(t.pedido_clientes, t.pedidos, t.clientes)
+
+
+@register("H2_sharing_kpis")
+def _h2(t):
+    return sharing.sharing_kpis(t.pedido_clientes, t.pedidos)
+
+
+@register("H3_sharing_by_region")
+def _h3(t):
+    return sharing.sharing_by_region(t.pedido_clientes, t.clientes)
+
+
+@register("H4_generate_shares")
+def _h4(t):
+    return _shares_view(sharing.generate_shares(t.pedidos, t.clientes))
+
+
+@register("H5_create_shared_orders")
+def _h5(t):
+    """Re-create every shared order from JSON owner/line requests built from the shares."""
+    req = sharing.requests_from_shares(t.pedido_clientes, t.pedidos, t.itens_pedido)
+    orders, owners, lines, rejected = sharing.create_shared_orders(req, t.pedidos)
+    return orders
+
+
+@register("H6_refresh_proportional_values")
+def _h6(t):
+    corrected, _, _ = _batch_log(t)
+    return _shares_view(sharing.refresh_proportional_values(t.pedido_clientes, t.pedidos, corrected))
+
+
+@register("H7_share_check")
+def _h7(t):
+    return sharing.share_check(t.pedido_clientes)
+
+
+@register("H8_ownership_view")
+def _h8(t):
+    return sharing.ownership_view(t.pedidos, t.clientes, t.pedido_clientes)
+
+
+@register("H11_order_documents")
+def _h11(t):
+    return sharing.order_documents(t.pedidos, t.pedido_clientes, t.itens_pedido, t.produtos)
