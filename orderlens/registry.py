@@ -424,3 +424,110 @@ def _h8(t):
 @register("H11_order_documents")
 def _h11(t):
     return sharing.order_documents(t.pedidos, t.pedido_clientes, t.itens_pedido, t.produtos)
+
+
+# ---------------------------------------------------------------- lineage, integrity, duplicates
+from orderlens.operators import lineage  # noqa: E402
+
+
+def _traced_view(df):
+    return df.select("id_pedido", "numero_pedido", "chave_unica", "hash_integridade", "versao")
+
+
+@register("L1_order_numbers")
+def _l1(t):
+    """Order numbers, natural keys and integrity hashes (L1, L2, L3)."""
+    return _traced_view(lineage.traced_orders(t.pedidos))
+
+
+@register("L4_audit_rows")
+def _l4(t):
+    """Audit rows between the orders and their batch-corrected version."""
+    corrected, _, _ = _batch_log(t)
+    return lineage.audit_rows(t.pedidos, corrected, "SISTEMA", CORRECTION_TIME)
+
+
+@register("L5_stamp_updates")
+def _l5(t):
+    """Version stamping of the batch corrections on traced orders."""
+    traced = lineage.traced_orders(t.pedidos)
+    corrected, _, _ = _batch_log(t)
+    changed = corrected.join(t.pedidos.select("id_pedido", F.col("valor_total").alias("_old")), "id_pedido") \
+        .where(F.col("valor_total") != F.col("_old")).drop("_old")
+    ok, _ = lineage.stamp_updates(traced, changed, "SISTEMA", CORRECTION_TIME)
+    return ok.select("id_pedido", "versao", "hash_integridade",
+                     F.col("valor_total").cast("double").alias("valor_total"))
+
+
+@register("L6_integrity_report")
+def _l6(t):
+    """Integrity of traced orders after values were changed outside the system (C6 values)."""
+    traced = lineage.traced_orders(t.pedidos)
+    corrected, _, _ = _batch_log(t)
+    current = traced.drop("valor_total").join(corrected.select("id_pedido", "valor_total"), "id_pedido")
+    return lineage.integrity_report(current)
+
+
+@register("L7_traced_view")
+def _l7(t):
+    traced = lineage.traced_orders(t.pedidos)
+    corrected, _, _ = _batch_log(t)
+    audit = lineage.audit_rows(t.pedidos, corrected, "SISTEMA", CORRECTION_TIME)
+    return lineage.traced_view(traced, t.clientes, audit)
+
+
+@register("L8_duplicate_candidates")
+def _l8(t):
+    return lineage.duplicate_candidates(t.pedidos, t.clientes)
+
+
+@register("L9_duplicate_alerts")
+def _l9(t):
+    alerts = lineage.duplicate_alerts(lineage.duplicate_candidates(t.pedidos, t.clientes), CORRECTION_TIME)
+    return alerts.select("tabela", "registros", "similaridade", "motivo",
+                         F.date_format("data_detecao", "yyyy-MM-dd HH:mm:ss").alias("data_detecao"))
+
+
+@register("L10_audit_retention")
+def _l10(t):
+    corrected, _, _ = _batch_log(t)
+    audit = lineage.audit_rows(t.pedidos, corrected, "SISTEMA", CORRECTION_TIME)
+    _, removed = lineage.retain_audit(audit, "2003-09-01", years=2)
+    return removed
+
+
+@register("N1_item_keys")
+def _n1(t):
+    """Contiguous surrogate keys of the order lines (distributed numbering)."""
+    return t.itens_pedido_com_id.select("id_item", "id_pedido", "id_produto",
+                                        F.col("subtotal").cast("double").alias("subtotal"))
+
+
+# ---------------------------------------------------------------- data quality
+from orderlens.operators import quality  # noqa: E402
+
+
+def _model_tables(t, with_item_ids=False):
+    return {"clientes": t.clientes, "produtos": t.produtos, "pedidos": t.pedidos,
+            "itens_pedido": t.itens_pedido_com_id if with_item_ids else t.itens_pedido,
+            "pedido_clientes": t.pedido_clientes}
+
+
+@register("Q1_constraint_report")
+def _q1(t):
+    return quality.constraint_report(_model_tables(t))
+
+
+@register("Q2_key_report")
+def _q2(t):
+    return quality.key_report(_model_tables(t, with_item_ids=True))
+
+
+@register("Q3_orphan_report")
+def _q3(t):
+    return quality.orphan_report(_model_tables(t))
+
+
+@register("Q4_header_vs_lines")
+def _q4(t):
+    return quality.header_vs_lines(t.pedidos, t.itens_pedido)
