@@ -531,3 +531,95 @@ def _q3(t):
 @register("Q4_header_vs_lines")
 def _q4(t):
     return quality.header_vs_lines(t.pedidos, t.itens_pedido)
+
+
+# ---------------------------------------------------------------- sources and browsing
+from orderlens.sources import browse  # noqa: E402
+from orderlens.sources import io as sio  # noqa: E402
+
+# parameters: an order-date range, a search term and page present in the test tables
+S9_INICIO, S9_FIM = "2000-01-01", "2000-12-31"
+S12_TERM, S12_PAGE = "customer#0000001", 2
+
+
+@register("S4_row_counts")
+def _s4(t):
+    return sio.row_counts({"clientes": t.clientes, "produtos": t.produtos, "pedidos": t.pedidos,
+                           "itens_pedido": t.itens_pedido})
+
+
+@register("S5_high_water_marks")
+def _s5(t):
+    return sio.high_water_marks({"clientes": t.clientes, "produtos": t.produtos, "pedidos": t.pedidos,
+                                 "itens_pedido": t.itens_pedido_com_id})
+
+
+@register("S6_data_page_customers")
+def _s6a(t):
+    return browse.data_page_customers(t.clientes)
+
+
+@register("S6b_data_page_orders")
+def _s6b(t):
+    return browse.data_page_orders(t.pedidos, t.clientes)
+
+
+@register("S6c_data_page_items")
+def _s6c(t):
+    return browse.data_page_items(t.itens_pedido_com_id, t.produtos)
+
+
+@register("S7_customer_browse")
+def _s7(t):
+    return browse.customer_browse(t.clientes)
+
+
+@register("S8_product_browse")
+def _s8(t):
+    return browse.product_browse(t.produtos)
+
+
+@register("S9_order_browse")
+def _s9(t):
+    return browse.order_browse(t.pedidos, t.clientes, S9_INICIO, S9_FIM)
+
+
+@register("S10_item_browse")
+def _s10(t):
+    return browse.data_page_items(t.itens_pedido_com_id, t.produtos, cap=browse.CAP_ITENS_EXPLORER)
+
+
+@register("S11_json_records")
+def _s11(t):
+    return sio.as_json_records(browse.customer_browse(t.clientes))
+
+
+@register("S12_search_page")
+def _s12(t):
+    return browse.search_page(browse.customer_browse(t.clientes), S12_TERM, ["nome", "regiao"],
+                              [F.col("id_cliente").asc()], page=S12_PAGE)
+
+
+@register("S14_customer_pick_list")
+def _s14(t):
+    return browse.customer_pick_list(t.clientes)
+
+
+# ---------------------------------------------------------------- text
+from orderlens.operators import intent  # noqa: E402
+
+# parameter: the conversations hold pseudo-words, so the registered lexicon uses
+# fragments that occur in them (the model's own lexicon is intent.LEXICO_COM_DADOS)
+X2_LEXICON = [("produto", ["ment"]), ("risco", ["sch"]), ("anomalia", ["ö", "ß"]), ("tendencia", ["tion"])]
+
+
+@register("X2_intent_tags")
+def _x2(t):
+    msgs = t.raw("conversations").select("conv_id", "turn", "role", "text")
+    return intent.tag_messages(msgs, "text", X2_LEXICON).drop("text")
+
+
+@register("X2b_intent_counts")
+def _x2b(t):
+    msgs = t.raw("conversations").select("conv_id", "turn", "role", "text")
+    return intent.intent_counts(intent.tag_messages(msgs, "text", X2_LEXICON), ["role"])
