@@ -623,3 +623,80 @@ def _x2(t):
 def _x2b(t):
     msgs = t.raw("conversations").select("conv_id", "turn", "role", "text")
     return intent.intent_counts(intent.tag_messages(msgs, "text", X2_LEXICON), ["role"])
+
+
+# ---------------------------------------------------------------- streaming
+import uuid  # noqa: E402
+
+from orderlens.session import checkpoint_dir  # noqa: E402
+from orderlens.streaming import alerts as st_alerts  # noqa: E402
+from orderlens.streaming import audit as st_audit  # noqa: E402
+from orderlens.streaming import shares as st_shares  # noqa: E402
+
+
+def _scratch(t, tag):
+    return f"{checkpoint_dir(t.spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+@register("ST1_audit_stream")
+def _st1(t):
+    """Change feed of every order (version 1) and its batch correction (version 2)
+    through the stateful audit stream."""
+    base = _scratch(t, "st1")
+    corrected, _, _ = _batch_log(t)
+    changed = corrected.join(t.pedidos.select("id_pedido", F.col("valor_total").alias("_old")), "id_pedido") \
+        .where(F.col("valor_total") != F.col("_old")).drop("_old")
+    v1 = t.pedidos.withColumn("versao", F.lit(1)).withColumn("ts", F.col("data_pedido").cast("timestamp"))
+    v2 = changed.withColumn("versao", F.lit(2)).withColumn("ts", F.col("data_pedido").cast("timestamp")
+                                                           + F.expr("INTERVAL 1 HOUR"))
+    v1.write.parquet(f"{base}/in/part=1")
+    v2.write.parquet(f"{base}/in/part=2")
+    schema = t.spark.read.parquet(f"{base}/in").schema
+    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{base}/in")
+    st_audit.run_to_table(st_audit.audit_stream(stream.drop("part")), f"{base}/ckpt", f"{base}/out")
+    return t.spark.read.parquet(f"{base}/out").select("id_registro", "versao", "operacao", "resultado")
+
+
+@register("ST2_divergence_alerts")
+def _st2(t):
+    """Header and line events of all orders through the watermarked alert stream;
+    an end-of-stream event closes the last windows."""
+    base = _scratch(t, "st2")
+    ev = st_alerts.order_events(t.pedidos, t.itens_pedido)
+    ev.write.parquet(f"{base}/in/b=0")
+    end = t.spark.range(1).select(F.lit("fim").alias("tipo"), F.lit(None).cast("long").alias("id_pedido"),
+                                  F.lit("2999-01-01").cast("timestamp").alias("ts"),
+                                  F.lit(None).cast("decimal(15,2)").alias("valor"))
+    end.write.parquet(f"{base}/in/b=1")
+    schema = t.spark.read.parquet(f"{base}/in").schema
+    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in")
+    alerts = st_alerts.divergence_alerts(stream.drop("b"))
+    q = (alerts.writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", f"{base}/ckpt").option("path", f"{base}/out")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    # the end marker only advances the watermark once its batch has run: one more run closes the windows
+    q = (alerts.writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", f"{base}/ckpt").option("path", f"{base}/out")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return (t.spark.read.parquet(f"{base}/out")
+            .select("id_pedido", F.date_format("dia", "yyyy-MM-dd").alias("dia"), "valor_registrado",
+                    "valor_calculado", "tipo_anomalia"))
+
+
+@register("ST3_share_refresh_stream")
+def _st3(t):
+    """Value changes of the batch correction as a stream refreshing the shares."""
+    base = _scratch(t, "st3")
+    corrected, _, _ = _batch_log(t)
+    changed = (corrected.join(t.pedidos.select("id_pedido", F.col("valor_total").alias("_old")), "id_pedido")
+               .where(F.col("valor_total") != F.col("_old"))
+               .select("id_pedido", "valor_total", F.lit(2).alias("versao"),
+                       F.col("data_pedido").cast("timestamp").alias("ts")))
+    changed.write.parquet(f"{base}/in")
+    stream = t.spark.readStream.schema(changed.schema).parquet(f"{base}/in")
+    shares = sharing.generate_shares(t.pedidos, t.clientes)
+    q = st_shares.start_share_refresh(stream, shares, f"{base}/out", f"{base}/ckpt")
+    q.awaitTermination()
+    return _shares_view(t.spark.read.parquet(f"{base}/out").drop("epoch"))
