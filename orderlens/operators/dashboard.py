@@ -75,7 +75,8 @@ def dashboard_top_products(orders: DataFrame, itens: DataFrame, produtos: DataFr
     return (top.crossJoin(F.broadcast(mx))  # one-row table
             .join(produtos.select("id_produto", "nome"), "id_produto")
             .select("id_produto", "nome", F.col("_v").cast("double").alias("total_vendas"),
-                    pct_of(F.col("_v"), F.col("_m"), 1).alias("percentual")))
+                    pct_of(F.col("_v"), F.col("_m"), 1).alias("percentual"))
+            .orderBy(F.col("total_vendas").desc(), "id_produto"))
 
 
 def dashboard_monthly(orders: DataFrame, legacy: bool = True) -> DataFrame:
@@ -211,7 +212,7 @@ def top_customers_by_value(pedidos: DataFrame, clientes: DataFrame, k: int = 10)
     agg = pedidos.where(not_cancelled()).groupBy("id_cliente").agg(F.sum("valor_total").alias("_v"))
     top = agg.orderBy(F.col("_v").desc(), F.col("id_cliente").asc()).limit(k)
     return top.join(clientes.select("id_cliente", "nome"), "id_cliente").select(
-        "id_cliente", "nome", F.col("_v").cast("double").alias("total"))
+        "id_cliente", "nome", F.col("_v").cast("double").alias("total")).orderBy(F.col("total").desc(), "id_cliente")
 
 
 def context_snapshot(pedidos: DataFrame, clientes: DataFrame, itens: DataFrame, produtos: DataFrame,

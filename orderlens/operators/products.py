@@ -57,7 +57,7 @@ def top_products_pct(revenue: DataFrame, k: int = 5, digits: int = 0) -> DataFra
     return top.crossJoin(F.broadcast(mx)).select(  # one-row table
         "id_produto", "nome", "total_vendas",
         pct_of(F.col("total_vendas").cast("decimal(15,2)"), F.col("_max").cast("decimal(15,2)"), digits)
-        .alias("percentual"))
+        .alias("percentual")).orderBy(F.col("total_vendas").desc(), "id_produto")
 
 
 def margin_ranking(itens: DataFrame, pedidos: DataFrame, produtos: DataFrame, ref_date=None,
@@ -101,7 +101,7 @@ def margin_ranking(itens: DataFrame, pedidos: DataFrame, produtos: DataFrame, re
         "id_produto", "nome", "categoria", "subcategoria",
         F.col("_tv2").cast("double").alias("total_vendas"), "total_custo", "margem_bruta", "margem_pct",
         "volume_total", "total_contratos",
-        pct_of(F.col("_tv2"), F.col("_max"), 1).alias("percentual"))
+        pct_of(F.col("_tv2"), F.col("_max"), 1).alias("percentual")).orderBy(F.col("total_vendas").desc(), "id_produto")
 
 
 def margin_top(itens: DataFrame, pedidos: DataFrame, produtos: DataFrame, ref_date=None,
@@ -126,7 +126,7 @@ def margin_top(itens: DataFrame, pedidos: DataFrame, produtos: DataFrame, ref_da
         F.when(F.col("_tv") > 0, ratio_pct(F.col("_tv") - F.col("_tc"), F.col("_tv"), 2))
          .otherwise(F.lit(0.0)).alias("margem_pct"),
         F.round("_vol", 2).cast("double").alias("volume_total"),
-        "total_contratos")
+        "total_contratos").orderBy(F.col("total_vendas").desc(), "id_produto")
 
 
 def top_share_of_total(itens: DataFrame, pedidos: DataFrame, produtos: DataFrame, ref_date=None,
@@ -142,7 +142,8 @@ def top_share_of_total(itens: DataFrame, pedidos: DataFrame, produtos: DataFrame
                     F.col("_tv").cast("double").alias("total_vendas"),
                     F.col("_vol").cast("double").alias("volume_total"),
                     "total_contratos",
-                    ratio_pct(F.col("_tv"), F.col("_all"), 2).alias("percentual")))
+                    ratio_pct(F.col("_tv"), F.col("_all"), 2).alias("percentual"))
+            .orderBy(F.col("total_vendas").desc(), "id_produto"))
 
 
 def product_kpis(ranking: DataFrame) -> DataFrame:
@@ -161,7 +162,7 @@ def top_revenue_all_time(itens: DataFrame, pedidos: DataFrame, produtos: DataFra
            .groupBy("id_produto").agg(F.sum(_line_value()).alias("_tv")))
     top = agg.orderBy(F.col("_tv").desc(), F.col("id_produto").asc()).limit(k)
     return top.join(produtos.select("id_produto", "nome"), "id_produto").select(
-        "id_produto", "nome", F.round("_tv", 0).cast("long").alias("receita"))
+        "id_produto", "nome", F.round("_tv", 0).cast("long").alias("receita")).orderBy(F.col("receita").desc(), "id_produto")
 
 
 def seasonality(itens: DataFrame, pedidos: DataFrame, produtos: DataFrame,
