@@ -82,7 +82,15 @@ R9_BOX = ", " + RFV_CTE + ",\n" + box_sql("rfv", [], "valor_total", "id_cliente"
 
 R10 = ", " + RFV_CTE + "\nSELECT * FROM rfv ORDER BY valor_total DESC, id_cliente LIMIT 5"
 
+W1 = """
+SELECT id_cliente, id_pedido, strftime(data_pedido, '%Y-%m-%d') AS data_pedido,
+       strftime(LAG(data_pedido) OVER w, '%Y-%m-%d') AS data_anterior,
+       CAST(data_pedido - LAG(data_pedido) OVER w AS INTEGER) AS gap_dias
+FROM pedidos WHERE status != 'Cancelado'
+WINDOW w AS (PARTITION BY id_cliente ORDER BY data_pedido, id_pedido)"""
+
 SQL = {
+    "W1_purchase_gaps": W1,
     "R1_rfv_fixed": R1, "R2_rfm_scores": R2, "R3_rfv_test_scores": R3,
     "R4_segment_counts": R4, "R5_segment_counts_anchor": R5, "R6_segment_kpis": R6,
     "R7_segment_summary": R7, "R8_region_summary": R8, "R9_recency_histogram": R9,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from orderlens.functions.dates import ref_column
 from orderlens.functions.numeric import avg_money, rhu_div
 from orderlens.functions.predicates import not_cancelled
-from orderlens.plans.ranking import with_global_row_number, with_ntile
+from orderlens.plans.ranking import with_global_row_number, with_ntile, with_previous
 from orderlens.plans.stats import equal_width_histogram, grouped_box
 
 # Segment labels of the fixed-threshold rules, in display order.
@@ -45,6 +45,18 @@ def customer_metrics(pedidos: DataFrame, ref: Column) -> DataFrame:
             .withColumn("dias", F.datediff(ref, F.col("ultima"))))
 
 
+def purchase_gaps(pedidos: DataFrame) -> DataFrame:
+    """Per non-cancelled order, the customer's previous order date and the gap in
+    days (LAG over (date, id) within the customer), as a distributed LAG."""
+    o = pedidos.where(not_cancelled()).select("id_cliente", "id_pedido", "data_pedido")
+    lagged = with_previous(o, ["id_cliente"], [F.col("data_pedido").asc(), F.col("id_pedido").asc()],
+                           ["data_pedido"], prefix="_anterior_")
+    return lagged.select("id_cliente", "id_pedido",
+                         F.date_format("data_pedido", "yyyy-MM-dd").alias("data_pedido"),
+                         F.date_format("_anterior_data_pedido", "yyyy-MM-dd").alias("data_anterior"),
+                         F.datediff("data_pedido", "_anterior_data_pedido").alias("gap_dias"))
+
+
 def rfv_fixed(pedidos: DataFrame, clientes: DataFrame, ref_date=None) -> DataFrame:
     """Fixed-threshold RFV per customer with at least one non-cancelled order."""
     ref = ref_column(pedidos, ref_date)

@@ -700,3 +700,8 @@ def _st3(t):
     q = st_shares.start_share_refresh(stream, shares, f"{base}/out", f"{base}/ckpt")
     q.awaitTermination()
     return _shares_view(t.spark.read.parquet(f"{base}/out").drop("epoch"))
+
+
+@register("W1_purchase_gaps")
+def _w1(t):
+    return rfv.purchase_gaps(t.pedidos)

@@ -45,3 +45,15 @@ def test_top_fraction_at_least_one(spark):
     assert [r.id for r in top.collect()] == [4]
     df2 = spark.createDataFrame([(i, i) for i in range(40)], "id long, v long")
     assert top_fraction(df2, [F.col("v").desc(), F.col("id").asc()], 0.15).count() == 6
+
+
+def test_distributed_lag_matches_window(spark):
+    from orderlens.plans.ranking import with_previous
+    rnd = random.Random(3)
+    rows = [(i, 1 if i % 3 == 0 else rnd.randint(2, 9), rnd.randint(0, 30)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g long, d long")
+    w = Window.partitionBy("g").orderBy("d", "id")
+    expected = {r.id: r.p for r in df.select("id", F.lag("d").over(w).alias("p")).collect()}
+    got = {r.id: r.prev_d for r in with_previous(df, ["g"], [F.col("d").asc(), F.col("id").asc()], ["d"],
+                                                 num_partitions=7).collect()}
+    assert got == expected

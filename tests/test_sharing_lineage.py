@@ -117,3 +117,22 @@ def test_value_histogram_holes(spark):
              .orderBy("ordem").collect()]
     assert legacy == [1, 2, 1, 0, 1]  # 49,999.50, 99,999.99 and 499,999.01 fall in holes
     assert fixed == [1, 3, 2, 1, 1]
+
+
+def test_groups_and_members(spark):
+    import datetime as dt
+    from orderlens.model import CLIENTE_GRUPO, GRUPOS_COMPRA
+    clientes = make(spark, "clientes", [customer(1), customer(2), customer(3)])
+    grupos = spark.createDataFrame([
+        (1, "Grupo A", "COOPERATIVA", 1, dt.date(2025, 1, 1), True, None),
+        (2, "Grupo B", "ASSOCIACAO", None, dt.date(2025, 1, 1), True, None),
+        (3, "Grupo C", "CONSORCIO", 2, dt.date(2025, 1, 1), False, None)], GRUPOS_COMPRA)
+    membros = spark.createDataFrame([
+        (1, 1, D("25.00"), dt.date(2025, 1, 1), True), (2, 1, D("35.00"), dt.date(2025, 1, 1), True),
+        (3, 1, D("40.00"), dt.date(2025, 1, 1), False)], CLIENTE_GRUPO)
+    g = {r.id_grupo: r for r in sharing.active_groups(grupos, membros, clientes).collect()}
+    assert set(g) == {1, 2}
+    assert g[1].total_membros == 3 and g[1].representante == "Cliente 1"  # inactive members count too
+    assert g[2].total_membros == 0 and g[2].representante is None
+    m = [r.id_cliente for r in sharing.group_members(membros, clientes, 1).collect()]
+    assert m == [2, 1]  # active only, largest share first
