@@ -45,7 +45,7 @@ FROM cur"""
 L7 = ", " + TRACED + ", " + CORRECTED + """
 SELECT t.id_pedido, t.numero_pedido, c.nome AS cliente_nome,
        CASE WHEN k.id_pedido IS NOT NULL THEN '2001-08-02 10:00:00' END AS ultima_alteracao,
-       CASE WHEN k.id_pedido IS NOT NULL THEN 1 ELSE 0 END AS total_alteracoes,
+       CAST(CASE WHEN k.id_pedido IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS total_alteracoes,
        CASE WHEN """ + hash_of('t') + " = " + hash_of('t') + """ THEN 'VALIDO' ELSE 'CORROMPIDO' END AS status_integridade
 FROM traced t JOIN clientes c ON c.id_cliente = t.id_cliente LEFT JOIN corr k ON k.id_pedido = t.id_pedido"""
 

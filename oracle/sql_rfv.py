@@ -53,8 +53,9 @@ def _segments(accented: bool) -> str:
              FROM {METRICS} m CROSS JOIN anchor a),
 cnt AS (SELECT segmento, COUNT(*) AS clientes FROM seg GROUP BY segmento)
 SELECT cnt.segmento, cnt.clientes, t.total_clientes, t.em_risco
-FROM cnt CROSS JOIN (SELECT SUM(clientes) AS total_clientes,
-                            COALESCE(SUM(CASE WHEN segmento = 'Em Risco' THEN clientes END), 0) AS em_risco FROM cnt) t"""
+FROM cnt CROSS JOIN (SELECT CAST(SUM(clientes) AS BIGINT) AS total_clientes,
+                            CAST(COALESCE(SUM(CASE WHEN segmento = 'Em Risco' THEN clientes END), 0) AS BIGINT) AS em_risco
+                     FROM cnt) t"""
 
 
 R4 = _segments(True)

@@ -24,7 +24,7 @@ TR3 = f", {MONTHLY}\n" + f"""SELECT strftime(mes, '%Y-%m-%d') AS mes, {dbl('tota
 FROM mensal"""
 
 TR4 = ", " + TR1_CTE + f"""
-SELECT CAST(SUM(CAST(vendas AS DECIMAL(15,2))) AS DOUBLE) AS total_vendas, SUM(contratos) AS total_contratos,
+SELECT CAST(SUM(CAST(vendas AS DECIMAL(15,2))) AS DOUBLE) AS total_vendas, CAST(SUM(contratos) AS BIGINT) AS total_contratos,
        {rhu(cents('SUM(CAST(vendas AS DECIMAL(15,2)))'), 'SUM(contratos) * 100')} AS ticket_medio,
        arg_max(crescimento, CASE WHEN crescimento IS NOT NULL THEN mes_ano END) AS ultimo_crescimento
 FROM tr1"""

@@ -8,7 +8,7 @@ def rhu(num: str, den: str) -> str:
     """round(num / den) half away from zero for integers, den > 0 (NULL when den = 0)."""
     n = f"CAST({num} AS HUGEINT)"
     d = f"NULLIF(CAST({den} AS HUGEINT), 0)"
-    return f"(CASE WHEN {n} >= 0 THEN (2 * {n} + {d}) // (2 * {d}) ELSE -((-2 * {n} + {d}) // (2 * {d})) END)"
+    return f"CAST(CASE WHEN {n} >= 0 THEN (2 * {n} + {d}) // (2 * {d}) ELSE -((-2 * {n} + {d}) // (2 * {d})) END AS BIGINT)"
 
 
 def cents(x: str) -> str:
@@ -91,7 +91,7 @@ def rhe(num: str, den: str) -> str:
     q = f"({n} // {d})"
     r2 = f"(({n} - {q} * {d}) * 2)"
     mag = f"(CASE WHEN {r2} > {d} THEN {q} + 1 WHEN {r2} = {d} AND {q} % 2 = 1 THEN {q} + 1 ELSE {q} END)"
-    return f"(CASE WHEN CAST({num} AS HUGEINT) < 0 THEN -{mag} ELSE {mag} END)"
+    return f"CAST(CASE WHEN CAST({num} AS HUGEINT) < 0 THEN -{mag} ELSE {mag} END AS BIGINT)"
 
 
 def pct_of(num: str, den: str, digits: int = 1, half_even: bool = True) -> str:

@@ -74,7 +74,7 @@ def ntile_from_rank(rn: Column, total: Column, k: int) -> Column:
     big = rem * (base + 1)
     first = F.call_function("div", rn - 1, base + 1) + 1
     rest = rem + F.call_function("div", rn - 1 - big, F.nullif(base, F.lit(0))) + 1
-    return F.when(rn <= big, first).otherwise(rest).cast("int")
+    return F.when(rn <= big, first).otherwise(rest).cast("long")
 
 
 def with_ntile(df: DataFrame, order: list[Column], k: int, name: str,

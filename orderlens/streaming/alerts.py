@@ -32,10 +32,11 @@ def divergence_alerts(events: DataFrame, watermark: str = "2 days", window: str
            .groupBy("id_pedido", F.window("ts", window).alias("janela"))
            .agg(F.max(F.when(F.col("tipo") == "pedido", F.col("valor"))).alias("valor_registrado"),
                 F.sum(F.when(F.col("tipo") == "item", F.col("valor"))).alias("valor_calculado"),
-                F.count_if(F.col("tipo") == "item").alias("qtd_itens")))
+                F.count_if(F.col("tipo") == "item").alias("qtd_itens"),
+                F.min("ts").alias("_t")))
     return (agg.where(F.col("valor_registrado").isNotNull() & (F.col("qtd_itens") > 0)
                       & (F.abs(F.col("valor_registrado") - F.col("valor_calculado")) > dec("0.01")))
-            .select("id_pedido", F.col("janela.start").alias("dia"),
+            .select("id_pedido", F.to_date("_t").alias("dia"),
                     F.col("valor_registrado").cast("double").alias("valor_registrado"),
                     F.col("valor_calculado").cast("double").alias("valor_calculado"),
                     F.when(F.col("valor_registrado") > F.col("valor_calculado"), "SOBREFATURAMENTO")
