@@ -54,5 +54,13 @@ SELECT COUNT(CASE WHEN s.s IS NOT NULL AND ABS(p.valor_total - s.s) > 0.01 THEN
        COUNT(CASE WHEN s.s IS NULL THEN 1 END) AS sem_itens, COUNT(*) AS total_pedidos
 FROM pedidos p LEFT JOIN (SELECT id_pedido, SUM(subtotal) AS s FROM itens_pedido GROUP BY 1) s ON s.id_pedido = p.id_pedido"""
 
-SQL = {"Q1_constraint_report": _q1(), "Q2_key_report": _q2(), "Q3_orphan_report": _q3(), "Q4_header_vs_lines": Q4}
+def _q1b():
+    parts = []
+    for t, c, k, p in RULES:
+        if t == "pedidos":
+            parts.append(f"SELECT id_pedido, '{_rule_name(c, k, p)}' AS regra FROM pedidos WHERE {_viol(c, k, p)}")
+    return "\n" + "\nUNION ALL ".join(parts)
+
+
+SQL = {"Q1b_violating_rows": _q1b(),"Q1_constraint_report": _q1(), "Q2_key_report": _q2(), "Q3_orphan_report": _q3(), "Q4_header_vs_lines": Q4}
 NEEDS_SHARES = {"Q1_constraint_report", "Q2_key_report", "Q3_orphan_report"}

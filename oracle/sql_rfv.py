@@ -81,7 +81,11 @@ R9 = ", " + RFV_CTE + ",\n" + histogram_sql("rfv", "dias_desde_ultimo", 20)
 
 R9_BOX = ", " + RFV_CTE + ",\n" + box_sql("rfv", [], "valor_total", "id_cliente")
 
-R10 = ", " + RFV_CTE + "\nSELECT * FROM rfv ORDER BY valor_total DESC, id_cliente LIMIT 5"
+R10 = ", " + RFV_CTE + """
+SELECT *, ROW_NUMBER() OVER (ORDER BY valor_total DESC, id_cliente) AS posicao
+FROM (SELECT * FROM rfv ORDER BY valor_total DESC, id_cliente LIMIT 5) t"""
+
+R9C = ", " + RFV_CTE + "\nSELECT id_cliente, nome, total_pedidos, dias_desde_ultimo, valor_total FROM rfv"
 
 W1 = """
 SELECT id_cliente, id_pedido, strftime(data_pedido, '%Y-%m-%d') AS data_pedido,
@@ -95,5 +99,5 @@ SQL = {
     "R1_rfv_fixed": R1, "R2_rfm_scores": R2, "R3_rfv_test_scores": R3,
     "R4_segment_counts": R4, "R5_segment_counts_anchor": R5, "R6_segment_kpis": R6,
     "R7_segment_summary": R7, "R8_region_summary": R8, "R9_recency_histogram": R9,
-    "R9b_value_box": R9_BOX, "R10_top_customers": R10,
+    "R9b_value_box": R9_BOX, "R10_top_customers": R10, "R9c_rfv_points": R9C,
 }

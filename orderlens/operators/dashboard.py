@@ -14,6 +14,7 @@ from orderlens.functions.dates import days_before, ref_column
 from orderlens.functions.numeric import avg_money, cents, money_millions_text, pct_of, rhe_div, rhu_div
 from orderlens.functions.predicates import not_cancelled, region_filter
 from orderlens.operators.rfv import SEGMENTOS, segment_fixed
+from orderlens.plans.ranking import with_position
 from orderlens.plans.stats import correlation_matrix, grouped_box, strongest_off_diagonal
 
 # Value histogram bins (lower, upper inclusive), as labelled on the page.
@@ -211,8 +212,9 @@ def top_customers_by_value(pedidos: DataFrame, clientes: DataFrame, k: int = 10)
     """Top-k customers by non-cancelled value."""
     agg = pedidos.where(not_cancelled()).groupBy("id_cliente").agg(F.sum("valor_total").alias("_v"))
     top = agg.orderBy(F.col("_v").desc(), F.col("id_cliente").asc()).limit(k)
-    return top.join(clientes.select("id_cliente", "nome"), "id_cliente").select(
-        "id_cliente", "nome", F.col("_v").cast("double").alias("total")).orderBy(F.col("total").desc(), "id_cliente")
+    out = top.join(clientes.select("id_cliente", "nome"), "id_cliente").select(
+        "id_cliente", "nome", F.col("_v").cast("double").alias("total"))
+    return with_position(out, [F.col("total").desc(), F.col("id_cliente").asc()]).orderBy("posicao")
 
 
 def context_snapshot(pedidos: DataFrame, clientes: DataFrame, itens: DataFrame, produtos: DataFrame,

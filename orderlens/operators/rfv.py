@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from orderlens.functions.dates import ref_column
 from orderlens.functions.numeric import avg_money, rhu_div
 from orderlens.functions.predicates import not_cancelled
-from orderlens.plans.ranking import with_global_row_number, with_ntile, with_previous
+from orderlens.plans.ranking import with_global_row_number, with_ntile, with_position, with_previous
 from orderlens.plans.stats import equal_width_histogram, grouped_box
 
 # Segment labels of the fixed-threshold rules, in display order.
@@ -199,5 +199,6 @@ def rfv_points(rfv: DataFrame) -> DataFrame:
 
 
 def top_customers(rfv: DataFrame, k: int = 5) -> DataFrame:
-    """The k customers with the highest RFV value (ties by id)."""
-    return rfv.orderBy(F.col("valor_total").desc(), F.col("id_cliente").asc()).limit(k)
+    """The k customers with the highest RFV value (ties by id), with position."""
+    order = [F.col("valor_total").desc(), F.col("id_cliente").asc()]
+    return with_position(rfv.orderBy(*order).limit(k), order).orderBy("posicao")

@@ -113,3 +113,9 @@ def with_previous(df: DataFrame, partition: list[str], order: list[Column], cols
     for c in cols:
         j = j.withColumn(prefix + c, F.when(same, F.col(f"_lag_v_{c}")))
     return j.drop("_lag_rn", *[f"_lag_{p}" for p in partition], *[f"_lag_v_{c}" for c in cols])
+
+
+def with_position(top_k: DataFrame, order: list[Column], name: str = "posicao") -> DataFrame:
+    """1-based position inside an already limited top-k result (k rows, so one
+    ordered window over them is bounded by k, not by the data)."""
+    return top_k.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))

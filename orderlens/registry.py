@@ -705,3 +705,24 @@ def _st3(t):
 @register("W1_purchase_gaps")
 def _w1(t):
     return rfv.purchase_gaps(t.pedidos)
+
+
+# ---------------------------------------------------------------- option variants
+@register("R9c_rfv_points")
+def _r9c(t):
+    return rfv.rfv_points(rfv.rfv_fixed(t.pedidos, t.clientes))
+
+
+@register("B1d_dashboard_monthly_chronological")
+def _b1d(t):
+    return dashboard.dashboard_monthly(_filtered(t), legacy=False)
+
+
+@register("B2b_value_histogram_hole_free")
+def _b2b(t):
+    return dashboard.value_histogram(t.pedidos, hole_free=True)
+
+
+@register("Q1b_violating_rows")
+def _q1b(t):
+    return quality.violating_rows("pedidos", t.pedidos, "id_pedido")

@@ -67,6 +67,8 @@ def write_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet",
         if df is None:
             continue
         w = df.write.mode("overwrite").format(fmt)
+        if fmt == "csv":
+            w = w.option("header", "true")
         if partition_by.get(name):
             w = w.partitionBy(*partition_by[name])
         w.save(f"{path}/{name}.{fmt}")
