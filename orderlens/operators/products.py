@@ -32,12 +32,19 @@ def _line_value():
     return F.col("quantidade") * F.col("preco_unitario")
 
 
-def _per_product(itens: DataFrame, orders: DataFrame) -> DataFrame:
+def distinct_orders(approx: bool = False):
+    """A3: distinct orders -- exact by default; ``approx`` uses a HyperLogLog++ sketch
+    (``approx_count_distinct``, about 5 % relative error), which merges partial
+    sketches instead of shuffling every (group, order) pair."""
+    return F.approx_count_distinct("id_pedido") if approx else F.count_distinct("id_pedido")
+
+
+def _per_product(itens: DataFrame, orders: DataFrame, approx: bool = False) -> DataFrame:
     return (itens.join(orders, "id_pedido")
             .groupBy("id_produto")
             .agg(F.sum(_line_value()).alias("_tv"),
                  F.sum("quantidade").alias("_vol"),
-                 F.count_distinct("id_pedido").alias("total_contratos")))
+                 distinct_orders(approx).alias("total_contratos")))
 
 
 def product_revenue(itens: DataFrame, pedidos: DataFrame, produtos: DataFrame, ref_date=None,
@@ -61,7 +68,7 @@ def top_products_pct(revenue: DataFrame, k: int = 5, digits: int = 0) -> DataFra
 
 
 def margin_ranking(itens: DataFrame, pedidos: DataFrame, produtos: DataFrame, ref_date=None,
-                   k: int = 10, months: int = 12) -> DataFrame:
+                   k: int = 10, months: int = 12, approx_distinct: bool = False) -> DataFrame:
     """PR3: top-k products by revenue with margin.
 
     Cost per unit = reference cost, else 65 % of the product's mean sale price
@@ -70,7 +77,7 @@ def margin_ranking(itens: DataFrame, pedidos: DataFrame, produtos: DataFrame, re
     every rounding is an exact integer quotient.
     """
     ref = ref_column(pedidos, ref_date)
-    per = _per_product(itens, _orders(pedidos, months_before(ref, months)))
+    per = _per_product(itens, _orders(pedidos, months_before(ref, months)), approx_distinct)
     mean_price = itens.groupBy("id_produto").agg(F.sum("preco_unitario").alias("_s"),
                                                  F.count(F.lit(1)).alias("_n"))
     p = produtos.select("id_produto", "nome", "categoria", "subcategoria", "custo_referencia")
@@ -130,10 +137,10 @@ def margin_top(itens: DataFrame, pedidos: DataFrame, produtos: DataFrame, ref_da
 
 
 def top_share_of_total(itens: DataFrame, pedidos: DataFrame, produtos: DataFrame, ref_date=None,
-                       k: int = 5, months: int = 12) -> DataFrame:
+                       k: int = 5, months: int = 12, approx_distinct: bool = False) -> DataFrame:
     """PR5: top-k products with their share of *all* products' revenue (total taken before the limit)."""
     ref = ref_column(pedidos, ref_date)
-    agg = _per_product(itens, _orders(pedidos, months_before(ref, months)))
+    agg = _per_product(itens, _orders(pedidos, months_before(ref, months)), approx_distinct)
     total = agg.agg(F.sum("_tv").alias("_all"))
     top = agg.orderBy(F.col("_tv").desc(), F.col("id_produto").asc()).limit(k)
     return (top.crossJoin(F.broadcast(total))  # one-row table

@@ -80,7 +80,7 @@ def shared_participants(shares: DataFrame, pedidos: DataFrame, clientes: DataFra
                     F.col("valor_rateado").cast("double").alias("valor_rateado"), "total_participantes"))
 
 
-def sharing_kpis(shares: DataFrame, pedidos: DataFrame) -> DataFrame:
+def sharing_kpis(shares: DataFrame, pedidos: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """Distinct shared orders and customers, and shared value.
 
     ``valor_total`` sums each shared order once; ``valor_total_legado`` reproduces
@@ -88,8 +88,9 @@ def sharing_kpis(shares: DataFrame, pedidos: DataFrame) -> DataFrame:
     for exactly two participants)."""
     j = shares.select("id_pedido", "id_cliente").join(pedidos.select("id_pedido", "valor_total"), "id_pedido")
     per_order = shares.select("id_pedido").distinct().join(pedidos.select("id_pedido", "valor_total"), "id_pedido")
-    a = j.agg(F.count_distinct("id_pedido").alias("total_pedidos"),
-              F.count_distinct("id_cliente").alias("total_clientes"),
+    distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
+    a = j.agg(distinct("id_pedido").alias("total_pedidos"),
+              distinct("id_cliente").alias("total_clientes"),
               (F.sum("valor_total") * dec("0.5")).cast("double").alias("valor_total_legado"))
     b = per_order.agg(F.sum("valor_total").cast("double").alias("valor_total"))
     return a.crossJoin(b)  # two one-row tables

@@ -99,3 +99,11 @@ def test_monthly_growth_missing_month(spark):
     assert ytd["2025-01"] == 150.0 and ytd["2025-03"] == 160.0
     m = trends.year_month_matrix(pedidos, "2025-03-31")
     assert m.count() == 24 and m.where(F.col("vendas") > 0).count() == 3
+
+
+def test_approx_distinct_option(spark, seed):
+    exact = {r.id_produto: r.total_contratos for r in products.top_share_of_total(
+        seed["itens_pedido"], seed["pedidos"], seed["produtos"], "2025-06-30").collect()}
+    approx = {r.id_produto: r.total_contratos for r in products.top_share_of_total(
+        seed["itens_pedido"], seed["pedidos"], seed["produtos"], "2025-06-30", approx_distinct=True).collect()}
+    assert exact == approx  # small counts are exact in the sketch

@@ -136,3 +136,35 @@ def test_groups_and_members(spark):
     assert g[2].total_membros == 0 and g[2].representante is None
     m = [r.id_cliente for r in sharing.group_members(membros, clientes, 1).collect()]
     assert m == [2, 1]  # active only, largest share first
+
+
+def test_duplicates_hot_group_against_brute_force(spark):
+    import random
+    from decimal import Decimal
+    rnd = random.Random(11)
+    rows = []
+    for i in range(1, 401):
+        hot = i <= 300  # 300 orders of one customer on one day
+        v = Decimal(rnd.choice([0, rnd.randint(1, 10**7)])) / 100
+        rows.append(order(i, 1 if hot else 2, "2025-01-01" if hot else "2025-01-0%d" % (1 + i % 3),
+                          str(v), entrega="2025-02-%02d" % (1 + rnd.randint(0, 27))))
+    pedidos = make(spark, "pedidos", rows)
+    clientes = make(spark, "clientes", [customer(1), customer(2)])
+    got = {(r.id_pedido_1, r.id_pedido_2): r.similaridade
+           for r in lineage.duplicate_candidates(pedidos, clientes).collect()}
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a["id_pedido"] >= b["id_pedido"] or a["id_cliente"] != b["id_cliente"] \
+                    or a["data_pedido"] != b["data_pedido"]:
+                continue
+            v1, v2 = a["valor_total"], b["valor_total"]
+            top = max(v1, v2)
+            by_value = top > 0 and abs(v1 - v2) < top * Decimal("0.10")
+            if by_value or a["data_entrega"] == b["data_entrega"]:
+                if v1 == v2:
+                    sim = 100.0
+                else:
+                    sim = float(((100 * (top - abs(v1 - v2)) / top)).quantize(Decimal("0.01"), "ROUND_HALF_UP"))
+                want[(a["id_pedido"], b["id_pedido"])] = sim
+    assert got == want
