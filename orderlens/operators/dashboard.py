@@ -7,7 +7,7 @@ the orders to the lines of matching products, never a per-order lookup.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions.dates import days_before, ref_column
@@ -26,13 +26,13 @@ FORTE, MODERADA = 0.8, 0.5
 
 def headline_metrics(pedidos: DataFrame, clientes: DataFrame) -> DataFrame:
     """Revenue, mean ticket, orders (non-cancelled) and customers, plus money text."""
+    n_clientes = clientes.agg(F.count(F.lit(1))).scalar()
     o = pedidos.where(not_cancelled()).agg(F.count(F.lit(1)).alias("contratos"),
                                            F.coalesce(F.sum("valor_total"), F.lit(0)).alias("_v"))
-    c = clientes.agg(F.count(F.lit(1)).alias("clientes"))
-    return o.crossJoin(c).select(  # two one-row tables
+    return o.select(
         F.col("_v").cast("double").alias("faturamento"),
         avg_money(F.col("_v"), F.col("contratos")).alias("ticket_medio"),
-        "contratos", "clientes",
+        "contratos", n_clientes.alias("clientes"),
         money_millions_text(F.col("_v")).alias("faturamento_texto"),
         F.concat(F.lit("R$ "), F.translate(F.format_number(
             F.coalesce(rhe_div(cents(F.col("_v")), F.col("contratos") * 100), F.lit(0)), 0), ",", "."))
@@ -58,13 +58,13 @@ def filtered_orders(pedidos: DataFrame, clientes: DataFrame, itens: DataFrame, p
 
 def dashboard_kpis(orders: DataFrame, clientes: DataFrame) -> DataFrame:
     """B1: KPIs of the filtered orders; the customer count stays unfiltered."""
+    n_clientes = clientes.agg(F.count(F.lit(1))).scalar()
     a = orders.agg(F.count(F.lit(1)).alias("contratos"), F.sum("valor_total").alias("_v"))
-    c = clientes.agg(F.count(F.lit(1)).alias("clientes"))
-    return a.crossJoin(c).select(  # two one-row tables
+    return a.select(
         "contratos",
         F.coalesce(F.col("_v"), F.lit(0)).cast("double").alias("faturamento"),
         F.coalesce(avg_money(F.col("_v"), F.col("contratos")), F.lit(0.0)).alias("ticket_medio"),
-        "clientes")
+        n_clientes.alias("clientes"))
 
 
 def dashboard_top_products(orders: DataFrame, itens: DataFrame, produtos: DataFrame, k: int = 4) -> DataFrame:
@@ -72,8 +72,8 @@ def dashboard_top_products(orders: DataFrame, itens: DataFrame, produtos: DataFr
     agg = (itens.join(orders.select("id_pedido"), "id_pedido")
            .groupBy("id_produto").agg(F.sum(F.col("quantidade") * F.col("preco_unitario")).alias("_v")))
     top = agg.orderBy(F.col("_v").desc(), F.col("id_produto").asc()).limit(k)
-    mx = top.agg(F.max("_v").alias("_m"))
-    return (top.crossJoin(F.broadcast(mx))  # one-row table
+    top = top.withColumn("_m", F.max("_v").over(Window.partitionBy()))  # over k rows
+    return (top
             .join(produtos.select("id_produto", "nome"), "id_produto")
             .select("id_produto", "nome", F.col("_v").cast("double").alias("total_vendas"),
                     pct_of(F.col("_v"), F.col("_m"), 1).alias("percentual"))
@@ -91,10 +91,10 @@ def dashboard_monthly(orders: DataFrame, legacy: bool = True) -> DataFrame:
     m = (orders.groupBy(key.alias("_k"))
          .agg(F.sum("valor_total").alias("_v"), F.count(F.lit(1)).alias("contratos_mes"),
               F.min("data_pedido").alias("_d")))
-    mi = rhe_div(cents(F.col("_v")), F.lit(10 ** 6))  # hundredths of a million, half-even
-    from pyspark.sql import Window
     w = Window.orderBy("_k")  # at most 12 (legacy) or one row per month
-    prev = F.lag(mi).over(w)
+    m = m.withColumn("_mi", rhe_div(cents(F.col("_v")), F.lit(10 ** 6)))  # hundredths of a million, half-even
+    m = m.withColumn("_prev", F.lag("_mi").over(w))
+    mi, prev = F.col("_mi"), F.col("_prev")
     growth = F.when(prev.isNull() | (prev == 0), F.lit(0.0)).otherwise(rhe_div((mi - prev) * 1000, prev) / 10.0)
     return m.select(F.date_format("_d", "MMM").alias("mes_abr"),
                     (F.col("_k") if legacy else F.date_format("_k", "yyyy-MM")).alias("mes"),
@@ -181,13 +181,12 @@ def exploration_kpis(pedidos: DataFrame, ref_date=None, periodo: int = 365) -> D
     base = o.agg(F.count(F.lit(1)).alias("total_pedidos"), F.sum("valor_total").alias("_v"),
                  F.avg(F.col("valor_total").cast("double")).alias("_mu"),
                  F.stddev_samp(F.col("valor_total").cast("double")).alias("_sd"))
-    threshold = base.select((F.col("_mu") + F.col("_sd") * 2).alias("_t"))
-    outliers = (o.select(F.col("valor_total").cast("double").alias("_x"))
-                .crossJoin(F.broadcast(threshold))  # one-row table
-                .agg(F.count_if(F.col("_x") > F.col("_t")).alias("total_outliers")))
-    strongest = strongest_off_diagonal(customer_correlations(pedidos, ref_date, periodo))
+    threshold = base.select(F.col("_mu") + F.col("_sd") * 2).scalar()  # J9: scalar subquery
+    outliers = o.agg(F.count_if(F.col("valor_total").cast("double") > threshold)).scalar()
+    strongest = strongest_off_diagonal(customer_correlations(pedidos, ref_date, periodo)).scalar()
     r = F.abs(F.col("correlacao_principal"))
-    return (base.crossJoin(outliers).crossJoin(strongest)  # one-row tables
+    return (base.select("total_pedidos", "_v", outliers.alias("total_outliers"),
+                        strongest.alias("correlacao_principal"))
             .select("total_pedidos", avg_money(F.col("_v"), F.col("total_pedidos")).alias("ticket_medio"),
                     "total_outliers", "correlacao_principal",
                     F.when(r >= FORTE, "Forte").when(r >= MODERADA, "Moderada").otherwise("Fraca").alias("forca")))
@@ -195,12 +194,12 @@ def exploration_kpis(pedidos: DataFrame, ref_date=None, periodo: int = 365) -> D
 
 def summary_totals(pedidos: DataFrame, clientes: DataFrame, produtos: DataFrame) -> DataFrame:
     """Totals of customers, products, orders (all) and non-cancelled revenue."""
-    a = clientes.agg(F.count(F.lit(1)).alias("total_clientes"))
-    b = produtos.agg(F.count(F.lit(1)).alias("total_produtos"))
-    c = pedidos.agg(F.count(F.lit(1)).alias("total_pedidos"),
-                    F.coalesce(F.sum(F.when(not_cancelled(), F.col("valor_total"))), F.lit(0))
-                    .cast("double").alias("faturamento_total"))
-    return a.crossJoin(b).crossJoin(c)  # one-row tables
+    n_clientes = clientes.agg(F.count(F.lit(1))).scalar()
+    n_produtos = produtos.agg(F.count(F.lit(1))).scalar()
+    return pedidos.agg(F.first(n_clientes).alias("total_clientes"), F.first(n_produtos).alias("total_produtos"),
+                       F.count(F.lit(1)).alias("total_pedidos"),
+                       F.coalesce(F.sum(F.when(not_cancelled(), F.col("valor_total"))), F.lit(0))
+                       .cast("double").alias("faturamento_total"))
 
 
 def orders_by_status(pedidos: DataFrame) -> DataFrame:

@@ -119,10 +119,9 @@ def anomaly_view(pedidos: DataFrame, itens: DataFrame, clientes: DataFrame, log:
 
 def _next_ids(df: DataFrame, log: DataFrame, order: list[str], name: str) -> DataFrame:
     """Contiguous keys after the log's high-water mark, in ``order``."""
-    hw = log.agg(F.coalesce(F.max("id_correcao"), F.lit(0)).cast("long").alias("_hw"))
+    hw = log.agg(F.coalesce(F.max("id_correcao"), F.lit(0)).cast("long")).scalar()
     numbered = with_global_row_number(df, [F.col(c).asc() for c in order], "_rn")
-    return (numbered.crossJoin(F.broadcast(hw))  # one-row table
-            .withColumn(name, F.col("_hw") + F.col("_rn")).drop("_hw", "_rn"))
+    return numbered.withColumn(name, hw + F.col("_rn")).drop("_rn")
 
 
 def correct_orders(pedidos: DataFrame, itens: DataFrame, keys: DataFrame, log: DataFrame,
@@ -190,9 +189,9 @@ def correction_history(log: DataFrame, id_pedido: int | None = None) -> DataFram
 
 def alert_counts(divergences: DataFrame, inactive: DataFrame) -> DataFrame:
     """Dashboard alerts -- pending divergences and inactive customers."""
-    a = divergences.agg(F.count_if(F.col("status_correcao") == "PENDENTE").alias("anomalias_pendentes"))
-    b = inactive.agg(F.count(F.lit(1)).alias("clientes_inativos"))
-    return a.crossJoin(b)  # two one-row tables
+    inativos = inactive.agg(F.count(F.lit(1))).scalar()
+    return divergences.agg(F.count_if(F.col("status_correcao") == "PENDENTE").alias("anomalias_pendentes"),
+                           F.first(inativos).alias("clientes_inativos"))
 
 
 def empty_log(spark) -> DataFrame:

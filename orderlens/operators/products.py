@@ -60,8 +60,8 @@ def product_revenue(itens: DataFrame, pedidos: DataFrame, produtos: DataFrame, r
 def top_products_pct(revenue: DataFrame, k: int = 5, digits: int = 0) -> DataFrame:
     """PR2: top-k of PR1 with percent of the maximum (Python half-even rounding)."""
     top = revenue.orderBy(F.col("total_vendas").desc(), F.col("id_produto").asc()).limit(k)
-    mx = top.agg(F.max("total_vendas").alias("_max"))
-    return top.crossJoin(F.broadcast(mx)).select(  # one-row table
+    top = top.withColumn("_max", F.max("total_vendas").over(Window.partitionBy()))  # over k rows
+    return top.select(
         "id_produto", "nome", "total_vendas",
         pct_of(F.col("total_vendas").cast("decimal(15,2)"), F.col("_max").cast("decimal(15,2)"), digits)
         .alias("percentual")).orderBy(F.col("total_vendas").desc(), "id_produto")
@@ -103,8 +103,8 @@ def margin_ranking(itens: DataFrame, pedidos: DataFrame, produtos: DataFrame, re
         rhu_div(vol_c, F.lit(100)).cast("int").alias("volume_total"),
         "total_contratos")
     top = out.orderBy(F.col("_tv2").desc(), F.col("id_produto").asc()).limit(k)
-    mx = top.agg(F.max("_tv2").alias("_max"))
-    return top.crossJoin(F.broadcast(mx)).select(  # one-row table
+    top = top.withColumn("_max", F.max("_tv2").over(Window.partitionBy()))  # over k rows
+    return top.select(
         "id_produto", "nome", "categoria", "subcategoria",
         F.col("_tv2").cast("double").alias("total_vendas"), "total_custo", "margem_bruta", "margem_pct",
         "volume_total", "total_contratos",
@@ -141,9 +141,9 @@ def top_share_of_total(itens: DataFrame, pedidos: DataFrame, produtos: DataFrame
     """PR5: top-k products with their share of *all* products' revenue (total taken before the limit)."""
     ref = ref_column(pedidos, ref_date)
     agg = _per_product(itens, _orders(pedidos, months_before(ref, months)), approx_distinct)
-    total = agg.agg(F.sum("_tv").alias("_all"))
-    top = agg.orderBy(F.col("_tv").desc(), F.col("id_produto").asc()).limit(k)
-    return (top.crossJoin(F.broadcast(total))  # one-row table
+    total = agg.agg(F.sum("_tv")).scalar()  # share of all products, taken before the limit
+    top = agg.orderBy(F.col("_tv").desc(), F.col("id_produto").asc()).limit(k).withColumn("_all", total)
+    return (top
             .join(produtos.select("id_produto", "nome", "categoria"), "id_produto")
             .select("id_produto", "nome", "categoria",
                     F.col("_tv").cast("double").alias("total_vendas"),

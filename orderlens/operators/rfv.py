@@ -8,7 +8,7 @@ single-partition window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions.dates import ref_column
@@ -137,11 +137,12 @@ def segment_counts(pedidos: DataFrame, ref_date=None, accented: bool = True) ->
     m = customer_metrics(pedidos, ref)
     seg = m.select(segment_fixed(F.col("dias"), F.col("total_pedidos"), accented).alias("segmento"))
     counts = seg.groupBy("segmento").agg(F.count(F.lit(1)).alias("clientes"))
-    totals = counts.agg(F.sum("clientes").alias("total_clientes"),
-                        F.coalesce(F.sum(F.when(F.col("segmento") == "Em Risco", F.col("clientes"))),
-                                   F.lit(0)).alias("em_risco"))
-    # one-row table: broadcast is bounded
-    return counts.crossJoin(F.broadcast(totals))
+    everything = Window.partitionBy()  # over the (at most four) segment rows
+    return counts.select(
+        "segmento", "clientes",
+        F.sum("clientes").over(everything).alias("total_clientes"),
+        F.coalesce(F.sum(F.when(F.col("segmento") == "Em Risco", F.col("clientes"))).over(everything),
+                   F.lit(0).cast("long")).alias("em_risco"))
 
 
 def _filtered(rfv: DataFrame, segmento: str | None, regiao: str | None) -> DataFrame:
@@ -158,10 +159,10 @@ def segment_kpis(rfv: DataFrame, segmento: str | None = None, regiao: str | None
     rfv = _filtered(rfv, segmento, regiao)
     spine = rfv.sparkSession.createDataFrame([(s, i) for i, s in enumerate(SEGMENTOS)], "segmento string, ordem int")
     counts = rfv.groupBy("segmento").agg(F.count(F.lit(1)).alias("clientes"))
-    total = rfv.agg(F.count(F.lit(1)).alias("total_clientes"))
+    total = rfv.agg(F.count(F.lit(1))).scalar()
     return (F.broadcast(spine).join(counts, "segmento", "left")
-            .select("segmento", "ordem", F.coalesce("clientes", F.lit(0)).alias("clientes"))
-            .crossJoin(F.broadcast(total)))
+            .select("segmento", "ordem", F.coalesce("clientes", F.lit(0)).alias("clientes"),
+                    total.alias("total_clientes")))
 
 
 def segment_summary(rfv: DataFrame) -> DataFrame:
@@ -190,7 +191,7 @@ def recency_histogram(rfv: DataFrame, bins: int = 20) -> DataFrame:
 
 def value_box(rfv: DataFrame) -> DataFrame:
     """Box summary (A15) of customer value."""
-    return grouped_box(rfv.withColumn("_all", F.lit("todos")), ["_all"], "valor_total", "id_cliente").drop("_all")
+    return grouped_box(rfv, [], "valor_total", "id_cliente")
 
 
 def rfv_points(rfv: DataFrame) -> DataFrame:

@@ -89,11 +89,11 @@ def sharing_kpis(shares: DataFrame, pedidos: DataFrame, approx_distinct: bool =
     j = shares.select("id_pedido", "id_cliente").join(pedidos.select("id_pedido", "valor_total"), "id_pedido")
     per_order = shares.select("id_pedido").distinct().join(pedidos.select("id_pedido", "valor_total"), "id_pedido")
     distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
-    a = j.agg(distinct("id_pedido").alias("total_pedidos"),
-              distinct("id_cliente").alias("total_clientes"),
-              (F.sum("valor_total") * dec("0.5")).cast("double").alias("valor_total_legado"))
-    b = per_order.agg(F.sum("valor_total").cast("double").alias("valor_total"))
-    return a.crossJoin(b)  # two one-row tables
+    once = per_order.agg(F.sum("valor_total").cast("double")).scalar()
+    return j.agg(distinct("id_pedido").alias("total_pedidos"),
+                 distinct("id_cliente").alias("total_clientes"),
+                 (F.sum("valor_total") * dec("0.5")).cast("double").alias("valor_total_legado"),
+                 F.first(once).alias("valor_total"))
 
 
 def sharing_by_region(shares: DataFrame, clientes: DataFrame) -> DataFrame:
@@ -181,10 +181,9 @@ def create_shared_orders(requests: DataFrame, pedidos: DataFrame, itens_hw: Data
     checked = parsed.withColumn("_motivo", motive)
     rejected = checked.where(F.col("_motivo").isNotNull()).select("id_solicitacao", F.col("_motivo").alias("motivo"))
     ok = checked.where(F.col("_motivo").isNull())
-    hw = pedidos.agg(F.coalesce(F.max("id_pedido"), F.lit(0)).cast("long").alias("_hw"))
+    hw = pedidos.agg(F.coalesce(F.max("id_pedido"), F.lit(0)).cast("long")).scalar()
     numbered = (with_global_row_number(ok, [F.col("id_solicitacao").asc()], "_rn")
-                .crossJoin(F.broadcast(hw))  # one-row table
-                .withColumn("id_pedido", F.col("_hw") + F.col("_rn")))
+                .withColumn("id_pedido", hw + F.col("_rn")))
     line_value = lambda i: (i["quantidade"] * i["preco_unitario"]).cast(MONEY)
     valor = F.aggregate(F.col("_its"), F.lit(0).cast(MONEY), lambda acc, i: (acc + line_value(i)).cast(MONEY))
     orders = numbered.select(

@@ -111,9 +111,8 @@ def year_month_matrix(pedidos: DataFrame, ref_date=None) -> DataFrame:
     o = pedidos.where(not_cancelled() & (F.col("data_pedido") >= start_of_previous_year(ref)))
     agg = (o.groupBy(F.year("data_pedido").alias("ano"), F.month("data_pedido").alias("mes"))
            .agg(F.sum("valor_total").alias("_v"), F.count(F.lit(1)).alias("_c")))
-    years = agg.select("ano").distinct()
-    months = pedidos.sparkSession.range(1, 13).select(F.col("id").cast("int").alias("mes"))
-    spine = years.crossJoin(F.broadcast(months))  # 12-row calendar table
+    # calendar spine: each year present, months 1-12
+    spine = agg.select("ano").distinct().select("ano", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("mes"))
     names = F.array(*[F.lit(m) for m in MONTHS_PT])
     return (spine.join(agg, ["ano", "mes"], "left")
             .select("ano", "mes", F.element_at(names, F.col("mes")).alias("mes_nome"),

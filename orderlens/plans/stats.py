@@ -25,20 +25,27 @@ def equal_width_histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     index is computed with integer arithmetic.  Empty bins are kept.
     """
     v = F.col(col).cast("long")
-    bounds = df.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    span = F.col("_hi") - F.col("_lo")
+    # bounds as scalar subqueries (one aggregate, evaluated once)
+    lo = df.agg(F.min(v)).scalar()
+    hi = df.agg(F.max(v)).scalar()
+    span = hi - lo
     idx = F.when(span == 0, F.lit(0)).otherwise(
-        F.least(F.call_function("div", (v - F.col("_lo")) * bins, F.nullif(span, F.lit(0))), F.lit(bins - 1)))
-    counts = (df.select(v.alias(col)).crossJoin(F.broadcast(bounds))  # one-row table
-              .select(idx.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("contagem")))
+        F.least(F.call_function("div", (v - lo) * bins, F.nullif(span, F.lit(0))), F.lit(bins - 1)))
+    counts = df.select(idx.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("contagem"))
     spine = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return (spine.crossJoin(F.broadcast(bounds))
-            .join(counts, "bin", "left")
-            .select("bin",
-                    (F.col("_lo") + F.call_function("div", span * F.col("bin"), F.lit(bins))).alias("limite_inferior"),
+    return (spine.join(counts, "bin", "left")
+            .select("bin", (lo + F.call_function("div", span * F.col("bin"), F.lit(bins))).alias("limite_inferior"),
                     F.coalesce("contagem", F.lit(0)).alias("contagem")))
 
 
+def _attach(left: DataFrame, right: DataFrame, groups: list[str], how: str = "inner") -> DataFrame:
+    """Join per-group statistics to ``left``; without groups ``right`` is a single row and
+    its columns are attached as scalar subqueries (no join at all)."""
+    if groups:
+        return left.join(right, groups, how)
+    return left.select("*", *[right.select(c).scalar().alias(c) for c in right.columns])
+
+
 def grouped_box(df: DataFrame, groups: list[str], value: str, tiebreak: str) -> DataFrame:
     """Per group n, min, q1, median, q3, max, 1.5*IQR whiskers and outlier count.
 
@@ -60,7 +67,7 @@ def grouped_box(df: DataFrame, groups: list[str], value: str, tiebreak: str) ->
     vals = wanted.join(ranked.select("_rn", "_v"), "_rn")
     piv = vals.groupBy(*groups).agg(*[F.max(F.when(F.col("tag") == t, F.col("_v"))).alias(t)
                                       for name, _ in QUARTILES for t in (name + "_lo", name + "_hi")])
-    stats = g.join(piv, groups, "left")
+    stats = _attach(g, piv, groups, "left")
     for name, p in QUARTILES:
         pos = (F.col("n") - 1) * F.lit(p)
         frac = pos - F.floor(pos)
@@ -70,12 +77,12 @@ def grouped_box(df: DataFrame, groups: list[str], value: str, tiebreak: str) ->
              .withColumn("_lf", F.col("q1") - F.col("iqr") * 1.5)
              .withColumn("_uf", F.col("q3") + F.col("iqr") * 1.5))
     fences = stats.select(*groups, "_lf", "_uf")
-    inside = (base.join(fences, groups)
+    inside = (_attach(base, fences, groups)
               .groupBy(*groups)
               .agg(F.count_if((F.col("_v") < F.col("_lf")) | (F.col("_v") > F.col("_uf"))).alias("outliers"),
                    F.min(F.when(F.col("_v") >= F.col("_lf"), F.col("_v"))).alias("bigode_inferior"),
                    F.max(F.when(F.col("_v") <= F.col("_uf"), F.col("_v"))).alias("bigode_superior")))
-    return (stats.join(inside, groups)
+    return (_attach(stats, inside, groups)
             .select(*groups, "n", "minimo", "q1", "mediana", "q3", "maximo", "iqr",
                     "bigode_inferior", "bigode_superior", "outliers"))
 
