@@ -126,13 +126,14 @@ def _next_ids(df: DataFrame, log: DataFrame, order: list[str], name: str) -> Dat
 
 def correct_orders(pedidos: DataFrame, itens: DataFrame, keys: DataFrame, log: DataFrame,
                    usuario: str = "SISTEMA", motivo: str = "Correção automática de divergência",
-                   quando=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+                   quando=None, with_log: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """C5 (and the core of C6): correct the orders listed in ``keys`` (column id_pedido).
 
     For each listed order: calculated = sum of its line subtotals (0 without
     lines).  |recorded - calculated| <= 0.01 -> SEM_DIVERGENCIA; otherwise a
     log row is written and the order takes the calculated value -> CORRIGIDO.
-    Returns (result per order, new log rows, orders with corrected values).
+    Returns (result per order, new log rows, orders with corrected values); the log
+    rows (numbered after the log's high-water mark) are skipped with ``with_log=False``.
     """
     when_ts = F.current_timestamp() if quando is None else F.lit(str(quando)).cast("timestamp")
     sums = item_sums(itens).select("id_pedido", "valor_calculado")
@@ -147,7 +148,7 @@ def correct_orders(pedidos: DataFrame, itens: DataFrame, keys: DataFrame, log: D
         F.col("valor_total").cast("double").alias("valor_anterior"),
         F.col("valor_calculado").cast("double").alias("valor_novo"))
     fixes = target.where(diverges)
-    new_log = _next_ids(fixes, log, ["id_pedido"], "id_correcao").select(
+    new_log = None if not with_log else _next_ids(fixes, log, ["id_pedido"], "id_correcao").select(
         "id_correcao", "id_pedido", F.lit("valor_total").alias("campo_corrigido"),
         F.col("valor_total").alias("valor_anterior"), F.col("valor_calculado").alias("valor_novo"),
         F.lit("AUTOMATICA").alias("tipo_correcao"), F.lit(usuario).alias("usuario_correcao"),
@@ -159,14 +160,15 @@ def correct_orders(pedidos: DataFrame, itens: DataFrame, keys: DataFrame, log: D
 
 
 def correct_all_pending(pedidos: DataFrame, itens: DataFrame, clientes: DataFrame, log: DataFrame,
-                        usuario: str = "SISTEMA", quando=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+                        usuario: str = "SISTEMA", quando=None,
+                        with_log: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Correct every PENDENTE order of the anomaly view in one pass.
 
     Returns (orders with corrected values, new log rows, one-row summary).
     """
     pending = anomaly_view(pedidos, itens, clientes, log).where(F.col("status_correcao") == "PENDENTE")
     result, new_log, corrected = correct_orders(pedidos, itens, pending, log, usuario,
-                                                "Correção em lote", quando)
+                                                "Correção em lote", quando, with_log)
     summary = result.agg(F.count_if(F.col("status") == "CORRIGIDO").alias("total_corrigidas"),
                          F.count_if(F.col("status") != "CORRIGIDO").alias("total_sem_divergencia"),
                          F.lit(0).alias("total_erros"))

@@ -233,10 +233,10 @@ def _log_view(log):
                       F.date_format("data_correcao", "yyyy-MM-dd HH:mm:ss").alias("data_correcao"))
 
 
-def _batch_log(t):
+def _batch_log(t, with_log=True):
     log0 = divergence.empty_log(t.spark)
     return divergence.correct_all_pending(t.pedidos, t.itens_pedido, t.clientes, log0,
-                                          quando=CORRECTION_TIME)
+                                          quando=CORRECTION_TIME, with_log=with_log)
 
 
 @register("C1_divergences_period")
@@ -275,7 +275,7 @@ def _c6(t):
 
 @register("C6b_correct_all_summary")
 def _c6b(t):
-    _, _, summary = _batch_log(t)
+    _, _, summary = _batch_log(t, with_log=False)
     return summary
 
 
@@ -407,7 +407,7 @@ def _h5(t):
 
 @register("H6_refresh_proportional_values")
 def _h6(t):
-    corrected, _, _ = _batch_log(t)
+    corrected, _, _ = _batch_log(t, with_log=False)
     return _shares_view(sharing.refresh_proportional_values(t.pedido_clientes, t.pedidos, corrected))
 
 
@@ -443,7 +443,7 @@ def _l1(t):
 @register("L4_audit_rows")
 def _l4(t):
     """Audit rows between the orders and their batch-corrected version."""
-    corrected, _, _ = _batch_log(t)
+    corrected, _, _ = _batch_log(t, with_log=False)
     return lineage.audit_rows(t.pedidos, corrected, "SISTEMA", CORRECTION_TIME)
 
 
@@ -451,7 +451,7 @@ def _l4(t):
 def _l5(t):
     """Version stamping of the batch corrections on traced orders."""
     traced = lineage.traced_orders(t.pedidos)
-    corrected, _, _ = _batch_log(t)
+    corrected, _, _ = _batch_log(t, with_log=False)
     changed = corrected.join(t.pedidos.select("id_pedido", F.col("valor_total").alias("_old")), "id_pedido") \
         .where(F.col("valor_total") != F.col("_old")).drop("_old")
     ok, _ = lineage.stamp_updates(traced, changed, "SISTEMA", CORRECTION_TIME)
@@ -463,7 +463,7 @@ def _l5(t):
 def _l6(t):
     """Integrity of traced orders after values were changed outside the system (C6 values)."""
     traced = lineage.traced_orders(t.pedidos)
-    corrected, _, _ = _batch_log(t)
+    corrected, _, _ = _batch_log(t, with_log=False)
     current = traced.drop("valor_total").join(corrected.select("id_pedido", "valor_total"), "id_pedido")
     return lineage.integrity_report(current)
 
@@ -471,7 +471,7 @@ def _l6(t):
 @register("L7_traced_view")
 def _l7(t):
     traced = lineage.traced_orders(t.pedidos)
-    corrected, _, _ = _batch_log(t)
+    corrected, _, _ = _batch_log(t, with_log=False)
     audit = lineage.audit_rows(t.pedidos, corrected, "SISTEMA", CORRECTION_TIME)
     return lineage.traced_view(traced, t.clientes, audit)
 
@@ -490,7 +490,7 @@ def _l9(t):
 
 @register("L10_audit_retention")
 def _l10(t):
-    corrected, _, _ = _batch_log(t)
+    corrected, _, _ = _batch_log(t, with_log=False)
     audit = lineage.audit_rows(t.pedidos, corrected, "SISTEMA", CORRECTION_TIME)
     _, removed = lineage.retain_audit(audit, "2003-09-01", years=2)
     return removed
@@ -643,7 +643,7 @@ def _st1(t):
     """Change feed of every order (version 1) and its batch correction (version 2)
     through the stateful audit stream."""
     base = _scratch(t, "st1")
-    corrected, _, _ = _batch_log(t)
+    corrected, _, _ = _batch_log(t, with_log=False)
     changed = corrected.join(t.pedidos.select("id_pedido", F.col("valor_total").alias("_old")), "id_pedido") \
         .where(F.col("valor_total") != F.col("_old")).drop("_old")
     v1 = t.pedidos.withColumn("versao", F.lit(1)).withColumn("ts", F.col("data_pedido").cast("timestamp"))
@@ -689,7 +689,7 @@ def _st2(t):
 def _st3(t):
     """Value changes of the batch correction as a stream refreshing the shares."""
     base = _scratch(t, "st3")
-    corrected, _, _ = _batch_log(t)
+    corrected, _, _ = _batch_log(t, with_log=False)
     changed = (corrected.join(t.pedidos.select("id_pedido", F.col("valor_total").alias("_old")), "id_pedido")
                .where(F.col("valor_total") != F.col("_old"))
                .select("id_pedido", "valor_total", F.lit(2).alias("versao"),
