@@ -77,7 +77,10 @@ FROM corr"""
 
 N1 = "\nSELECT id_item, id_pedido, id_produto, CAST(subtotal AS DOUBLE) AS subtotal FROM itens_pedido"
 
-SQL = {
+L4B = ", " + CORRECTED + """
+SELECT 'pedidos' AS tabela_afetada, 'UPDATE' AS operacao, COUNT(*) AS registros FROM corr HAVING COUNT(*) > 0"""
+
+SQL = {"L4b_audit_summary": L4B,
     "L1_order_numbers": L1, "L5_stamp_updates": L5, "L6_integrity_report": L6, "L7_traced_view": L7,
     "L8_duplicate_candidates": L8, "L9_duplicate_alerts": L9, "L10_audit_retention": L10, "N1_item_keys": N1,
 }

@@ -15,5 +15,13 @@ SELECT pc.id_pedido, pc.id_cliente, CAST(pc.percentual_rateio AS DOUBLE) AS perc
 FROM pedido_clientes pc JOIN pedidos p ON p.id_pedido = pc.id_pedido JOIN {SUMS} s ON s.id_pedido = p.id_pedido
 WHERE ABS(p.valor_total - s.vc) > 0.01"""
 
-SQL = {"ST2_divergence_alerts": ST2, "ST3_share_refresh_stream": ST3}
+# ST1: every order enters as version 1 (INSERT); each corrected order arrives as version 2
+# with a changed value (UPDATE, audited).
+ST1 = f"""
+SELECT id_pedido AS id_registro, 1 AS versao, 'INSERT' AS operacao, 'AUDITADO' AS resultado FROM pedidos
+UNION ALL
+SELECT p.id_pedido, 2, 'UPDATE', 'AUDITADO'
+FROM pedidos p JOIN {SUMS} s ON s.id_pedido = p.id_pedido WHERE ABS(p.valor_total - s.vc) > 0.01"""
+
+SQL = {"ST1_audit_stream": ST1, "ST2_divergence_alerts": ST2, "ST3_share_refresh_stream": ST3}
 NEEDS_SHARES = {"ST3_share_refresh_stream"}

@@ -50,7 +50,20 @@ SELECT pc.id_pedido, pc.id_cliente, CAST(pc.percentual_rateio AS DOUBLE) AS perc
                  ELSE pc.valor_rateado END AS DOUBLE) AS valor_rateado
 FROM pedido_clientes pc LEFT JOIN newv n ON n.id_pedido = pc.id_pedido"""
 
-SQL = {
+# H5: one creation request per shared order (owners by share, lines of the order);
+# every request sums to 100 and is accepted; ids continue after the orders' maximum.
+H5 = """, req AS (SELECT DISTINCT id_pedido FROM pedido_clientes),
+holder AS (SELECT id_pedido, arg_max(id_cliente, (percentual_rateio, -id_cliente)) AS id_cliente
+           FROM pedido_clientes GROUP BY id_pedido),
+val AS (SELECT i.id_pedido, SUM(CAST(i.quantidade * i.preco_unitario AS DECIMAL(15,2))) AS v
+        FROM itens_pedido i JOIN req USING (id_pedido) GROUP BY i.id_pedido)
+SELECT (SELECT MAX(id_pedido) FROM pedidos) + ROW_NUMBER() OVER (ORDER BY r.id_pedido) AS id_pedido,
+       strftime(p.data_pedido, '%Y-%m-%d') AS data_pedido, strftime(p.data_entrega, '%Y-%m-%d') AS data_entrega,
+       h.id_cliente, p.tipo_contrato, 'Pendente' AS status, CAST(COALESCE(v.v, 0) AS DOUBLE) AS valor_total
+FROM req r JOIN pedidos p ON p.id_pedido = r.id_pedido JOIN holder h ON h.id_pedido = r.id_pedido
+LEFT JOIN val v ON v.id_pedido = r.id_pedido"""
+
+SQL = {"H5_create_shared_orders": H5,
     "H1_shared_participants": H1, "H2_sharing_kpis": H2, "H3_sharing_by_region": H3,
     "H4_generate_shares": H4, "H6_refresh_proportional_values": H6, "H7_share_check": H7,
     "H8_ownership_view": H8,

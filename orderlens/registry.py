@@ -402,7 +402,9 @@ def _h5(t):
     """Re-create every shared order from JSON owner/line requests built from the shares."""
     req = sharing.requests_from_shares(t.pedido_clientes, t.pedidos, t.itens_pedido)
     orders, owners, lines, rejected = sharing.create_shared_orders(req, t.pedidos)
-    return orders
+    return orders.select("id_pedido", F.date_format("data_pedido", "yyyy-MM-dd").alias("data_pedido"),
+                         F.date_format("data_entrega", "yyyy-MM-dd").alias("data_entrega"), "id_cliente",
+                         "tipo_contrato", "status", F.col("valor_total").cast("double").alias("valor_total"))
 
 
 @register("H6_refresh_proportional_values")
@@ -447,6 +449,14 @@ def _l4(t):
     return lineage.audit_rows(t.pedidos, corrected, "SISTEMA", CORRECTION_TIME)
 
 
+@register("L4b_audit_summary")
+def _l4b(t):
+    """Audit operations per type between the orders and their batch-corrected version."""
+    corrected, _, _ = _batch_log(t, with_log=False)
+    audit = lineage.audit_rows(t.pedidos, corrected, "SISTEMA", CORRECTION_TIME)
+    return audit.groupBy("tabela_afetada", "operacao").agg(F.count(F.lit(1)).alias("registros"))
+
+
 @register("L5_stamp_updates")
 def _l5(t):
     """Version stamping of the batch corrections on traced orders."""
