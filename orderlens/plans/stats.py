@@ -92,7 +92,7 @@ def correlation_matrix(df: DataFrame, cols: list[str], scale: dict[str, int] | N
     """Pearson correlation of every pair of ``cols`` as a long table (var_x, var_y, corr).
 
     Moments are summed exactly on integers (each column times its 10^scale),
-    in one aggregate pass; the final ratio is taken in double and rounded
+    in one aggregate pass; they are combined and divided in double and rounded
     half-even (like pandas).  Constant columns give NULL instead of a
     division error.  Fewer than ``min_rows`` rows give an empty result.
     """
@@ -105,11 +105,14 @@ def correlation_matrix(df: DataFrame, cols: list[str], scale: dict[str, int] | N
         for b in cols[i:]:
             aggs.append(F.sum(ints[a] * ints[b]).alias(f"_p_{a}_{b}"))
     m = df.agg(*aggs)
-    n = F.col("_n").cast("decimal(38,0)")
+    n = F.col("_n").cast("double")
 
     def cov(a, b):
+        # sums are exact; n * sum(xy) - sum(x) * sum(y) is combined in double, since at
+        # billions of rows the products exceed DECIMAL(38)
         x, y = (a, b) if cols.index(a) <= cols.index(b) else (b, a)
-        return (n * F.col(f"_p_{x}_{y}") - F.col(f"_s_{a}") * F.col(f"_s_{b}")).cast("double")
+        return (n * F.col(f"_p_{x}_{y}").cast("double")
+                - F.col(f"_s_{a}").cast("double") * F.col(f"_s_{b}").cast("double"))
 
     rows = []
     for i, a in enumerate(cols):
