@@ -43,7 +43,8 @@ def _attach(left: DataFrame, right: DataFrame, groups: list[str], how: str = "in
     its columns are attached as scalar subqueries (no join at all)."""
     if groups:
         return left.join(right, groups, how)
-    return left.select("*", *[right.select(c).scalar().alias(c) for c in right.columns])
+    row = right.select(F.struct(*right.columns).alias("_r")).scalar()  # one subquery for all columns
+    return left.select("*", *[row[c].alias(c) for c in right.columns])
 
 
 def grouped_box(df: DataFrame, groups: list[str], value: str, tiebreak: str) -> DataFrame:
@@ -54,6 +55,8 @@ def grouped_box(df: DataFrame, groups: list[str], value: str, tiebreak: str) ->
     """
     v = F.col(value).cast("double")
     base = df.select(*groups, v.alias("_v"), F.col(tiebreak).alias("_id"))
+    if not groups:
+        return _global_box(base)
     order = [F.col(g).asc_nulls_first() for g in groups] + [F.col("_v").asc(), F.col("_id").asc()]
     ranked = with_global_row_number(base, order, "_rn")
     g = ranked.groupBy(*groups).agg(F.min("_rn").alias("_start"), F.count(F.lit(1)).alias("n"),
@@ -87,6 +90,40 @@ def grouped_box(df: DataFrame, groups: list[str], value: str, tiebreak: str) ->
                     "bigode_inferior", "bigode_superior", "outliers"))
 
 
+def _interpolate(stats: DataFrame) -> DataFrame:
+    for name, p in QUARTILES:
+        pos = (F.col("n") - 1) * F.lit(p)
+        frac = pos - F.floor(pos)
+        lo, hi = F.col(name + "_lo"), F.col(name + "_hi")
+        stats = stats.withColumn(name, lo + (hi - lo) * frac)
+    return (stats.withColumn("iqr", F.col("q3") - F.col("q1"))
+            .withColumn("_lf", F.col("q1") - F.col("iqr") * 1.5)
+            .withColumn("_uf", F.col("q3") + F.col("iqr") * 1.5))
+
+
+def _global_box(base: DataFrame) -> DataFrame:
+    """Box summary of all rows: the ranking carries the row count, so the six order
+    statistics are picked in one aggregate over the ranked rows -- no join."""
+    ranked = with_global_row_number(base, [F.col("_v").asc(), F.col("_id").asc()], "_rn", total_name="_n")
+    picks = []
+    for name, p in QUARTILES:
+        pos = (F.col("_n") - 1) * F.lit(p)
+        picks += [F.max(F.when(F.col("_rn") == F.floor(pos) + 1, F.col("_v"))).alias(name + "_lo"),
+                  F.max(F.when(F.col("_rn") == F.ceil(pos) + 1, F.col("_v"))).alias(name + "_hi")]
+    stats = _interpolate(ranked.agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("minimo"),
+                                    F.max("_v").alias("maximo"), *picks))
+    fence = stats.select(F.struct("_lf", "_uf").alias("_f")).scalar()
+    lf, uf = fence["_lf"], fence["_uf"]
+    inside = ranked.agg(F.struct(
+        F.min(F.when(F.col("_v") >= lf, F.col("_v"))).alias("bigode_inferior"),
+        F.max(F.when(F.col("_v") <= uf, F.col("_v"))).alias("bigode_superior"),
+        F.count_if((F.col("_v") < lf) | (F.col("_v") > uf)).alias("outliers"))).scalar()
+    return stats.select("n", "minimo", "q1", "mediana", "q3", "maximo", "iqr",
+                        inside["bigode_inferior"].alias("bigode_inferior"),
+                        inside["bigode_superior"].alias("bigode_superior"),
+                        inside["outliers"].alias("outliers"))
+
+
 def correlation_matrix(df: DataFrame, cols: list[str], scale: dict[str, int] | None = None,
                        min_rows: int = 4, digits: int = 2) -> DataFrame:
     """Pearson correlation of every pair of ``cols`` as a long table (var_x, var_y, corr).
