@@ -1,6 +1,5 @@
 """Oracle SQL: shared purchases (H1-H4, H6-H8)."""
 
-from oracle.sqlparts import dbl
 
 H4 = """
 SELECT id_pedido, id_cliente, CAST(percentual_rateio AS DOUBLE) AS percentual_rateio,
