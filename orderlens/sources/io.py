@@ -114,3 +114,29 @@ def export_records(df: DataFrame, path: str, fmt: str = "json") -> None:
 def as_json_records(df: DataFrame) -> DataFrame:
     """One JSON document per row (dates as ISO text)."""
     return df.select(F.to_json(F.struct(*df.columns), {"dateFormat": "yyyy-MM-dd"}).alias("registro"))
+
+
+# Co-location: orders and their lines meet on id_pedido in most operators; written
+# bucketed (and sorted) on it with the same bucket count, their join reads matching
+# buckets side by side with no shuffle of either table.
+DEFAULT_BUCKETS = {"pedidos": ["id_pedido"], "itens_pedido": ["id_pedido"], "pedido_clientes": ["id_pedido"],
+                   "clientes": ["id_cliente"], "produtos": ["id_produto"]}
+
+
+def write_bucketed(tables: dict[str, DataFrame], path: str, buckets: int,
+                   keys: dict[str, list[str]] | None = None, database: str | None = None) -> dict[str, str]:
+    """S3 for repeated joins: save each table as a bucketed, sorted catalog table whose
+    files live under ``path`` (a shared folder on a cluster).  Returns table names."""
+    keys = keys or DEFAULT_BUCKETS
+    names = {}
+    for name in LOAD_ORDER:
+        df = tables.get(name)
+        if df is None:
+            continue
+        full = f"{database}.{name}" if database else name
+        w = df.write.mode("overwrite").format("parquet").option("path", f"{path}/{name}")
+        if name in keys:
+            w = w.bucketBy(buckets, *keys[name]).sortBy(*keys[name])
+        w.saveAsTable(full)
+        names[name] = full
+    return names

@@ -42,3 +42,17 @@ def test_high_water_and_export(spark, seed):
     docs = [json.loads(r.registro) for r in sio.as_json_records(seed["pedidos"]).collect()]
     doc = [d for d in docs if d["id_pedido"] == 1][0]
     assert doc["valor_total"] == 392414.72
+
+
+def test_bucketed_tables_join_without_shuffle(spark, seed):
+    base = tempfile.mkdtemp(prefix="bkt-", dir="/tmp")
+    names = sio.write_bucketed(seed, base, buckets=4)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force the shuffle-join path
+    try:
+        j = spark.table(names["itens_pedido"]).join(spark.table(names["pedidos"]), "id_pedido")
+        assert j.count() == 8
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
