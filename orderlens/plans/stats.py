@@ -2,10 +2,10 @@
 correlation matrices (A7) and the strongest off-diagonal value (A16).
 
 Exact quantiles come from the distributed ranking (X1): rows are numbered in
-(group, value, id) order, the few ranks each quantile needs are picked by an
-equi-join on the unique row number, and interpolated linearly -- nothing is
-collected per group, so a group holding a third of the rows costs no more
-than any other.
+(group, value, id) order, so each group is a contiguous range of numbers; the
+few order statistics each quartile needs are picked by conditional aggregates
+and interpolated linearly -- nothing is collected per group, so a group
+holding a third of the rows costs no more than any other.
 """
 
 from __future__ import annotations
@@ -38,15 +38,6 @@ def equal_width_histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
                     F.coalesce("contagem", F.lit(0)).alias("contagem")))
 
 
-def _attach(left: DataFrame, right: DataFrame, groups: list[str], how: str = "inner") -> DataFrame:
-    """Join per-group statistics to ``left``; without groups ``right`` is a single row and
-    its columns are attached as scalar subqueries (no join at all)."""
-    if groups:
-        return left.join(right, groups, how)
-    row = right.select(F.struct(*right.columns).alias("_r")).scalar()  # one subquery for all columns
-    return left.select("*", *[row[c].alias(c) for c in right.columns])
-
-
 def grouped_box(df: DataFrame, groups: list[str], value: str, tiebreak: str) -> DataFrame:
     """Per group n, min, q1, median, q3, max, 1.5*IQR whiskers and outlier count.
 
@@ -59,33 +50,22 @@ def grouped_box(df: DataFrame, groups: list[str], value: str, tiebreak: str) ->
         return _global_box(base)
     order = [F.col(g).asc_nulls_first() for g in groups] + [F.col("_v").asc(), F.col("_id").asc()]
     ranked = with_global_row_number(base, order, "_rn")
-    g = ranked.groupBy(*groups).agg(F.min("_rn").alias("_start"), F.count(F.lit(1)).alias("n"),
-                                    F.min("_v").alias("minimo"), F.max("_v").alias("maximo"))
+    # each group is a contiguous range of row numbers: attach its first number and size
+    g = ranked.groupBy(*groups).agg(F.min("_rn").alias("_start"), F.count(F.lit(1)).alias("_cnt"))
+    r2 = ranked.join(g, groups)
     picks = []
     for name, p in QUARTILES:
-        pos = (F.col("n") - 1) * F.lit(p)
-        picks += [F.struct(F.lit(name + "_lo").alias("tag"), (F.col("_start") + F.floor(pos)).alias("_rn")),
-                  F.struct(F.lit(name + "_hi").alias("tag"), (F.col("_start") + F.ceil(pos)).alias("_rn"))]
-    wanted = g.select(*groups, F.explode(F.array(*picks)).alias("_p")).select(*groups, "_p.tag", "_p._rn")
-    vals = wanted.join(ranked.select("_rn", "_v"), "_rn")
-    piv = vals.groupBy(*groups).agg(*[F.max(F.when(F.col("tag") == t, F.col("_v"))).alias(t)
-                                      for name, _ in QUARTILES for t in (name + "_lo", name + "_hi")])
-    stats = _attach(g, piv, groups, "left")
-    for name, p in QUARTILES:
-        pos = (F.col("n") - 1) * F.lit(p)
-        frac = pos - F.floor(pos)
-        lo, hi = F.col(name + "_lo"), F.col(name + "_hi")
-        stats = stats.withColumn(name, lo + (hi - lo) * frac)
-    stats = (stats.withColumn("iqr", F.col("q3") - F.col("q1"))
-             .withColumn("_lf", F.col("q1") - F.col("iqr") * 1.5)
-             .withColumn("_uf", F.col("q3") + F.col("iqr") * 1.5))
-    fences = stats.select(*groups, "_lf", "_uf")
-    inside = (_attach(base, fences, groups)
+        pos = (F.col("_cnt") - 1) * F.lit(p)
+        picks += [F.max(F.when(F.col("_rn") == F.col("_start") + F.floor(pos), F.col("_v"))).alias(name + "_lo"),
+                  F.max(F.when(F.col("_rn") == F.col("_start") + F.ceil(pos), F.col("_v"))).alias(name + "_hi")]
+    stats = _interpolate(r2.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("minimo"),
+                                                 F.max("_v").alias("maximo"), *picks))
+    inside = (r2.join(stats.select(*groups, "_lf", "_uf"), groups)
               .groupBy(*groups)
               .agg(F.count_if((F.col("_v") < F.col("_lf")) | (F.col("_v") > F.col("_uf"))).alias("outliers"),
                    F.min(F.when(F.col("_v") >= F.col("_lf"), F.col("_v"))).alias("bigode_inferior"),
                    F.max(F.when(F.col("_v") <= F.col("_uf"), F.col("_v"))).alias("bigode_superior")))
-    return (_attach(stats, inside, groups)
+    return (stats.join(inside, groups)
             .select(*groups, "n", "minimo", "q1", "mediana", "q3", "maximo", "iqr",
                     "bigode_inferior", "bigode_superior", "outliers"))
 
