@@ -60,13 +60,13 @@ def product(i, nome=None, categoria="Commodity", sub="Soja", preco="100.00", cus
 
 @pytest.fixture(scope="session")
 def seed(spark):
-    """The reference's five-customer seed scenario (its INSERT examples)."""
+    """Five-customer seed scenario (FIXTURES.md section 3: 5 customers, 5 products, 5 orders, 8 lines, 2 shares)."""
     clientes = make(spark, "clientes", [
-        customer(1, "Sul", "Cooperativa C.Vale Palotina", "Cooperativa", "PR", "2024-01-10"),
-        customer(2, "Centro-Oeste", "Fazenda Bela Vista - Grupo Amaggi", "Produtor Rural", "MT", "2024-02-15"),
-        customer(3, "Sudeste", "Cargill Agrícola SA", "Trading Company", "SP", "2024-01-05"),
-        customer(4, "Sudeste", "Usina Santa Elisa Processamento", "Processadora", "SP", "2024-03-20"),
-        customer(5, "Norte", "Distribuidora Grãos do Norte", "Atacadista", "PA", "2024-04-01"),
+        customer(1, "Sul", "Cooperativa do Oeste", "Cooperativa", "PR", "2024-01-10"),
+        customer(2, "Centro-Oeste", "Fazenda Boa Safra", "Produtor Rural", "MT", "2024-02-15"),
+        customer(3, "Sudeste", "Trading Grãos SA", "Trading Company", "SP", "2024-01-05"),
+        customer(4, "Sudeste", "Usina Processadora Sudeste", "Processadora", "SP", "2024-03-20"),
+        customer(5, "Norte", "Distribuidora do Norte", "Atacadista", "PA", "2024-04-01"),
     ])
     produtos = make(spark, "produtos", [
         product(1, "Soja - Exportação Granel", "Commodity", "Soja", "116.00", "73.00"),

@@ -60,8 +60,8 @@ def test_ownership_view(spark, seed):
     v = {r.id_pedido: r for r in sharing.ownership_view(seed["pedidos"], seed["clientes"],
                                                           seed["pedido_clientes"]).collect()}
     assert v[2].tipo_ownership == "COMPARTILHADO"
-    assert v[2].todos_proprietarios == "Fazenda Bela Vista - Grupo Amaggi (60.00%), Cargill Agrícola SA (40.00%)"
-    assert v[1].tipo_ownership == "INDIVIDUAL" and v[1].todos_proprietarios == "Cooperativa C.Vale Palotina"
+    assert v[2].todos_proprietarios == "Fazenda Boa Safra (60.00%), Trading Grãos SA (40.00%)"
+    assert v[1].tipo_ownership == "INDIVIDUAL" and v[1].todos_proprietarios == "Cooperativa do Oeste"
 
 
 def test_hash_matches_python_and_detects_tampering(spark, seed):
