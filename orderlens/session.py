@@ -31,15 +31,32 @@ DEFAULTS = {
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "orderlens") -> SparkSession:
-    builder = SparkSession.builder.appName(app_name)
-    if master:
-        builder = builder.master(master)
-    for k, v in DEFAULTS.items():
-        builder = builder.config(k, v)
-    if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("ORDERLENS_DRIVER_MEMORY", "16g"))
-    spark = builder.getOrCreate()
+    """The active session, or a new one; library defaults fill only settings that
+    neither the platform (spark-defaults, submit options) nor the caller set."""
+    from pyspark import SparkConf
+
+    existing = SparkSession.getActiveSession()
+    if existing is None:
+        present = SparkConf()  # loads spark-defaults / submit-time settings
+        builder = SparkSession.builder.appName(app_name)
+        if master and not present.contains("spark.master"):
+            builder = builder.master(master)
+        wanted = dict(DEFAULTS)
+        wanted["spark.driver.memory"] = os.environ.get("ORDERLENS_DRIVER_MEMORY", "16g")
+        if shuffle_partitions:
+            wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+        for k, v in wanted.items():
+            if not present.contains(k):
+                builder = builder.config(k, v)
+        spark = builder.getOrCreate()
+    else:
+        spark = existing
+        for k, v in DEFAULTS.items():
+            if spark.conf.get(k, None) is None:
+                try:
+                    spark.conf.set(k, v)
+                except Exception:  # static settings of a running session stay as they are
+                    pass
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
     return spark
