@@ -76,3 +76,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``orderlens`` importable in the Python workers (needed by operators that
+    run Python per group, such as the stateful audit stream): the package is zipped
+    once per SparkContext and distributed with ``addPyFile``, as ``--py-files`` would."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    stage = tempfile.mkdtemp(prefix="orderlens-pkg-")
+    archive = shutil.make_archive(os.path.join(stage, "orderlens"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir=os.path.basename(pkg_dir))
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from orderlens.session import ship_package
+
 AUDITED = ["valor_total", "status", "data_entrega"]
 
 OUTPUT = T.StructType([
@@ -68,12 +70,14 @@ def _audit_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
             rows.append((id_pedido, ev.versao, "UPDATE", "SEM_ALTERACAO", imagem, ev.imagem, ev.ts))
         versao, campos, imagem = int(ev.versao), ev.campos, ev.imagem
     state.update((versao, campos, imagem))
-    yield pd.DataFrame(rows, columns=[f.name for f in OUTPUT.fields])
+    if rows:
+        yield pd.DataFrame(rows, columns=[f.name for f in OUTPUT.fields])
 
 
 def audit_stream(changes: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Streaming audit rows from a streaming DataFrame of order images (must carry
     id_pedido, versao, ts and the audited columns)."""
+    ship_package(changes.sparkSession)  # the state function runs in Python workers
     events = prepare_events(changes, watermark)
     return events.groupBy("id_pedido").applyInPandasWithState(
         _audit_group, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
