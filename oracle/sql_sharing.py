@@ -62,7 +62,14 @@ SELECT (SELECT MAX(id_pedido) FROM pedidos) + ROW_NUMBER() OVER (ORDER BY r.id_p
 FROM req r JOIN pedidos p ON p.id_pedido = r.id_pedido JOIN holder h ON h.id_pedido = r.id_pedido
 LEFT JOIN val v ON v.id_pedido = r.id_pedido"""
 
-SQL = {"H5_create_shared_orders": H5,
+H11B = """, n_own AS (SELECT id_pedido, COUNT(*) AS k FROM pedido_clientes GROUP BY 1),
+n_it AS (SELECT id_pedido, COUNT(*) AS k FROM itens_pedido GROUP BY 1)
+SELECT p.id_pedido, CAST(0 AS BIGINT) AS parte,
+       CAST(CASE WHEN i.k IS NULL THEN 1 ELSE CEIL(i.k / 10000.0) END AS BIGINT) AS partes,
+       COALESCE(o.k, 0) AS n_proprietarios, COALESCE(i.k, 0) AS n_itens
+FROM pedidos p LEFT JOIN n_own o ON o.id_pedido = p.id_pedido LEFT JOIN n_it i ON i.id_pedido = p.id_pedido"""
+
+SQL = {"H5_create_shared_orders": H5, "H11b_order_document_sizes": H11B,
     "H1_shared_participants": H1, "H2_sharing_kpis": H2, "H3_sharing_by_region": H3,
     "H4_generate_shares": H4, "H6_refresh_proportional_values": H6, "H7_share_check": H7,
     "H8_ownership_view": H8,

@@ -219,18 +219,33 @@ def requests_from_shares(shares: DataFrame, pedidos: DataFrame, itens: DataFrame
             .withColumnRenamed("id_pedido", "id_solicitacao"))
 
 
-def order_documents(pedidos: DataFrame, coowners: DataFrame, itens: DataFrame, produtos: DataFrame) -> DataFrame:
-    """One nested document per order: order fields, owners[] and items[] (for all
-    orders at once; each array holds one order's rows)."""
+def order_documents(pedidos: DataFrame, coowners: DataFrame, itens: DataFrame, produtos: DataFrame,
+                    max_items: int = 10000) -> DataFrame:
+    """Nested documents for all orders at once: order fields, owners[] and items[].
+
+    An order with more than ``max_items`` lines gets several document parts
+    (``parte`` 0..``partes``-1); its lines are spread over the parts by a hash of
+    the line, so no collected group holds more than about ``max_items`` lines even
+    when one order carries a third of all lines.
+    """
     own = coowners.groupBy("id_pedido").agg(F.sort_array(F.collect_list(F.struct(
         "id_cliente", F.col("percentual_rateio").alias("percentual")))).alias("proprietarios"))
-    its = (itens.join(produtos.select("id_produto", F.col("nome").alias("produto_nome")), "id_produto")
-           .groupBy("id_pedido").agg(F.sort_array(F.collect_list(F.struct(
+    sizes = itens.groupBy("id_pedido").agg(F.count(F.lit(1)).alias("_n"))
+    parts = sizes.select("id_pedido", F.ceil(F.col("_n") / F.lit(max_items)).cast("long").alias("partes"))
+    line = F.xxhash64("id_produto", "quantidade", "preco_unitario", "subtotal", *[c for c in ("id_item",) if c in itens.columns])
+    its = (itens.join(parts, "id_pedido")
+           .withColumn("parte", F.pmod(line, F.col("partes")))
+           .join(produtos.select("id_produto", F.col("nome").alias("produto_nome")), "id_produto")
+           .groupBy("id_pedido", "parte", "partes")
+           .agg(F.sort_array(F.collect_list(F.struct(
                "id_produto", "produto_nome", "quantidade", "preco_unitario", "subtotal"))).alias("itens")))
-    return (pedidos.join(own, "id_pedido", "left").join(its, "id_pedido", "left")
-            .select("id_pedido", "data_pedido", "id_cliente", "status", "valor_total",
-                    F.coalesce("proprietarios", F.array().cast(own.schema["proprietarios"].dataType)).alias("proprietarios"),
-                    F.coalesce("itens", F.array().cast(its.schema["itens"].dataType)).alias("itens")))
+    docs = pedidos.join(own, "id_pedido", "left").join(its, "id_pedido", "left")
+    return docs.select(
+        "id_pedido", F.coalesce("parte", F.lit(0).cast("long")).alias("parte"),
+        F.coalesce("partes", F.lit(1).cast("long")).alias("partes"),
+        "data_pedido", "id_cliente", "status", "valor_total",
+        F.coalesce("proprietarios", F.array().cast(own.schema["proprietarios"].dataType)).alias("proprietarios"),
+        F.coalesce("itens", F.array().cast(its.schema["itens"].dataType)).alias("itens"))
 
 
 def active_groups(grupos: DataFrame, membros: DataFrame, clientes: DataFrame) -> DataFrame:

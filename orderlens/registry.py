@@ -736,3 +736,12 @@ def _b2b(t):
 @register("Q1b_violating_rows")
 def _q1b(t):
     return quality.violating_rows("pedidos", t.pedidos, "id_pedido")
+
+
+@register("H11b_order_document_sizes")
+def _h11b(t):
+    """Structure of the order documents: parts, owners and lines per document."""
+    docs = sharing.order_documents(t.pedidos, t.pedido_clientes, t.itens_pedido, t.produtos)
+    return docs.select("id_pedido", "parte", "partes",
+                       F.size("proprietarios").cast("long").alias("n_proprietarios"),
+                       F.size("itens").cast("long").alias("n_itens"))

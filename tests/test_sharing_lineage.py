@@ -168,3 +168,19 @@ def test_duplicates_hot_group_against_brute_force(spark):
                     sim = float(((100 * (top - abs(v1 - v2)) / top)).quantize(Decimal("0.01"), "ROUND_HALF_UP"))
                 want[(a["id_pedido"], b["id_pedido"])] = sim
     assert got == want
+
+
+def test_order_documents_split_large_orders(spark, seed):
+    from tests.conftest import item, product
+    big = make(spark, "itens_pedido", [item(100 + i, 1, 1 + i % 5, 1 + i, "10.00") for i in range(25)])
+    itens = seed["itens_pedido"].unionByName(big)
+    docs = sharing.order_documents(seed["pedidos"], seed["pedido_clientes"], itens, seed["produtos"], max_items=10)
+    rows = docs.collect()
+    by_order = {}
+    for r in rows:
+        by_order.setdefault(r.id_pedido, []).append(r)
+    assert len(by_order[1]) == 3 and all(r.partes == 3 for r in by_order[1])  # 27 lines in parts of <= ~10
+    assert sum(len(r.itens) for r in by_order[1]) == 27
+    assert len(by_order[4]) == 1 and by_order[4][0].itens == []  # no lines: one document, empty items
+    assert [len(r.proprietarios) for r in by_order[2]] == [2]
+    _ = product
