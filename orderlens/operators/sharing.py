@@ -157,7 +157,7 @@ ITEM_SCHEMA = T.ArrayType(T.StructType([
     T.StructField("preco_unitario", T.DecimalType(12, 2))]))
 
 
-def create_shared_orders(requests: DataFrame, pedidos: DataFrame, itens_hw: DataFrame | None = None):
+def create_shared_orders(requests: DataFrame, pedidos: DataFrame, request_lines: DataFrame | None = None):
     """H5: create shared orders from a batch of requests.
 
     ``requests``: (id_solicitacao, data_pedido, data_entrega, tipo_contrato,
@@ -167,6 +167,9 @@ def create_shared_orders(requests: DataFrame, pedidos: DataFrame, itens_hw: Data
     JSON, an empty list or a missing client id also reject it).  Accepted requests
     get new order ids after the orders' high-water mark (N1); the first owner is
     the holder; the order starts 'Pendente' and its value is the sum of its lines.
+    Lines may instead come as a table ``request_lines`` (id_solicitacao, id_produto,
+    quantidade, preco_unitario): then order values are a per-request aggregate and
+    no request's lines are ever collected into one row.
     Returns (orders, co-owner rows, line rows, rejected requests with a reason).
     """
     parsed = (requests.withColumn("_own", F.from_json("proprietarios", OWNER_SCHEMA))
@@ -185,7 +188,17 @@ def create_shared_orders(requests: DataFrame, pedidos: DataFrame, itens_hw: Data
     numbered = (with_global_row_number(ok, [F.col("id_solicitacao").asc()], "_rn")
                 .withColumn("id_pedido", hw + F.col("_rn")))
     line_value = lambda i: (i["quantidade"] * i["preco_unitario"]).cast(MONEY)
-    valor = F.aggregate(F.col("_its"), F.lit(0).cast(MONEY), lambda acc, i: (acc + line_value(i)).cast(MONEY))
+    if request_lines is not None:
+        rl = request_lines.join(numbered.select("id_solicitacao", "id_pedido"), "id_solicitacao")
+        sub = (F.col("quantidade").cast("decimal(12,2)") * F.col("preco_unitario").cast("decimal(12,2)")).cast(MONEY)
+        lines = rl.select("id_pedido", "id_produto", F.col("quantidade").cast("decimal(12,2)").alias("quantidade"),
+                          F.col("preco_unitario").cast("decimal(12,2)").alias("preco_unitario"), sub.alias("subtotal"))
+        totals = lines.groupBy("id_pedido").agg(F.sum("subtotal").alias("_tot"))
+        numbered = (numbered.join(totals, "id_pedido", "left")
+                    .withColumn("_v", F.coalesce(F.col("_tot"), F.lit(0)).cast(MONEY)))
+        valor = F.col("_v")
+    else:
+        valor = F.aggregate(F.col("_its"), F.lit(0).cast(MONEY), lambda acc, i: (acc + line_value(i)).cast(MONEY))
     orders = numbered.select(
         "id_pedido", F.col("data_pedido").cast("date"), F.col("data_entrega").cast("date"),
         F.col("_own")[0]["cliente_id"].alias("id_cliente"), "tipo_contrato",
@@ -195,28 +208,30 @@ def create_shared_orders(requests: DataFrame, pedidos: DataFrame, itens_hw: Data
                       F.col("_o.percentual").alias("percentual_propriedade"),
                       share_value(F.col("_v"), F.col("_o.percentual")).alias("valor_proporcional"),
                       F.coalesce(F.col("_o.tipo"), F.lit("COMPRADOR")).alias("tipo_participacao")))
-    lines = (numbered.select("id_pedido", F.posexplode("_its").alias("_pos", "_i"))
-             .select("id_pedido", F.col("_pos").alias("posicao"), F.col("_i.produto_id").alias("id_produto"),
-                     F.col("_i.quantidade").alias("quantidade"), F.col("_i.preco_unitario").alias("preco_unitario"),
-                     line_value(F.col("_i")).alias("subtotal")))
+    if request_lines is None:
+        lines = (numbered.select("id_pedido", F.posexplode("_its").alias("_pos", "_i"))
+                 .select("id_pedido", F.col("_i.produto_id").alias("id_produto"),
+                         F.col("_i.quantidade").alias("quantidade"), F.col("_i.preco_unitario").alias("preco_unitario"),
+                         line_value(F.col("_i")).alias("subtotal")))
     return orders, owners, lines, rejected
 
 
-def requests_from_shares(shares: DataFrame, pedidos: DataFrame, itens: DataFrame) -> DataFrame:
+def requests_from_shares(shares: DataFrame, pedidos: DataFrame, itens: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Build creation requests (H5 input) from existing shared orders: one request per
-    shared order, owners and lines as JSON arrays (a few entries per order)."""
+    shared order with its owners as a JSON array (a few entries per order), and the
+    request lines as a table (id_solicitacao = the source order)."""
     ordered = F.sort_array(F.collect_list(F.struct(
         (-F.col("percentual_rateio")).alias("_k"), F.col("id_cliente").alias("cliente_id"),
         F.col("percentual_rateio").alias("percentual"), F.lit("COMPRADOR").alias("tipo"))))
     own = shares.groupBy("id_pedido").agg(
         F.to_json(F.transform(ordered, lambda o: o.dropFields("_k"))).alias("proprietarios"))
-    its = (itens.join(shares.select("id_pedido").distinct(), "id_pedido", "left_semi")
-           .groupBy("id_pedido").agg(F.to_json(F.collect_list(F.struct(
-               F.col("id_produto").alias("produto_id"), "quantidade", "preco_unitario"))).alias("itens")))
-    return (own.join(its, "id_pedido", "left")
-            .join(pedidos.select("id_pedido", "data_pedido", "data_entrega", "tipo_contrato",
-                                 "regiao_origem", "regiao_destino"), "id_pedido")
-            .withColumnRenamed("id_pedido", "id_solicitacao"))
+    requests = (own.join(pedidos.select("id_pedido", "data_pedido", "data_entrega", "tipo_contrato",
+                                        "regiao_origem", "regiao_destino"), "id_pedido")
+                .withColumn("itens", F.lit(None).cast("string"))
+                .withColumnRenamed("id_pedido", "id_solicitacao"))
+    lines = (itens.join(shares.select("id_pedido").distinct(), "id_pedido", "left_semi")
+             .select(F.col("id_pedido").alias("id_solicitacao"), "id_produto", "quantidade", "preco_unitario"))
+    return requests, lines
 
 
 def order_documents(pedidos: DataFrame, coowners: DataFrame, itens: DataFrame, produtos: DataFrame,

@@ -400,8 +400,8 @@ def _h4(t):
 @register("H5_create_shared_orders")
 def _h5(t):
     """Re-create every shared order from JSON owner/line requests built from the shares."""
-    req = sharing.requests_from_shares(t.pedido_clientes, t.pedidos, t.itens_pedido)
-    orders, owners, lines, rejected = sharing.create_shared_orders(req, t.pedidos)
+    req, req_lines = sharing.requests_from_shares(t.pedido_clientes, t.pedidos, t.itens_pedido)
+    orders, owners, lines, rejected = sharing.create_shared_orders(req, t.pedidos, req_lines)
     return orders.select("id_pedido", F.date_format("data_pedido", "yyyy-MM-dd").alias("data_pedido"),
                          F.date_format("data_entrega", "yyyy-MM-dd").alias("data_entrega"), "id_cliente",
                          "tipo_contrato", "status", F.col("valor_total").cast("double").alias("valor_total"))

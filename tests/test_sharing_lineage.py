@@ -184,3 +184,19 @@ def test_order_documents_split_large_orders(spark, seed):
     assert len(by_order[4]) == 1 and by_order[4][0].itens == []  # no lines: one document, empty items
     assert [len(r.proprietarios) for r in by_order[2]] == [2]
     _ = product
+
+
+def test_shared_order_creation_with_line_table(spark):
+    pedidos = make(spark, "pedidos", [order(10, 1, "2025-01-01", "1")])
+    reqs = spark.createDataFrame([
+        (5, "2025-05-01", "2025-05-10", "Spot", "Sul", "Norte", '[{"cliente_id": 3, "percentual": 100}]', None)],
+        "id_solicitacao long, data_pedido string, data_entrega string, tipo_contrato string, "
+        "regiao_origem string, regiao_destino string, proprietarios string, itens string")
+    lines = spark.createDataFrame([(5, 1, D("2.00"), D("1.25")), (5, 2, D("3.00"), D("2.00"))],
+                                  "id_solicitacao long, id_produto long, quantidade decimal(12,2), preco_unitario decimal(12,2)")
+    orders, owners, out_lines, rejected = sharing.create_shared_orders(reqs, pedidos, lines)
+    o = orders.collect()[0]
+    assert (o.id_pedido, o.id_cliente, o.valor_total) == (11, 3, D("8.50"))
+    assert owners.collect()[0].valor_proporcional == D("8.50")
+    assert sorted(r.subtotal for r in out_lines.collect()) == [D("2.50"), D("6.00")]
+    assert rejected.count() == 0
