@@ -202,8 +202,8 @@ def duplicate_alerts(candidates: DataFrame, quando=None) -> DataFrame:
 
 def retain_audit(audit: DataFrame, ref_date, years: int = 2) -> tuple[DataFrame, DataFrame]:
     """Audit retention -- rows older than ``years`` before ``ref_date`` are dropped.
-    Returns (kept rows, one-row count of removed rows).  Writing the kept rows back is a
-    table rewrite (by date partition when the table is partitioned by day)."""
+    Returns (kept rows, one-row count of removed rows); the caller writes the kept rows
+    as the audit table's next version."""
     limit = F.add_months(F.lit(str(ref_date)).cast("timestamp"), -12 * years)
     kept = audit.where(F.col("data_hora") >= limit)
     removed = audit.agg(F.count_if(F.col("data_hora") < limit).alias("removidos"))
