@@ -24,6 +24,17 @@ def anchor_date(pedidos: DataFrame) -> Column:
     return F.coalesce(latest.scalar(), F.current_date())
 
 
+def resolve_anchor(pedidos: DataFrame) -> _dt.date:
+    """P3 evaluated once: the anchor as a value (one aggregate, one row to the driver).
+
+    Pass it as ``ref_date`` when several operators share the anchor or when the
+    order table is stored and clustered by date: a literal bound becomes a
+    parquet pushed filter, a scalar subquery does not.
+    """
+    return (pedidos.where(F.col("status") != "Cancelado")
+            .agg(F.coalesce(F.max("data_pedido"), F.current_date()).alias("a")).first()["a"])
+
+
 def ref_column(pedidos: DataFrame, ref_date=None) -> Column:
     """The reference date as a DATE column: explicit value or the data anchor."""
     if ref_date is None:

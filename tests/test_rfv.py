@@ -76,3 +76,12 @@ def test_inactivity_bands(spark):
     assert (k.total, k.mais_1_ano, k.de_6_a_12_meses, k.de_3_a_6_meses) == (5, 1, 1, 2)
     assert k.perda_estimada == 75000
     assert inactivity.inactivity_kpis(inact, min_days=180).collect()[0].total == 2
+
+
+def test_resolved_anchor_equals_lazy_anchor(spark, seed):
+    from orderlens.functions.dates import resolve_anchor
+    anchor = resolve_anchor(seed["pedidos"])
+    assert anchor == dt.date(2025, 3, 1)  # latest non-cancelled order
+    lazy = sorted(tuple(r) for r in rfv.rfv_fixed(seed["pedidos"], seed["clientes"]).collect())
+    eager = sorted(tuple(r) for r in rfv.rfv_fixed(seed["pedidos"], seed["clientes"], anchor).collect())
+    assert lazy == eager
