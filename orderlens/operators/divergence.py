@@ -98,13 +98,17 @@ def latest_corrections(log: DataFrame, campo: str = "valor_total") -> DataFrame:
                     F.col("_c.tipo_correcao").alias("tipo_correcao")))
 
 
-def anomaly_view(pedidos: DataFrame, itens: DataFrame, clientes: DataFrame, log: DataFrame) -> DataFrame:
+def anomaly_view(pedidos: DataFrame, itens: DataFrame, clientes: DataFrame, log: DataFrame,
+                 show_resolved: bool = False) -> DataFrame:
     """C4: divergent orders with correction status -- CORRIGIDO when a value
-    correction was logged for the order, else PENDENTE."""
+    correction was logged for the order, else PENDENTE.  As in the model's view, an
+    order that no longer diverges drops out; ``show_resolved`` keeps corrected
+    orders whose difference is now within the tolerance."""
+    diverges = abs_divergence(F.col("valor_total"), F.col("valor_calculado"), TOLERANCIA)
     j = (pedidos.join(item_sums(itens).drop("qtd_itens"), "id_pedido")
-         .where(abs_divergence(F.col("valor_total"), F.col("valor_calculado"), TOLERANCIA))
-         .join(clientes.select("id_cliente", F.col("nome").alias("cliente"), "tipo_cliente", "regiao"), "id_cliente")
          .join(latest_corrections(log), "id_pedido", "left"))
+    j = j.where(diverges | F.col("data_correcao").isNotNull()) if show_resolved else j.where(diverges)
+    j = j.join(clientes.select("id_cliente", F.col("nome").alias("cliente"), "tipo_cliente", "regiao"), "id_cliente")
     vt, vc = F.col("valor_total"), F.col("valor_calculado")
     return j.select(
         "id_pedido", F.date_format("data_pedido", "yyyy-MM-dd").alias("data_pedido"), "id_cliente", "cliente",

@@ -107,3 +107,15 @@ def test_approx_distinct_option(spark, seed):
     approx = {r.id_produto: r.total_contratos for r in products.top_share_of_total(
         seed["itens_pedido"], seed["pedidos"], seed["produtos"], "2025-06-30", approx_distinct=True).collect()}
     assert exact == approx  # small counts are exact in the sketch
+
+
+def test_anomaly_view_show_resolved(spark):
+    clientes, pedidos, itens = _orders(spark)
+    t = lambda s: dt.datetime.fromisoformat(s)
+    log = spark.createDataFrame([(1, 2, "valor_total", D("100.50"), D("100.01"), "MANUAL", "u", "m",
+                                  t("2025-02-01 10:00:00"))], LOG_CORRECOES)
+    default = {r.id_pedido for r in divergence.anomaly_view(pedidos, itens, clientes, log).collect()}
+    resolved = {r.id_pedido: r for r in divergence.anomaly_view(pedidos, itens, clientes, log,
+                                                                show_resolved=True).collect()}
+    assert default == {3, 4}  # order 2 (corrected, within tolerance now) vanishes
+    assert set(resolved) == {2, 3, 4} and resolved[2].status_correcao == "CORRIGIDO"
