@@ -41,14 +41,15 @@ def headline_metrics(pedidos: DataFrame, clientes: DataFrame) -> DataFrame:
 
 def filtered_orders(pedidos: DataFrame, clientes: DataFrame, itens: DataFrame, produtos: DataFrame,
                     ref_date=None, periodo: int = 365, regiao: str | None = None,
-                    produto: str | None = None) -> DataFrame:
+                    produto: str | None = None, region_column: str = "regiao") -> DataFrame:
     """P2 + P3 + P6 + P7: non-cancelled orders of the last ``periodo`` days (anchored on
-    the data), optionally of one customer region, optionally having a line whose
-    product subcategory contains ``produto`` (case-insensitive)."""
+    the data), optionally of one customer region (compared with ``region_column`` of the
+    customer, e.g. ``estado`` for state codes), optionally having a line whose product
+    subcategory contains ``produto`` (case-insensitive)."""
     ref = ref_column(pedidos, ref_date)
     o = pedidos.where(not_cancelled() & (F.col("data_pedido") >= days_before(ref, periodo)))
-    o = o.join(clientes.select("id_cliente", "regiao"), "id_cliente")
-    o = region_filter(o, regiao)
+    o = o.join(clientes.select("id_cliente", F.col(region_column).alias("_regiao_filtro")), "id_cliente")
+    o = region_filter(o, regiao, "_regiao_filtro").drop("_regiao_filtro")
     if produto and produto.lower() != "todos":
         prods = produtos.where(F.lower("subcategoria").contains(produto.lower())).select("id_produto")
         matching = itens.join(prods, "id_produto", "left_semi").select("id_pedido")

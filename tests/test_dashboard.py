@@ -40,3 +40,12 @@ def test_context_snapshot_layout(spark, seed):
     assert sorted(sections["metricas"]) == ["clientes", "contratos", "faturamento", "ticket_medio"]
     assert len(sections["produtos"]) == 3
     assert sum(r.valor for r in snap if r.secao == "segmentos") == 4  # customers with a non-cancelled order
+
+
+def test_filter_on_named_region_column(spark, seed):
+    o = dashboard.filtered_orders(seed["pedidos"], seed["clientes"], seed["itens_pedido"], seed["produtos"],
+                                  ref_date="2025-03-31", regiao="SP", region_column="estado")
+    assert sorted(r.id_pedido for r in o.collect()) == [3]  # order 4 (SP) is cancelled
+    o2 = dashboard.filtered_orders(seed["pedidos"], seed["clientes"], seed["itens_pedido"], seed["produtos"],
+                                   ref_date="2025-03-31", regiao="todas", produto="soja")
+    assert sorted(r.id_pedido for r in o2.collect()) == [1, 2, 3]
