@@ -57,3 +57,15 @@ def test_distributed_lag_matches_window(spark):
     got = {r.id: r.prev_d for r in with_previous(df, ["g"], [F.col("d").asc(), F.col("id").asc()], ["d"],
                                                  num_partitions=7).collect()}
     assert got == expected
+
+
+def test_box_summary_edge_cases(spark):
+    from orderlens.plans.stats import grouped_box
+    df = spark.createDataFrame([("a", 1, 5.0), ("b", 2, 1.0), ("b", 3, 2.0), ("b", 4, 3.0), ("b", 5, 4.0),
+                                ("b", 6, 100.0)], "g string, id long, v double")
+    out = {r.g: r for r in grouped_box(df, ["g"], "v", "id").collect()}
+    assert (out["a"].n, out["a"].q1, out["a"].mediana, out["a"].iqr, out["a"].outliers) == (1, 5.0, 5.0, 0.0, 0)
+    b = out["b"]  # 1, 2, 3, 4, 100: q1 = 2, median 3, q3 = 4, upper fence 7 -> 100 is an outlier
+    assert (b.q1, b.mediana, b.q3, b.bigode_superior, b.outliers) == (2.0, 3.0, 4.0, 4.0, 1)
+    empty = grouped_box(df.where("v < 0"), [], "v", "id").collect()
+    assert len(empty) == 1 and empty[0].n == 0 and empty[0].q1 is None and empty[0].outliers == 0
