@@ -69,3 +69,10 @@ def test_box_summary_edge_cases(spark):
     assert (b.q1, b.mediana, b.q3, b.bigode_superior, b.outliers) == (2.0, 3.0, 4.0, 4.0, 1)
     empty = grouped_box(df.where("v < 0"), [], "v", "id").collect()
     assert len(empty) == 1 and empty[0].n == 0 and empty[0].q1 is None and empty[0].outliers == 0
+
+
+def test_histogram_constant_values(spark):
+    from orderlens.plans.stats import equal_width_histogram
+    df = spark.createDataFrame([(7,), (7,), (7,)], "d long")
+    rows = sorted((r.bin, r.limite_inferior, r.contagem) for r in equal_width_histogram(df, "d", 4).collect())
+    assert rows == [(0, 7, 3), (1, 7, 0), (2, 7, 0), (3, 7, 0)]
