@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import table
+from orderlens.llm.common import shared_folder, table
 from orderlens.llm.exact_dedup import exact_dedup
 from orderlens.llm.hilbert import hilbert_shards
+from orderlens.llm.langid import identify
 from orderlens.llm.mixing import mix
+from orderlens.llm.packing import pack, token_pieces
+from orderlens.llm.token_files import read_documents, write_token_files
 from orderlens.llm.url_filter import url_filter
 
 #: The rules of op3, as its contract states them.
@@ -30,6 +34,17 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and offset of every document's token pieces in sequences of 2048."""
+    pieces = token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "dropped")
+    return pack(pieces)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document in 16 shards along a Hilbert curve."""
     return hilbert_shards(table(spark, sf_dir, "documents"))
@@ -40,5 +55,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, length and checksum of every document's ids, read back from the packed files."""
+    path = shared_folder(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), "kept")
+    return read_documents(spark, path)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_url_filters, op4_source_mixing, op8_hilbert_sharding, op9_exact_dedup)}
+    f.__name__: f for f in (op3_url_filters, op4_source_mixing, op6_best_fit_packing, op7_language_id,
+                                 op8_hilbert_sharding, op9_exact_dedup, op10_token_files)}
