@@ -12,6 +12,7 @@ from orderlens.llm.common import shared_folder, table
 from orderlens.llm.exact_dedup import exact_dedup
 from orderlens.llm.hilbert import hilbert_shards
 from orderlens.llm.langid import identify
+from orderlens.llm.line_dedup import line_dedup
 from orderlens.llm.mixing import mix
 from orderlens.llm.packing import pack, token_pieces
 from orderlens.llm.token_files import read_documents, write_token_files
@@ -22,6 +23,11 @@ URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/
              ("net/es/", "block"), ("net/fr/", "block")]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template recurs in documents before it."""
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url under the fixed rules; urls without a rule are allowed."""
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
@@ -63,5 +69,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_url_filters, op4_source_mixing, op6_best_fit_packing, op7_language_id,
+    f.__name__: f for f in (op1_line_dedup, op3_url_filters, op4_source_mixing, op6_best_fit_packing, op7_language_id,
                                  op8_hilbert_sharding, op9_exact_dedup, op10_token_files)}
