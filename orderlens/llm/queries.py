@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from orderlens.llm.common import shared_folder, table
 from orderlens.llm.exact_dedup import exact_dedup
 from orderlens.llm.hilbert import hilbert_shards
+from orderlens.llm.jaccard import jaccard_components
 from orderlens.llm.langid import identify
 from orderlens.llm.line_dedup import line_dedup
 from orderlens.llm.mixing import mix
@@ -40,6 +41,11 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under a Jaccard similarity of 0.9 of 3-word shingles."""
+    return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence and offset of every document's token pieces in sequences of 2048."""
     pieces = token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "dropped")
@@ -69,5 +75,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op3_url_filters, op4_source_mixing, op6_best_fit_packing, op7_language_id,
+    f.__name__: f for f in (op1_line_dedup, op3_url_filters, op4_source_mixing, op5_ngram_jaccard, op6_best_fit_packing, op7_language_id,
                                  op8_hilbert_sharding, op9_exact_dedup, op10_token_files)}
