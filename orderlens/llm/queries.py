@@ -17,6 +17,7 @@ from orderlens.llm.line_dedup import line_dedup
 from orderlens.llm.mixing import mix
 from orderlens.llm.packing import pack, token_pieces
 from orderlens.llm.token_files import read_documents, write_token_files
+from orderlens.llm.topk import top_k
 from orderlens.llm.url_filter import url_filter
 
 #: The rules of op3, as its contract states them.
@@ -29,6 +30,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best matches of each 50th embedding among all others."""
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url under the fixed rules; urls without a rule are allowed."""
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
@@ -75,5 +81,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op3_url_filters, op4_source_mixing, op5_ngram_jaccard, op6_best_fit_packing, op7_language_id,
+    f.__name__: f for f in (op1_line_dedup, op2_exact_topk, op3_url_filters, op4_source_mixing, op5_ngram_jaccard, op6_best_fit_packing, op7_language_id,
                                  op8_hilbert_sharding, op9_exact_dedup, op10_token_files)}
