@@ -47,10 +47,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def semi_by_keys(rows: DataFrame, keys: DataFrame, on: list[str], n_keys: int | None = None) -> DataFrame:
-    """Rows whose ``on`` is among ``keys``: by broadcast while the counted keys are few, else by shuffle."""
-    n = keys.count() if n_keys is None else n_keys
-    return rows.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, on, "left_semi")
+def by_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
+    """Rows whose ``on`` is (or for ``left_anti``, isn't) among ``keys``: by broadcast while the counted
+    keys are few, else by shuffle."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import cut, join_groups, semi_by_keys
+from orderlens.llm.common import cut, join_groups, by_keys
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -29,7 +29,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                .groupBy("_id", "_md5", "_sha").agg(F.count(F.lit(1)).alias("_n")))
     hashes = rows.groupBy("_md5").agg(F.sum("_n").alias("_n"))
     shared = hashes.where("_n > 1").select("_md5")
-    texts = (semi_by_keys(read, shared, ["_md5"])
+    texts = (by_keys(read, shared, ["_md5"])
              .groupBy("_md5", "_text").agg(best("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     equal = cut(texts.groupBy("_md5", F.unhex(F.sha2("_text", 256)).alias("_sha"))
                 .agg(F.count(F.lit(1)).alias("_texts"), F.first("keep_id").alias("keep_id"),

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import cut, join_groups, python_ready, semi_by_keys, shared_folder
+from orderlens.llm.common import cut, join_groups, python_ready, by_keys, shared_folder
 from orderlens.llm.graph import components
 
 #: Fragments that the global n-gram order is cut into.
@@ -179,7 +179,7 @@ def _similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perc
     """The ``pairs`` (a, b, na, nb) that are similar: overlaps are counted in each fragment apart, and summed."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     reps = cut(classes.join(nodes, "node", "left_semi").select("node", "h1", "h2", F.col("rep").alias("_id")))
-    segments = _segments(semi_by_keys(docs, reps.select("_id"), ["_id"]), k, order)
+    segments = _segments(by_keys(docs, reps.select("_id"), ["_id"]), k, order)
     parts = cut(segments.join(reps.select("node", "h1", "h2"), ["h1", "h2"])
                 .groupBy("node", "fragment").agg(F.first("grams").alias("grams")))
     a, b = (parts.select(F.col("node").alias(x), "fragment", F.col("grams").alias(f"_{x}")) for x in "ab")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import cut, join_groups, semi_by_keys
+from orderlens.llm.common import cut, join_groups, by_keys
 
 #: Leading tokens that lead to a leaf, below the token count.
 DEPTH = 3
@@ -76,7 +76,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _templates(read: DataFrame, mixed: DataFrame) -> DataFrame:
     """(leaf, line, template) of the ``mixed`` lines whose template has enough fixed places: a hash of
     its tokens, ``<*>`` where no second document has the token at that place of the leaf."""
-    tokens = semi_by_keys(_lines(read).select("leaf", "line", "tokens"), mixed.select("leaf", "line"), ["leaf", "line"])
+    tokens = by_keys(_lines(read).select("leaf", "line", "tokens"), mixed.select("leaf", "line"), ["leaf", "line"])
     places = cut(tokens.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
                  .join(mixed, ["leaf", "line"])
                  .select("leaf", "line", "first", "last", F.posexplode("tokens").alias("place", "token")))

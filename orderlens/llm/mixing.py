@@ -44,6 +44,29 @@ def _copies(seed: Column, doc: str, rate: Column) -> Column:
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("long")
 
 
+def plan(sizes: DataFrame, **how) -> DataFrame:
+    """Per source of ``sizes`` (_id, source, size): _source, source_size, rows, target, _rate, _seed."""
+    targets = cut(source_targets(sizes, **how)
+                  .withColumn("_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+                  .withColumn("_source", _key("source")).drop("source"))
+    rows = join_groups(sizes.withColumn("_source", _key("source")), targets, ["_source"], "rows")
+    tried = rows.groupBy("_source").agg(F.first("target").alias("_target"), *[
+        F.sum(F.col("size") * _copies(F.lit(s), "_id", F.col("_rate"))).alias(f"_{s}") for s in range(SEEDS)])
+    seeds = tried.select("_source", F.array_min(F.array(*[
+        F.struct(F.abs(F.col(f"_{s}") - F.col("_target")).alias("off"), F.lit(s).alias("seed")) for s in range(SEEDS)]))
+        .getField("seed").alias("_seed"))
+    return cut(targets.join(seeds, "_source"))
+
+
+def _key(source: str) -> Column:
+    """The source as a key that is never null."""
+    return F.to_json(F.struct(F.col(source).alias("source")))
+
+
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return cut(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """For each row of ``docs`` its copies in the mix: id, source, size, source_size, target, copies.
 
@@ -52,27 +75,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     probability, seeded by its id: reruns agree, and repeated rows of one id are drawn alike.  Of
     SEEDS seeds each source uses the one whose words come nearest its target.  ``how`` goes to
     ``source_targets``.  A source without words has rate 0.  Null is a source of its own; a null id
-    is drawn like any other value.  Other columns are ignored.
+    is drawn like any other value.  Other columns are ignored; an empty table gives no rows.
     """
-    sizes = cut(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")))
-    targets = cut(source_targets(sizes, **how)
-                  .withColumn("_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-                  .withColumn("_source", F.to_json(F.struct("source"))).drop("source"))
-    rows = join_groups(sizes.withColumn("_source", F.to_json(F.struct("source"))), targets, ["_source"], "rows")
-    tried = rows.groupBy("_source").agg(F.first("target").alias("_target"), *[
-        F.sum(F.col("size") * _copies(F.lit(s), "_id", F.col("_rate"))).alias(f"_{s}") for s in range(SEEDS)])
-    seeds = tried.select("_source", F.array_min(F.array(*[
-        F.struct(F.abs(F.col(f"_{s}") - F.col("_target")).alias("off"), F.lit(s).alias("seed")) for s in range(SEEDS)]))
-        .getField("seed").alias("_seed"))
-    chosen = cut(targets.join(seeds, "_source"))
-    return (join_groups(sizes.withColumn("_source", F.to_json(F.struct("source"))), chosen, ["_source"], "rows")
+    sizes = _sizes(docs, id_col, text_col, source_col)
+    return (join_groups(sizes.withColumn("_source", _key("source")), plan(sizes, **how), ["_source"], "rows")
             .select(F.col("_id").alias(id_col), "source", "size", "source_size", "target",
                     _copies(F.col("_seed"), "_id", F.col("_rate")).alias("copies")))
 
 
-def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as ``mixed`` says for its id, with its columns."""
-    times = mixed.where("copies > 0").groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies"))
-    return (docs.join(times, docs[id_col].eqNullSafe(times["_id"]))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-            .select(*[docs[c] for c in docs.columns]))
+def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix itself: the rows of ``docs``, with their columns, as often as ``mix`` takes them.  Texts
+    are not shuffled: sources are joined to them as hot groups or, when small, by source."""
+    chosen = plan(_sizes(docs, id_col, text_col, source_col), **how).select("_source", "rows", "_rate", "_seed")
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # no clash with the plan's columns
+    rows = docs.select(*[F.col(c).alias(n) for c, n in names.items()], _key(source_col).alias("_source"))
+    taken = join_groups(rows, chosen, ["_source"], "rows").withColumn("_times", _copies(F.col("_seed"), names[id_col], F.col("_rate")))
+    return (taken.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+            .select(*[F.col(n).alias(c) for c, n in names.items()]))
