@@ -10,9 +10,10 @@ from array import array
 MEMO_CHUNKS, MEMO_LENGTH = 600_000, 48
 
 # Characters of which none is white space, combines with its neighbours or changes class between
-# Unicode versions: printable ASCII and Latin up to U+024F.  LETTER holds the letters among them.
-SOLID = "!-~¡-ɏ"
-LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+# Unicode versions: printable ASCII and Latin up to U+024F, without U+0130, which lower case makes two
+# characters.  LETTER holds the letters among them.
+SOLID = "!-~¡-įı-ɏ"
+LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 
 #: A text with a match is encoded as a whole.  Otherwise each space, newline, comma and full stop
 #: stands where the pre-tokenizers split anyway: single white space between solid characters, and
