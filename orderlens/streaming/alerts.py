@@ -1,10 +1,10 @@
 """ST2: value-divergence alerts on arriving orders and order lines.
 
-Headers and lines arrive as one event stream (kind, order id, event time,
-amount).  A watermarked event-time aggregation per (order, day window) sums
-the lines and keeps the header value; when the watermark closes the window
-the final row is emitted (append mode) and kept only if the recorded value
-and the line sum differ by more than 0.01.  State is bounded by the watermark.
+Headers and lines arrive as one event stream (kind, order id, event time, amount) and
+meet on the order id, whatever their days.  The stream appends partial sums per order
+and epoch; it keeps no state and drops nothing.  Alerts are read from the merged
+sums of orders whose last event lies ``lateness`` behind the newest event, so a
+partial sum raises none and the cuts of the micro-batches don't matter.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.numeric import MONEY, dec
+from orderlens.streaming.sink import write_epochs
 
 
 def order_events(pedidos: DataFrame, itens: DataFrame) -> DataFrame:
@@ -26,18 +27,27 @@ def order_events(pedidos: DataFrame, itens: DataFrame) -> DataFrame:
     return headers.unionByName(lines)
 
 
-def divergence_alerts(events: DataFrame, watermark: str = "2 days", window: str = "1 day") -> DataFrame:
-    """Streaming (or batch) alerts: orders whose header and line sum differ by > 0.01."""
-    agg = (events.withWatermark("ts", watermark)
-           .groupBy("id_pedido", F.window("ts", window).alias("janela"))
-           .agg(F.max(F.when(F.col("tipo") == "pedido", F.col("valor"))).alias("valor_registrado"),
-                F.sum(F.when(F.col("tipo") == "item", F.col("valor"))).alias("valor_calculado"),
-                F.count_if(F.col("tipo") == "item").alias("qtd_itens"),
-                F.min("ts").alias("_t")))
-    return (agg.where(F.col("valor_registrado").isNotNull() & (F.col("qtd_itens") > 0)
-                      & (F.abs(F.col("valor_registrado") - F.col("valor_calculado")) > dec("0.01")))
-            .select("id_pedido", F.to_date("_t").alias("dia"),
-                    F.col("valor_registrado").cast("double").alias("valor_registrado"),
-                    F.col("valor_calculado").cast("double").alias("valor_calculado"),
-                    F.when(F.col("valor_registrado") > F.col("valor_calculado"), "SOBREFATURAMENTO")
-                     .otherwise("SUBFATURAMENTO").alias("tipo_anomalia")))
+def partial_sums(events: DataFrame) -> DataFrame:
+    """Per order: its header (value and time of the newest one), the sum and count of its lines, its last event."""
+    header = F.when(F.col("tipo") == "pedido", F.struct("ts", "valor"))
+    return events.groupBy("id_pedido").agg(
+        F.max(header).alias("cabecalho"), F.sum(F.when(F.col("tipo") == "item", F.col("valor"))).alias("soma"),
+        F.count_if(F.col("tipo") == "item").alias("itens"), F.max("ts").alias("ultimo"))
+
+
+def start_alerts(events_stream: DataFrame, out_path: str, checkpoint: str, available_now: bool = True):
+    """Run ST2: the partial sums of each micro-batch go to ``out_path``."""
+    return write_epochs(events_stream, out_path, checkpoint, partial_sums, available_now)
+
+
+def divergence_alerts(partials: DataFrame, lateness: str = "2 days") -> DataFrame:
+    """Alerts of the orders that are complete: header and line sum differ by more than 0.01."""
+    newest = partials.agg(F.max("ultimo")).scalar()
+    merged = partials.groupBy("id_pedido").agg(F.max("cabecalho").alias("_h"), F.sum("soma").alias("_s"),
+                                               F.sum("itens").alias("_n"), F.max("ultimo").alias("_t"))
+    value, total = F.col("_h.valor"), F.col("_s")
+    return (merged.where((F.col("_t") <= newest - F.expr(f"INTERVAL {lateness}")) & (F.col("_n") > 0)
+                         & (F.abs(value - total) > dec("0.01")))
+            .select("id_pedido", F.to_date("_h.ts").alias("dia"), value.cast("double").alias("valor_registrado"),
+                    total.cast("double").alias("valor_calculado"),
+                    F.when(value > total, "SOBREFATURAMENTO").otherwise("SUBFATURAMENTO").alias("tipo_anomalia")))

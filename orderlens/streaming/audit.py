@@ -1,93 +1,53 @@
-"""ST1: order change feed -> audit rows, as a stateful Structured Streaming query.
-
-Events are order images with a version.  Exact repeats of (id, version) are
-dropped within the watermark; per order, state keeps the highest version seen
-and its audited fields.  A higher version becomes INSERT (first image),
-UPDATE (value, status or delivery date changed) or SEM_ALTERACAO; a lower
-version is late and IGNORADO; the same version with different content is a
-CONFLITO.  State is keyed by order id, so it is spread over all tasks and
-checkpointed with the query.
+"""ST1: order change feed -> audit rows.
+
+The stream appends distinct change events by epoch; it keeps no state.  The audit rows
+are derived from the events in event-time order, so they are the same however the
+micro-batches were cut and in whatever order the files came: a version above all
+earlier ones of its order is an INSERT (the first image), an UPDATE (value, status or
+delivery date changed) or SEM_ALTERACAO; a lower one is late and IGNORADO; the same
+version with another image is a CONFLITO.  Late events are kept, not dropped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from orderlens.session import ship_package
+from orderlens.streaming.sink import write_epochs
 
 AUDITED = ["valor_total", "status", "data_entrega"]
-
-OUTPUT = T.StructType([
-    T.StructField("id_registro", T.LongType()), T.StructField("versao", T.IntegerType()),
-    T.StructField("operacao", T.StringType()), T.StructField("resultado", T.StringType()),
-    T.StructField("dados_anteriores", T.StringType()), T.StructField("dados_novos", T.StringType()),
-    T.StructField("ts", T.TimestampType()),
-])
-STATE = T.StructType([
-    T.StructField("versao", T.IntegerType()), T.StructField("campos", T.StringType()),
-    T.StructField("imagem", T.StringType()),
-])
+KEY = ["id_pedido", "versao", "imagem"]
 
 
-def prepare_events(changes: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Project order images to (id, version, audited fields as one text, JSON image, ts)
-    and drop exact repeats of (id, version, image) inside the watermark."""
+def prepare_events(changes: DataFrame) -> DataFrame:
+    """Order images as (id, version, JSON image, audited fields as one text, first time); exact
+    repeats of (id, version, image) merge before the shuffle."""
     fields = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in AUDITED])
     image_cols = [c for c in changes.columns if c not in ("ts", "versao")]
-    return (changes.withWatermark("ts", watermark)
-            .select(F.col("id_pedido").cast("long").alias("id_pedido"), F.col("versao").cast("int").alias("versao"),
-                    fields.alias("campos"), F.to_json(F.struct(*image_cols)).alias("imagem"), "ts")
-            .dropDuplicatesWithinWatermark(["id_pedido", "versao", "imagem"]))
-
-
-def _audit_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (id_pedido,) = key
-    events = pd.concat(list(batches), ignore_index=True).sort_values(["versao", "ts"], kind="stable")
-    if state.exists:
-        versao, campos, imagem = state.get
-    else:
-        versao, campos, imagem = None, None, None
-    rows = []
-    for ev in events.itertuples(index=False):
-        if versao is not None and ev.versao < versao:
-            rows.append((id_pedido, ev.versao, "UPDATE", "IGNORADO_VERSAO_ANTIGA", imagem, ev.imagem, ev.ts))
-            continue
-        if versao is not None and ev.versao == versao:
-            if ev.imagem != imagem:
-                rows.append((id_pedido, ev.versao, "UPDATE", "CONFLITO_VERSAO", imagem, ev.imagem, ev.ts))
-            continue
-        if versao is None:
-            rows.append((id_pedido, ev.versao, "INSERT", "AUDITADO", None, ev.imagem, ev.ts))
-        elif ev.campos != campos:
-            rows.append((id_pedido, ev.versao, "UPDATE", "AUDITADO", imagem, ev.imagem, ev.ts))
-        else:
-            rows.append((id_pedido, ev.versao, "UPDATE", "SEM_ALTERACAO", imagem, ev.imagem, ev.ts))
-        versao, campos, imagem = int(ev.versao), ev.campos, ev.imagem
-    state.update((versao, campos, imagem))
-    if rows:
-        yield pd.DataFrame(rows, columns=[f.name for f in OUTPUT.fields])
-
-
-def audit_stream(changes: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Streaming audit rows from a streaming DataFrame of order images (must carry
-    id_pedido, versao, ts and the audited columns)."""
-    ship_package(changes.sparkSession)  # the state function runs in Python workers
-    events = prepare_events(changes, watermark)
-    return events.groupBy("id_pedido").applyInPandasWithState(
-        _audit_group, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def run_to_table(stream_df: DataFrame, checkpoint: str, out_path: str, fmt: str = "parquet") -> None:
-    """Drive a streaming DataFrame to completion over the data available now
-    (``availableNow`` trigger), appending to ``out_path`` with a checkpoint, so a
-    restarted or re-run query resumes instead of reprocessing."""
-    q = (stream_df.writeStream.format(fmt).outputMode("append")
-         .option("checkpointLocation", checkpoint).option("path", out_path)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    return (changes.select(F.col("id_pedido").cast("long").alias("id_pedido"), F.col("versao").cast("int").alias("versao"),
+                           F.to_json(F.struct(*image_cols)).alias("imagem"), fields.alias("campos"), "ts")
+            .groupBy(*KEY).agg(F.first("campos").alias("campos"), F.min("ts").alias("ts")))
+
+
+def start_audit(changes_stream: DataFrame, out_path: str, checkpoint: str, available_now: bool = True):
+    """Run ST1: the distinct events of each micro-batch go to ``out_path``."""
+    return write_epochs(changes_stream, out_path, checkpoint, prepare_events, available_now)
+
+
+def audit_rows(events: DataFrame) -> DataFrame:
+    """The audit rows of the stored events (or of ``prepare_events`` of a batch).
+
+    Only an order's own events meet, in one window over its versions; repeats that came in
+    different epochs merge first."""
+    once = events.groupBy(*KEY).agg(F.first("campos").alias("campos"), F.min("ts").alias("ts"))
+    earlier = Window.partitionBy("id_pedido").orderBy("ts", "versao", "imagem").rowsBetween(Window.unboundedPreceding, -1)
+    # of the events before: the highest version, and the image that came with it first
+    top = F.max(F.struct("versao", (-F.unix_micros("ts")).alias("t"), "imagem", "campos")).over(earlier)
+    e = once.withColumn("_p", top)
+    result = (F.when(F.col("_p").isNull(), "AUDITADO")
+              .when(F.col("versao") < F.col("_p.versao"), "IGNORADO_VERSAO_ANTIGA")
+              .when(F.col("versao") == F.col("_p.versao"), "CONFLITO_VERSAO")
+              .when(F.col("campos") != F.col("_p.campos"), "AUDITADO").otherwise("SEM_ALTERACAO"))
+    return e.select(F.col("id_pedido").alias("id_registro"), "versao",
+                    F.when(F.col("_p").isNull(), "INSERT").otherwise("UPDATE").alias("operacao"), result.alias("resultado"),
+                    F.col("_p.imagem").alias("dados_anteriores"), F.col("imagem").alias("dados_novos"), "ts")

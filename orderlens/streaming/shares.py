@@ -1,9 +1,8 @@
 """ST3: proportional-share refresh when order values change, per micro-batch.
 
-Each micro-batch of value changes is joined to the current share table and
-the recomputed shares of the touched orders are written under the batch id
-(overwrite of ``epoch=<id>``), so a replayed batch rewrites the same files --
-the sink is idempotent and the query exactly-once with its checkpoint.
+Each micro-batch of value changes is joined to the current share table; the recomputed
+shares of the touched orders are written under the batch id with the time and version of
+their change.  ``current_shares`` resolves the newest change per share over all epochs.
 """
 
 from __future__ import annotations
@@ -12,25 +11,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.operators.sharing import share_value
+from orderlens.streaming.sink import write_epochs
 
 
 def refresh_batch(changes: DataFrame, shares: DataFrame) -> DataFrame:
-    """Shares of the changed orders with value = new total * pct / 100 (latest change per order)."""
+    """Shares of the changed orders with value = new total * pct / 100 (latest change per
+    order), and that change's ``ts`` and ``versao``."""
     latest = (changes.groupBy("id_pedido")
-              .agg(F.max_by(F.col("valor_total"), F.struct("ts", "versao")).alias("_novo")))
+              .agg(F.max(F.struct("ts", "versao", "valor_total")).alias("_novo")))
     return (shares.join(latest, "id_pedido")
-            .withColumn("valor_rateado", share_value(F.col("_novo"), F.col("percentual_rateio")))
-            .drop("_novo"))
+            .withColumn("valor_rateado", share_value(F.col("_novo.valor_total"), F.col("percentual_rateio")))
+            .withColumn("ts", F.col("_novo.ts")).withColumn("versao", F.col("_novo.versao")).drop("_novo"))
 
 
 def start_share_refresh(changes_stream: DataFrame, shares: DataFrame, out_path: str, checkpoint: str,
                         available_now: bool = True):
-    """Run ST3: ``foreachBatch`` over the change stream writing refreshed shares."""
-    def handle(batch: DataFrame, epoch_id: int) -> None:
-        refreshed = refresh_batch(batch, shares)
-        refreshed.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
-
-    w = changes_stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-    if available_now:
-        w = w.trigger(availableNow=True)
-    return w.start()
+    """Run ST3: the refreshed shares of each micro-batch go to ``out_path``."""
+    return write_epochs(changes_stream, out_path, checkpoint, lambda batch: refresh_batch(batch, shares), available_now)
+
+
+def current_shares(refreshed: DataFrame) -> DataFrame:
+    """One row per refreshed share: the one of the newest (ts, versao)."""
+    keys = ["id_pedido", "id_cliente"]
+    rest = [c for c in refreshed.columns if c not in (*keys, "ts", "versao", "epoch")]
+    newest = F.max_by(F.struct(*rest), F.struct("ts", "versao")).alias("_s")
+    return refreshed.groupBy(*keys).agg(newest).select(*keys, "_s.*").select(*[c for c in refreshed.columns if c in (*keys, *rest)])

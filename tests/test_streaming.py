@@ -1,32 +1,68 @@
-"""ST1 semantics: repeats dropped, late versions ignored, conflicts flagged."""
+"""ST1-ST3: repeats, late versions, conflicts and partial sums give the same rows however the micro-batches are cut."""
 
 import datetime as dt
-import tempfile
 
-from orderlens.streaming import audit
+import pytest
 
+from orderlens.streaming import alerts, audit, shares
 
-def test_audit_stream_versions(spark):
-    base = tempfile.mkdtemp(prefix="st1-", dir="/tmp")
-    t0 = dt.datetime(2025, 1, 1, 10)
+T0 = dt.datetime(2025, 1, 1, 10)
+HOUR = dt.timedelta(hours=1)
+
+
+def stream_of(spark, tmp_path, rows, schema, files):
+    """A file stream that hands out one of ``files`` per trigger."""
+    for k in range(files):
+        spark.createDataFrame(rows[k::files], schema).coalesce(1).write.parquet(f"{tmp_path}/in/b={k}")
+    return spark.readStream.schema(schema + ", b int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").drop("b")
+
+
+@pytest.mark.parametrize("files", [1, 2, 5])
+def test_audit_versions(spark, tmp_path, files):
     rows = [
-        (1, 1, "100.00", "Pendente", "2025-01-05", t0),
-        (1, 1, "100.00", "Pendente", "2025-01-05", t0),  # exact repeat
-        (1, 2, "120.00", "Pendente", "2025-01-05", t0 + dt.timedelta(hours=1)),
-        (1, 3, "120.00", "Pendente", "2025-01-05", t0 + dt.timedelta(hours=2)),  # nothing audited changed
-        (2, 1, "10.00", "Executado", "2025-01-06", t0),
-    ]
-    late = [
-        (1, 2, "999.00", "Pendente", "2025-01-05", t0 + dt.timedelta(hours=3)),  # late, lower version
-        (2, 1, "11.00", "Executado", "2025-01-06", t0 + dt.timedelta(hours=3)),  # same version, other data
+        (1, 1, "100.00", "Pendente", "2025-01-05", T0),
+        (1, 2, "120.00", "Pendente", "2025-01-05", T0 + HOUR),
+        (1, 1, "100.00", "Pendente", "2025-01-05", T0 + HOUR),  # exact repeat
+        (1, 3, "120.00", "Pendente", "2025-01-05", T0 + 2 * HOUR),  # nothing audited changed
+        (2, 1, "10.00", "Executado", "2025-01-06", T0),
+        (1, 2, "999.00", "Pendente", "2025-01-05", T0 + 3 * HOUR),  # late, lower version
+        (2, 1, "11.00", "Executado", "2025-01-06", T0 + 3 * HOUR),  # same version, other data
+        (3, 7, "5.00", None, None, T0 + 9000 * HOUR),  # a year on: nothing before it is dropped
     ]
     schema = "id_pedido long, versao int, valor_total string, status string, data_entrega string, ts timestamp"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{base}/in/b=0")
-    spark.createDataFrame(late, schema).coalesce(1).write.parquet(f"{base}/in/b=1")
-    stream = spark.readStream.schema(schema + ", b int").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    audit.run_to_table(audit.audit_stream(stream.drop("b")), f"{base}/ckpt", f"{base}/out")
-    out = sorted((r.id_registro, r.versao, r.operacao, r.resultado)
-                 for r in spark.read.parquet(f"{base}/out").collect())
-    assert out == [(1, 1, "INSERT", "AUDITADO"), (1, 2, "UPDATE", "AUDITADO"),
-                   (1, 2, "UPDATE", "IGNORADO_VERSAO_ANTIGA"), (1, 3, "UPDATE", "SEM_ALTERACAO"),
-                   (2, 1, "INSERT", "AUDITADO"), (2, 1, "UPDATE", "CONFLITO_VERSAO")]
+    audit.start_audit(stream_of(spark, tmp_path, rows, schema, files), f"{tmp_path}/out", f"{tmp_path}/ckpt").awaitTermination()
+    got = audit.audit_rows(spark.read.parquet(f"{tmp_path}/out")).collect()
+    assert sorted((r.id_registro, r.versao, r.operacao, r.resultado) for r in got) == [
+        (1, 1, "INSERT", "AUDITADO"), (1, 2, "UPDATE", "AUDITADO"), (1, 2, "UPDATE", "IGNORADO_VERSAO_ANTIGA"),
+        (1, 3, "UPDATE", "SEM_ALTERACAO"), (2, 1, "INSERT", "AUDITADO"), (2, 1, "UPDATE", "CONFLITO_VERSAO"),
+        (3, 7, "INSERT", "AUDITADO")]
+    assert [r.dados_anteriores for r in got if r.operacao == "INSERT"] == [None] * 3
+
+
+@pytest.mark.parametrize("files", [1, 3, 5])
+def test_alerts_join_header_and_lines_of_different_days(spark, tmp_path, files):
+    day = 24 * HOUR
+    rows = [("pedido", 1, T0, "30.00"), ("item", 1, T0 + day, "10.00"), ("item", 1, T0 + 3 * day, "20.00"),  # adds up
+            ("pedido", 2, T0, "30.00"), ("item", 2, T0 + 400 * day, "10.00"),  # diverges, lines a year later
+            ("pedido", 3, T0, "5.00"),  # no lines
+            ("item", 4, T0, "5.00"),  # no header
+            ("pedido", 5, T0 + 800 * day, "9.00"), ("item", 5, T0 + 800 * day, "1.00"),  # may still get lines
+            ("fim", None, T0 + 801 * day, None)]
+    schema = "tipo string, id_pedido long, ts timestamp, valor string"
+    stream = stream_of(spark, tmp_path, rows, schema, files)
+    stream = stream.withColumn("valor", stream.valor.cast("decimal(15,2)"))
+    alerts.start_alerts(stream, f"{tmp_path}/out", f"{tmp_path}/ckpt").awaitTermination()
+    got = alerts.divergence_alerts(spark.read.parquet(f"{tmp_path}/out")).collect()
+    assert [(r.id_pedido, r.valor_registrado, r.valor_calculado, r.tipo_anomalia) for r in got] == [(2, 30.0, 10.0, "SOBREFATURAMENTO")]
+
+
+@pytest.mark.parametrize("files", [1, 2])
+def test_newest_share_wins(spark, tmp_path, files):
+    rows = [(1, "200.00", 3, T0 + HOUR), (1, "100.00", 2, T0), (2, "50.00", 1, T0)]
+    stream = stream_of(spark, tmp_path, rows, "id_pedido long, valor_total string, versao int, ts timestamp", files)
+    stream = stream.withColumn("valor_total", stream.valor_total.cast("decimal(15,2)"))
+    table = spark.createDataFrame([(1, 10, "60.00"), (1, 11, "40.00"), (2, 10, "100.00")], "id_pedido long, id_cliente long, p string")
+    table = table.select("id_pedido", "id_cliente", table.p.cast("decimal(5,2)").alias("percentual_rateio"))
+    shares.start_share_refresh(stream, table, f"{tmp_path}/out", f"{tmp_path}/ckpt").awaitTermination()
+    got = shares.current_shares(spark.read.parquet(f"{tmp_path}/out"))
+    assert sorted((r.id_pedido, r.id_cliente, float(r.valor_rateado)) for r in got.collect()) == [(1, 10, 120.0), (1, 11, 80.0), (2, 10, 50.0)]
