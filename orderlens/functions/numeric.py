@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(15,2)"
+TOTAL = "decimal(28,2)"  # sums of money
 PRICE = "decimal(12,2)"
 WIDE = "decimal(38,0)"
 PCT_TYPE = "decimal(5,2)"

@@ -31,12 +31,14 @@ def item_sums(itens: DataFrame, rounded_lines: bool = True) -> DataFrame:
 
 
 def divergences_period(pedidos: DataFrame, itens: DataFrame, clientes: DataFrame, ref_date=None,
-                       periodo_dias: int = 365, limite: int = 500) -> DataFrame:
+                       periodo_dias: int = 365, limite: int | None = None) -> DataFrame:
     """Divergent orders (|recorded - lines| > 0.01) of the last ``periodo_dias``
-    days, largest difference first, capped at ``limite`` rows (the report's size)."""
+    days, largest difference first; all of them, or the first ``limite``.  Orders are
+    filtered by date before their lines are summed."""
     ref = ref_column(pedidos, ref_date)
     p = pedidos.where(F.col("data_pedido") >= days_before(ref, periodo_dias))
-    j = (p.join(item_sums(itens), "id_pedido")
+    lines = itens.join(p.select("id_pedido"), "id_pedido", "left_semi")
+    j = (p.join(item_sums(lines), "id_pedido")
          .where(abs_divergence(F.col("valor_total"), F.col("valor_calculado"), TOLERANCIA))
          .join(clientes.select("id_cliente", F.col("nome").alias("cliente")), "id_cliente"))
     diff = F.abs(F.col("valor_total") - F.col("valor_calculado"))
@@ -52,7 +54,8 @@ def divergences_period(pedidos: DataFrame, itens: DataFrame, clientes: DataFrame
         F.when(F.col("valor_total") > F.col("valor_calculado"), "SOBREFATURAMENTO")
          .otherwise("SUBFATURAMENTO").alias("tipo_anomalia"),
         F.lit("PENDENTE").alias("status_correcao"))
-    return out.orderBy(F.col("diferenca").desc(), F.col("id_pedido").asc()).limit(limite)
+    out = out.orderBy(F.col("diferenca").desc(), F.col("id_pedido").asc())
+    return out if limite is None else out.limit(limite)
 
 
 def divergences_all(pedidos: DataFrame, itens: DataFrame, clientes: DataFrame) -> DataFrame:
@@ -174,8 +177,7 @@ def correct_all_pending(pedidos: DataFrame, itens: DataFrame, clientes: DataFram
     result, new_log, corrected = correct_orders(pedidos, itens, pending, log, usuario,
                                                 "Correção em lote", quando, with_log)
     summary = result.agg(F.count_if(F.col("status") == "CORRIGIDO").alias("total_corrigidas"),
-                         F.count_if(F.col("status") != "CORRIGIDO").alias("total_sem_divergencia"),
-                         F.lit(0).alias("total_erros"))
+                         F.count_if(F.col("status") != "CORRIGIDO").alias("total_sem_divergencia"))
     return corrected, new_log, summary
 
 

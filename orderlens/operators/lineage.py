@@ -39,15 +39,22 @@ def order_numbers(pedidos: DataFrame, starts: dict[int, int] | None = None) -> D
         start = F.when(F.col("_ano") == year, F.lit(s)).otherwise(start)
     seq = start + F.col("_rn") - F.col("_first")
     numero = F.concat(F.lit(PREFIXO + "-"), F.col("_ano").cast("string"), F.lit("-"),
-                      F.lpad(seq.cast("string"), LARGURA_SEQ, "0"))
-    out = ranked.join(F.broadcast(first), "_ano").withColumn("numero_pedido", numero)  # one row per year
+                      _padded(seq))
+    first = F.broadcast(first.withColumnRenamed("_ano", "_de"))  # one row per year; orders without a date have no number
+    out = ranked.join(first, F.col("_ano").eqNullSafe(F.col("_de"))).drop("_de").withColumn("numero_pedido", numero)
     out = out.withColumn("chave_unica", natural_key(F.col("id_cliente"), F.col("data_pedido"), F.col("numero_pedido")))
     return out.drop("_ano", "_rn", "_first")
 
 
+def _padded(seq) -> F.Column:
+    """The sequence with zeros up to LARGURA_SEQ digits; longer ones keep all their digits."""
+    s = seq.cast("string")
+    return F.when(F.length(s) < LARGURA_SEQ, F.lpad(s, LARGURA_SEQ, "0")).otherwise(s)
+
+
 def natural_key(id_cliente, data_pedido, numero):
-    """L2: <client>-<yyyymmdd>-<number>."""
-    return F.concat_ws("-", id_cliente.cast("string"), F.date_format(data_pedido, "yyyyMMdd"), numero)
+    """L2: <client>-<yyyymmdd>-<number>; NULL when a part is."""
+    return F.concat(id_cliente.cast("string"), F.lit("-"), F.date_format(data_pedido, "yyyyMMdd"), F.lit("-"), numero)
 
 
 def integrity_hash(df: DataFrame) -> F.Column:
@@ -141,7 +148,7 @@ _BAND = math.log(1 / 0.9)  # one bucket = a value ratio of 0.9
 
 def duplicate_candidates(pedidos: DataFrame, clientes: DataFrame) -> DataFrame:
     """Pairs (id1 < id2) of the same customer and day whose values differ by less
-    than 10 % of the larger, or with the same delivery date; similarity in percent.
+    than 10 % of the larger (``por_valor``), or with the same delivery date; similarity in percent.
 
     No pair enumeration over a whole (customer, day) group: value pairs come from a
     band join on log-scale value buckets (a qualifying pair is at most one bucket
@@ -161,13 +168,13 @@ def duplicate_candidates(pedidos: DataFrame, clientes: DataFrame) -> DataFrame:
     top = F.greatest("valor_total_1", "valor_total_2")
     by_value = (l1.join(r2, keys1 & (l1._b == r2._b) & (l1.id_pedido_1 < r2.id_pedido_2))
                 .where(gap < top * dec(LIMIAR_DUPLICIDADE))
-                .select("id_pedido_1", "id_pedido_2"))
+                .select("id_pedido_1", "id_pedido_2", F.lit(True).alias("por_valor")))
     a1 = o.select(*[F.col(c).alias(c + "_1") for c in o.columns])
     a2 = o.select(*[F.col(c).alias(c + "_2") for c in o.columns])
     by_delivery = (a1.join(a2, (a1.id_cliente_1 == a2.id_cliente_2) & (a1.data_pedido_1 == a2.data_pedido_2)
                            & (a1.data_entrega_1 == a2.data_entrega_2) & (a1.id_pedido_1 < a2.id_pedido_2))
-                   .select("id_pedido_1", "id_pedido_2"))
-    pairs = by_value.unionByName(by_delivery).distinct()
+                   .select("id_pedido_1", "id_pedido_2", F.lit(False).alias("por_valor")))
+    pairs = by_value.unionByName(by_delivery).groupBy("id_pedido_1", "id_pedido_2").agg(F.max("por_valor").alias("por_valor"))
     p1 = o.select(*[F.col(c).alias(c + "_1") for c in o.columns])
     p2 = o.select(F.col("id_pedido").alias("id_pedido_2"), F.col("valor_total").alias("valor_total_2"))
     j = pairs.join(p1, "id_pedido_1").join(p2, "id_pedido_2")
@@ -182,7 +189,7 @@ def duplicate_candidates(pedidos: DataFrame, clientes: DataFrame) -> DataFrame:
                     F.date_format("data_pedido_1", "yyyy-MM-dd").alias("data_pedido"),
                     F.col("valor_total_1").cast("double").alias("valor_1"),
                     F.col("valor_total_2").cast("double").alias("valor_2"),
-                    sim.cast("double").alias("similaridade")))
+                    sim.cast("double").alias("similaridade"), "por_valor"))
 
 
 def duplicate_alerts(candidates: DataFrame, quando=None) -> DataFrame:
@@ -192,7 +199,7 @@ def duplicate_alerts(candidates: DataFrame, quando=None) -> DataFrame:
         F.lit("pedidos").alias("tabela"),
         F.to_json(F.array("id_pedido_1", "id_pedido_2")).alias("registros"),
         F.col("similaridade"),
-        F.when(F.col("similaridade") > 90, "Mesmo cliente e data, valores a menos de 10%")
+        F.when(F.col("por_valor"), "Mesmo cliente e data, valores a menos de 10%")
          .otherwise("Mesmo cliente, data e entrega").alias("motivo"),
         when_ts.alias("data_detecao"),
         F.lit(None).cast("timestamp").alias("data_resolucao"),

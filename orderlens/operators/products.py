@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions.dates import months_before, ref_column
-from orderlens.functions.numeric import WIDE, cents, pct_of, ratio_pct, rhu_div
+from orderlens.functions.numeric import TOTAL, WIDE, cents, pct_of, ratio_pct, rhu_div
 from orderlens.functions.predicates import not_cancelled
 
 # Share of the mean sale price used as a cost estimate, and the
@@ -63,7 +63,7 @@ def top_products_pct(revenue: DataFrame, k: int = 5, digits: int = 0) -> DataFra
     top = top.withColumn("_max", F.max("total_vendas").over(Window.partitionBy()))  # over k rows
     return top.select(
         "id_produto", "nome", "total_vendas",
-        pct_of(F.col("total_vendas").cast("decimal(15,2)"), F.col("_max").cast("decimal(15,2)"), digits)
+        pct_of(F.col("total_vendas").cast(TOTAL), F.col("_max").cast(TOTAL), digits)
         .alias("percentual")).orderBy(F.col("total_vendas").desc(), "id_produto")
 
 
@@ -95,7 +95,7 @@ def margin_ranking(itens: DataFrame, pedidos: DataFrame, produtos: DataFrame, re
         "id_produto", "nome",
         F.coalesce("categoria", F.lit("Outros")).alias("categoria"),
         F.coalesce("subcategoria", "categoria", F.lit("Outros")).alias("subcategoria"),
-        F.col("_tv").cast("decimal(15,2)").alias("_tv2"),
+        F.col("_tv").cast(TOTAL).alias("_tv2"),
         (rhu_div(tc_num, den) / 100.0).alias("total_custo"),
         (rhu_div(margin_num, den) / 100.0).alias("margem_bruta"),
         F.when(F.col("_tv") > 0, rhu_div(margin_num * 1000, den * tv_c) / 10.0)
@@ -157,7 +157,7 @@ def product_kpis(ranking: DataFrame) -> DataFrame:
     """PR6: KPIs over the margin ranking: revenue, unweighted mean margin %, volume,
     orders (a sum of per-product distinct counts, so shared orders repeat)."""
     return ranking.agg(
-        F.sum(F.col("total_vendas").cast("decimal(15,2)")).cast("double").alias("receita_total"),
+        F.sum(F.col("total_vendas").cast(TOTAL)).cast("double").alias("receita_total"),
         (rhu_div(F.sum(F.round(F.col("margem_pct") * 10).cast("long")), F.count(F.lit(1))) / 10.0).alias("margem_media"),
         F.sum("volume_total").cast("long").alias("volume_total"),
         F.sum("total_contratos").alias("contratos"))

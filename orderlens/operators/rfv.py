@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions.dates import ref_column
-from orderlens.functions.numeric import avg_money, rhu_div
+from orderlens.functions.numeric import TOTAL, avg_money, rhu_div
 from orderlens.functions.predicates import not_cancelled
 from orderlens.plans.ranking import with_global_row_number, with_ntile, with_position, with_previous
 from orderlens.plans.stats import equal_width_histogram, grouped_box
@@ -169,12 +169,12 @@ def segment_summary(rfv: DataFrame) -> DataFrame:
     """Per segment, customers and total value."""
     return (rfv.groupBy("segmento")
             .agg(F.count(F.lit(1)).alias("clientes"),
-                 F.sum(F.col("valor_total").cast("decimal(15,2)")).cast("double").alias("valor")))
+                 F.sum(F.col("valor_total").cast(TOTAL)).cast("double").alias("valor")))
 
 
 def region_summary(rfv: DataFrame) -> DataFrame:
     """Per region, customers, champions, value and value per customer."""
-    v = F.col("valor_total").cast("decimal(15,2)")
+    v = F.col("valor_total").cast(TOTAL)
     return (rfv.groupBy("regiao")
             .agg(F.count(F.lit(1)).alias("clientes"),
                  F.count_if(F.col("segmento") == "Campeão").alias("campeoes"),

@@ -235,10 +235,10 @@ def requests_from_shares(shares: DataFrame, pedidos: DataFrame, itens: DataFrame
 
 
 def order_documents(pedidos: DataFrame, coowners: DataFrame, itens: DataFrame, produtos: DataFrame,
-                    max_items: int = 10000) -> DataFrame:
+                    max_items: int | None = None) -> DataFrame:
     """Nested documents for all orders at once: order fields, owners[] and items[].
 
-    An order with more than ``max_items`` lines gets several document parts
+    One document per order; with ``max_items``, an order with more lines gets several parts
     (``parte`` 0..``partes``-1); its lines are spread over the parts by a hash of
     the line, so no collected group holds more than about ``max_items`` lines even
     when one order carries a third of all lines.
@@ -246,7 +246,8 @@ def order_documents(pedidos: DataFrame, coowners: DataFrame, itens: DataFrame, p
     own = coowners.groupBy("id_pedido").agg(F.sort_array(F.collect_list(F.struct(
         "id_cliente", F.col("percentual_rateio").alias("percentual")))).alias("proprietarios"))
     sizes = itens.groupBy("id_pedido").agg(F.count(F.lit(1)).alias("_n"))
-    parts = sizes.select("id_pedido", F.ceil(F.col("_n") / F.lit(max_items)).cast("long").alias("partes"))
+    count = F.lit(1) if max_items is None else F.ceil(F.col("_n") / F.lit(max_items))
+    parts = sizes.select("id_pedido", count.cast("long").alias("partes"))
     line = F.xxhash64("id_produto", "quantidade", "preco_unitario", "subtotal", *[c for c in ("id_item",) if c in itens.columns])
     its = (itens.join(parts, "id_pedido")
            .withColumn("parte", F.pmod(line, F.col("partes")))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions.dates import MONTHS_PT, month_label_pt, ref_column, start_of_previous_year
-from orderlens.functions.numeric import avg_money, cents, ratio_pct, rhu_div
+from orderlens.functions.numeric import TOTAL, avg_money, cents, ratio_pct, rhu_div
 from orderlens.functions.predicates import not_cancelled
 
 # Trend direction thresholds (percent) and markers.
@@ -39,9 +39,11 @@ def _growth(total="_total"):
     return ratio_pct(F.col(total) - prev, prev, 2)
 
 
-def monthly_trend(pedidos: DataFrame, ano: int | None = None, trimestre: int | None = None) -> DataFrame:
+def monthly_trend(pedidos: DataFrame, ano: int | None = None, trimestre: int | None = None,
+                  exact: bool = False) -> DataFrame:
     """TR1 (and TR9 with ``ano`` / ``trimestre``): monthly sales, orders, growth vs the
-    previous existing month, labels.  Newest first when ordered by ``mes_ano`` desc."""
+    previous existing month, labels.  Newest first when ordered by ``mes_ano`` desc.
+    ``exact`` keeps the sales a decimal, for the tables derived from them."""
     m = monthly_sales(pedidos)
     m = m.withColumn("crescimento", _growth())
     if ano is not None:
@@ -50,7 +52,7 @@ def monthly_trend(pedidos: DataFrame, ano: int | None = None, trimestre: int | N
         m = m.where(F.quarter("mes") == trimestre)
     return m.select(F.date_format("mes", "yyyy-MM").alias("mes_ano"),
                     F.date_format("mes", "MMM/yyyy").alias("mes_label"),
-                    F.col("_total").cast("double").alias("vendas"),
+                    F.col("_total").cast(TOTAL if exact else "double").alias("vendas"),
                     "contratos", "crescimento")
 
 
@@ -80,7 +82,7 @@ def monthly_trend_test(pedidos: DataFrame) -> DataFrame:
 def trend_kpis(trend: DataFrame) -> DataFrame:
     """TR4: period total, orders, ticket = total / orders (whole units) and the
     growth of the newest month that has one."""
-    total = F.sum(F.col("vendas").cast("decimal(15,2)"))
+    total = F.sum(F.col("vendas").cast(TOTAL))
     return trend.agg(
         total.cast("double").alias("total_vendas"),
         F.sum("contratos").alias("total_contratos"),
@@ -92,21 +94,21 @@ def trend_kpis(trend: DataFrame) -> DataFrame:
 def trend_table(trend: DataFrame) -> DataFrame:
     """TR5: running totals -- chronological (W5) and newest-first as in the detail
     table (W6) -- and the direction marker (> 5 % up, < -5 % down, else flat)."""
-    v = F.col("vendas").cast("decimal(15,2)")
+    v = F.col("vendas").cast(TOTAL)
     asc = Window.orderBy("mes_ano").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     desc = Window.orderBy(F.col("mes_ano").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     c = F.col("crescimento")
-    return trend.select("mes_ano", "vendas", "contratos", "crescimento",
+    return trend.select("mes_ano", F.col("vendas").cast("double").alias("vendas"), "contratos", "crescimento",
                         F.sum(v).over(asc).cast("double").alias("acumulado"),
                         F.sum(v).over(desc).cast("double").alias("acumulado_tabela"),
                         F.when(c > ALTA, SETA_ALTA).when(c < QUEDA, SETA_QUEDA).otherwise(SETA_ESTAVEL)
                         .alias("tendencia"))
 
 
-def year_month_matrix(pedidos: DataFrame, ref_date=None) -> DataFrame:
+def year_month_matrix(pedidos: DataFrame, ref_date=None, exact: bool = False) -> DataFrame:
     """TR6 / A12: sales and orders per (year, month) since 1 January of the year
     before ``ref``; every month 1-12 of every year present is filled (0 when empty).
-    The wide form is ``groupBy('mes').pivot('ano')`` over this table."""
+    ``exact`` keeps the sales a decimal, for the tables derived from them."""
     ref = ref_column(pedidos, ref_date)
     o = pedidos.where(not_cancelled() & (F.col("data_pedido") >= start_of_previous_year(ref)))
     agg = (o.groupBy(F.year("data_pedido").alias("ano"), F.month("data_pedido").alias("mes"))
@@ -116,14 +118,24 @@ def year_month_matrix(pedidos: DataFrame, ref_date=None) -> DataFrame:
     names = F.array(*[F.lit(m) for m in MONTHS_PT])
     return (spine.join(agg, ["ano", "mes"], "left")
             .select("ano", "mes", F.element_at(names, F.col("mes")).alias("mes_nome"),
-                    F.coalesce(F.col("_v"), F.lit(0).cast("decimal(15,2)")).cast("double").alias("vendas"),
+                    F.coalesce(F.col("_v"), F.lit(0).cast(TOTAL)).cast(TOTAL if exact else "double").alias("vendas"),
                     F.coalesce(F.col("_c"), F.lit(0)).cast("long").alias("contratos")))
 
 
+def year_columns(matrix: DataFrame, ref_date) -> DataFrame:
+    """A12, wide form: a row per month and, for the year of ``ref_date`` and the one before, a
+    column of sales and one of orders (``vendas_<year>``, ``contratos_<year>``); 0 where empty."""
+    out = [F.first("mes_nome").alias("mes_nome")]
+    for ano in (ref_date.year - 1, ref_date.year):
+        for c in ("vendas", "contratos"):
+            out.append(F.coalesce(F.max(F.when(F.col("ano") == ano, F.col(c))), F.lit(0)).cast(matrix.schema[c].dataType).alias(f"{c}_{ano}"))
+    return matrix.groupBy("mes").agg(*out)
+
+
 def year_comparison(matrix: DataFrame) -> DataFrame:
     """TR7: YoY % (last vs first year), best month of the last year (first maximum),
     projection = last-year total * 12 / months with sales."""
-    v = F.col("vendas").cast("decimal(15,2)")
+    v = F.col("vendas").cast(TOTAL)
     per_year = matrix.groupBy("ano").agg(
         F.sum(v).alias("_tot"),
         F.count_if(v > 0).alias("_meses"),
@@ -143,7 +155,7 @@ def year_comparison(matrix: DataFrame) -> DataFrame:
 
 def chart_feed(trend: DataFrame) -> DataFrame:
     """TR8: chronological feed: sales in millions (2 dp), growth NULL -> 0 (1 dp)."""
-    v = F.col("vendas").cast("decimal(15,2)")
+    v = F.col("vendas").cast(TOTAL)
     g = F.col("crescimento").cast("decimal(12,2)")
     return trend.select("mes_ano",
                         (rhu_div(cents(v), F.lit(1_000_000)) / 100.0).alias("vendas_milhoes"),

@@ -52,7 +52,7 @@ def grouped_box(df: DataFrame, groups: list[str], value: str, tiebreak: str) ->
     ranked = with_global_row_number(base, order, "_rn")
     # each group is a contiguous range of row numbers: attach its first number and size
     g = ranked.groupBy(*groups).agg(F.min("_rn").alias("_start"), F.count(F.lit(1)).alias("_cnt"))
-    r2 = ranked.join(g, groups)
+    r2 = _join_null_safe(ranked, g, groups)
     picks = []
     for name, p in QUARTILES:
         pos = (F.col("_cnt") - 1) * F.lit(p)
@@ -60,16 +60,25 @@ def grouped_box(df: DataFrame, groups: list[str], value: str, tiebreak: str) ->
                   F.max(F.when(F.col("_rn") == F.col("_start") + F.ceil(pos), F.col("_v"))).alias(name + "_hi")]
     stats = _interpolate(r2.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("minimo"),
                                                  F.max("_v").alias("maximo"), *picks))
-    inside = (r2.join(stats.select(*groups, "_lf", "_uf"), groups)
+    inside = (_join_null_safe(r2, stats.select(*groups, "_lf", "_uf"), groups)
               .groupBy(*groups)
               .agg(F.count_if((F.col("_v") < F.col("_lf")) | (F.col("_v") > F.col("_uf"))).alias("outliers"),
                    F.min(F.when(F.col("_v") >= F.col("_lf"), F.col("_v"))).alias("bigode_inferior"),
                    F.max(F.when(F.col("_v") <= F.col("_uf"), F.col("_v"))).alias("bigode_superior")))
-    return (stats.join(inside, groups)
+    return (_join_null_safe(stats, inside, groups)
             .select(*groups, "n", "minimo", "q1", "mediana", "q3", "maximo", "iqr",
                     "bigode_inferior", "bigode_superior", "outliers"))
 
 
+def _join_null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` in which NULL meets NULL (the NULL group is a group)."""
+    b = b.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in b.columns])
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return a.join(b, on).drop(*[f"_k_{c}" for c in keys])
+
+
 def _interpolate(stats: DataFrame) -> DataFrame:
     for name, p in QUARTILES:
         pos = (F.col("n") - 1) * F.lit(p)

@@ -154,12 +154,12 @@ def _tr3(t):
 
 @register("TR4_trend_kpis")
 def _tr4(t):
-    return trends.trend_kpis(trends.monthly_trend(t.pedidos))
+    return trends.trend_kpis(trends.monthly_trend(t.pedidos, exact=True))
 
 
 @register("TR5_trend_table")
 def _tr5(t):
-    return trends.trend_table(trends.monthly_trend(t.pedidos))
+    return trends.trend_table(trends.monthly_trend(t.pedidos, exact=True))
 
 
 @register("TR6_year_month_matrix")
@@ -169,12 +169,12 @@ def _tr6(t):
 
 @register("TR7_year_comparison")
 def _tr7(t):
-    return trends.year_comparison(trends.year_month_matrix(t.pedidos))
+    return trends.year_comparison(trends.year_month_matrix(t.pedidos, exact=True))
 
 
 @register("TR8_chart_feed")
 def _tr8(t):
-    return trends.chart_feed(trends.monthly_trend(t.pedidos))
+    return trends.chart_feed(trends.monthly_trend(t.pedidos, exact=True))
 
 
 @register("TR9_trend_year_quarter")
@@ -594,9 +594,14 @@ def _s9(t):
     return browse.order_browse(t.pedidos, t.clientes, S9_INICIO, S9_FIM)
 
 
+@register("S6d_data_page_products")
+def _s6d(t):
+    return browse.data_page_products(t.produtos)
+
+
 @register("S10_item_browse")
 def _s10(t):
-    return browse.data_page_items(t.itens_pedido_com_id, t.produtos, cap=browse.CAP_ITENS_EXPLORER)
+    return browse.data_page_items(t.itens_pedido_com_id, t.produtos)
 
 
 @register("S11_json_records")
@@ -651,7 +656,7 @@ def _scratch(t, tag):
 @register("ST1_audit_stream")
 def _st1(t):
     """Change feed of every order (version 1) and its batch correction (version 2)
-    through the stateful audit stream."""
+    through the audit stream."""
     base = _scratch(t, "st1")
     corrected, _, _ = _batch_log(t, with_log=False)
     changed = corrected.join(t.pedidos.select("id_pedido", F.col("valor_total").alias("_old")), "id_pedido") \
@@ -662,15 +667,15 @@ def _st1(t):
     v1.write.parquet(f"{base}/in/part=1")
     v2.write.parquet(f"{base}/in/part=2")
     schema = t.spark.read.parquet(f"{base}/in").schema
-    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{base}/in")
-    st_audit.run_to_table(st_audit.audit_stream(stream.drop("part")), f"{base}/ckpt", f"{base}/out")
-    return t.spark.read.parquet(f"{base}/out").select("id_registro", "versao", "operacao", "resultado")
+    stream = t.spark.readStream.schema(schema).parquet(f"{base}/in")
+    st_audit.start_audit(stream.drop("part"), f"{base}/out", f"{base}/ckpt").awaitTermination()
+    return st_audit.audit_rows(t.spark.read.parquet(f"{base}/out")).select("id_registro", "versao", "operacao", "resultado")
 
 
 @register("ST2_divergence_alerts")
 def _st2(t):
-    """Header and line events of all orders through the watermarked alert stream;
-    an end-of-stream event closes the last windows."""
+    """Header and line events of all orders through the alert stream; an end-of-stream
+    event makes the last orders complete."""
     base = _scratch(t, "st2")
     ev = st_alerts.order_events(t.pedidos, t.itens_pedido)
     ev.write.parquet(f"{base}/in/b=0")
@@ -679,17 +684,11 @@ def _st2(t):
                                   F.lit(None).cast("decimal(15,2)").alias("valor"))
     end.write.parquet(f"{base}/in/b=1")
     schema = t.spark.read.parquet(f"{base}/in").schema
-    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in")
-    alerts = st_alerts.divergence_alerts(stream.drop("b"))
-    # data and end marker arrive in one micro-batch (nothing is late); the watermark then
-    # moves past every window and Spark's following no-data batch emits them
-    q = (alerts.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", f"{base}/ckpt").option("path", f"{base}/out")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return (t.spark.read.parquet(f"{base}/out")
-            .select("id_pedido", F.date_format("dia", "yyyy-MM-dd").alias("dia"), "valor_registrado",
-                    "valor_calculado", "tipo_anomalia"))
+    stream = t.spark.readStream.schema(schema).parquet(f"{base}/in")
+    st_alerts.start_alerts(stream.drop("b"), f"{base}/out", f"{base}/ckpt").awaitTermination()
+    alerts = st_alerts.divergence_alerts(t.spark.read.parquet(f"{base}/out"))
+    return alerts.select("id_pedido", F.date_format("dia", "yyyy-MM-dd").alias("dia"), "valor_registrado",
+                         "valor_calculado", "tipo_anomalia")
 
 
 @register("ST3_share_refresh_stream")
@@ -706,7 +705,7 @@ def _st3(t):
     shares = sharing.generate_shares(t.pedidos, t.clientes)
     q = st_shares.start_share_refresh(stream, shares, f"{base}/out", f"{base}/ckpt")
     q.awaitTermination()
-    return _shares_view(t.spark.read.parquet(f"{base}/out").drop("epoch"))
+    return _shares_view(st_shares.current_shares(t.spark.read.parquet(f"{base}/out")))
 
 
 @register("W1_purchase_gaps")

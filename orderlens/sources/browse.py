@@ -1,6 +1,6 @@
 """Table browsing: projections, formatting, key order, result caps, search and
-paging (S6-S10, S12, S14).  Capped browses are top-k sorts (TakeOrderedAndProject):
-each task keeps its own k best rows, so the cap never gathers a whole table.
+paging (S6-S10, S12, S14).  Browses return whole tables unless the caller asks for
+the first ``limite`` rows; that is a top-k sort, where each task keeps its own k best.
 """
 
 from __future__ import annotations
@@ -10,35 +10,44 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.predicates import in_closed_range, like_escape
 
-# Row caps of the data page (customers, orders, lines) and of the line browse.
-CAP_CLIENTES, CAP_PEDIDOS, CAP_ITENS, CAP_ITENS_EXPLORER = 500, 1000, 2000, 5000
 PAGINA = 25
 
 
-def data_page_customers(clientes: DataFrame) -> DataFrame:
-    """First 500 customers by id."""
-    return (clientes.select("id_cliente", "nome", "tipo_cliente", "regiao",
+def _first(df: DataFrame, limite: int | None) -> DataFrame:
+    return df if limite is None else df.limit(limite)
+
+
+def data_page_customers(clientes: DataFrame, limite: int | None = None) -> DataFrame:
+    """Customers by id."""
+    return _first(clientes.select("id_cliente", "nome", "tipo_cliente", "regiao",
                             F.date_format("data_cadastro", "yyyy-MM-dd").alias("data_cadastro"),
                             F.col("limite_credito").cast("double").alias("limite_credito"))
-            .orderBy("id_cliente").limit(CAP_CLIENTES))
+            .orderBy("id_cliente"), limite)
 
 
-def data_page_orders(pedidos: DataFrame, clientes: DataFrame) -> DataFrame:
-    """Newest 1000 orders by id with customer name, value at 2 dp."""
-    return (pedidos.join(clientes.select("id_cliente", F.col("nome").alias("cliente")), "id_cliente")
+def data_page_orders(pedidos: DataFrame, clientes: DataFrame, limite: int | None = None) -> DataFrame:
+    """Orders, newest first by id, with customer name, value at 2 dp."""
+    return _first(pedidos.join(clientes.select("id_cliente", F.col("nome").alias("cliente")), "id_cliente")
             .select("id_pedido", F.date_format("data_pedido", "dd/MM/yyyy").alias("data_pedido"), "cliente",
                     "status", "tipo_contrato", F.round("valor_total", 2).cast("double").alias("valor_total"),
                     "regiao_origem", "regiao_destino")
-            .orderBy(F.col("id_pedido").desc()).limit(CAP_PEDIDOS))
+            .orderBy(F.col("id_pedido").desc()), limite)
 
 
-def data_page_items(itens: DataFrame, produtos: DataFrame, cap: int = CAP_ITENS) -> DataFrame:
-    """The last ``cap`` order lines by id with product name (needs id_item)."""
-    return (itens.join(produtos.select("id_produto", F.col("nome").alias("produto")), "id_produto")
+def data_page_items(itens: DataFrame, produtos: DataFrame, limite: int | None = None) -> DataFrame:
+    """Order lines, last first by id, with product name (needs id_item)."""
+    return _first(itens.join(produtos.select("id_produto", F.col("nome").alias("produto")), "id_produto")
             .select("id_item", "id_pedido", "produto", F.col("quantidade").cast("double").alias("quantidade"),
                     F.coalesce(F.round("preco_unitario", 2), F.lit(0)).cast("double").alias("preco_unitario"),
                     F.coalesce(F.round("subtotal", 2), F.lit(0)).cast("double").alias("subtotal"))
-            .orderBy(F.col("id_item").desc()).limit(cap))
+            .orderBy(F.col("id_item").desc()), limite)
+
+
+def data_page_products(produtos: DataFrame, limite: int | None = None) -> DataFrame:
+    """Products by id."""
+    return _first(produtos.select("id_produto", "nome", "categoria", "subcategoria", "unidade",
+                                  F.col("preco_unitario").cast("double").alias("preco_unitario"))
+                  .orderBy("id_produto"), limite)
 
 
 def customer_browse(clientes: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ writes are full refreshes in parent-before-child order, partitioned writers.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,20 +18,19 @@ DB_MANAGED = ("created_at", "subtotal")
 def load_tables(spark: SparkSession, path: str, fmt: str = "parquet", names=None,
                 options: dict | None = None) -> dict[str, DataFrame]:
     """Read ``<path>/<table>.<fmt>`` for each model table with its declared schema.
-    Missing tables are returned as None (like a missing sheet)."""
-    import os
+    Missing tables are returned as None (like a missing sheet); Spark is asked, so any
+    file system does, and every other error is raised."""
     out = {}
     for name in names or LOAD_ORDER:
-        p = f"{path}/{name}.{fmt}"
-        if p.startswith("/") and not os.path.exists(p):
+        reader = spark.read.options(**(options or {})).schema(SCHEMAS[name])
+        if fmt == "csv":
+            reader = reader.option("header", "true")
+        try:
+            out[name] = reader.format(fmt).load(f"{path}/{name}.{fmt}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             out[name] = None
-            continue
-        reader = spark.read.options(**(options or {}))
-        if fmt in ("csv", "json"):
-            reader = reader.schema(SCHEMAS[name])
-            if fmt == "csv":
-                reader = reader.option("header", "true")
-        out[name] = reader.format(fmt).load(p)
     return out
 
 
