@@ -131,6 +131,16 @@ def _next_ids(df: DataFrame, log: DataFrame, order: list[str], name: str) -> Dat
     return numbered.withColumn(name, hw + F.col("_rn")).drop("_rn")
 
 
+def _log_rows(fixes: DataFrame, log: DataFrame, usuario: str, motivo: str, when_ts) -> DataFrame:
+    """Log rows of the orders whose valor_total becomes _novo."""
+    fixes = fixes.select("id_pedido", "valor_total", "_novo")
+    return _next_ids(fixes, log, ["id_pedido"], "id_correcao").select(
+        "id_correcao", "id_pedido", F.lit("valor_total").alias("campo_corrigido"),
+        F.col("valor_total").alias("valor_anterior"), F.col("_novo").alias("valor_novo"),
+        F.lit("AUTOMATICA").alias("tipo_correcao"), F.lit(usuario).alias("usuario_correcao"),
+        F.lit(motivo).alias("motivo_correcao"), when_ts.alias("data_correcao"))
+
+
 def correct_orders(pedidos: DataFrame, itens: DataFrame, keys: DataFrame, log: DataFrame,
                    usuario: str = "SISTEMA", motivo: str = "Correção automática de divergência",
                    quando=None, with_log: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame]:
@@ -155,11 +165,7 @@ def correct_orders(pedidos: DataFrame, itens: DataFrame, keys: DataFrame, log: D
         F.col("valor_total").cast("double").alias("valor_anterior"),
         F.col("valor_calculado").cast("double").alias("valor_novo"))
     fixes = target.where(diverges)
-    new_log = None if not with_log else _next_ids(fixes, log, ["id_pedido"], "id_correcao").select(
-        "id_correcao", "id_pedido", F.lit("valor_total").alias("campo_corrigido"),
-        F.col("valor_total").alias("valor_anterior"), F.col("valor_calculado").alias("valor_novo"),
-        F.lit("AUTOMATICA").alias("tipo_correcao"), F.lit(usuario).alias("usuario_correcao"),
-        F.lit(motivo).alias("motivo_correcao"), when_ts.alias("data_correcao"))
+    new_log = None if not with_log else _log_rows(fixes.withColumn("_novo", F.col("valor_calculado")), log, usuario, motivo, when_ts)
     corrected = (pedidos.join(fixes.select("id_pedido", F.col("valor_calculado").alias("_novo")), "id_pedido", "left")
                  .withColumn("valor_total", F.coalesce("_novo", "valor_total").cast(MONEY)).drop("_novo")
                  .select(*pedidos.columns))
@@ -171,13 +177,21 @@ def correct_all_pending(pedidos: DataFrame, itens: DataFrame, clientes: DataFram
                         with_log: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Correct every PENDENTE order of the anomaly view in one pass.
 
-    Returns (orders with corrected values, new log rows, one-row summary).
+    One join of the orders with their line sums (and the log's latest corrections) decides
+    each order; corrected orders, log rows and summary are projections of it.  Returns
+    (orders with corrected values, new log rows, one-row summary).
     """
-    pending = anomaly_view(pedidos, itens, clientes, log).where(F.col("status_correcao") == "PENDENTE")
-    result, new_log, corrected = correct_orders(pedidos, itens, pending, log, usuario,
-                                                "Correção em lote", quando, with_log)
-    summary = result.agg(F.count_if(F.col("status") == "CORRIGIDO").alias("total_corrigidas"),
-                         F.count_if(F.col("status") != "CORRIGIDO").alias("total_sem_divergencia"))
+    when_ts = F.current_timestamp() if quando is None else F.lit(str(quando)).cast("timestamp")
+    j = (pedidos.join(item_sums(itens).select("id_pedido", "valor_calculado"), "id_pedido", "left")
+         .join(latest_corrections(log).select("id_pedido", "data_correcao"), "id_pedido", "left")
+         .join(clientes.select("id_cliente", F.lit(True).alias("_cliente")), "id_cliente", "left"))
+    pending = (F.col("_cliente") & F.col("data_correcao").isNull()
+               & abs_divergence(F.col("valor_total"), F.col("valor_calculado"), TOLERANCIA))
+    j = j.withColumn("_pendente", F.coalesce(pending, F.lit(False))).withColumn("_novo", F.col("valor_calculado").cast(MONEY))
+    new_log = None if not with_log else _log_rows(j.where("_pendente"), log, usuario, "Correção em lote", when_ts)
+    corrected = (j.withColumn("valor_total", F.when(F.col("_pendente"), F.col("_novo")).otherwise(F.col("valor_total")).cast(MONEY))
+                 .select(*pedidos.columns))
+    summary = j.agg(F.count_if("_pendente").alias("total_corrigidas"), F.lit(0).cast("long").alias("total_sem_divergencia"))
     return corrected, new_log, summary
 
 

@@ -263,7 +263,7 @@ def _c4(t):
 @register("C5_correct_orders")
 def _c5(t):
     result, _, _ = divergence.correct_orders(t.pedidos, t.itens_pedido, t.pedidos.select("id_pedido"),
-                                             divergence.empty_log(t.spark), quando=CORRECTION_TIME)
+                                             divergence.empty_log(t.spark), quando=CORRECTION_TIME, with_log=False)
     return result
 
 
