@@ -42,7 +42,8 @@ SELECT id_pedido, numero_pedido, CASE WHEN stored = {hash_of()} THEN 'VALIDO' EL
 FROM cur"""
 
 L7 = ", " + TRACED + ", " + CORRECTED + """
-SELECT t.id_pedido, t.numero_pedido, c.nome AS cliente_nome,
+SELECT t.* REPLACE (CAST(t.data_pedido AS VARCHAR) AS data_pedido, CAST(t.data_entrega AS VARCHAR) AS data_entrega, CAST(t.valor_total AS DOUBLE) AS valor_total),
+       """ + hash_of('t') + """ AS hash_integridade, 1 AS versao, c.nome AS cliente_nome,
        CASE WHEN k.id_pedido IS NOT NULL THEN '2001-08-02 10:00:00' END AS ultima_alteracao,
        CAST(CASE WHEN k.id_pedido IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS total_alteracoes,
        CASE WHEN """ + hash_of('t') + " = " + hash_of('t') + """ THEN 'VALIDO' ELSE 'CORROMPIDO' END AS status_integridade
@@ -78,8 +79,12 @@ FROM corr"""
 
 N1 = "\nSELECT id_item, id_pedido, id_produto, CAST(subtotal AS DOUBLE) AS subtotal FROM itens_pedido"
 
-L4B = ", " + CORRECTED + """
-SELECT 'pedidos' AS tabela_afetada, 'UPDATE' AS operacao, COUNT(*) AS registros FROM corr HAVING COUNT(*) > 0"""
+# The snapshot before ends a year before the newest order; the one after starts a year after the oldest.
+L4B = ", " + CORRECTED + """,
+span AS (SELECT CAST(max(data_pedido) - INTERVAL 1 YEAR AS DATE) AS a, CAST(min(data_pedido) + INTERVAL 1 YEAR AS DATE) AS b FROM pedidos),
+ops AS (SELECT CASE WHEN data_pedido > a THEN 'INSERT' WHEN data_pedido < b THEN 'DELETE' WHEN id_pedido IN (SELECT id_pedido FROM corr) THEN 'UPDATE' END AS operacao
+        FROM pedidos, span)
+SELECT 'pedidos' AS tabela_afetada, operacao, count(*) AS registros FROM ops WHERE operacao IS NOT NULL GROUP BY operacao"""
 
 SQL = {"L4b_audit_summary": L4B,
     "L1_order_numbers": L1, "L5_stamp_updates": L5, "L6_integrity_report": L6, "L7_traced_view": L7,

@@ -8,8 +8,8 @@ SELECT id_pedido, id_cliente, CAST(percentual_rateio AS DOUBLE) AS percentual_ra
 H1 = """, sizes AS (FROM pedido_clientes SELECT id_pedido, count() AS total_participantes GROUP BY ALL)
 FROM sizes NATURAL JOIN pedido_clientes
   JOIN (SELECT id_cliente, nome AS cliente_nome, tipo_cliente FROM clientes) USING (id_cliente)
-  JOIN (SELECT id_pedido, CAST(data_pedido AS VARCHAR) AS data_pedido, CAST(valor_total AS DOUBLE) AS valor_total FROM pedidos) USING (id_pedido)
-SELECT id_pedido, id_cliente, cliente_nome, tipo_cliente, data_pedido, valor_total, total_participantes,
+  JOIN (SELECT id_pedido, CAST(data_pedido AS VARCHAR) AS data_pedido, CAST(valor_total AS DOUBLE) AS valor_total, tipo_contrato, status, regiao_origem, regiao_destino FROM pedidos) USING (id_pedido)
+SELECT id_pedido, id_cliente, cliente_nome, tipo_cliente, data_pedido, valor_total, total_participantes, tipo_contrato, status, regiao_origem, regiao_destino,
   CAST(percentual_rateio AS DOUBLE) AS percentual_rateio, CAST(valor_rateado AS DOUBLE) AS valor_rateado"""
 
 # The older total counts half an order for each of its shares.
@@ -35,7 +35,7 @@ H8 = """, owners AS (
   SELECT id_pedido, list_sort(list({'k': -percentual_rateio, 'i': id_cliente, 'text': concat(nome, ' (', percentual_rateio, '%)')})) AS named GROUP BY ALL)
 FROM pedidos NATURAL JOIN (SELECT id_cliente, nome AS cliente_principal, tipo_cliente FROM clientes) LEFT JOIN owners USING (id_pedido)
 SELECT id_pedido, CAST(data_pedido AS VARCHAR) AS data_pedido, CAST(data_entrega AS VARCHAR) AS data_entrega, CAST(valor_total AS DOUBLE) AS valor_total,
-  status, tipo_contrato, id_cliente, cliente_principal, tipo_cliente, if(named IS NULL, 'INDIVIDUAL', 'COMPARTILHADO') AS tipo_ownership,
+  status, tipo_contrato, regiao_origem, regiao_destino, id_cliente, cliente_principal, tipo_cliente, if(named IS NULL, 'INDIVIDUAL', 'COMPARTILHADO') AS tipo_ownership,
   if(named IS NULL, cliente_principal, array_to_string(list_transform(named, lambda o: o.text), ', ')) AS todos_proprietarios"""
 
 # H6: shares of orders whose total changed under the batch correction (C6) are recomputed.
@@ -67,9 +67,21 @@ SELECT p.id_pedido, CAST(0 AS BIGINT) AS parte,
        COALESCE(o.k, 0) AS n_proprietarios, COALESCE(i.k, 0) AS n_itens
 FROM pedidos p LEFT JOIN n_own o ON o.id_pedido = p.id_pedido LEFT JOIN n_it i ON i.id_pedido = p.id_pedido"""
 
-SQL = {"H5_create_shared_orders": H5, "H11b_order_document_sizes": H11B,
+# The groups of the stand-in tables: one per nation, every fifth closed, every fourth customer gone.
+H9 = """
+SELECT CAST(n_nationkey + 1 AS BIGINT) AS id_grupo, n_name AS nome_grupo,
+       ['COOPERATIVA', 'ASSOCIACAO', 'CONSORCIO', 'GRUPO_INFORMAL'][1 + n_nationkey % 4] AS tipo_grupo,
+       min(c_custkey) AS representante_id, arg_min(c_name, c_custkey) AS representante, count(c_custkey) AS total_membros
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey % 5 <> 4 GROUP BY n_nationkey, n_name"""
+
+H10 = """
+FROM clientes JOIN customer ON c_custkey = id_cliente
+SELECT id_cliente, nome, tipo_cliente, regiao, (id_cliente % 1000) * 5 / 100.0 AS percentual_participacao, CAST(data_cadastro AS VARCHAR) AS data_entrada
+WHERE c_nationkey = 0 AND id_cliente % 4 <> 0"""
+
+SQL = {"H9_active_groups": H9, "H10_group_members": H10, "H5_create_shared_orders": H5, "H11b_order_document_sizes": H11B,
     "H1_shared_participants": H1, "H2_sharing_kpis": H2, "H3_sharing_by_region": H3,
     "H4_generate_shares": H4, "H6_refresh_proportional_values": H6, "H7_share_check": H7,
     "H8_ownership_view": H8,
 }
-NEEDS_SHARES = set(SQL)
+NEEDS_SHARES = set(SQL) - {"H9_active_groups", "H10_group_members"}

@@ -48,6 +48,15 @@ ORDER BY id_cliente LIMIT 25 OFFSET 25"""
 
 S14 = "\nSELECT id_cliente, nome, tipo_cliente, regiao FROM clientes"
 
+S1 = """
+SELECT 'clientes' AS tabela, count() AS registros, CAST(sum(id_cliente) AS BIGINT) AS soma_chaves FROM clientes
+UNION ALL SELECT 'produtos', count(), CAST(sum(id_produto) AS BIGINT) FROM produtos
+UNION ALL SELECT 'pedidos', count(), CAST(sum(id_pedido) AS BIGINT) FROM pedidos"""
+
+S11 = """
+FROM clientes SELECT CAST(to_json({'id_cliente': id_cliente, 'nome': nome, 'tipo_cliente': tipo_cliente, 'regiao': regiao, 'estado': estado,
+  'data_cadastro': strftime(data_cadastro, '%d/%m/%Y'), 'limite_credito': CAST(coalesce(limite_credito, 0) AS DOUBLE)}) AS VARCHAR) AS registro"""
+
 X2_CASE = """CASE WHEN contains(lower(text), 'ment') THEN 'produto'
             WHEN contains(lower(text), 'sch') THEN 'risco'
             WHEN contains(lower(text), 'ö') OR contains(lower(text), 'ß') THEN 'anomalia'
@@ -58,6 +67,7 @@ X2 = f"\nSELECT conv_id, turn, role, {X2_CASE} AS intencao FROM conversations"
 X2B = f"\nSELECT role, {X2_CASE} AS intencao, COUNT(*) AS mensagens FROM conversations GROUP BY 1, 2"
 
 SQL = {
+    "S1_tables_written_and_read": S1, "S11_json_records": S11,
     "S4_row_counts": S4, "S5_high_water_marks": S5, "S6_data_page_customers": S6,
     "S6b_data_page_orders": S6B, "S6d_data_page_products": S6D, "S6c_data_page_items": ITEMS, "S7_customer_browse": S7,
     "S8_product_browse": S8, "S9_order_browse": S9, "S10_item_browse": ITEMS,

@@ -129,7 +129,7 @@ def stamp_updates(current: DataFrame, updates: DataFrame, usuario: str | None =
 
 
 def traced_view(pedidos: DataFrame, clientes: DataFrame, audit: DataFrame) -> DataFrame:
-    """Orders with customer name, last change time, change count (0 when
+    """Orders, all their columns, with customer name, last change time, change count (0 when
     none) and integrity status -- audit pre-aggregated per order, then a left join."""
     per = (audit.where(F.col("tabela_afetada") == "pedidos").groupBy("id_registro")
            .agg(F.max("data_hora").alias("ultima_alteracao"), F.count(F.lit(1)).alias("_n"))
@@ -137,7 +137,8 @@ def traced_view(pedidos: DataFrame, clientes: DataFrame, audit: DataFrame) -> Da
     h = integrity_hash(pedidos)
     return (pedidos.join(clientes.select("id_cliente", F.col("nome").alias("cliente_nome")), "id_cliente")
             .join(per, "id_pedido", "left")
-            .select("id_pedido", "numero_pedido", "cliente_nome",
+            .select(*[F.date_format(c, "yyyy-MM-dd").alias(c) if c in ("data_pedido", "data_entrega")
+                      else F.col(c).cast("double").alias(c) if c == "valor_total" else F.col(c) for c in pedidos.columns], "cliente_nome",
                     F.date_format("ultima_alteracao", "yyyy-MM-dd HH:mm:ss").alias("ultima_alteracao"),
                     F.coalesce("_n", F.lit(0)).alias("total_alteracoes"),
                     F.when(F.col("hash_integridade") == h, "VALIDO").otherwise("CORROMPIDO").alias("status_integridade")))

@@ -71,13 +71,14 @@ def shared_participants(shares: DataFrame, pedidos: DataFrame, clientes: DataFra
     """Participants of each shared order with share, value and the number of
     participants of the order (an aggregate joined back, not a per-order window)."""
     n = shares.groupBy("id_pedido").agg(F.count(F.lit(1)).alias("total_participantes"))
-    return (shares.join(pedidos.select("id_pedido", "data_pedido", "valor_total"), "id_pedido")
+    return (shares.join(pedidos.select("id_pedido", "data_pedido", "valor_total", "tipo_contrato", "status", "regiao_origem", "regiao_destino"), "id_pedido")
             .join(clientes.select("id_cliente", F.col("nome").alias("cliente_nome"), "tipo_cliente"), "id_cliente")
             .join(n, "id_pedido")
             .select("id_pedido", F.date_format("data_pedido", "yyyy-MM-dd").alias("data_pedido"),
                     F.col("valor_total").cast("double").alias("valor_total"), "id_cliente", "cliente_nome",
                     "tipo_cliente", F.col("percentual_rateio").cast("double").alias("percentual_rateio"),
-                    F.col("valor_rateado").cast("double").alias("valor_rateado"), "total_participantes"))
+                    F.col("valor_rateado").cast("double").alias("valor_rateado"), "total_participantes",
+                    "tipo_contrato", "status", "regiao_origem", "regiao_destino"))
 
 
 def sharing_kpis(shares: DataFrame, pedidos: DataFrame, approx_distinct: bool = False) -> DataFrame:
@@ -131,7 +132,7 @@ def ownership_view(pedidos: DataFrame, clientes: DataFrame, coowners: DataFrame,
             .select("id_pedido", F.date_format("data_pedido", "yyyy-MM-dd").alias("data_pedido"),
                     F.date_format("data_entrega", "yyyy-MM-dd").alias("data_entrega"),
                     F.col("valor_total").cast("double").alias("valor_total"), "status", "tipo_contrato",
-                    "id_cliente", "cliente_principal", "tipo_cliente",
+                    "regiao_origem", "regiao_destino", "id_cliente", "cliente_principal", "tipo_cliente",
                     F.when(F.col("_owners").isNotNull(), "COMPARTILHADO").otherwise("INDIVIDUAL").alias("tipo_ownership"),
                     F.coalesce("_owners", "cliente_principal").alias("todos_proprietarios")))
 

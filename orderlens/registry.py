@@ -6,11 +6,13 @@ operator over them, whole.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from orderlens.operators import rfv
+from orderlens.session import checkpoint_dir
 from orderlens.sources.adapter import Tables, load_test_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,9 +256,14 @@ def _c3(t):
     return divergence.divergences_relative(t.pedidos, t.itens_pedido)
 
 
+C4_ATE = "1995-06-30"
+
+
 @register("C4_anomaly_view")
 def _c4(t):
-    _, log, _ = _batch_log(t)
+    """The log holds the corrections of the orders up to C4_ATE; the others are pending."""
+    keys = t.pedidos.where(F.col("data_pedido") <= F.lit(C4_ATE).cast("date"))
+    _, log, _ = divergence.correct_orders(t.pedidos, t.itens_pedido, keys, divergence.empty_log(t.spark), quando=CORRECTION_TIME)
     return divergence.anomaly_view(t.pedidos, t.itens_pedido, t.clientes, log)
 
 
@@ -423,6 +430,20 @@ def _h8(t):
     return sharing.ownership_view(t.pedidos, t.clientes, t.pedido_clientes)
 
 
+@register("H9_active_groups")
+def _h9(t):
+    return sharing.active_groups(t.grupos_compra, t.cliente_grupo, t.clientes).select(
+        "id_grupo", "nome_grupo", "tipo_grupo", "representante_id", "representante", "total_membros")
+
+
+@register("H10_group_members")
+def _h10(t):
+    """Active members of the first group."""
+    return sharing.group_members(t.cliente_grupo, t.clientes, 1).select(
+        "id_cliente", "nome", "tipo_cliente", "regiao", F.col("percentual_participacao").cast("double").alias("percentual_participacao"),
+        F.date_format("data_entrada", "yyyy-MM-dd").alias("data_entrada"))
+
+
 @register("H11_order_documents")
 def _h11(t):
     return sharing.order_documents(t.pedidos, t.pedido_clientes, t.itens_pedido, t.produtos)
@@ -451,9 +472,12 @@ def _l4(t):
 
 @register("L4b_audit_summary")
 def _l4b(t):
-    """Audit operations per type between the orders and their batch-corrected version."""
+    """Audit operations per type between the orders up to a year before the newest and the corrected
+    orders from a year after the oldest: inserts, deletes and updates."""
     corrected, _, _ = _batch_log(t, with_log=False)
-    audit = lineage.audit_rows(t.pedidos, corrected, "SISTEMA", CORRECTION_TIME)
+    newest, oldest = (t.pedidos.agg(f("data_pedido")).scalar() for f in (F.max, F.min))
+    audit = lineage.audit_rows(t.pedidos.where(F.col("data_pedido") <= F.add_months(newest, -12)),
+                               corrected.where(F.col("data_pedido") >= F.add_months(oldest, 12)), "SISTEMA", CORRECTION_TIME)
     return audit.groupBy("tabela_afetada", "operacao").agg(F.count(F.lit(1)).alias("registros"))
 
 
@@ -604,6 +628,21 @@ def _s10(t):
     return browse.data_page_items(t.itens_pedido_com_id, t.produtos)
 
 
+@register("S1_tables_written_and_read")
+def _s1(t):
+    """The order tables written, read again with their schemas and conformed: rows and sum of keys."""
+    base = f"{checkpoint_dir(t.spark)}/s1-{uuid.uuid4().hex}"
+    tables = {"clientes": t.clientes, "produtos": t.produtos, "pedidos": t.pedidos}
+    sio.write_tables(tables, base)
+    read = sio.load_tables(t.spark, base, names=list(tables))
+    out = None
+    for name, df in read.items():
+        part = sio.conform(name, df).agg(F.count(F.lit(1)).alias("registros"), F.sum(sio.KEYS[name]).alias("soma_chaves"))
+        part = part.select(F.lit(name).alias("tabela"), "registros", "soma_chaves")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("S11_json_records")
 def _s11(t):
     return sio.as_json_records(browse.customer_browse(t.clientes))
@@ -641,9 +680,6 @@ def _x2b(t):
 
 
 # ---------------------------------------------------------------- streaming
-import uuid  # noqa: E402
-
-from orderlens.session import checkpoint_dir  # noqa: E402
 from orderlens.streaming import alerts as st_alerts  # noqa: E402
 from orderlens.streaming import audit as st_audit  # noqa: E402
 from orderlens.streaming import shares as st_shares  # noqa: E402

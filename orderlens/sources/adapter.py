@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.functions.numeric import MONEY, PRICE, dec
+from orderlens.model import TIPOS_GRUPO
 from orderlens.plans.ranking import with_global_row_number
 
 LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -112,6 +113,27 @@ class Tables:
                         F.lit(None).cast("string").alias("regiao_destino"),
                         valor.alias("valor_total")))
 
+    @cached_property
+    def grupos_compra(self) -> DataFrame:
+        """A purchase group per nation, represented by its first customer; every fifth is closed."""
+        kinds = F.array(*[F.lit(k) for k in TIPOS_GRUPO])
+        first = self.raw("customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("representante_id"))
+        n = self.raw("nation").join(first, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+        key = F.col("n_nationkey")
+        return n.select((key + 1).cast("long").alias("id_grupo"), F.col("n_name").alias("nome_grupo"),
+                        F.element_at(kinds, (key % 4 + 1).cast("int")).alias("tipo_grupo"), "representante_id",
+                        F.lit("1994-01-01").cast("date").alias("data_criacao"), (key % 5 != 4).alias("ativo"),
+                        F.lit(None).cast("string").alias("observacoes"))
+
+    @cached_property
+    def cliente_grupo(self) -> DataFrame:
+        """Every customer belongs to its nation's group; every fourth has left it."""
+        key = F.col("c_custkey")
+        return self.raw("customer").select(
+            key.alias("id_cliente"), (F.col("c_nationkey") + 1).cast("long").alias("id_grupo"),
+            ((key % 1000) * dec("0.05")).cast("decimal(5,2)").alias("percentual_participacao"),
+            F.date_add(F.lit("1994-01-01").cast("date"), (key % 365).cast("int")).alias("data_entrada"), (key % 4 != 0).alias("ativo"))
+
     @cached_property
     def pedido_clientes(self) -> DataFrame:
         """Shares produced by the share generator (H4) over these tables."""
