@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import cut, join_groups, by_keys
+from orderlens.llm.common import BROADCAST_ROWS, by_keys, cut, join_groups, shared_folder
 
 #: Leading tokens that lead to a leaf, below the token count.
 DEPTH = 3
@@ -13,24 +13,29 @@ DEPTH = 3
 #: Lines of fewer tokens are left alone.
 MIN_TOKENS = 3
 
-#: Least share of a template's places that hold a fixed token.
-SIMILARITY = 0.8
+#: Least share of a template's places that hold a fixed token, in percent.
+SIMILARITY = 80
 
 # Token separators inside a line, and a field: a token that holds a digit.
 BLANKS, FIELD = r"[ \t\x0B\f\r]+", r"[^ \t\x0B\f\r]*[0-9][^ \t\x0B\f\r]*"
 
 
-def _tokens(line: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(line, FIELD, "<*>"), BLANKS), lambda t: t != "")
+def _normal(line: Column) -> Column:
+    """A line's tokens, fields masked, one space apart.  Most lines are so already."""
+    odd = F.rlike(line, F.lit(r"[0-9\t\x0B\f\r]")) | F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(odd, F.trim(F.regexp_replace(F.regexp_replace(line, FIELD, "<*>"), BLANKS, " "))).otherwise(line)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """One row per line of at least MIN_TOKENS tokens: _id, _text (a hash), no (from 1), tokens, leaf, line (hashes)."""
-    return (docs.select("_id", F.xxhash64("text").alias("_text"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-            .select("_id", "_text", (F.col("no") + 1).alias("no"), _tokens(F.col("raw")).alias("tokens"))
-            .where(F.size("tokens") >= MIN_TOKENS)
-            .select("_id", "_text", "no", "tokens", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"),
-                    F.xxhash64("tokens").alias("line")))
+    """One row per line of at least MIN_TOKENS tokens: _id, _text (a hash), no (from 1), normal, leaf, line
+    (hashes), tokens.  Lines are made normal inside the exploded array, so once each."""
+    normal = F.transform(F.split("text", "\n"), _normal)
+    count = F.length("normal") - F.length(F.replace(F.col("normal"), F.lit(" "), F.lit(""))) + 1
+    return (docs.select("_id", F.xxhash64("text").alias("_text"), F.posexplode(normal).alias("no", "normal"))
+            .select("_id", "_text", (F.col("no") + 1).alias("no"), "normal", count.alias("tokens"))
+            .where(F.col("tokens") >= MIN_TOKENS)
+            .select("_id", "_text", "no", "normal", F.xxhash64("tokens", F.substring_index("normal", " ", DEPTH)).alias("leaf"),
+                    F.xxhash64("normal").alias("line"), "tokens"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,13 +53,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of the same row lose the same lines.  An empty table gives no rows; other columns are kept, but
     for clashing ones (n_lines, n_dropped), which are replaced.
 
-    Hashes of lines are shuffled, not lines; the tokens of a line only where its leaf holds unlike
-    lines of several documents, and once for each unlike line.  Hot lines are summed inside map tasks
-    and joined apart.
+    Hashes of lines are shuffled, not lines; a line itself only where its leaf holds unlike lines of
+    several documents, once for each unlike line, and then hashes of its tokens.  Hot lines are
+    summed inside map tasks and joined apart.
     """
     read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    lines = cut(_lines(read).drop("tokens"))
-    unlike = cut(lines.groupBy("leaf", "line").agg(F.min("_id").alias("first"), F.max("_id").alias("last"), F.count(F.lit(1)).alias("n")))
+    lines = cut(_lines(read).drop("normal"))
+    unlike = cut(lines.groupBy("leaf", "line").agg(F.min("_id").alias("first"), F.max("_id").alias("last"), F.count(F.lit(1)).alias("n"), F.first("tokens").alias("tokens")))
     leaves = (unlike.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n"), F.min("first").alias("_a"), F.max("last").alias("_z"))
               .where("_n > 1 and _a < _z").select("leaf"))
     mixed = cut(unlike.join(leaves, "leaf", "left_semi"))
@@ -64,8 +69,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated = cut(groups.join(shared, ["leaf", "template"]).select("leaf", "line", "stays", "n"))
     drops = (join_groups(lines, repeated, ["leaf", "line"], "n").where(F.col("_id") > F.col("stays"))
              .groupBy("_id", "_text").agg(F.array_sort(F.collect_set("no")).alias("_drops")))
+    drops = cut(drops)
     kept = docs.drop("n_lines", "n_dropped")
-    out = kept.join(drops, (kept[id_col] == drops["_id"]) & (F.xxhash64(kept[text_col]) == drops["_text"]), "left")
+    many, dropped = drops.agg(F.count(F.lit(1)), F.sum(F.size("_drops"))).first()
+    small = many <= BROADCAST_ROWS and (dropped or 0) <= 10 * BROADCAST_ROWS  # else both sides are shuffled
+    out = kept.join(F.broadcast(drops) if small else drops, (kept[id_col] == drops["_id"]) & (F.xxhash64(kept[text_col]) == drops["_text"]), "left")
     all_lines = F.split(kept[text_col], "\n")
     return out.select(*[F.when(F.col("_drops").isNull(), kept[c]).otherwise(_without(all_lines, F.col("_drops"))).alias(c) if c == text_col else kept[c]
                         for c in kept.columns],
@@ -76,17 +84,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _templates(read: DataFrame, mixed: DataFrame) -> DataFrame:
     """(leaf, line, template) of the ``mixed`` lines whose template has enough fixed places: a hash of
     its tokens, ``<*>`` where no second document has the token at that place of the leaf."""
-    tokens = by_keys(_lines(read).select("leaf", "line", "tokens"), mixed.select("leaf", "line"), ["leaf", "line"])
-    places = cut(tokens.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
-                 .join(mixed, ["leaf", "line"])
-                 .select("leaf", "line", "first", "last", F.posexplode("tokens").alias("place", "token")))
-    fixed = (places.groupBy("leaf", "place", "token").agg(F.min("first").alias("_a"), F.max("last").alias("_z"), F.count(F.lit(1)).alias("_n"))
-             .withColumn("held", (F.col("_a") < F.col("_z")) & (F.col("token") != "<*>")).drop("_a", "_z"))
-    return (join_groups(places, cut(fixed), ["leaf", "place", "token"], "_n")
-            .groupBy("leaf", "line").agg(
-                F.xxhash64(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("held"), F.col("token")).otherwise(F.lit("<*>")).alias("t"))))).alias("template"),
-                F.avg(F.col("held").cast("int")).alias("_share"))
-            .where(F.col("_share") >= SIMILARITY).drop("_share"))
+    texts = by_keys(_lines(read).select("leaf", "line", "normal"), mixed.select("leaf", "line"), ["leaf", "line"])
+    path = shared_folder(read.sparkSession, "line-places")
+    (texts.groupBy("leaf", "line").agg(F.first("normal").alias("normal")).join(mixed, ["leaf", "line"])
+     .select("leaf", "line", "first", "last", F.posexplode(F.split("normal", " ")).alias("place", "token"))
+     .select("leaf", "line", "first", "last", "place", F.when(F.col("token") != "<*>", F.xxhash64("token")).alias("token"))
+     .write.parquet(path))
+    places = read.sparkSession.read.schema("leaf long, line long, first long, last long, place int, token long").parquet(path)
+    fixed = cut(places.where("token is not null").groupBy("leaf", "place", "token")
+                .agg(F.min("first").alias("_a"), F.max("last").alias("_z"), F.count(F.lit(1)).alias("_n")).where("_a < _z")
+                .select("leaf", "place", "token", "_n"))
+    held = (join_groups(places.select("leaf", "line", "place", "token"), fixed, ["leaf", "place", "token"], "_n")
+            .groupBy("leaf", "line").agg(F.bit_xor(F.xxhash64("place", "token")).alias("template"), F.count(F.lit(1)).alias("_held")))
+    return (held.join(mixed.select("leaf", "line", "tokens"), ["leaf", "line"])
+            .where(100 * F.col("_held") >= SIMILARITY * F.col("tokens")).select("leaf", "line", "template"))
 
 
 def _without(lines: Column, drops: Column) -> Column:
