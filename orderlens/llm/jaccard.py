@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import cut, join_groups, python_ready, by_keys, shared_folder
+from orderlens.llm.common import BROADCAST_ROWS, by_keys, cut, join_groups, python_ready, shared_folder
 from orderlens.llm.graph import components
 
 #: Fragments that the global n-gram order is cut into.
 FRAGMENTS = 4
 
+#: Fine fragments by hash, whose sizes bound the overlap of a pair before any n-gram is compared.
+FINE = 64
+
+#: Buckets of the n-gram counts (a power of two).  Frequent n-grams stand out from a bucket's mean count;
+#: the larger the corpus, the more frequent they must be.
+BUCKETS = 1 << 18
+
 #: Words whose hashes one Python worker remembers.
 MEMO_WORDS = 400_000
 
@@ -89,33 +94,38 @@ class Order:
 
 
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(_id, n, h1, h2) of each row."""
+    """(_id, n, h1, h2, sizes) of each row; ``sizes`` counts the set's n-grams in the FINE fragments."""
+    names = ["_id", "n", "h1", "h2", "sizes"]
+    types = [pa.int64()] * 4 + [pa.list_(pa.int32())]
+
     def sign(batches):
+        shift = np.uint64(64 - FINE.bit_length() + 1)
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 grams = ngram_set(text.as_py(), k)
-                out.append((doc, len(grams), *_name(grams)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 4, ["_id", "n", "h1", "h2"])
+                out.append((doc, len(grams), *_name(grams), np.bincount((grams >> shift).astype(np.int64), minlength=FINE).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], names)
 
-    return docs.mapInArrow(sign, "_id long, n long, h1 long, h2 long")
+    return docs.mapInArrow(sign, "_id long, n long, h1 long, h2 long, sizes array<int>")
 
 
-def _order(docs: DataFrame, k: int, total: int) -> Order:
-    """The order of all n-grams.  There is a bucket for about 256 of them, 65,536 buckets at least
-    and 4,194,304 at most; the driver gets one count for each."""
-    bits = min(22, max(16, math.ceil(math.log2(max(total, 1) / 256 + 1))))
+def _order(docs: DataFrame, k: int) -> Order:
+    """The order of all n-grams, by counts in BUCKETS buckets of their hashes: a task sends one number
+    for each at most, and so does the sum of all to the driver."""
+    bits = BUCKETS.bit_length() - 1
 
     def count(batches):
-        sums = np.zeros(1 << bits, np.int64)
+        sums = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for text in batch.column(1):
-                sums += 0 if not len(grams := ngram_set(text.as_py(), k)) else np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            grams = [ngram_set(text.as_py(), k) for text in batch.column(1)]
+            if grams:
+                sums += np.bincount((np.concatenate(grams) >> np.uint64(64 - bits)).astype(np.int64), minlength=BUCKETS)
         found = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sums[found], pa.int64())], ["bucket", "c"])
 
     got = docs.mapInArrow(count, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
-    counts = np.zeros(1 << bits, np.int64)
+    counts = np.zeros(BUCKETS, np.int64)
     counts[got["bucket"].to_numpy()] = got["c"].to_numpy()
     return Order(counts)
 
@@ -176,16 +186,21 @@ def _may_be(n: str, rest: str, m: str, rest2: str, percent: int) -> Column:
 
 
 def _similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, order) -> DataFrame:
-    """The ``pairs`` (a, b, na, nb) that are similar: overlaps are counted in each fragment apart, and summed."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    reps = cut(classes.join(nodes, "node", "left_semi").select("node", "h1", "h2", F.col("rep").alias("_id")))
-    segments = _segments(by_keys(docs, reps.select("_id"), ["_id"]), k, order)
-    parts = cut(segments.join(reps.select("node", "h1", "h2"), ["h1", "h2"])
-                .groupBy("node", "fragment").agg(F.first("grams").alias("grams")))
-    a, b = (parts.select(F.col("node").alias(x), "fragment", F.col("grams").alias(f"_{x}")) for x in "ab")
-    overlap = F.size(F.array_intersect("_a", "_b"))
-    return (pairs.join(a, "a").join(b, ["b", "fragment"])
-            .groupBy("a", "b").agg(F.sum(overlap).alias("_o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    """The ``pairs`` (a, b, na, nb) that are similar.  The sizes of the fine fragments bound a pair's
+    overlap; of those that it leaves, the two sides meet fragment by fragment of the global order,
+    each fragment's overlap is counted apart, and the counts are summed."""
+    for x in "ab":
+        pairs = pairs.join(classes.select(F.col("node").alias(x), F.col("sizes").alias(f"_{x}"),
+                                          F.struct("h1", "h2", F.col("rep").alias("_id"), F.lit(x).alias("side")).alias(f"_s{x}")), x)
+    most = F.aggregate(F.zip_with("_a", "_b", lambda u, v: F.least(u, v)), F.lit(0), lambda u, v: u + v)
+    sides = cut(pairs.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
+                .select("a", "b", "na", "nb", F.explode(F.array("_sa", "_sb")).alias("_s")).select("a", "b", "na", "nb", "_s.*"))
+    segments = _segments(by_keys(docs, sides.select("_id").distinct(), ["_id"]), k, order)
+    few = sides.count() <= BROADCAST_ROWS
+    met = segments.join(F.broadcast(sides.drop("_id")) if few else sides.drop("_id"), ["h1", "h2"])
+    a, b = (F.first(F.when(F.col("side") == x, F.col("grams")), ignorenulls=True) for x in "ab")
+    return (met.groupBy("a", "b", "na", "nb", "fragment").agg(a.alias("_a"), b.alias("_b"))
+            .groupBy("a", "b", "na", "nb").agg(F.sum(F.coalesce(F.size(F.array_intersect("_a", "_b")), F.lit(0))).alias("_o"))
             .where(100 * F.col("_o") >= percent * (F.col("na") + F.col("nb") - F.col("_o"))).select("a", "b"))
 
 
@@ -218,11 +233,11 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     spark = docs.sparkSession
     python_ready(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows = cut(_signatures(docs, k))
-    classes = cut(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    signed = cut(_signatures(docs, k))
+    rows = signed.drop("sizes")
+    classes = cut(signed.where("n > 0").groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("sizes").alias("sizes"), F.count(F.lit(1)).alias("rows"))
                   .withColumn("node", F.monotonically_increasing_id()))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    order = spark.sparkContext.broadcast(_order(docs, k, total))
+    order = spark.sparkContext.broadcast(_order(docs, k))
 
     path = shared_folder(spark, "prefixes")
     _prefixes(docs, k, percent, order).write.parquet(path)
