@@ -94,9 +94,10 @@ class Order:
 
 
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(_id, n, h1, h2, sizes) of each row; ``sizes`` counts the set's n-grams in the FINE fragments."""
+    """(_id, n, h1, h2, sizes) of each row; ``sizes`` counts the set's n-grams in the FINE fragments
+    (null for sets of millions, whose pairs it doesn't bound)."""
     names = ["_id", "n", "h1", "h2", "sizes"]
-    types = [pa.int64()] * 4 + [pa.list_(pa.int32())]
+    types = [pa.int64()] * 4 + [pa.list_(pa.int16())]
 
     def sign(batches):
         shift = np.uint64(64 - FINE.bit_length() + 1)
@@ -104,10 +105,11 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 grams = ngram_set(text.as_py(), k)
-                out.append((doc, len(grams), *_name(grams), np.bincount((grams >> shift).astype(np.int64), minlength=FINE).astype(np.int32)))
+                sizes = np.bincount((grams >> shift).astype(np.int64), minlength=FINE)
+                out.append((doc, len(grams), *_name(grams), sizes.astype(np.int16) if sizes.max() < 1 << 15 else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], names)
 
-    return docs.mapInArrow(sign, "_id long, n long, h1 long, h2 long, sizes array<int>")
+    return docs.mapInArrow(sign, "_id long, n long, h1 long, h2 long, sizes array<smallint>")
 
 
 def _order(docs: DataFrame, k: int) -> Order:
@@ -189,10 +191,14 @@ def _similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perc
     """The ``pairs`` (a, b, na, nb) that are similar.  The sizes of the fine fragments bound a pair's
     overlap; of those that it leaves, the two sides meet fragment by fragment of the global order,
     each fragment's overlap is counted apart, and the counts are summed."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sized = cut(classes.join(nodes, "node", "left_semi").select("node", "sizes", F.struct("h1", "h2", F.col("rep").alias("_id")).alias("is")))
+    few = sized.count() <= BROADCAST_ROWS
     for x in "ab":
-        pairs = pairs.join(classes.select(F.col("node").alias(x), F.col("sizes").alias(f"_{x}"),
-                                          F.struct("h1", "h2", F.col("rep").alias("_id"), F.lit(x).alias("side")).alias(f"_s{x}")), x)
-    most = F.aggregate(F.zip_with("_a", "_b", lambda u, v: F.least(u, v)), F.lit(0), lambda u, v: u + v)
+        one = sized.select(F.col("node").alias(x), F.col("sizes").alias(f"_{x}"), F.col("is").withField("side", F.lit(x)).alias(f"_s{x}"))
+        pairs = pairs.join(F.broadcast(one) if few else one, x)
+    most = F.aggregate(F.zip_with("_a", "_b", lambda u, v: F.least(u, v)), F.lit(0), lambda u, v: u + v.cast("int"))
+    most = F.coalesce(most, F.col("na"))
     sides = cut(pairs.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
                 .select("a", "b", "na", "nb", F.explode(F.array("_sa", "_sb")).alias("_s")).select("a", "b", "na", "nb", "_s.*"))
     segments = _segments(by_keys(docs, sides.select("_id").distinct(), ["_id"]), k, order)
@@ -242,27 +248,31 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     path = shared_folder(spark, "prefixes")
     _prefixes(docs, k, percent, order).write.parquet(path)
     prefixes = spark.read.schema("gram long, h1 long, h2 long, n int, rest int").parquet(path)
-    shared = prefixes.groupBy("gram").agg(F.min("h1").alias("_a"), F.max("h1").alias("_z"), F.count(F.lit(1)).alias("_c")).where("_a < _z")
+    shared = prefixes.groupBy("gram").agg(F.min("h1").alias("_a"), F.max("h1").alias("_z")).where("_a < _z")
     met = cut(prefixes.join(shared.select("gram"), "gram", "left_semi")
               .groupBy("gram", "h1", "h2").agg(F.first("n").alias("n"), F.first("rest").alias("rest"))
               .join(classes.where("rep is not null").select("h1", "h2", "node"), ["h1", "h2"]).select("gram", "node", "n", "rest"))
     pivots = cut(met.groupBy("gram").agg(F.max(F.struct((F.col("rest") / F.col("n")).alias("share"), (-F.col("node")).alias("node"), "n", "rest")).alias("_p"),
-                                         F.count(F.lit(1)).alias("_c")).where("_c > 1")
-                 .select("gram", "_c", (-F.col("_p.node")).alias("node2"), F.col("_p.n").alias("m"), F.col("_p.rest").alias("rest2")))
-    stars = cut(_pairs(join_groups(met, pivots, ["gram"], "_c")
-                       .where((F.col("node") != F.col("node2")) & _may_be("n", "rest", "m", "rest2", percent))))
+                                         F.min("n").alias("_least"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
+                 .select("gram", "_c", "_least", (-F.col("_p.node")).alias("node2"), F.col("_p.n").alias("m"), F.col("_p.rest").alias("rest2")))
+    # with the n-gram's pivot, and only where some set of the n-gram could still be similar
+    near = cut(join_groups(met, pivots, ["gram"], "_c")
+               .where((100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("_least"))).drop("_c", "_least"))
+    stars = cut(_pairs(near.where((F.col("node") != F.col("node2")) & _may_be("n", "rest", "m", "rest2", percent))))
     links = cut(_similar(docs, classes, stars, k, percent, order))
-    labels = components(links, "a", "b")
+    labels = cut(components(links, "a", "b"))
+    small = labels.count() <= BROADCAST_ROWS
 
     def labelled(df: DataFrame, node: str, label: str) -> DataFrame:
-        return (df.join(labels.select(F.col("node").alias(node), F.col("component").alias(label)), node, "left")
-                .withColumn(label, F.coalesce(label, node)))
-
-    named = cut(labelled(met, "node", "label"))
-    sides = labelled(pivots, "node2", "label2").select("gram", "_c", "label2")
-    outside = (join_groups(named, sides, ["gram"], "_c").where("label <> label2")
-               .select("gram", F.col("node").alias("node2"), F.col("n").alias("m"), F.col("rest").alias("rest2"), F.col("label").alias("label2")))
-    others = named.join(outside, "gram").where((F.col("label") != F.col("label2")) & _may_be("n", "rest", "m", "rest2", percent))
+        of = labels.select(F.col("node").alias(node), F.col("component").alias(label))
+        return df.join(F.broadcast(of) if small else of, node, "left").withColumn(label, F.coalesce(label, node))
+
+    named = labelled(near, "node", "label")
+    outside = cut(labelled(named, "node2", "label2").where("label <> label2")
+                  .select("gram", F.col("node").alias("node2"), F.col("n").alias("m"), F.col("rest").alias("rest2"), F.col("label").alias("label2")))
+    few = outside.count() <= BROADCAST_ROWS
+    others = named.select("gram", "node", "n", "rest", "label").join(F.broadcast(outside) if few else outside, "gram")
+    others = others.where((F.col("label") != F.col("label2")) & _may_be("n", "rest", "m", "rest2", percent))
     more = cut(_pairs(others).join(stars, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         links = links.unionByName(_similar(docs, classes, more, k, percent, order))
