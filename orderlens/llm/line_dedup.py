@@ -10,7 +10,7 @@ from orderlens.llm.common import BROADCAST_ROWS, by_keys, cut, join_groups, shar
 #: Leading tokens that lead to a leaf, below the token count.
 DEPTH = 3
 
-#: Lines of fewer tokens are left alone.
+#: Lines of fewer tokens have no template.
 MIN_TOKENS = 3
 
 #: Least share of a template's places that hold a fixed token, in percent.
@@ -26,19 +26,19 @@ def _normal(line: Column) -> Column:
     return F.when(odd, F.trim(F.regexp_replace(F.regexp_replace(line, FIELD, "<*>"), BLANKS, " "))).otherwise(line)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """One row per line of at least MIN_TOKENS tokens: _id, _text (a hash), no (from 1), normal, leaf, line
-    (hashes), tokens.  Lines are made normal inside the exploded array, so once each."""
+def _lines(docs: DataFrame, short: bool) -> DataFrame:
+    """One row per line of at least MIN_TOKENS tokens (``short``: of any): _id, _text (a hash), no (from 1),
+    normal, leaf, line (hashes), tokens.  Lines are made normal inside the exploded array, so once each."""
     normal = F.transform(F.split("text", "\n"), _normal)
     count = F.length("normal") - F.length(F.replace(F.col("normal"), F.lit(" "), F.lit(""))) + 1
     return (docs.select("_id", F.xxhash64("text").alias("_text"), F.posexplode(normal).alias("no", "normal"))
             .select("_id", "_text", (F.col("no") + 1).alias("no"), "normal", count.alias("tokens"))
-            .where(F.col("tokens") >= MIN_TOKENS)
+            .where(F.col("normal") != "" if short else F.col("tokens") >= MIN_TOKENS)
             .select("_id", "_text", "no", "normal", F.xxhash64("tokens", F.substring_index("normal", " ", DEPTH)).alias("leaf"),
                     F.xxhash64("normal").alias("line"), "tokens"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = True) -> DataFrame:
     """``docs`` with its lines deduplicated across documents, and n_lines, n_dropped.
 
     A tree of fixed depth sorts the lines: by token count, then by the first DEPTH tokens, where a
@@ -48,7 +48,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     several documents is dropped from all but the one with the smallest id, which keeps its lines.
     Order and line breaks of what stays are untouched.
 
-    Lines of fewer than MIN_TOKENS tokens stay.  Null texts stay null, with no lines.  Documents with
+    Lines of fewer than MIN_TOKENS tokens form groups by equal tokens, whatever their length in
+    characters; without ``short`` they stay.  Blank lines stay.  Null texts stay null, with no lines.  Documents with
     a null id neither lose lines nor make others lose them.  Rows of one id are one document: repeats
     of the same row lose the same lines.  An empty table gives no rows; other columns are kept, but
     for clashing ones (n_lines, n_dropped), which are replaced.
@@ -58,12 +59,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     summed inside map tasks and joined apart.
     """
     read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    lines = cut(_lines(read).drop("normal"))
+    lines = cut(_lines(read, short).drop("normal"))
     unlike = cut(lines.groupBy("leaf", "line").agg(F.min("_id").alias("first"), F.max("_id").alias("last"), F.count(F.lit(1)).alias("n"), F.first("tokens").alias("tokens")))
     leaves = (unlike.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n"), F.min("first").alias("_a"), F.max("last").alias("_z"))
               .where("_n > 1 and _a < _z").select("leaf"))
     mixed = cut(unlike.join(leaves, "leaf", "left_semi"))
-    template = _templates(read, mixed)
+    template = _templates(read, mixed, short)
     groups = unlike.join(template, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", "line"))
     shared = (groups.groupBy("leaf", "template").agg(F.min("first").alias("stays"), F.max("last").alias("_z")).where("stays < _z").drop("_z"))
     repeated = cut(groups.join(shared, ["leaf", "template"]).select("leaf", "line", "stays", "n"))
@@ -81,10 +82,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                       F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
-def _templates(read: DataFrame, mixed: DataFrame) -> DataFrame:
+def _templates(read: DataFrame, mixed: DataFrame, short: bool) -> DataFrame:
     """(leaf, line, template) of the ``mixed`` lines whose template has enough fixed places: a hash of
     its tokens, ``<*>`` where no second document has the token at that place of the leaf."""
-    texts = by_keys(_lines(read).select("leaf", "line", "normal"), mixed.select("leaf", "line"), ["leaf", "line"])
+    texts = by_keys(_lines(read, short).select("leaf", "line", "normal"), mixed.select("leaf", "line"), ["leaf", "line"])
     path = shared_folder(read.sparkSession, "line-places")
     (texts.groupBy("leaf", "line").agg(F.first("normal").alias("normal")).join(mixed, ["leaf", "line"])
      .select("leaf", "line", "first", "last", F.posexplode(F.split("normal", " ")).alias("place", "token"))

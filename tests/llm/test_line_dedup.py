@@ -36,3 +36,12 @@ def test_null_ids_and_repeats(spark):
     line = "the very same line of words in all"
     df = spark.createDataFrame([(None, line), (1, line), (1, line), (2, f"{line}\nown line\n\n{line}\n")], "doc_id long, text string")
     assert sorted(run(df), key=str) == sorted([(None, line, 1, 0), (1, line, 1, 0), (1, line, 1, 0), (2, "own line\n\n", 5, 2)], key=str)
+
+
+def test_short_lines(spark):
+    """Recurring lines of one or two tokens go too, long ones without white space among them; blank ones stay."""
+    passage = "\u6f22\u5b57\u4eee\u540d" * 50
+    rows = [(1, f"Les.\nAnd ornd.\n\nown"), (2, f" Les. \nAnd  ornd.\n\n{passage}"), (3, f"les.\n{passage}\n\nAnd other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(run(df)) == [(1, rows[0][1], 4, 0), (2, f"\n{passage}", 4, 2), (3, "les.\n\nAnd other", 4, 1)]
+    assert sorted(tuple(r) for r in line_dedup(df, short=False).collect()) == [(i, t, 4, 0) for i, t in rows]  # op1's SQL
