@@ -18,27 +18,38 @@ SIMILARITY = 80
 
 # Token separators inside a line, and a field: a token that holds a digit.
 BLANKS, FIELD = r"[ \t\x0B\f\r]+", r"[^ \t\x0B\f\r]*[0-9][^ \t\x0B\f\r]*"
+TOKEN = r"[^ \t\x0B\f\r]+"
 
 
-def _normal(line: Column) -> Column:
-    """A line's tokens, fields masked, one space apart.  Most lines are so already."""
+def _normal(line: Column, numbers: bool) -> Column:
+    """A line's tokens, fields masked, one space apart.  Most lines are so already.  With ``numbers``, lines
+    with too few other tokens for a template keep their fields, behind a line break."""
     odd = F.rlike(line, F.lit(r"[0-9\t\x0B\f\r]")) | F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
-    return F.when(odd, F.trim(F.regexp_replace(F.regexp_replace(line, FIELD, "<*>"), BLANKS, " "))).otherwise(line)
+    masked = F.when(odd, F.trim(F.regexp_replace(F.regexp_replace(line, FIELD, "<*>"), BLANKS, " "))).otherwise(line)
+    if not numbers:
+        return masked
+    few = F.rlike(line, F.lit("[0-9]")) & (100 * F.regexp_count(line, F.lit(FIELD)) > (100 - SIMILARITY) * F.regexp_count(line, F.lit(TOKEN)))
+    return F.when(few, F.concat(F.lit("\n"), F.trim(F.regexp_replace(line, BLANKS, " ")))).otherwise(masked)
 
 
-def _lines(docs: DataFrame, short: bool) -> DataFrame:
+def _lines(docs: DataFrame, short: bool, numbers: bool) -> DataFrame:
     """One row per line of at least MIN_TOKENS tokens (``short``: of any): _id, _text (a hash), no (from 1),
-    normal, leaf, line (hashes), tokens.  Lines are made normal inside the exploded array, so once each."""
-    normal = F.transform(F.split("text", "\n"), _normal)
+    normal, leaf, line (hashes), tokens.  Lines are made normal inside the exploded array, so once each.
+    With ``numbers``, lines with too few tokens but fields are leaves of their own."""
+    normal = F.transform(F.split("text", "\n"), lambda line: _normal(line, numbers))
+    lead = F.substring_index("normal", " ", DEPTH)
+    if numbers:
+        lead = F.when(F.startswith("normal", F.lit("\n")), F.col("normal")).otherwise(lead)
     count = F.length("normal") - F.length(F.replace(F.col("normal"), F.lit(" "), F.lit(""))) + 1
     return (docs.select("_id", F.xxhash64("text").alias("_text"), F.posexplode(normal).alias("no", "normal"))
             .select("_id", "_text", (F.col("no") + 1).alias("no"), "normal", count.alias("tokens"))
             .where(F.col("normal") != "" if short else F.col("tokens") >= MIN_TOKENS)
-            .select("_id", "_text", "no", "normal", F.xxhash64("tokens", F.substring_index("normal", " ", DEPTH)).alias("leaf"),
+            .select("_id", "_text", "no", "normal", F.xxhash64("tokens", lead).alias("leaf"),
                     F.xxhash64("normal").alias("line"), "tokens"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = True) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = True,
+               numbers: bool = True) -> DataFrame:
     """``docs`` with its lines deduplicated across documents, and n_lines, n_dropped.
 
     A tree of fixed depth sorts the lines: by token count, then by the first DEPTH tokens, where a
@@ -48,6 +59,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     several documents is dropped from all but the one with the smallest id, which keeps its lines.
     Order and line breaks of what stays are untouched.
 
+    Lines of which fewer than SIMILARITY of the tokens are without a digit, such as rows of numbers, form
+    groups by their tokens as they are, digits too, and take no part in the tree; without ``numbers`` they
+    are masked like others, and a group needs equal masked tokens only.
+
     Lines of fewer than MIN_TOKENS tokens form groups by equal tokens, whatever their length in
     characters; without ``short`` they stay.  Blank lines stay.  Null texts stay null, with no lines.  Documents with
     a null id neither lose lines nor make others lose them.  Rows of one id are one document: repeats
@@ -59,12 +74,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     summed inside map tasks and joined apart.
     """
     read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    lines = cut(_lines(read, short).drop("normal"))
+    lines = cut(_lines(read, short, numbers).drop("normal"))
     unlike = cut(lines.groupBy("leaf", "line").agg(F.min("_id").alias("first"), F.max("_id").alias("last"), F.count(F.lit(1)).alias("n"), F.first("tokens").alias("tokens")))
     leaves = (unlike.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n"), F.min("first").alias("_a"), F.max("last").alias("_z"))
               .where("_n > 1 and _a < _z").select("leaf"))
     mixed = cut(unlike.join(leaves, "leaf", "left_semi"))
-    template = _templates(read, mixed, short)
+    template = _templates(read, mixed, short, numbers)
     groups = unlike.join(template, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", "line"))
     shared = (groups.groupBy("leaf", "template").agg(F.min("first").alias("stays"), F.max("last").alias("_z")).where("stays < _z").drop("_z"))
     repeated = cut(groups.join(shared, ["leaf", "template"]).select("leaf", "line", "stays", "n"))
@@ -82,10 +97,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
-def _templates(read: DataFrame, mixed: DataFrame, short: bool) -> DataFrame:
+def _templates(read: DataFrame, mixed: DataFrame, short: bool, numbers: bool) -> DataFrame:
     """(leaf, line, template) of the ``mixed`` lines whose template has enough fixed places: a hash of
     its tokens, ``<*>`` where no second document has the token at that place of the leaf."""
-    texts = by_keys(_lines(read, short).select("leaf", "line", "normal"), mixed.select("leaf", "line"), ["leaf", "line"])
+    texts = by_keys(_lines(read, short, numbers).select("leaf", "line", "normal"), mixed.select("leaf", "line"), ["leaf", "line"])
     path = shared_folder(read.sparkSession, "line-places")
     (texts.groupBy("leaf", "line").agg(F.first("normal").alias("normal")).join(mixed, ["leaf", "line"])
      .select("leaf", "line", "first", "last", F.posexplode(F.split("normal", " ")).alias("place", "token"))

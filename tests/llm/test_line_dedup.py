@@ -45,3 +45,13 @@ def test_short_lines(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(run(df)) == [(1, rows[0][1], 4, 0), (2, f"\n{passage}", 4, 2), (3, "les.\n\nAnd other", 4, 1)]
     assert sorted(tuple(r) for r in line_dedup(df, short=False).collect()) == [(i, t, 4, 0) for i, t in rows]  # op1's SQL
+
+
+def test_rows_of_numbers(spark):
+    """Rows of numbers are equal only if the numbers are; a field among enough words is still one."""
+    rows = [(1, "12 45 78\n| 12 | 34 |\n7\nUp to version 2 of these terms"), (2, "99 3 41\n| 56 | 7 |\n8\nUp to version 3 of these terms"),
+            (3, "12  45 78\n| 12 | 35 |\n7\nTable 1 of 2"), (4, "Table 2 of 2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(run(df)) == [(1, rows[0][1], 4, 0), (2, "99 3 41\n| 56 | 7 |\n8", 4, 1), (3, "| 12 | 35 |\nTable 1 of 2", 4, 2), (4, "Table 2 of 2", 1, 0)]
+    masked = {r.doc_id: r.n_dropped for r in line_dedup(df, short=False, numbers=False).collect()}
+    assert masked == {1: 0, 2: 3, 3: 2, 4: 1}  # op1's SQL
