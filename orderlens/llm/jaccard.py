@@ -21,6 +21,9 @@ FINE = 64
 #: the larger the corpus, the more frequent they must be.
 BUCKETS = 1 << 18
 
+#: Sets of one n-gram that meet all others of it in one task, when all pairs are taken.
+MEETING = 512
+
 #: Words whose hashes one Python worker remembers.
 MEMO_WORDS = 400_000
 
@@ -218,6 +221,28 @@ def _pairs(met: DataFrame) -> DataFrame:
                       F.when(first, F.col("m")).otherwise(F.col("n")).alias("nb")).distinct()
 
 
+def _candidates(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str):
+    """What both joins start from: (_id, _text) of the rows, their signatures, the classes of equal sets, the
+    n-gram order, and (gram, node, n, rest) of the rarest n-grams that several classes share."""
+    spark = docs.sparkSession
+    python_ready(spark)
+    docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    signed = cut(_signatures(docs, k))
+    rows = signed.drop("sizes")
+    classes = cut(signed.where("n > 0").groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("sizes").alias("sizes"), F.count(F.lit(1)).alias("rows"))
+                  .withColumn("node", F.monotonically_increasing_id()))
+    order = spark.sparkContext.broadcast(_order(docs, k))
+
+    path = shared_folder(spark, "prefixes")
+    _prefixes(docs, k, percent, order).write.parquet(path)
+    prefixes = spark.read.schema("gram long, h1 long, h2 long, n int, rest int").parquet(path)
+    shared = prefixes.groupBy("gram").agg(F.min("h1").alias("_a"), F.max("h1").alias("_z")).where("_a < _z")
+    met = cut(prefixes.join(shared.select("gram"), "gram", "left_semi")
+              .groupBy("gram", "h1", "h2").agg(F.first("n").alias("n"), F.first("rest").alias("rest"))
+              .join(classes.where("rep is not null").select("h1", "h2", "node"), ["h1", "h2"]).select("gram", "node", "n", "rest"))
+    return docs, rows, classes, order, met
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row of ``docs`` with its n-gram set's size and its component: id, n_shingles, component_id.
 
@@ -236,22 +261,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     component of an equal set, if any, but link nothing and are no component_id.  Repeated rows are
     equal sets; other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    python_ready(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    signed = cut(_signatures(docs, k))
-    rows = signed.drop("sizes")
-    classes = cut(signed.where("n > 0").groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("sizes").alias("sizes"), F.count(F.lit(1)).alias("rows"))
-                  .withColumn("node", F.monotonically_increasing_id()))
-    order = spark.sparkContext.broadcast(_order(docs, k))
-
-    path = shared_folder(spark, "prefixes")
-    _prefixes(docs, k, percent, order).write.parquet(path)
-    prefixes = spark.read.schema("gram long, h1 long, h2 long, n int, rest int").parquet(path)
-    shared = prefixes.groupBy("gram").agg(F.min("h1").alias("_a"), F.max("h1").alias("_z")).where("_a < _z")
-    met = cut(prefixes.join(shared.select("gram"), "gram", "left_semi")
-              .groupBy("gram", "h1", "h2").agg(F.first("n").alias("n"), F.first("rest").alias("rest"))
-              .join(classes.where("rep is not null").select("h1", "h2", "node"), ["h1", "h2"]).select("gram", "node", "n", "rest"))
+    docs, rows, classes, order, met = _candidates(docs, k, percent, id_col, text_col)
     pivots = cut(met.groupBy("gram").agg(F.max(F.struct((F.col("rest") / F.col("n")).alias("share"), (-F.col("node")).alias("node"), "n", "rest")).alias("_p"),
                                          F.min("n").alias("_least"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
                  .select("gram", "_c", "_least", (-F.col("_p.node")).alias("node2"), F.col("_p.n").alias("m"), F.col("_p.rest").alias("rest2")))
@@ -283,3 +293,42 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     return (join_groups(rows.where("n > 0"), named_classes, ["h1", "h2"], "rows").select("_id", "n", "component_id")
             .unionByName(rows.where("n = 0").select("_id", "n", F.col("_id").alias("component_id")))
             .select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"))
+
+
+def jaccard_links(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links of the join whose components jaccard_components has, as two tables.
+
+    Members, one row per row of ``docs``: id, n_shingles, class_id, n_links.  Rows of equal n-gram sets
+    are one class, named by its set's 128-bit hash in hex.  n_links counts the other rows with an id
+    that the row is linked with, those of its own class included.  Pairs, one row per two linked
+    classes: class_a < class_b; each row of the one is linked with each of the other.
+
+    All candidate pairs are verified, none are left to links of others, so that the work and the pairs grow
+    with the square of the number of unlike sets in a group of near copies; copies cost nothing.  The sets
+    of a frequent n-gram meet in blocks of MEETING, so that no task has all of its pairs.
+
+    Rows without words have a null class and no links.  Rows with a null id are members of their
+    class, but have no links (0) and count as none; a class of such rows alone is in no pair.
+    """
+    docs, rows, classes, order, met = _candidates(docs, k, percent, id_col, text_col)
+    counts = cut(met.groupBy("gram").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1"))
+    blocks = F.ceil(F.col("_c") / MEETING).cast("int")
+    met = cut(join_groups(met, counts, ["gram"], "_c").withColumn("_blocks", blocks))
+    one = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")).select("gram", "block", "node", "n", "rest")
+    all_blocks = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    others = all_blocks.select("gram", "block", F.col("node").alias("node2"), F.col("n").alias("m"), F.col("rest").alias("rest2"))
+    pairs = cut(_pairs(one.join(others, ["gram", "block"]).where((F.col("node") < F.col("node2")) & _may_be("n", "rest", "m", "rest2", percent))))
+    links = cut(_similar(docs, classes, pairs, k, percent, order))
+
+    sizes = rows.where("n > 0 and _id is not null").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("own"))
+    named = cut(classes.join(sizes, ["h1", "h2"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+                .withColumn("class_id", F.lower(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in ("h1", "h2")]))))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = (both.join(named.select(F.col("node").alias("b"), "own"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("own").alias("_linked")))
+    classed = cut(named.join(linked, "node", "left").select("h1", "h2", "rows", "class_id", (F.col("own") + F.coalesce("_linked", F.lit(0)) - 1).alias("n_links")))
+    members = (join_groups(rows.where("n > 0"), classed, ["h1", "h2"], "rows")
+               .select("_id", "n", "class_id", F.when(F.col("_id").isNull(), 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+               .unionByName(rows.where("n = 0").select("_id", "n", F.lit(None).cast("string").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+               .select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "n_links"))
+    a, b = (named.select(F.col("node").alias(x), F.col("class_id").alias(f"_{x}")) for x in "ab")
+    return members, (links.join(a, "a").join(b, "b").select(F.least("_a", "_b").alias("class_a"), F.greatest("_a", "_b").alias("class_b")))

@@ -59,3 +59,28 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()))
     assert got == {**{i: 100 for i in range(100, 161)}, 7: 7, **{x: 7 for x in range(200, 260)}, 300: 300, 301: 300, 302: 300}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+@pytest.mark.parametrize("meeting", [512, 3])
+def test_links_are_whole(spark, monkeypatch, meeting):
+    """Every row's number of links, and every pair of unlike sets, in groups of near copies and of copies."""
+    monkeypatch.setattr(jaccard, "MEETING", meeting)
+    r = random.Random(9)
+    texts = []
+    for g in range(3):
+        base = [f"g{g}w{r.randrange(10_000)}" for _ in range(120)]
+        for _ in range(20):
+            w = list(base)
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(120)] = f"v{r.randrange(10_000)}"
+            texts += [" ".join(w)] * r.randint(1, 3)
+    rows = [*enumerate(texts), (1000, ""), (1001, None), (1002, "alone"), (None, texts[0]), (1003, "alone")]
+    members, pairs = jaccard.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"))
+    members, pairs = members.collect(), {tuple(p) for p in pairs.collect()}
+    sets = {i: brute.shingles(t, 3) for i, t in rows if i is not None}
+    like = lambda x, y: bool(x) and bool(y) and 100 * len(x & y) >= 90 * len(x | y)
+    want = {i: (len(s), sum(like(s, t) for j, t in sets.items() if j != i)) for i, s in sets.items()}
+    assert {m.doc_id: (m.n_shingles, m.n_links) for m in members if m.doc_id is not None} == want and len(members) == len(rows)
+    named = {sets[m.doc_id]: m.class_id for m in members if m.doc_id is not None}
+    assert pairs == {(named[s], named[t]) for s in named for t in named if named[s] and named[t] and named[s] < named[t] and like(s, t)}
+    assert [(m.class_id, m.n_links) for m in members if m.doc_id is None] == [(named[sets[0]], 0)]
