@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import python_ready
+from orderlens.llm.common import cut, python_ready
 
 #: n-gram lengths and the number of hashed features (a power of two).
 ORDERS, FEATURES = (1, 2, 3), 1 << 16
 
-#: Languages of a model at most (those with most n-grams), so that its matrix has 64 MB at most.
+#: Languages of a block of the model at most, so that a matrix has 64 MB at most.
 MAX_LANGS = 256
 
 #: n-grams whose evidence counts in full; of longer texts the mean evidence of so many.
@@ -56,23 +56,39 @@ def has_letter(text: str | None) -> bool:
 
 
 class Model:
-    """``langs`` and their log probabilities: a prior each, and a (feature, language) matrix."""
-
-    def __init__(self, langs: list[str], prior: np.ndarray, matrix: np.ndarray):
-        self.langs, self.prior, self.matrix = langs, prior, matrix
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, its probability); ("und", 0) for a text without letters or a model without languages."""
-        if not self.langs or not has_letter(text):
-            return "und", 0.0
-        total, n = np.zeros(len(self.langs)), 0
-        for h in _features(text):
-            total += self.matrix[h].sum(axis=0, dtype=np.float64)
-            n += len(h)
-        score = self.prior + total * min(1.0, EVIDENCE / max(n, 1))
-        p = np.exp(score - score.max())
-        best = int(p.argmax())
-        return self.langs[best], float(p[best] / p.sum())
+    """``langs``, sorted, a prior each, and their log probabilities: (feature, language) matrices of up to
+    MAX_LANGS languages in turn, each made from the ``counts`` when asked for."""
+
+    def __init__(self, langs: list[str], counts: DataFrame | None, smoothing: float):
+        self.langs, self.counts, self.smoothing = langs, counts, smoothing
+        self.prior = -np.log(max(len(langs), 1))
+
+    def blocks(self):
+        """(languages, matrix) of each block in turn; one of no languages when there are none."""
+        for at in range(0, max(len(self.langs), 1), MAX_LANGS):
+            langs = self.langs[at:at + MAX_LANGS]
+            if not langs:
+                yield [], np.empty((FEATURES, 0), np.float32)
+                continue
+            got = self.counts.where(F.col("lang").between(langs[0], langs[-1])).toArrow()
+            table = np.full((FEATURES, len(langs)), self.smoothing)
+            place = {x: i for i, x in enumerate(langs)}
+            np.add.at(table, (got["feature"].to_numpy(), np.array([place[x] for x in got["lang"].to_pylist()])), got["n"].to_numpy())
+            yield langs, np.log(table / table.sum(axis=0)).astype(np.float32)
+
+
+def _best(text: str | None, langs: list[str], prior: float, matrix: np.ndarray) -> tuple[str, float, float]:
+    """(language, its score, log of the summed exponentials of all scores); ("und", 0, inf) for a text without
+    letters or no languages."""
+    if not langs or not has_letter(text):
+        return "und", 0.0, np.inf
+    total, n = np.zeros(len(langs)), 0
+    for h in _features(text):
+        total += matrix[h].sum(axis=0, dtype=np.float64)
+        n += len(h)
+    score = prior + total * min(1.0, EVIDENCE / max(n, 1))
+    best = int(score.argmax())
+    return langs[best], float(score[best]), float(score[best] + np.log(np.exp(score - score[best]).sum()))
 
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5) -> Model:
@@ -106,33 +122,39 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
     counts = (rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
               .where("text is not null and lang is not null").mapInArrow(count, "lang string, feature long, n long")
               .groupBy("lang", "feature").agg(F.sum("n").alias("n")))
-    most = counts.groupBy("lang").agg(F.sum("n").alias("_all")).orderBy(F.desc("_all"), "lang").limit(MAX_LANGS)
-    got = counts.join(F.broadcast(most.select("lang")), "lang").toArrow()
-    langs = sorted(set(got["lang"].to_pylist()))
-    if not langs:
-        return Model([], np.empty(0), np.empty((FEATURES, 0), np.float32))
-    table = np.full((FEATURES, len(langs)), smoothing)
-    at = {x: i for i, x in enumerate(langs)}
-    np.add.at(table, (got["feature"].to_numpy(), np.array([at[x] for x in got["lang"].to_pylist()])), got["n"].to_numpy())
-    return Model(langs, np.full(len(langs), -np.log(len(langs))), np.log(table / table.sum(axis=0)).astype(np.float32))
+    counts = cut(counts)
+    langs = sorted(r.lang for r in counts.select("lang").distinct().toLocalIterator())
+    return Model(langs, counts, smoothing)
 
 
 def predict(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``rows`` with lang_pred and score (0 to 1), from the text alone; clashing columns are replaced.
-    The broadcast matrix has FEATURES * languages * 4 bytes."""
+    A broadcast matrix has FEATURES * MAX_LANGS * 4 bytes at most.  With more languages, the rows pass the
+    blocks in turn, written in between, and keep the best language and the sum so far."""
     spark: SparkSession = rows.sparkSession
     python_ready(spark)
     rows = rows.drop("lang_pred", "score")
-    shared = spark.sparkContext.broadcast((model.langs, model.prior, model.matrix))
-
-    def score(batches):
-        m = Model(*shared.value)
-        for batch in batches:
-            found = [m.predict(x.as_py()) for x in batch.column(batch.schema.get_field_index(text_col))]
-            yield batch.append_column("lang_pred", pa.array([x for x, _ in found], pa.string())).append_column("score", pa.array([x for _, x in found], pa.float64()))
-
-    ddl = rows.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(score, ddl)
+    now = None
+    for langs, matrix in model.blocks():
+        shared = spark.sparkContext.broadcast((langs, model.prior, matrix))
+        now = cut(now) if now is not None else rows.withColumns({"lang_pred": F.lit(None).cast("string"), "score": F.lit(None).cast("double"), "_sum": F.lit(None).cast("double")})
+        names = now.columns
+
+        def score(batches, shared=shared, names=names):
+            for batch in batches:
+                old = zip(*(batch.column(names.index(c)).to_pylist() for c in ("lang_pred", "score", "_sum")))
+                found = []
+                for x, (lang, top, whole) in zip(batch.column(names.index(text_col)), old):
+                    here = _best(x.as_py(), *shared.value)
+                    if lang is not None and here[0] != "und":
+                        here = (*(here[:2] if here[1] > top else (lang, top)), float(np.logaddexp(whole, here[2])))
+                    found.append(here)
+                columns = [batch.column(i) for i in range(len(names) - 3)]
+                columns += [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+        now = now.mapInArrow(score, now.schema)
+    return now.withColumn("score", F.exp(F.col("score") - F.col("_sum"))).drop("_sum")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -46,3 +46,18 @@ def test_stretches_add_up(monkeypatch):
     extra = len(cut) - len(whole)
     assert 0 <= extra
     assert np.isin(whole, cut).all()
+
+
+def test_labels_past_one_block(spark, monkeypatch):
+    """Every label is in the model, the rarest too, and blocks give the scores of one matrix."""
+    rows = [(i, (chr(0x4E00 + 2 * i) + chr(0x4E01 + 2 * i)) * (2 if i % 5 else 9), f"l{i * 37 % 64}") for i in range(64)]
+    docs = spark.createDataFrame([*rows, (99, "123", "en")], "doc_id long, text string, lang string")
+
+    def run():
+        return {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs.drop("lang"), langid.train(docs)).collect()}
+
+    whole = run()
+    monkeypatch.setattr(langid, "MAX_LANGS", 10)
+    cut = run()
+    assert all(whole[i][0] == cut[i][0] and abs(whole[i][1] - cut[i][1]) < 1e-9 for i in whole)
+    assert all(cut[i][0] == lang for i, _, lang in rows) and cut[99] == ("und", 0.0)
