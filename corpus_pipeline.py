@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.llm import jaccard, langid, line_dedup, mixing, packing
-from orderlens.llm.common import by_keys, shared_folder, table, words
+from orderlens.llm.common import by_keys, cut, join_groups, shared_folder, table, words
 
 #: Least probability of the predicted language.
 MIN_SCORE = 0.5
@@ -43,16 +43,23 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 of 5-word shingles: the one
-    with the smallest id.  Rows of one id stay or go together, and of those that stay one is kept;
-    rows with a null id stay."""
-    groups = jaccard.jaccard_components(docs, k=5, percent=80)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    out = by_keys(docs, gone, ["doc_id"], "left_anti")
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """One row of each group linked by a Jaccard similarity of 0.8 of 5-word shingles: the one with the
+    smallest id (null ids last), then the smallest hash of id and text, then of all columns.  Rows of one
+    id with unlike texts are apart; rows with a null id are members too.  Rows without words stay."""
+    rows = docs.withColumn("_row_hash", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    groups = cut(jaccard.jaccard_components(rows.select("_row_hash", "text"), k=5, percent=80, id_col="_row_hash").where("n_shingles > 0"))
+    linked = cut(groups.groupBy(F.col("component_id").alias("_component")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    members = cut(join_groups(groups.select("_row_hash", F.col("component_id").alias("_component")), linked, ["_component"], "_n")
+                  .select("_row_hash", "_component").distinct())
+    ids = by_keys(rows.select("_row_hash", "doc_id"), members.select("_row_hash"), ["_row_hash"]).distinct()
+    first = (members.join(ids, "_row_hash").groupBy("_component")
+             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_row_hash")).alias("_first")).select("_first._row_hash"))
+    out = by_keys(rows, cut(members.join(first, "_row_hash", "left_anti").select("_row_hash")), ["_row_hash"], "left_anti")
+    repeated = cut(groups.groupBy("_row_hash").count().where("count > 1").select("_row_hash"))
     if repeated.limit(1).count():
-        once = by_keys(out, repeated, ["doc_id"]).dropDuplicates(["doc_id"])
-        out = by_keys(out, repeated, ["doc_id"], "left_anti").unionByName(once)
+        order = F.struct(F.xxhash64(*docs.columns).alias("_all"), F.struct(*docs.columns).alias("_kept"))
+        once = by_keys(out, repeated, ["_row_hash"]).groupBy("_row_hash").agg(F.min(order).alias("_one")).select("_one._kept.*")
+        out = by_keys(out, repeated, ["_row_hash"], "left_anti").select(*docs.columns).unionByName(once)
     return out.select(*docs.columns)
 
 

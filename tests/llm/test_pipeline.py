@@ -87,3 +87,14 @@ def test_language_rejects(spark, docs):
     junk = spark.createDataFrame([(5000, "123 456 --- !!", "en", "src0", 3), (5001, None, "en", "src0", 3)], docs.schema)
     out = P.language_id(spark, docs.unionByName(junk), "")
     assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_near_copies_by_row(spark, docs):
+    """Unlike texts of one id are apart, null ids are members, and the row that stays is defined."""
+    one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, one, "en", "src0", 1), (2, one, "en", "src1", 1), (2, two, "en", "src1", 1), (2, two, "de", "src1", 1), (3, f"{two} more", "en", "src2", 1),
+            (None, one, "en", "src3", 1), (None, three, "en", "src3", 1), (None, three, "en", "src4", 1)]
+    runs = [sorted(map(tuple, P.near_copies(spark, spark.createDataFrame(part, docs.schema).repartition(n), "").collect()), key=str)
+            for part, n in ((rows, 1), (rows[::-1], 3))]
+    assert runs[0] == runs[1]
+    assert sorted(((r[0], r[1]) for r in runs[0]), key=str) == sorted([(1, one), (2, two), (None, three)], key=str)
