@@ -18,9 +18,12 @@ SHARD, BLOCK = 4096, 1024
 #: Points of a leaf, at most (more only when all are equal).
 LEAF = 64
 
-#: Vectors with a scaled component from here on take no part: their products leave 64 bits.
+#: Vectors with a scaled component from here on take no part, but where large ones are asked for.
 TOO_LARGE = 1 << 28
 
+#: From here on a scaled component or a score leaves 64 bits.
+PAST_64_BITS = 2.0 ** 63
+
 LOWEST, NO_ID = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
@@ -55,8 +58,11 @@ class BallTree:
     def upper(self, queries: np.ndarray) -> np.ndarray:
         """(query, node) bounds of the integer scores: <q, center> + |q| * radius, with room for rounding."""
         q = queries.astype(np.float64)
-        bound = q @ self.centers.T + np.sqrt((q * q).sum(axis=1))[:, None] * self.radii[None, :]
-        return np.floor(bound + 1e-6 + 1e-9 * np.abs(bound)).astype(np.int64)
+        size, far = np.sqrt((q * q).sum(axis=1))[:, None], np.sqrt((self.centers ** 2).sum(axis=1)) + self.radii
+        bound = q @ self.centers.T + size * self.radii[None, :]
+        bound = np.floor(bound + 1e-6 + 1e-9 * np.abs(bound) + 1e-15 * (q.shape[1] + 8) * size * far[None, :])
+        inside = (bound < PAST_64_BITS) & (bound > -PAST_64_BITS)
+        return np.where(inside, np.where(inside, bound, 0.0).astype(np.int64), np.where(bound > 0, np.iinfo(np.int64).max, LOWEST + 1))
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, kth: np.ndarray, kth_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The k best (scores, ids) of each query among the points but its ``own`` id.  ``kth`` and
@@ -79,11 +85,11 @@ class BallTree:
                     heapq.heappush(heap, (-int(upper[on, child].max()), child))
                 continue
             points, names = self.points[start:stop], self.ids[start:stop]
+            mine = own[on][:, None] == names[None, :]
             if exact:
                 new = (queries[on].astype(np.float64) @ points.T.astype(np.float64)).astype(np.int64)
             else:
-                new = queries[on] @ points.T
-            mine = own[on][:, None] == names[None, :]
+                new = _products(queries[on], points, ~mine)
             all_scores = np.concatenate([scores[on], np.where(mine, LOWEST, new)], axis=1)
             all_ids = np.concatenate([ids[on], np.where(mine, NO_ID, names[None, :])], axis=1)
             best = np.lexsort((all_ids, ~all_scores), axis=1)[:, :k]  # ~x: descending without overflow
@@ -94,19 +100,35 @@ class BallTree:
         return scores, ids
 
 
+def _products(a: np.ndarray, b: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The integer inner products of the rows of ``a`` and ``b``; an error for one ``asked`` that leaves 64 bits.  Sums modulo
+    2**64 are right when the product is inside; what may not be is computed again in Python."""
+    x, y = a.astype(np.float64), b.astype(np.float64)
+    most = np.abs(x) @ np.abs(y).T
+    for i, j in zip(*np.nonzero(asked & (most * (1 + 1e-9) >= PAST_64_BITS))):
+        score = sum(p * q for p, q in zip(a[i].tolist(), b[j].tolist()))
+        if not -1 << 63 <= score < 1 << 63:
+            raise OverflowError(f"the score {score} leaves 64 bits")
+    return a @ b.T
+
+
 def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     flat = column.combine_chunks()
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(flat), dims)
 
 
-def _usable(v: Column) -> Column:
+def _usable(v: Column, large: bool) -> Column:
     x = F.transform(v, lambda e: e.cast("double"))
-    bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e * 256) >= TOO_LARGE))
-    return F.when(v.isNotNull() & ~F.coalesce(bad, F.lit(True)), F.transform(x, lambda e: F.floor(e * 256).cast("long")))
+    bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf") if large else F.abs(e * 256) >= TOO_LARGE))
+    whole = lambda e: F.floor(e * 256).cast("long")
+    if large:
+        past = F.raise_error(F.lit("a component leaves 64 bits")).cast("long")
+        return F.when(v.isNotNull() & ~F.coalesce(bad, F.lit(True)), F.transform(x, lambda e: F.when(F.abs(e * 256) < PAST_64_BITS, whole(e)).otherwise(past)))
+    return F.when(v.isNotNull() & ~F.coalesce(bad, F.lit(True)), F.transform(x, whole))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-          shard_rows: int = SHARD, block_rows: int = BLOCK) -> DataFrame:
+          shard_rows: int = SHARD, block_rows: int = BLOCK, large: bool = False) -> DataFrame:
     """The k highest integer inner products of every query vector with all other vectors: query_id,
     rank, vec_id, score; ties go to the smaller id.
 
@@ -116,14 +138,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     nodes that can't beat them aren't opened.  Each (shard, block) pair is a row, whatever the number
     of executors.
 
-    Vectors that are null, hold a null or non-finite component, or one of 2**20 or more, and null ids
-    take no part.  Vectors meet those of their own length only.  A query's own are all rows of its
+    Vectors that are null or hold a null or non-finite component, and null ids take no part, nor do, but
+    with ``large``, vectors with a component of 2**20 or more.  With ``large``, their scores are exact,
+    and a component of 2**55 or more, or a score met that leaves 64 bits, is an error.  Vectors meet those of their own length only.  A query's own are all rows of its
     id; a repeated query row is answered for each row.  Fewer than k others: all.  An empty table
     gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     python_ready(spark, 8)
-    rows = cut(vectors.select(F.col(id_col).cast("long").alias("id"), _usable(F.col(vector_col)).alias("v"), is_query.alias("q"))
+    rows = cut(vectors.select(F.col(id_col).cast("long").alias("id"), _usable(F.col(vector_col), large).alias("v"), is_query.alias("q"))
                .where("id is not null and v is not null").withColumn("row", F.monotonically_increasing_id()).withColumn("dims", F.size("v")))
     n, asked = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
     shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(asked / block_rows))

@@ -61,3 +61,23 @@ def test_bounds_hold_and_prune(seed):
     scores, found = tree.search(queries, ids[:50], 5, *none)
     again, same = tree.search(queries, ids[:50], 5, scores[:, -1], found[:, -1] + 1)
     assert (again[:, 0] == scores[:, 0]).all() and (same[:, 0] == found[:, 0]).all()
+
+
+def test_large_components(spark, tmp_path):
+    """The query answers for vectors with large components, exactly, and fails where a score leaves 64 bits."""
+    from orderlens.llm.queries import op2_exact_topk
+
+    r = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x * 2.0 ** (21 if i % 4 else 0))) for x in r.normal(size=4)], 0) for i in range(120)]
+    rows += [(200, [2.0 ** 22, 1.0, 0.0, 0.0], 0), (250, [1.0, 2.0 ** 40, 0.0, 0.0], 0)]  # its product with itself is not asked for
+    rows = [(i, [v[0], 0.0, *v[2:]] if i < 200 else v, 0) for i, v, _ in rows]  # so that 250's scores stay inside
+    whole = {i: [math.floor(256 * x) for x in v] for i, v, _ in rows}
+    want = []
+    for q in (0, 50, 100, 200, 250):
+        best = sorted((-sum(x * y for x, y in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(tuple(x) for x in op2_exact_topk(spark, str(tmp_path)).collect()) == sorted(want)
+    spark.createDataFrame([(0, [2.0 ** 30], 0), (1, [2.0 ** 30], 0)], SCHEMA).write.parquet(f"{tmp_path}/past/embeddings.parquet")
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        op2_exact_topk(spark, f"{tmp_path}/past").collect()
