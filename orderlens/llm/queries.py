@@ -14,6 +14,7 @@ from orderlens.llm.hilbert import hilbert_shards
 from orderlens.llm.jaccard import jaccard_components
 from orderlens.llm.langid import identify
 from orderlens.llm.line_dedup import line_dedup
+from orderlens.llm.merkle import folded, leaf_digest, merkle_manifest, proof
 from orderlens.llm.mixing import mix
 from orderlens.llm.packing import pack, token_pieces
 from orderlens.llm.token_files import read_documents, write_token_files
@@ -81,6 +82,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; documents whose id has an even crc32 lose their line ends
+    before the proof is checked."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = leaf_digest([F.translate("text", "\n", "") if c == "text" else F.col(c) for c in fields])
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    out = merkle_manifest(table(spark, sf_dir, "documents"), fields, "source", "doc_id", {"tampered": F.when(even, tampered)})
+    root = folded(F.col("path"), F.coalesce("tampered", "leaf"))
+    return (out.select("doc_id", "leaf", "subroot", "root", F.sha2(proof(F.col("path")), 256).alias("proof_sha256"), root.alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_exact_topk, op3_url_filters, op4_source_mixing, op5_ngram_jaccard, op6_best_fit_packing, op7_language_id,
-                                 op8_hilbert_sharding, op9_exact_dedup, op10_token_files)}
+                                 op8_hilbert_sharding, op9_exact_dedup, op10_token_files, op13_merkle_manifest)}

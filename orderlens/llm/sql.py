@@ -95,3 +95,46 @@ links AS (
 reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(y) FROM reach WHERE x = doc_id) AS component_id FROM sets
 """
+
+
+def _merkle_sql(levels: int = 12, group_levels: int = 7) -> str:
+    """Trees of up to 3**levels rows per source and 3**group_levels sources, one CTE per level."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars')))} || {field(text)})"
+    pad = lambda side: (f"coalesce(string_agg(digest, '') OVER (PARTITION BY g, r // 3 ORDER BY r ROWS BETWEEN "
+                        f"{'UNBOUNDED PRECEDING AND 1 PRECEDING' if side == 'lo' else '1 FOLLOWING AND UNBOUNDED FOLLOWING'}), '') AS {side}")
+
+    def climb(t: str, w: str, n: int) -> str:
+        out = ""
+        for k in range(n):
+            out += f"""
+{t}{k}x AS (SELECT *, {pad('lo')}, {pad('hi')} FROM {t}{k}),
+{t}{k + 1} AS (SELECT g, r // 3 AS r, (n + 2) // 3 AS n, CASE WHEN n > 1 THEN sha256(string_agg(digest, '' ORDER BY r)) ELSE min(digest) END AS digest
+  FROM {t}{k} GROUP BY g, r // 3, n),
+{w}{k + 1} AS (SELECT doc_id, source_no, g, r // 3 AS r, leaf, CASE WHEN n > 1 THEN sha256(lo || x || hi) ELSE x END AS x, proof || lo || hi AS proof
+  FROM {w}{k} JOIN {t}{k}x USING (g, r)),"""
+        return out
+
+    return f"""
+WITH step AS (  -- CRC-32 by the reflected polynomial 0xEDB88320, of the id's decimal digits
+  SELECT doc_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda c, bit: xor(c // 2, 3988292384 * (c % 2)))) AS crc
+  FROM documents),
+even AS (SELECT DISTINCT doc_id AS even_id FROM step WHERE xor(crc, 4294967295) % 2 = 0),
+leaves AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS source_no, {leaf('text')} AS leaf,
+         CASE WHEN even_id IS NULL THEN {leaf('text')} ELSE {leaf("replace(text, chr(10), '')")} END AS x
+  FROM documents LEFT JOIN even ON doc_id = even_id),
+w0 AS (
+  SELECT doc_id, source_no, source_no AS g, row_number() OVER (PARTITION BY source_no ORDER BY doc_id, leaf) - 1 AS r, leaf, x, '' AS proof
+  FROM leaves),
+t0 AS (SELECT g, r, count(*) OVER (PARTITION BY g) AS n, leaf AS digest FROM w0),{climb('t', 'w', levels)}
+u0 AS (SELECT 0 AS g, g AS r, count(*) OVER () AS n, digest FROM t{levels}),
+v0 AS (SELECT * REPLACE (0 AS g, source_no AS r) FROM w{levels}),{climb('u', 'v', group_levels)}
+subroots AS (SELECT g AS source_no, digest AS subroot FROM t{levels})
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = digest AS verified
+FROM v{group_levels} JOIN subroots USING (source_no) CROSS JOIN u{group_levels}
+"""
+
+
+LLM_SQL["op13_merkle_manifest"] = _merkle_sql()
