@@ -12,6 +12,9 @@ from orderlens.session import checkpoint_dir, ship_package
 #: Rows up to which a table of keys and small values is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 
+#: Bytes up to which a table whose size was summed is broadcast.
+BROADCAST_BYTES = 64 << 20
+
 #: A key holding at least this share of all rows is hot; there are at most 1 / HOT_SHARE such keys.
 HOT_SHARE = 0.001
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from orderlens.llm.common import shared_folder, table
 from orderlens.llm.exact_dedup import exact_dedup
 from orderlens.llm.hilbert import hilbert_shards
+from orderlens.llm.html_text import extract
 from orderlens.llm.jaccard import jaccard_components
 from orderlens.llm.langid import identify
 from orderlens.llm.line_dedup import line_dedup
@@ -82,6 +83,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article text of every page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document; documents whose id has an even crc32 lose their line ends
     before the proof is checked."""
@@ -96,4 +102,4 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_exact_topk, op3_url_filters, op4_source_mixing, op5_ngram_jaccard, op6_best_fit_packing, op7_language_id,
-                                 op8_hilbert_sharding, op9_exact_dedup, op10_token_files, op13_merkle_manifest)}
+                                 op8_hilbert_sharding, op9_exact_dedup, op10_token_files, op12_html_extraction, op13_merkle_manifest)}
