@@ -25,7 +25,7 @@ from orderlens.plans.ranking import with_global_row_number
 FAN = 3
 
 #: Levels that one round groups away: a block has at most FAN ** LEVELS nodes.
-LEVELS = 6
+LEVELS = 4
 
 _STEP = "struct<left: string, right: string>"
 
