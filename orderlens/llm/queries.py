@@ -18,6 +18,7 @@ from orderlens.llm.line_dedup import line_dedup
 from orderlens.llm.merkle import folded, leaf_digest, merkle_manifest, proof
 from orderlens.llm.mixing import mix
 from orderlens.llm.packing import pack, token_pieces
+from orderlens.llm.phrases import collocations
 from orderlens.llm.token_files import read_documents, write_token_files
 from orderlens.llm.topk import top_k
 from orderlens.llm.url_filter import url_filter
@@ -83,6 +84,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of two and three words of each language."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article text of every page."""
     return extract(table(spark, sf_dir, "pages"))
@@ -102,4 +108,4 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_exact_topk, op3_url_filters, op4_source_mixing, op5_ngram_jaccard, op6_best_fit_packing, op7_language_id,
-                                 op8_hilbert_sharding, op9_exact_dedup, op10_token_files, op12_html_extraction, op13_merkle_manifest)}
+                                 op8_hilbert_sharding, op9_exact_dedup, op10_token_files, op11_phrase_mining, op12_html_extraction, op13_merkle_manifest)}

@@ -72,6 +72,32 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+LLM_SQL["op11_phrase_mining"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+counts AS (
+  SELECT lang, w[i:i + m - 1] AS p, count(*) AS f FROM placed, (VALUES (1), (2), (3)) lengths(m) WHERE i + m - 1 <= len(w) GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE len(p) = 1 GROUP BY lang),
+found AS (SELECT lang, p, f AS a FROM counts WHERE len(p) > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.p, c.a, k, x.f AS l, y.f AS r, ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM found) c
+  JOIN counts x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN counts y ON y.lang = c.lang AND y.p = c.p[k + 1:len(c.p)]),
+scored AS (SELECT lang, p, a, arg_min({'l': l, 'r': r, 'score': score}, {'score': score, 'k': k}) AS cut FROM cuts GROUP BY lang, p, a),
+inside AS (
+  SELECT lang, p[i:i + m - 1] AS p, max(a) AS longer
+  FROM (SELECT lang, p, a, unnest(range(1, len(p) + 1)) AS i FROM found), (VALUES (2)) lengths(m) WHERE len(p) > m AND i + m - 1 <= len(p) GROUP BY ALL),
+ranked AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, cut.l AS l, cut.r AS r, cut.score AS score,
+         row_number() OVER (PARTITION BY lang ORDER BY cut.score DESC, a DESC, array_to_string(p, ' ')) AS rank
+  FROM scored LEFT JOIN inside USING (lang, p) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 LLM_SQL["op9_exact_dedup"] = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
        sha256(coalesce(text, '')) AS text_sha256
