@@ -3,32 +3,37 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Paths of a hash container before it bursts into one container per second word.
-BURST = 4096
+#: Occurrences of a first word after which its paths leave the shared hash container for one of their own, and of
+#: paths in that one before it bursts into one container per second word.
+OWN, BURST = 64, 4096
 
-#: Paths that a task holds before it spills; half of them go, whole subtrees, the largest first.
+#: Paths that a task holds before it spills all its subtrees.
 PATHS = 600_000
 
-#: Words that a task numbers before it spills everything and numbers anew.
-VOCABULARY = 2_000_000
+#: Bytes of text per part: what one part's phrases need in memory when they are summed.
+PART_BYTES = 4 << 20
 
-#: Ways in which the phrases of one prefix are dealt, by their last words.
-SALTS = 32
+RUN = pa.schema([("part", pa.int64()), ("lang", pa.string()), ("phrases", pa.binary()), ("counts", pa.binary())])
 
-RUN = pa.schema([("lang", pa.string()), ("prefix", pa.int64()), ("phrase", pa.string()), ("n", pa.int64())])
+_ZSTD = pa.Codec("zstd")
 
 
 class _Words(dict):
     """Ids of words, from 1; 0 is the end of a piece."""
 
+    def __init__(self):
+        super().__init__({b"\n": 0})
+
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self) + 1
+        self[word] = n = len(self)
         return n
 
 
@@ -40,95 +45,134 @@ class _Node(dict):
         return box
 
 
+class _Top:
+    """One language's trie: the container that rare first words share, frequent ones' own, and occurrences per word."""
+
+    def __init__(self):
+        self.shared, self.own, self.seen, self.words = {}, {}, Counter(), 0
+
+
 class HatTrie:
     """Occurrences of all phrases of at most ``depth`` words, per language.
 
-    Each word starts one path of ``depth`` ids (0 after the end of its piece), which is counted in
-    the hash container below its first word; a container with BURST paths bursts.  Counts of shorter phrases
-    are sums over subtrees, made when a subtree is spilled.
+    Each word starts one path of ``depth`` ids (0 after the end of its piece), which is counted in a hash container:
+    one that all rare first words share, or their own, which bursts at BURST paths.  Counts of shorter phrases
+    are sums over subtrees, made when a subtree is spilled.  Runs are dealt to ``parts`` by the hash of a phrase's
+    first two words, and by its last words in an eighth as many ways, so that no prefix fills a part.
     """
 
-    def __init__(self, depth: int):
-        self.depth, self.ids, self.tops, self.paths, self.totals = depth, _Words(), {}, 0, {}
-
-    def add(self, lang: str, stretches: list[tuple[list[bytes], int]]) -> None:
-        """Words of stretches, each with the number of words whose paths begin here; the words after them follow in the piece."""
-        top, of, pad, first = self.tops.setdefault(lang, {}), self.ids.__getitem__, [0] * (self.depth - 1), self.paths
-        total = 0
-        for words, own in stretches:
-            total += own
-            ids = [*map(of, words), *pad]
-            for path in zip(ids[:own], *(ids[i:] for i in range(1, self.depth))):
-                box = top.get(path[0])
-                if box is None:
-                    box = top[path[0]] = {}
-                elif box.__class__ is _Node:
-                    box = box[path[1]]
-                n = box.get(path)
-                if n is None:
-                    box[path] = 1
-                    first += 1
-                    if len(box) == BURST and box is top[path[0]]:
-                        node = _Node()
-                        for p, m in box.items():
-                            node[p[1]][p] = m
-                        top[path[0]] = node
-                else:
-                    box[path] = n + 1
-        self.paths = first
-        self.totals[lang] = self.totals.get(lang, 0) + total
+    def __init__(self, depth: int, parts: int):
+        self.depth, self.parts, self.ways = depth, parts, max(8, parts // 8)
+        self.ids, self.tops, self.paths = _Words(), {}, 0
+
+    def add(self, lang: str, words: list[bytes], own: int) -> None:
+        """Words in turn, of which the paths of the first ``own`` are counted; line ends (depth - 1 at least) part pieces."""
+        top = self.tops.get(lang) or self.tops.setdefault(lang, _Top())
+        ids = list(map(self.ids.__getitem__, words))
+        begins, container, shared, new = ids[:own], top.own.get, top.shared, 0
+        for path in compress(zip(begins, *(ids[i:] for i in range(1, self.depth))), begins):
+            box = container(path[0], shared)
+            if box.__class__ is _Node:
+                box = box[path[1]]
+            if path in box:
+                box[path] += 1
+            else:
+                box[path] = 1
+                new += 1
+        self.paths += new
+        top.words += own - begins.count(0)
+        top.seen.update(begins)
+        for word in set(begins):
+            box = container(word)
+            if box is None:
+                if top.seen[word] >= OWN and word:
+                    top.own[word] = {}
+            elif len(box) >= BURST and box.__class__ is dict:
+                node = top.own[word] = _Node()
+                for path, n in box.items():
+                    node[path[1]][path] = n
 
     def full(self) -> bool:
-        return self.paths > PATHS or len(self.ids) > VOCABULARY
-
-    def spill(self, everything: bool = False) -> Iterator[pa.RecordBatch]:
-        """Sorted runs of the largest subtrees, or of all."""
-        everything = everything or len(self.ids) > VOCABULARY
-        size = lambda box: sum(map(len, box.values())) if box.__class__ is _Node else len(box)
-        trees = sorted(((size(box), lang, word) for lang, top in self.tops.items() for word, box in top.items()), reverse=True)
-        names = pa.array([b"", *self.ids], pa.binary()).cast(pa.string())
-        hashes = np.fromiter(map(zlib.crc32, (b"", *self.ids)), np.int64, len(names))
-        gone, chosen = 0, {}
-        for n, lang, word in trees:
-            if not everything and 2 * gone > self.paths:
-                break
-            gone += n
-            chosen.setdefault(lang, []).append(self.tops[lang].pop(word))
-        for lang, boxes in chosen.items():
-            yield from self._run(lang, boxes, names, hashes)
-        self.paths -= gone
-        if everything:
-            yield from self._rows(((lang, 0, "", n) for lang, n in self.totals.items()))
-            self.ids, self.totals = _Words(), {}
-
-    @staticmethod
-    def _rows(rows) -> Iterator[pa.RecordBatch]:
-        columns = list(zip(*rows))
-        if columns:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RUN)], schema=RUN)
+        return self.paths > PATHS
+
+    def spill(self) -> Iterator[pa.RecordBatch]:
+        """Sorted runs of all subtrees; the words' ids begin anew."""
+        names = pa.array(list(self.ids), pa.binary()).cast(pa.string())
+        hashes = np.fromiter(map(zlib.crc32, self.ids), np.int64, len(names))
+        tops, self.tops, self.ids, self.paths = self.tops, {}, _Words(), 0
+        for lang, top in tops.items():
+            yield from self._blocks(lang, pa.array([""]), np.array([top.words]), np.array([zlib.crc32(lang.encode()) % self.parts]))
+            if top.shared or top.own:
+                yield from self._run(lang, [top.shared, *top.own.values()], names, hashes)
 
     def _run(self, lang: str, boxes: list[dict], names: pa.Array, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
         leaves = [b for box in boxes for b in (box.values() if box.__class__ is _Node else (box,))]
         total = sum(map(len, leaves))
-        words = np.fromiter((w for box in leaves for path in box for w in path), np.int64, total * self.depth).reshape(total, self.depth)
-        counts = np.fromiter((n for box in leaves for n in box.values()), np.int64, total)
+        paths = chain.from_iterable(chain.from_iterable(leaves))
+        words = np.fromiter(paths, np.int32, total * self.depth).reshape(total, self.depth)
+        counts = np.fromiter(chain.from_iterable(map(dict.values, leaves)), np.int64, total)
         order = np.lexsort(words.T[::-1])
         words, counts = words[order], counts[order]
         changed = np.zeros(total, bool)
         changed[:1] = True
         prefix = np.full(total, zlib.crc32(lang.encode()), np.int64)
+        phrases, sums, parts = [], [], []
         for length in range(1, self.depth + 1):
             column = words[:, length - 1]
             changed[1:] |= column[1:] != column[:-1]
             starts = np.flatnonzero(changed)
             whole = column[starts] > 0
-            starts_of, n = starts[whole], np.add.reduceat(counts, starts)[whole]
-            if length <= 2:  # phrases are dealt by their first two words, the longer ones in SALTS ways
-                prefix = (prefix * 1_000_003 + hashes[column]) & 0x7FFFFFFFFFFF
-            dealt = prefix if length <= 2 else prefix + hashes[column] % SALTS
-            parts = [names.take(pa.array(words[starts_of, i])) for i in range(length)]
-            phrase = pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0]
-            for at in range(0, len(n), 65_536):
-                cut = slice(at, at + 65_536)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n[cut]), pa.string()), pa.array(dealt[starts_of[cut]]), phrase.slice(at, 65_536), pa.array(n[cut])],
-                                                 schema=RUN)
+            n, starts = np.add.reduceat(counts, starts)[whole], starts[whole]
+            mixed = prefix * 1_000_003 + hashes[column] & 0x7FFFFFFFFFFF
+            prefix = mixed if length <= 2 else prefix
+            last = hashes[column] % self.ways if length > 2 else 0
+            joined = [names.take(pa.array(words[starts, i])) for i in range(length)]
+            phrases.append(pc.binary_join_element_wise(*joined, " ") if length > 1 else joined[0])
+            sums.append(n)
+            parts.append((((prefix >> 8) + last) % self.parts)[starts])
+        yield from self._blocks(lang, pa.concat_arrays(phrases), np.concatenate(sums), np.concatenate(parts))
+
+    @staticmethod
+    def _blocks(lang: str, phrases: pa.Array, counts: np.ndarray, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """One row per part: its phrases in order, a line each, and their counts."""
+        order = np.argsort(parts, kind="stable")
+        parts, counts = parts[order], counts[order].astype("<i8")
+        starts = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]])
+        ends = np.r_[starts[1:], len(parts)]
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(parts)], pa.int32()), phrases.take(pa.array(order)))
+        rows = [(int(parts[a]), lang, pack(text.as_buffer()), pack(pa.py_buffer(counts[a:b].tobytes())))
+                for text, a, b in zip(pc.binary_join(lists, "\n"), starts, ends)]
+        for at in range(0, len(rows), 512):
+            columns = zip(*rows[at:at + 512])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RUN)], schema=RUN)
+
+
+def pack(data: pa.Buffer) -> bytes:
+    """Length and zstd block."""
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def unpack(data: bytes) -> bytes:
+    return _ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def merged(batches, least: int) -> Iterator[pa.RecordBatch]:
+    """Sums over runs sorted by (part, lang): phrases that occur ``least`` times, and all words of a language (phrase empty)."""
+    key, sums = None, {}
+
+    def frequent():
+        rows = [(key[1], phrase.decode(), n) for phrase, n in sums.items() if n >= least or not phrase]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))],
+                                             ["lang", "phrase", "f"])
+    for batch in batches:
+        for part, lang, phrases, counts in zip(*(batch.column(c) for c in RUN.names)):
+            if key != (part.as_py(), lang.as_py()):
+                if key:
+                    yield from frequent()
+                key, sums = (part.as_py(), lang.as_py()), {}
+            held = sums.get
+            for phrase, n in zip(unpack(phrases.as_py()).split(b"\n"), np.frombuffer(unpack(counts.as_py()), "<i8").tolist()):
+                sums[phrase] = held(phrase, 0) + n
+    if key:
+        yield from frequent()

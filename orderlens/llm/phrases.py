@@ -1,57 +1,62 @@
 """Phrase collocation mining: which word sequences occur together more often than their parts do.
 
 Each task counts its texts in a HAT-trie, a shallow trie of word ids over burstable hash containers, and spills whole
-subtrees as sorted runs once it holds too many paths.  Runs meet by prefix partition, where the counts of equal phrases
-are summed; what recurs less than the threshold goes there.  Scores and containment then work on the
+subtrees as sorted runs, compressed, once it holds too many paths.  Runs meet by prefix partition, where the counts of equal phrases
+are summed, one part of about PART_BYTES of text at a time; what recurs less than the threshold goes there.  Scores and containment then work on the
 phrases left, whose parts occur at least as often and so are all there.
 """
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.llm.common import cut, join_groups
-from orderlens.llm.hat_trie import HatTrie
+from orderlens.llm.hat_trie import PART_BYTES, HatTrie, merged
 from orderlens.session import ship_package
 
-#: ASCII capitals become small letters, the marks that part pieces line ends.
-_NORMAL = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c for c in range(256))
+#: ASCII capitals become small letters, the marks that part pieces line ends, tabs spaces.
+_NORMAL = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c for c in range(256))
 
 #: Ways in which a language's phrases are dealt before its first ones are chosen.
 _DEALT = 64
 
 
-#: Words that a task adds at once.
-_STRETCH = 50_000
+#: Bytes of text that a task adds at once, about.
+_CHUNK = 1 << 18
 
 
-def _stretches(text: bytes, depth: int):
-    """Lists of (words, own) of the text's pieces, of about _STRETCH words; a longer piece is cut, each part
-    with the depth - 1 words that follow it."""
-    out, held = [], 0
-    for piece in text.translate(_NORMAL).split(b"\n"):
-        words = piece.split()
-        for at in range(0, len(words), _STRETCH):
-            own = min(_STRETCH, len(words) - at)
-            out.append((words[at:at + own + depth - 1], own))
-            held += own
-            if held >= _STRETCH:
-                yield out
-                out, held = [], 0
-    yield out
+def _chunks(text: bytes, depth: int):
+    """(words, own): the words of each stretch of the text, with line ends between pieces, of which the first ``own`` begin
+    phrases; the others follow them and come again."""
+    text, at, held, ends = text.translate(_NORMAL), 0, [], b" " + b"\n " * (depth - 1)
+    while at < len(text):
+        cut = text.find(b" ", at + _CHUNK)
+        end = len(text) if cut < 0 else cut
+        words = held + [w for w in text[at:end].replace(b"\n", ends).split(b" ") if w]
+        if end == len(text):
+            words += [b"\n"] * (depth - 1)
+        own = max(len(words) - depth + 1, 0)
+        yield words, own
+        at, held = end, words[own:]
 
 
-def _runs(depth: int):
+def _runs(depth: int, parts: int):
     def count(batches):
-        trie = HatTrie(depth)
-        for batch in batches:
-            for lang, text in zip(batch.column("lang"), batch.column("text")):
-                for stretches in _stretches((text.as_py() or "").encode("utf-8", "replace"), depth):
-                    trie.add(lang.as_py(), stretches)
-                    if trie.full():
-                        yield from trie.spill()
-        yield from trie.spill(everything=True)
+        trie = HatTrie(depth, parts)
+        gc.disable()  # millions of tuples without cycles
+        try:
+            for batch in batches:
+                for lang, text in zip(batch.column("lang"), batch.column("text")):
+                    for words, own in _chunks((text.as_py() or "").encode("utf-8", "replace"), depth):
+                        trie.add(lang.as_py(), words, own)
+                        if trie.full():
+                            yield from trie.spill()
+            yield from trie.spill()
+        finally:
+            gc.enable()
     return count
 
 
@@ -60,9 +65,10 @@ def phrase_counts(docs: DataFrame, max_words: int, min_count: int, text_col: str
     for phrases of words."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    runs = rows.mapInArrow(_runs(max_words), "lang string, prefix long, phrase string, n long")
-    merged = runs.repartition("prefix").groupBy("prefix", "lang", "phrase").agg(F.sum("n").alias("f"))
-    return merged.where((F.col("f") >= min_count) | (F.col("phrase") == "")).select("lang", "phrase", "f")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    runs = rows.mapInArrow(_runs(max_words, size // PART_BYTES + 16), "part long, lang string, phrases binary, counts binary")
+    dealt = runs.repartition("part").sortWithinPartitions("part", "lang")
+    return dealt.mapInArrow(lambda batches: merged(batches, min_count), "lang string, phrase string, f long")
 
 
 def _wide(c: Column) -> Column:

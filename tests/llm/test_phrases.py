@@ -1,6 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,12 +50,12 @@ def test_against_plain_version(docs, rows, kw):
 
 
 def test_spills_and_bursts(docs, rows, monkeypatch):
-    """Small bounds: containers burst, subtrees are spilled many times, vocabularies begin anew, pieces are cut."""
-    for vocabulary in (2_000_000, 100):
+    """Small bounds: containers burst, subtrees are spilled many times, pieces are cut."""
+    for own, chunk in ((1, 1 << 18), (4, 30)):
+        monkeypatch.setattr(hat_trie, "OWN", own)
         monkeypatch.setattr(hat_trie, "BURST", 8)
         monkeypatch.setattr(hat_trie, "PATHS", 500)
-        monkeypatch.setattr(hat_trie, "VOCABULARY", vocabulary)
-        monkeypatch.setattr(phrases, "_STRETCH", 5)
+        monkeypatch.setattr(phrases, "_CHUNK", chunk)
         want = Counter()
         for lang in ("en", "de"):
             for text in (r[1] for r in rows if r[2] == lang):
@@ -64,12 +65,14 @@ def test_spills_and_bursts(docs, rows, monkeypatch):
                     want.update((lang, " ".join(w[i:i + m])) for m in (1, 2, 3) for i in range(len(w) - m + 1))
         batches = [b for lang in ("en", "de") for b in _batches(lang, [r[1] for r in rows if r[2] == lang])]
         got, runs, largest = Counter(), 0, 0
-        for run in phrases._runs(3)(iter(batches)):
+        for run in phrases._runs(3, 20)(iter(batches)):
             runs += 1
-            largest = max(largest, run.num_rows)
             for r in run.to_pylist():
-                got[r["lang"], r["phrase"]] += r["n"]
-        assert got == want and runs > 50 and largest < 2000
+                found = hat_trie.unpack(r["phrases"]).decode().split("\n")
+                largest = max(largest, len(found))
+                for phrase, n in zip(found, np.frombuffer(hat_trie.unpack(r["counts"]), "<i8")):
+                    got[r["lang"], phrase] += int(n)
+        assert got == want and runs > 20 and largest < 1000
 
 
 def _batches(lang, texts):
