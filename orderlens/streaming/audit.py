@@ -1,7 +1,12 @@
 """ST1: order change feed -> audit rows.
 
-The stream appends distinct change events by epoch; it keeps no state.  The audit rows
-are derived from the events in event-time order, so they are the same however the
+``start_audit_stream`` keeps, per order, the highest version seen and its image in keyed state that
+expires after a time to live, and writes each event's audit row once, as it comes: the history is never read
+again and the state holds at most one row per order.  Events below the stored version go to the late
+part of the table.
+
+``start_audit`` and ``audit_rows`` are the variant without state.  That stream appends distinct change
+events by epoch, and the audit rows are derived from the events in event-time order, so they are the same however the
 micro-batches were cut and in whatever order the files came: a version above all
 earlier ones of its order is an INSERT (the first image), an UPDATE (value, status or
 delivery date changed) or SEM_ALTERACAO; a lower one is late and IGNORADO; the same
@@ -10,9 +15,13 @@ version with another image is a CONFLITO.  Late events are kept, not dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from orderlens.session import ship_package
 from orderlens.streaming.sink import write_epochs
 
 AUDITED = ["valor_total", "status", "data_entrega"]
@@ -51,3 +60,81 @@ def audit_rows(events: DataFrame) -> DataFrame:
     return e.select(F.col("id_pedido").alias("id_registro"), "versao",
                     F.when(F.col("_p").isNull(), "INSERT").otherwise("UPDATE").alias("operacao"), result.alias("resultado"),
                     F.col("_p.imagem").alias("dados_anteriores"), F.col("imagem").alias("dados_novos"), "ts")
+
+
+STATE = "versao int, imagem string, campos string"
+AUDIT = ("id_registro long, versao int, operacao string, resultado string, dados_anteriores string, dados_novos string, ts timestamp, "
+         "tardio boolean")
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class AuditTrail(StatefulProcessor):
+    """The audit rows of one order's events against its highest version so far."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.top = handle.getValueState("top", STATE, self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        first = {}
+        for r in rows:  # exact repeats count once, at their first time
+            k = (r.versao, r.imagem)
+            if k not in first or r.ts < first[k].ts:
+                first[k] = r
+        top = self.top.get() if self.top.exists() else None
+        before = top = None if top is None else tuple(top)
+        for r in sorted(first.values(), key=lambda r: (r.ts, r.versao, r.imagem)):
+            event = (r.versao, r.imagem, r.campos)
+            if top is not None and event[:2] == top[:2]:
+                continue
+            late = top is not None and r.versao < top[0]
+            result = ("AUDITADO" if top is None else "IGNORADO_VERSAO_ANTIGA" if late else "CONFLITO_VERSAO" if r.versao == top[0]
+                      else "AUDITADO" if r.campos != top[2] else "SEM_ALTERACAO")
+            yield Row(id_registro=key[0], versao=r.versao, operacao="INSERT" if top is None else "UPDATE", resultado=result,
+                      dados_anteriores=None if top is None else top[1], dados_novos=r.imagem, ts=r.ts, tardio=late)
+            if top is None or r.versao > top[0]:
+                top = event
+        if top != before:
+            self.top.update(top)
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_audit(changes: DataFrame, ttl: int) -> DataFrame:
+    """Audit rows of a change stream, by keyed state that lives ``ttl`` seconds after an order's last new version."""
+    ship_package(changes.sparkSession)
+    fields = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in AUDITED])
+    image_cols = [c for c in changes.columns if c not in ("ts", "versao")]
+    events = changes.select(F.col("id_pedido").cast("long").alias("id_pedido"), F.col("versao").cast("int").alias("versao"),
+                            F.to_json(F.struct(*image_cols)).alias("imagem"), fields.alias("campos"), "ts")
+    return events.groupBy("id_pedido").transformWithState(AuditTrail(ttl * 1000), AUDIT, "Append", "ProcessingTime")
+
+
+def start_audit_stream(changes_stream: DataFrame, out_path: str, checkpoint: str, ttl: int = 90 * 86_400, available_now: bool = True):
+    """Run ST1 with keyed state; audit rows go to ``out_path``/tardio=false, events below their order's version to /tardio=true.
+
+    A version that comes after a higher one is late however the batches are cut, so rows
+    equal the batch rule (``audit_rows``) where an order's events come in time order.  An order quiet for ``ttl``
+    seconds (90 days) starts anew.  State is kept in RocksDB, so that it may outgrow the executors' memory.
+    """
+    spark = changes_stream.sparkSession
+    # read when the query starts; a batch without data would follow another for ever, as expiry by the clock is never done
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        w = (keyed_audit(changes_stream, ttl).writeStream.format("parquet").outputMode("append").partitionBy("tardio")
+             .option("path", out_path).option("checkpointLocation", checkpoint))
+        return (w.trigger(availableNow=True) if available_now else w).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def stored_audit(spark: SparkSession, out_path: str) -> DataFrame:
+    """The audit rows that ``start_audit_stream`` has written; ``tardio`` tells the late part."""
+    return spark.read.parquet(out_path).withColumn("tardio", F.col("tardio").cast("boolean"))

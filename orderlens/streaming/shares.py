@@ -7,6 +7,8 @@ their change.  ``current_shares`` resolves the newest change per share over all
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,15 +26,23 @@ def refresh_batch(changes: DataFrame, shares: DataFrame) -> DataFrame:
             .withColumn("ts", F.col("_novo.ts")).withColumn("versao", F.col("_novo.versao")).drop("_novo"))
 
 
-def start_share_refresh(changes_stream: DataFrame, shares: DataFrame, out_path: str, checkpoint: str,
+def start_share_refresh(changes_stream: DataFrame, shares: DataFrame | Callable[[], DataFrame], out_path: str, checkpoint: str,
                         available_now: bool = True):
-    """Run ST3: the refreshed shares of each micro-batch go to ``out_path``."""
-    return write_epochs(changes_stream, out_path, checkpoint, lambda batch: refresh_batch(batch, shares), available_now)
+    """Run ST3: the refreshed shares of each micro-batch go to ``out_path``.  ``shares`` may be a function that
+    reads the share table; it is called for each batch, so that the batch sees the table's current version."""
+    table = shares if callable(shares) else lambda: shares
+    return write_epochs(changes_stream, out_path, checkpoint, lambda batch: refresh_batch(batch, table()), available_now)
 
 
-def current_shares(refreshed: DataFrame) -> DataFrame:
-    """One row per refreshed share: the one of the newest (ts, versao)."""
+def newest_shares(refreshed: DataFrame) -> DataFrame:
+    """The newest row (by ts, versao) of each refreshed share, in all its columns: the merge that ``compact_epochs`` takes."""
     keys = ["id_pedido", "id_cliente"]
-    rest = [c for c in refreshed.columns if c not in (*keys, "ts", "versao", "epoch")]
+    cols = [c for c in refreshed.columns if c != "epoch"]
+    rest = [c for c in cols if c not in keys]
     newest = F.max_by(F.struct(*rest), F.struct("ts", "versao")).alias("_s")
-    return refreshed.groupBy(*keys).agg(newest).select(*keys, "_s.*").select(*[c for c in refreshed.columns if c in (*keys, *rest)])
+    return refreshed.groupBy(*keys).agg(newest).select(*keys, "_s.*").select(*cols)
+
+
+def current_shares(refreshed: DataFrame) -> DataFrame:
+    """One row per refreshed share: the one of the newest (ts, versao)."""
+    return newest_shares(refreshed).drop("ts", "versao")
