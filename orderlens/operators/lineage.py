@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.functions.numeric import cents, dec, rhu_div
+from orderlens.plans.ordered import with_runs
 from orderlens.plans.ranking import with_global_row_number
 
 # Order number prefix, width of its sequence part and the first value
@@ -151,7 +152,8 @@ def duplicate_candidates(pedidos: DataFrame, clientes: DataFrame) -> DataFrame:
     """Pairs (id1 < id2) of the same customer and day whose values differ by less
     than 10 % of the larger (``por_valor``), or with the same delivery date; similarity in percent.
 
-    No pair enumeration over a whole (customer, day) group: value pairs come from a
+    All pairs, as the model's function lists them: n like orders give n * (n - 1) / 2 rows, so this is for groups of
+    a known size (``duplicate_links`` gives the same groups in linear space).  Value pairs come from a
     band join on log-scale value buckets (a qualifying pair is at most one bucket
     apart; neighbours are tried and the exact decimal test decides), delivery pairs
     from an equi-join on the delivery date.  Zero values never qualify by value
@@ -193,6 +195,45 @@ def duplicate_candidates(pedidos: DataFrame, clientes: DataFrame) -> DataFrame:
                     sim.cast("double").alias("similaridade"), "por_valor"))
 
 
+def _similarity(a, b):
+    """100 - 100 * gap / larger value, rounded to 2 dp as an exact integer quotient; 100 for equal values."""
+    top, gap = F.greatest(a, b), F.abs(a - b)
+    return F.when(a == b, F.lit(100.0)).otherwise(rhu_div((cents(top) - cents(gap)) * 10000, cents(top)) / 100.0).cast("double")
+
+
+def duplicate_links(pedidos: DataFrame, clientes: DataFrame) -> DataFrame:
+    """L8 without pairs: each order beside its neighbour in a group of like orders, one row per order and criterion at most.
+
+    Orders of one customer and day are like by value (``por_valor``) when they differ by less than 10 % of the larger, or
+    by delivery date.  Sorted by (value, id), two like orders have only like neighbours between them,
+    so the groups that all pairs would connect are the runs in which each order is like the one before it.
+    ``grupo`` is the id of a run's first order; every other order of it gives one row with the order before
+    it (``id_pedido_1``), the nearest below in value.  ``n`` like orders give n - 1 rows.  Zero values are like by delivery only;
+    NULL customers, days, values and delivery dates are like nothing.
+    """
+    o = (pedidos.select("id_pedido", "id_cliente", "data_pedido", "data_entrega", "valor_total")
+         .where(F.col("id_cliente").isNotNull() & F.col("data_pedido").isNotNull() & F.col("valor_total").isNotNull()))
+    order = [F.col("valor_total").asc(), F.col("id_pedido").asc()]
+    v, before = F.col("valor_total"), F.col("antes_valor_total")
+    by_value = with_runs(o.where(v > 0), ["id_cliente", "data_pedido"], order, ["valor_total"],
+                         v - before < v * dec(LIMIAR_DUPLICIDADE), "id_pedido", "grupo", "antes_")
+    by_delivery = with_runs(o.where(F.col("data_entrega").isNotNull()), ["id_cliente", "data_pedido", "data_entrega"], order, ["valor_total"],
+                            F.col("antes_id_pedido").isNotNull(), "id_pedido", "grupo", "antes_")
+    links = by_value.withColumn("por_valor", F.lit(True)).unionByName(by_delivery.withColumn("por_valor", F.lit(False)))
+    return (links.where(F.col("grupo") != F.col("id_pedido"))
+            .join(clientes.select("id_cliente", F.col("nome").alias("cliente")), "id_cliente")
+            .select("grupo", F.col("antes_id_pedido").alias("id_pedido_1"), F.col("id_pedido").alias("id_pedido_2"), "cliente",
+                    F.date_format("data_pedido", "yyyy-MM-dd").alias("data_pedido"), before.cast("double").alias("valor_1"),
+                    v.cast("double").alias("valor_2"), _similarity(before, v).alias("similaridade"), "por_valor"))
+
+
+def duplicate_groups(links: DataFrame) -> DataFrame:
+    """One row per group of like orders: its size, value range and nearest pair's similarity."""
+    return (links.groupBy("por_valor", "grupo", "cliente", "data_pedido")
+            .agg((F.count(F.lit(1)) + 1).alias("tamanho"), F.min("valor_1").alias("menor_valor"), F.max("valor_2").alias("maior_valor"),
+                 F.max("similaridade").alias("maior_similaridade")))
+
+
 def duplicate_alerts(candidates: DataFrame, quando=None) -> DataFrame:
     """Alert rows -- ids as a JSON array, similarity, reason, open (no resolution)."""
     when_ts = F.current_timestamp() if quando is None else F.lit(str(quando)).cast("timestamp")
@@ -209,10 +250,41 @@ def duplicate_alerts(candidates: DataFrame, quando=None) -> DataFrame:
 
 
 def retain_audit(audit: DataFrame, ref_date, years: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Audit retention -- rows older than ``years`` before ``ref_date`` are dropped.
+    """Audit retention -- rows older than ``years`` before ``ref_date`` are dropped, rows without a time stay.
     Returns (kept rows, one-row count of removed rows); the caller writes the kept rows
-    as the audit table's next version."""
-    limit = F.add_months(F.lit(str(ref_date)).cast("timestamp"), -12 * years)
-    kept = audit.where(F.col("data_hora") >= limit)
-    removed = audit.agg(F.count_if(F.col("data_hora") < limit).alias("removidos"))
-    return kept, removed
+    as the audit table's next version (``retain_audit_table`` rewrites a stored table in place)."""
+    old = F.coalesce(F.col("data_hora") < _limit(ref_date, years), F.lit(False))
+    return audit.where(~old), audit.agg(F.count_if(old).alias("removidos"))
+
+
+def _limit(ref_date, years: int):
+    return F.add_months(F.lit(str(ref_date)).cast("timestamp"), -12 * years) if len(str(ref_date)) <= 10 \
+        else F.lit(str(ref_date)).cast("timestamp") - F.make_ym_interval(F.lit(years), F.lit(0))
+
+
+def write_audit_table(audit: DataFrame, path: str) -> None:
+    """Append audit rows to the stored audit table, one partition per month (``mes``) of ``data_hora``."""
+    audit.withColumn("mes", F.date_format("data_hora", "yyyy-MM")).hint("rebalance", "mes").write.mode("append").partitionBy("mes").parquet(path)
+
+
+def retain_audit_table(spark: SparkSession, path: str, ref_date, years: int = 2) -> int:
+    """L10 on the stored audit table: partitions of months before the limit's go as whole folders, unread; the limit's own month
+    is rewritten alone (dynamic partition overwrite) and later months are not touched.  Rows without a
+    time stay in their own partition.  Returns the number of partitions that went."""
+    limit = _limit(ref_date, years).cast("timestamp")
+    row = spark.range(1).select(limit.alias("t"), F.date_format(limit, "yyyy-MM").alias("mes")).first()
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return 0
+    months = {f.getPath().getName()[4:]: f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("mes=")}
+    gone = [mes for mes in months if mes[:1].isdigit() and mes < row.mes]
+    if row.mes in months:
+        kept = spark.read.parquet(path).where((F.col("mes") == row.mes) & (F.col("data_hora") >= F.lit(row.t)))
+        if kept.limit(1).count():
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mes").parquet(path)
+        else:
+            gone.append(row.mes)
+    for mes in gone:
+        fs.delete(months[mes], True)
+    return len(gone)

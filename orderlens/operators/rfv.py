@@ -1,9 +1,9 @@
 """Recency / frequency / value segmentation and scoring.
 
 All per-customer metrics are one hash aggregate over the non-cancelled orders
-(partial aggregation before the shuffle).  Global NTILE / LAG use the
-distributed ranking in ``orderlens.plans.ranking`` instead of a
-single-partition window.
+(partial aggregation before the shuffle).  Global NTILE compares rows with selected
+boundary keys (``plans.selection``) and LAG takes values over inside range partitions
+(``plans.ordered``) instead of a single-partition window.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from orderlens.functions.dates import ref_column
 from orderlens.functions.numeric import TOTAL, avg_money, rhu_div
 from orderlens.functions.predicates import not_cancelled
-from orderlens.plans.ranking import with_global_row_number, with_ntile, with_position, with_previous
+from orderlens.plans.ranking import with_position, with_previous
+from orderlens.plans.selection import tile_column
 from orderlens.plans.stats import equal_width_histogram, grouped_box
+from orderlens.session import checkpoint_dir
 
 # Segment labels of the fixed-threshold rules, in display order.
 SEGMENTOS = ["Campeão", "Fiel", "Ativo", "Em Risco"]
@@ -71,6 +73,15 @@ def rfv_fixed(pedidos: DataFrame, clientes: DataFrame, ref_date=None) -> DataFra
                     segment_fixed(F.col("dias"), F.col("total_pedidos")).alias("segmento")))
 
 
+def _quintiles(m: DataFrame, scores: dict[str, tuple[str, bool]]) -> DataFrame:
+    """NTILE(5) per score over (measure, id): rows compare themselves with the last key of each fifth (``selection``),
+    so the table is sorted for none.  The customers' metrics are written once, as every score reads them."""
+    checkpoint_dir(m.sparkSession)
+    m = m.checkpoint(eager=True)
+    total = m.count()
+    return m.select("*", *[tile_column(m, [(measure, up), ("id_cliente", True)], 5, total).alias(score) for score, (measure, up) in scores.items()])
+
+
 def rfm_scores(pedidos: DataFrame, clientes: DataFrame, ref_date=None) -> DataFrame:
     """R2: RFM quintile scores and five segments.
 
@@ -84,10 +95,7 @@ def rfm_scores(pedidos: DataFrame, clientes: DataFrame, ref_date=None) -> DataFr
     m = m.withColumn("gap_medio_dias",
                      F.when(F.col("total_pedidos") > 1,
                             rhu_div(F.datediff("ultima", "primeira"), F.col("total_pedidos") - 1)))
-    idc = F.col("id_cliente").asc()
-    m = with_ntile(m, [F.col("dias").desc(), idc], 5, "score_r")
-    m = with_ntile(m, [F.col("total_pedidos").asc(), idc], 5, "score_f")
-    m = with_ntile(m, [F.col("soma").asc(), idc], 5, "score_m")
+    m = _quintiles(m, {"score_r": ("dias", False), "score_f": ("total_pedidos", True), "score_m": ("soma", True)})
     r, f, v = F.col("score_r"), F.col("score_f"), F.col("score_m")
     segmento = (F.when((r >= 4) & (f >= 4) & (v >= 4), "Campeão")
                 .when((r >= 3) & (f >= 3), "Fiel")
@@ -111,13 +119,8 @@ def rfv_test_scores(pedidos: DataFrame, ref_date=None) -> DataFrame:
     (1 = best), and the previous customer's value in value-descending order (W3)."""
     ref = ref_column(pedidos, ref_date)
     m = customer_metrics(pedidos, ref)
-    idc = F.col("id_cliente").asc()
-    m = with_ntile(m, [F.col("dias").asc(), idc], 5, "score_r")
-    m = with_ntile(m, [F.col("total_pedidos").desc(), idc], 5, "score_f")
-    m = with_ntile(m, [F.col("soma").desc(), idc], 5, "score_v")
-    ranked = with_global_row_number(m, [F.col("soma").desc(), idc], "_rn")
-    prev = ranked.select((F.col("_rn") + 1).alias("_rn"), F.col("soma").alias("_prev"))
-    out = ranked.join(prev, "_rn", "left")
+    m = _quintiles(m, {"score_r": ("dias", True), "score_f": ("total_pedidos", False), "score_v": ("soma", False)})
+    out = with_previous(m, [], [F.col("soma").desc(), F.col("id_cliente").asc()], ["soma"], prefix="_prev_")
     return out.select("id_cliente",
                       F.date_format("ultima", "yyyy-MM-dd").alias("ultima_compra"),
                       F.col("total_pedidos").alias("frequencia"),
@@ -125,7 +128,7 @@ def rfv_test_scores(pedidos: DataFrame, ref_date=None) -> DataFrame:
                       F.col("dias").cast("int").alias("recencia_dias"),
                       "score_r", "score_f", "score_v",
                       (F.col("score_r") + F.col("score_f") + F.col("score_v")).alias("score_rfv"),
-                      F.col("_prev").cast("double").alias("valor_anterior"))
+                      F.col("_prev_soma").cast("double").alias("valor_anterior"))
 
 
 def segment_counts(pedidos: DataFrame, ref_date=None, accented: bool = True) -> DataFrame:

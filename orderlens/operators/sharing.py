@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderlens.functions.numeric import MONEY, PCT_TYPE, dec
-from orderlens.plans.ranking import top_fraction, with_global_row_number
+from orderlens.plans.ranking import with_global_row_number
+from orderlens.plans.selection import first_fraction
+from orderlens.session import checkpoint_dir
 
 # Share of orders that become shared, partner share range in basis
 # points of a percent (20.00 % .. 40.00 %), and the hash constants of the seeded choice.
@@ -40,8 +42,9 @@ def generate_shares(pedidos: DataFrame, clientes: DataFrame, fraction: float = F
     the ordering customer and one partner of the same region (any other customer when
     the region has no one else).  The partner takes 20-40 % (2 dp), the owner the rest;
     values are total * pct / 100 at 2 dp.  Choices are a seeded hash of the order id."""
-    top = top_fraction(pedidos.select("id_pedido", "id_cliente", "valor_total"),
-                       [F.col("valor_total").desc(), F.col("id_pedido").asc()], fraction)
+    checkpoint_dir(pedidos.sparkSession)
+    orders = pedidos.select("id_pedido", "id_cliente", "valor_total").checkpoint(eager=True)
+    top = first_fraction(orders, [("valor_total", False), ("id_pedido", True)], fraction)
     ranked = with_global_row_number(clientes.select("id_cliente", "regiao"),
                                     [F.col("regiao").asc_nulls_first(), F.col("id_cliente").asc()],
                                     "_rn", total_name="_N")

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderlens.plans.ordered import with_previous  # noqa: F401  (distributed LAG, kept under this name)
 from orderlens.session import checkpoint_dir
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
@@ -92,29 +93,6 @@ def top_fraction(df: DataFrame, order: list[Column], fraction: float, minimum: i
     return ranked.where(F.col("_x1_rn") <= k).drop("_x1_rn", "_x1_n")
 
 
-def with_previous(df: DataFrame, partition: list[str], order: list[Column], cols: list[str],
-                  prefix: str = "prev_", num_partitions: int | None = None) -> DataFrame:
-    """LAG of ``cols`` within ``partition`` groups, without a per-group window.
-
-    Rows are numbered globally in (partition keys, order) order (X1); each row
-    meets the row numbered one before it by an equi-join, and keeps its values
-    only when that row belongs to the same group.  A group holding a third of
-    all rows is spread over many range partitions like any other.
-    """
-    keys = [F.col(p).asc_nulls_first() for p in partition] + list(order)
-    ranked = with_global_row_number(df, keys, "_lag_rn", num_partitions)
-    prev = ranked.select((F.col("_lag_rn") + 1).alias("_lag_rn"),
-                         *[F.col(p).alias(f"_lag_{p}") for p in partition],
-                         *[F.col(c).alias(f"_lag_v_{c}") for c in cols])
-    j = ranked.join(prev, "_lag_rn", "left")
-    same = F.lit(True)
-    for p in partition:
-        same = same & F.col(p).eqNullSafe(F.col(f"_lag_{p}"))
-    for c in cols:
-        j = j.withColumn(prefix + c, F.when(same, F.col(f"_lag_v_{c}")))
-    return j.drop("_lag_rn", *[f"_lag_{p}" for p in partition], *[f"_lag_v_{c}" for c in cols])
-
-
 def with_position(top_k: DataFrame, order: list[Column], name: str = "posicao") -> DataFrame:
     """1-based position inside an already limited top-k result (k rows, so one
     ordered window over them is bounded by k, not by the data)."""

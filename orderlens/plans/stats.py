@@ -1,7 +1,8 @@
 """Distributed descriptive statistics: histograms (A14), box summaries (A15),
 correlation matrices (A7) and the strongest off-diagonal value (A16).
 
-Exact quantiles come from the distributed ranking (X1): rows are numbered in
+Exact quantiles of a whole table are selected (``selection``) without sorting it.
+Those of groups come from the distributed ranking (X1): rows are numbered in
 (group, value, id) order, so each group is a contiguous range of numbers; the
 few order statistics each quartile needs are picked by conditional aggregates
 and interpolated linearly -- nothing is collected per group, so a group
@@ -10,10 +11,14 @@ holding a third of the rows costs no more than any other.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.plans.ranking import with_global_row_number
+from orderlens.plans.selection import keys_at
+from orderlens.session import checkpoint_dir
 
 QUARTILES = [("q1", 0.25), ("mediana", 0.5), ("q3", 0.75)]
 
@@ -91,59 +96,55 @@ def _interpolate(stats: DataFrame) -> DataFrame:
 
 
 def _global_box(base: DataFrame) -> DataFrame:
-    """Box summary of all rows: the ranking carries the row count, so the six order
-    statistics are picked in one aggregate over the ranked rows -- no join."""
-    ranked = with_global_row_number(base, [F.col("_v").asc(), F.col("_id").asc()], "_rn", total_name="_n")
-    picks = []
-    for name, p in QUARTILES:
-        pos = (F.col("_n") - 1) * F.lit(p)
-        picks += [F.max(F.when(F.col("_rn") == F.floor(pos) + 1, F.col("_v"))).alias(name + "_lo"),
-                  F.max(F.when(F.col("_rn") == F.ceil(pos) + 1, F.col("_v"))).alias(name + "_hi")]
-    stats = _interpolate(ranked.agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("minimo"),
-                                    F.max("_v").alias("maximo"), *picks))
-    fence = stats.select(F.struct("_lf", "_uf").alias("_f")).scalar()
-    lf, uf = fence["_lf"], fence["_uf"]
-    inside = ranked.agg(F.struct(
-        F.min(F.when(F.col("_v") >= lf, F.col("_v"))).alias("bigode_inferior"),
-        F.max(F.when(F.col("_v") <= uf, F.col("_v"))).alias("bigode_superior"),
-        F.count_if((F.col("_v") < lf) | (F.col("_v") > uf)).alias("outliers"))).scalar()
-    return stats.select("n", "minimo", "q1", "mediana", "q3", "maximo", "iqr",
-                        inside["bigode_inferior"].alias("bigode_inferior"),
-                        inside["bigode_superior"].alias("bigode_superior"),
-                        inside["outliers"].alias("outliers"))
+    """Box summary of all rows: the order statistics of the quartiles are selected (``selection.keys_at``), and one
+    aggregate beside them gives the rest.  The two columns are written once, as they are read for each step."""
+    checkpoint_dir(base.sparkSession)
+    base = base.checkpoint(eager=True)
+    n = base.count()
+    places = [(name, (n - 1) * p) for name, p in QUARTILES] if n else []
+    ranks = sorted({f(pos) + 1 for _, pos in places for f in (math.floor, math.ceil)})
+    at = {r: k["_v"] for r, k in zip(ranks, keys_at(base, [("_v", True), ("_id", True)], ranks, n))}
+    q = {name: None for name, _ in QUARTILES}
+    for name, pos in places:
+        lo, hi = at[math.floor(pos) + 1], at[math.ceil(pos) + 1]
+        q[name] = None if lo is None or hi is None else lo + (hi - lo) * (pos - math.floor(pos))
+    iqr = None if q["q1"] is None or q["q3"] is None else q["q3"] - q["q1"]
+    double = lambda x: F.lit(x).cast("double")
+    lf, uf = (double(None), double(None)) if iqr is None else (double(q["q1"] - iqr * 1.5), double(q["q3"] + iqr * 1.5))
+    v = F.col("_v")
+    rest = base.agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("minimo"), F.max(v).alias("maximo"),
+                    F.min(F.when(v >= lf, v)).alias("bigode_inferior"), F.max(F.when(v <= uf, v)).alias("bigode_superior"),
+                    F.count_if((v < lf) | (v > uf)).alias("outliers"))
+    return rest.select("n", "minimo", *[double(q[name]).alias(name) for name in ("q1", "mediana", "q3")], "maximo", double(iqr).alias("iqr"),
+                       "bigode_inferior", "bigode_superior", "outliers")
 
 
 def correlation_matrix(df: DataFrame, cols: list[str], scale: dict[str, int] | None = None,
                        min_rows: int = 4, digits: int = 2) -> DataFrame:
     """Pearson correlation of every pair of ``cols`` as a long table (var_x, var_y, corr).
 
-    Moments are summed exactly on integers (each column times its 10^scale),
-    in one aggregate pass; they are combined and divided in double and rounded
-    half-even (like pandas).  Constant columns give NULL instead of a
-    division error.  Fewer than ``min_rows`` rows give an empty result.
+    Each pair's co-moments are centred on running means and merged between partitions
+    (``covar_pop``), in one aggregate pass, so that values far from zero and many rows
+    don't cancel; the quotient is rounded half-even (like pandas).  Rows with a NULL in either
+    column don't count for the pair.  Constant columns give NULL instead of a division error.
+    Fewer than ``min_rows`` rows give an empty result.  ``scale`` multiplies columns by
+    powers of ten first.
     """
     scale = scale or {}
-    ints = {c: (F.col(c) * (10 ** scale.get(c, 0))).cast("decimal(38,0)") for c in cols}
+    value = {c: (F.col(c) * (10 ** scale.get(c, 0))).cast("double") for c in cols}
     aggs = [F.count(F.lit(1)).alias("_n")]
-    for c in cols:
-        aggs.append(F.sum(ints[c]).alias(f"_s_{c}"))
     for i, a in enumerate(cols):
         for b in cols[i:]:
-            aggs.append(F.sum(ints[a] * ints[b]).alias(f"_p_{a}_{b}"))
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            x, y = F.when(both, value[a]), F.when(both, value[b])
+            aggs.append(F.struct(F.covar_pop(x, y).alias("xy"), F.var_pop(x).alias("x"), F.var_pop(y).alias("y")).alias(f"_m_{a}_{b}"))
     m = df.agg(*aggs)
-    n = F.col("_n").cast("double")
-
-    def cov(a, b):
-        # sums are exact; n * sum(xy) - sum(x) * sum(y) is combined in double, since at
-        # billions of rows the products exceed DECIMAL(38)
-        x, y = (a, b) if cols.index(a) <= cols.index(b) else (b, a)
-        return (n * F.col(f"_p_{x}_{y}").cast("double")
-                - F.col(f"_s_{a}").cast("double") * F.col(f"_s_{b}").cast("double"))
 
     rows = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            r = F.try_divide(cov(a, b), F.sqrt(cov(a, a)) * F.sqrt(cov(b, b)))
+            of = F.col(f"_m_{a}_{b}" if i <= j else f"_m_{b}_{a}")
+            r = F.try_divide(of["xy"], F.sqrt(of["x"]) * F.sqrt(of["y"]))
             rows.append(F.struct(F.lit(i * len(cols) + j).alias("ordem"), F.lit(a).alias("var_x"),
                                  F.lit(b).alias("var_y"), F.bround(r, digits).alias("corr")))
     return (m.where(F.col("_n") >= min_rows)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.predicates import in_closed_range, like_escape
+from orderlens.plans.selection import Sort, after, ordering
 
 PAGINA = 25
 
@@ -79,14 +80,32 @@ def order_browse(pedidos: DataFrame, clientes: DataFrame, inicio=None, fim=None)
 def search_page(df: DataFrame, term: str | None, columns: list[str], sort: list, page: int = 1,
                 size: int = PAGINA) -> DataFrame:
     """Rows where any of ``columns`` contains ``term`` (case-insensitive), stably
-    sorted by ``sort`` (end it with a unique key), page ``page`` of ``size`` rows."""
-    if term:
-        t = term.lower()
-        cond = F.lit(False)
-        for c in columns:
-            cond = cond | F.coalesce(F.lower(F.col(c).cast("string")).contains(t), F.lit(False))
-        df = df.where(cond)
-    return df.orderBy(*sort).offset((page - 1) * size).limit(size)
+    sorted by ``sort`` (end it with a unique key), page ``page`` of ``size`` rows.  For a jump to a page: each task
+    keeps the rows of all pages before it (``next_page`` doesn't)."""
+    return _matching(df, term, columns).orderBy(*sort).offset((page - 1) * size).limit(size)
+
+
+def _matching(df: DataFrame, term: str | None, columns: list[str]) -> DataFrame:
+    if not term:
+        return df
+    t = term.lower()
+    cond = F.lit(False)
+    for c in columns:
+        cond = cond | F.coalesce(F.lower(F.col(c).cast("string")).contains(t), F.lit(False))
+    return df.where(cond)
+
+
+def next_page(df: DataFrame, term: str | None, columns: list[str], sort: Sort, last: dict | None = None, size: int = PAGINA) -> DataFrame:
+    """S12 by keyset: the ``size`` rows after the row whose sort columns are ``last`` (None: the first page).
+
+    ``sort`` lists (column, ascending) and ends with a unique column, so pages join up without gaps or repeats under equal
+    names and NULLs.  The seek predicate is a filter below the top-k, so that any page costs one
+    page per task, and rows inserted before it don't shift it."""
+    rows = _matching(df, term, columns)
+    if last is not None:
+        types = {f.name: f.dataType.simpleString() for f in df.select(*[c for c, _ in sort]).schema}
+        rows = rows.where(after(sort, last, types))
+    return rows.orderBy(*ordering(sort)).limit(size)
 
 
 def customer_pick_list(clientes: DataFrame) -> DataFrame:
