@@ -41,42 +41,61 @@ SELECT id_pedido, numero_pedido, CASE WHEN stored = {hash_of()} THEN 'VALIDO' EL
        stored AS hash_armazenado, {hash_of()} AS hash_calculado
 FROM cur"""
 
-L7 = ", " + TRACED + ", " + CORRECTED + """
+ALTERED = "CASE WHEN id_pedido % 7 = 0 THEN status || '*' ELSE status END"
+L5B = ", " + CORRECTED + """
+SELECT id_pedido, 'INTEGRIDADE_COMPROMETIDA' AS motivo FROM corr JOIN pedidos USING (id_pedido) WHERE id_pedido % 7 = 0 AND status IS NOT NULL"""
+
+L7 = ", " + TRACED + ", " + CORRECTED + f""",
+stored AS (SELECT *, {hash_of()} AS hash_integridade FROM traced),
+altered AS (SELECT * REPLACE ({ALTERED} AS status) FROM stored)
 SELECT t.* REPLACE (CAST(t.data_pedido AS VARCHAR) AS data_pedido, CAST(t.data_entrega AS VARCHAR) AS data_entrega, CAST(t.valor_total AS DOUBLE) AS valor_total),
-       """ + hash_of('t') + """ AS hash_integridade, 1 AS versao, c.nome AS cliente_nome,
+       1 AS versao, c.nome AS cliente_nome,
        CASE WHEN k.id_pedido IS NOT NULL THEN '2001-08-02 10:00:00' END AS ultima_alteracao,
-       CAST(CASE WHEN k.id_pedido IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS total_alteracoes,
-       CASE WHEN """ + hash_of('t') + " = " + hash_of('t') + """ THEN 'VALIDO' ELSE 'CORROMPIDO' END AS status_integridade
-FROM traced t JOIN clientes c ON c.id_cliente = t.id_cliente LEFT JOIN corr k ON k.id_pedido = t.id_pedido"""
-
-DUPS = f"""dups AS (
-  SELECT p1.id_pedido AS id_pedido_1, p2.id_pedido AS id_pedido_2, c.nome AS cliente,
-         strftime(p1.data_pedido, '%Y-%m-%d') AS data_pedido,
-         CAST(p1.valor_total AS DOUBLE) AS valor_1, CAST(p2.valor_total AS DOUBLE) AS valor_2,
-         CASE WHEN p1.valor_total = p2.valor_total THEN 100.0::DOUBLE
-              ELSE CAST({rhu(f"({cents('GREATEST(p1.valor_total, p2.valor_total)')} - {cents('ABS(p1.valor_total - p2.valor_total)')}) * 10000", cents('GREATEST(p1.valor_total, p2.valor_total)'))} AS DOUBLE) / 100.0::DOUBLE END AS similaridade,
-         GREATEST(p1.valor_total, p2.valor_total) > 0
-           AND ABS(p1.valor_total - p2.valor_total) < GREATEST(p1.valor_total, p2.valor_total) * 0.10 AS por_valor
-  FROM pedidos p1
-  JOIN pedidos p2 ON p1.id_cliente = p2.id_cliente AND p1.data_pedido = p2.data_pedido AND p1.id_pedido < p2.id_pedido
-  JOIN clientes c ON p1.id_cliente = c.id_cliente
-  WHERE (GREATEST(p1.valor_total, p2.valor_total) > 0
-         AND ABS(p1.valor_total - p2.valor_total) < GREATEST(p1.valor_total, p2.valor_total) * 0.10)
-     OR p1.data_entrega = p2.data_entrega)"""
-
-L8 = ", " + DUPS + "\nSELECT * FROM dups"
-
-L9 = ", " + DUPS + """
-SELECT 'pedidos' AS tabela, to_json([id_pedido_1, id_pedido_2])::VARCHAR AS registros, similaridade,
-       CASE WHEN por_valor THEN 'Mesmo cliente e data, valores a menos de 10%'
-            ELSE 'Mesmo cliente, data e entrega' END AS motivo,
+       CAST(k.id_pedido IS NOT NULL AS BIGINT) AS total_alteracoes,
+       CASE WHEN t.hash_integridade = {hash_of('t')} THEN 'VALIDO' ELSE 'CORROMPIDO' END AS status_integridade
+FROM altered t JOIN clientes c ON c.id_cliente = t.id_cliente LEFT JOIN corr k ON k.id_pedido = t.id_pedido"""
+
+
+def _islands(name: str, where: str, group: str, linked: str, by_value: bool) -> str:
+    """Rows beside the row before them in their island, by gaps and islands."""
+    order = f"PARTITION BY {group} ORDER BY valor_total, id_pedido"
+    return f"""{name} AS (
+  SELECT *, first_value(id_pedido) OVER (PARTITION BY {group}, ilha ORDER BY valor_total, id_pedido) AS grupo, {by_value} AS por_valor
+  FROM (SELECT *, count(*) FILTER (WHERE NOT coalesce({linked}, false)) OVER ({order} ROWS UNBOUNDED PRECEDING) AS ilha
+        FROM (SELECT *, lag(id_pedido) OVER ({order}) AS antes, lag(valor_total) OVER ({order}) AS valor_antes FROM pedidos WHERE {where})))"""
+
+
+LINKS = (_islands("faixas", "valor_total > 0", "id_cliente, data_pedido", "valor_total - valor_antes < 0.10 * valor_total", True) + ",\n"
+         + _islands("entregas", "data_entrega IS NOT NULL", "id_cliente, data_pedido, data_entrega", "antes IS NOT NULL", False) + f""",
+ligados AS (
+  SELECT grupo, antes AS id_pedido_1, id_pedido AS id_pedido_2, nome AS cliente, CAST(data_pedido AS VARCHAR) AS data_pedido,
+         CAST(valor_antes AS DOUBLE) AS valor_1, CAST(valor_total AS DOUBLE) AS valor_2,
+         CASE WHEN valor_antes = valor_total THEN 100.0::DOUBLE
+              ELSE CAST({rhu(f"{cents('valor_antes')} * 10000", cents('valor_total'))} AS DOUBLE) / 100.0::DOUBLE END AS similaridade, por_valor
+  FROM (SELECT * FROM faixas UNION ALL SELECT * FROM entregas) JOIN clientes USING (id_cliente) WHERE grupo <> id_pedido)""")
+
+L8 = ", " + LINKS + "\nSELECT * FROM ligados"
+
+L8B = ", " + LINKS + """
+SELECT por_valor, grupo, cliente, data_pedido, 1 + count(*) AS tamanho, min(valor_1) AS menor_valor, max(valor_2) AS maior_valor,
+       max(similaridade) AS maior_similaridade
+FROM ligados GROUP BY ALL"""
+
+L9 = ", " + LINKS + """
+SELECT 'pedidos' AS tabela, '[' || id_pedido_1 || ',' || id_pedido_2 || ']' AS registros, similaridade,
+       'Mesmo cliente' || CASE WHEN por_valor THEN ' e data, valores a menos de 10%' ELSE ', data e entrega' END AS motivo,
        '2001-08-02 10:00:00' AS data_detecao
-FROM dups"""
+FROM ligados"""
 
 L10 = ", " + CORRECTED + """
 SELECT COUNT(CASE WHEN TIMESTAMP '2001-08-02 10:00:00' < TIMESTAMP '2003-09-01' - INTERVAL 2 YEAR THEN 1 END) AS removidos
 FROM corr"""
 
+L10B = ", " + CORRECTED + """,
+dated AS (SELECT id_pedido, data_pedido + to_hours(CAST(8 + id_pedido % 5 AS INTEGER)) AS t FROM corr JOIN pedidos USING (id_pedido))
+SELECT 'pedidos' AS tabela_afetada, 'UPDATE' AS operacao, id_pedido AS id_registro, strftime(t, '%Y-%m-%d %H:%M:%S') AS data_hora
+FROM dated WHERE t >= TIMESTAMP '2000-06-15 10:00:00'"""
+
 N1 = "\nSELECT id_item, id_pedido, id_produto, CAST(subtotal AS DOUBLE) AS subtotal FROM itens_pedido"
 
 # The snapshot before ends a year before the newest order; the one after starts a year after the oldest.
@@ -88,5 +107,5 @@ SELECT 'pedidos' AS tabela_afetada, operacao, count(*) AS registros FROM ops WHE
 
 SQL = {"L4b_audit_summary": L4B,
     "L1_order_numbers": L1, "L5_stamp_updates": L5, "L6_integrity_report": L6, "L7_traced_view": L7,
-    "L8_duplicate_candidates": L8, "L9_duplicate_alerts": L9, "L10_audit_retention": L10, "N1_item_keys": N1,
+    "L8_duplicate_candidates": L8, "L8b_duplicate_groups": L8B, "L9_duplicate_alerts": L9, "L10_audit_retention": L10, "L10b_retained_audit": L10B, "L5b_refused_updates": L5B, "N1_item_keys": N1,
 }

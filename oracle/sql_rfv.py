@@ -67,6 +67,11 @@ SELECT s.segmento, s.ordem, COALESCE(c.clientes, 0) AS clientes, t.total_cliente
 FROM spine s LEFT JOIN cnt c ON c.segmento = s.segmento
 CROSS JOIN (SELECT COUNT(*) AS total_clientes FROM rfv) t"""
 
+R6B = ", " + RFV_CTE + """
+SELECT segmento, CAST(ordem AS INTEGER) AS ordem, count(id_cliente) AS clientes, CAST(sum(count(id_cliente)) OVER () AS BIGINT) AS total_clientes
+FROM (SELECT unnest(['Campeão', 'Fiel', 'Ativo', 'Em Risco']) AS segmento, unnest(range(4)) AS ordem)
+LEFT JOIN (SELECT * FROM rfv WHERE regiao = 'AMERICA') USING (segmento) GROUP BY segmento, ordem"""
+
 R7 = ", " + RFV_CTE + """
 SELECT segmento, COUNT(*) AS clientes, CAST(SUM(CAST(valor_total AS DECIMAL(28,2))) AS DOUBLE) AS valor
 FROM rfv GROUP BY segmento"""
@@ -96,7 +101,7 @@ WINDOW w AS (PARTITION BY id_cliente ORDER BY data_pedido, id_pedido)"""
 SQL = {
     "W1_purchase_gaps": W1,
     "R1_rfv_fixed": R1, "R2_rfm_scores": R2, "R3_rfv_test_scores": R3,
-    "R4_segment_counts": R4, "R5_segment_counts_anchor": R5, "R6_segment_kpis": R6,
+    "R4_segment_counts": R4, "R5_segment_counts_anchor": R5, "R6_segment_kpis": R6, "R6b_segment_kpis_filtered": R6B,
     "R7_segment_summary": R7, "R8_region_summary": R8, "R9_recency_histogram": R9,
     "R9b_value_box": R9_BOX, "R10_top_customers": R10, "R9c_rfv_points": R9C,
 }

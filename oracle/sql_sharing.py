@@ -60,6 +60,29 @@ SELECT (SELECT MAX(id_pedido) FROM pedidos) + ROW_NUMBER() OVER (ORDER BY r.id_p
 FROM req r JOIN pedidos p ON p.id_pedido = r.id_pedido JOIN holder h ON h.id_pedido = r.id_pedido
 LEFT JOIN val v ON v.id_pedido = r.id_pedido"""
 
+CREATED = """, created AS (
+  SELECT id_pedido AS origem, (SELECT MAX(id_pedido) FROM pedidos) + dense_rank() OVER (ORDER BY id_pedido) AS novo, id_cliente, percentual_rateio
+  FROM pedido_clientes),
+linhas AS (
+  SELECT novo, id_produto, quantidade, preco_unitario, CAST(quantidade * preco_unitario AS DECIMAL(15,2)) AS subtotal
+  FROM (SELECT DISTINCT origem, novo FROM created) JOIN itens_pedido ON id_pedido = origem),
+valores AS (SELECT novo, SUM(subtotal) AS v FROM linhas GROUP BY novo)"""
+
+H5B = CREATED + """
+SELECT novo AS id_pedido, id_cliente, CAST(percentual_rateio AS DOUBLE) AS percentual_propriedade,
+       CAST(CAST(ROUND(CAST(COALESCE(v, 0) AS DECIMAL(15,2)) * percentual_rateio * 0.01, 2) AS DECIMAL(15,2)) AS DOUBLE) AS valor_proporcional,
+       'COMPRADOR' AS tipo_participacao
+FROM created LEFT JOIN valores USING (novo)"""
+
+H5C = CREATED + """
+SELECT novo AS id_pedido, id_produto, CAST(CAST(quantidade AS DECIMAL(12,2)) AS DOUBLE) AS quantidade,
+       CAST(CAST(preco_unitario AS DECIMAL(12,2)) AS DOUBLE) AS preco_unitario, CAST(subtotal AS DOUBLE) AS subtotal
+FROM linhas"""
+
+H5D = """
+SELECT id_pedido AS id_solicitacao, ['SEM_PROPRIETARIOS', 'JSON_INVALIDO', 'CLIENTE_AUSENTE', 'PERCENTUAL_99.50'][1 + id_pedido % 5] AS motivo
+FROM (SELECT DISTINCT id_pedido FROM pedido_clientes) WHERE id_pedido % 5 < 4"""
+
 H11B = """, n_own AS (SELECT id_pedido, COUNT(*) AS k FROM pedido_clientes GROUP BY 1),
 n_it AS (SELECT id_pedido, COUNT(*) AS k FROM itens_pedido GROUP BY 1)
 SELECT p.id_pedido, CAST(0 AS BIGINT) AS parte,
@@ -79,7 +102,7 @@ FROM clientes JOIN customer ON c_custkey = id_cliente
 SELECT id_cliente, nome, tipo_cliente, regiao, (id_cliente % 1000) * 5 / 100.0 AS percentual_participacao, CAST(data_cadastro AS VARCHAR) AS data_entrada
 WHERE c_nationkey = 0 AND id_cliente % 4 <> 0"""
 
-SQL = {"H9_active_groups": H9, "H10_group_members": H10, "H5_create_shared_orders": H5, "H11b_order_document_sizes": H11B,
+SQL = {"H9_active_groups": H9, "H10_group_members": H10, "H5_create_shared_orders": H5, "H5b_shared_order_owners": H5B, "H5c_shared_order_lines": H5C, "H5d_rejected_requests": H5D, "H11b_order_document_sizes": H11B,
     "H1_shared_participants": H1, "H2_sharing_kpis": H2, "H3_sharing_by_region": H3,
     "H4_generate_shares": H4, "H6_refresh_proportional_values": H6, "H7_share_check": H7,
     "H8_ownership_view": H8,

@@ -46,6 +46,8 @@ S12 = f""", cb AS ({CUSTOMERS})
 SELECT * FROM cb WHERE contains(lower(nome), 'customer#0000001') OR contains(lower(regiao), 'customer#0000001')
 ORDER BY id_cliente LIMIT 25 OFFSET 25"""
 
+S12B = S12.replace("OFFSET 25", "OFFSET 50")
+
 S14 = "\nSELECT id_cliente, nome, tipo_cliente, regiao FROM clientes"
 
 S1 = """
@@ -71,5 +73,5 @@ SQL = {
     "S4_row_counts": S4, "S5_high_water_marks": S5, "S6_data_page_customers": S6,
     "S6b_data_page_orders": S6B, "S6d_data_page_products": S6D, "S6c_data_page_items": ITEMS, "S7_customer_browse": S7,
     "S8_product_browse": S8, "S9_order_browse": S9, "S10_item_browse": ITEMS,
-    "S12_search_page": S12, "S14_customer_pick_list": S14, "X2_intent_tags": X2, "X2b_intent_counts": X2B,
+    "S12_search_page": S12, "S12b_next_page": S12B, "S14_customer_pick_list": S14, "X2_intent_tags": X2, "X2b_intent_counts": X2B,
 }

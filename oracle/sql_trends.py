@@ -54,6 +54,11 @@ matrix AS (
 
 TR6 = ", " + TR6_CTE + "\nSELECT * FROM matrix"
 
+TR6B = ", " + TR6_CTE + """
+SELECT mes, mes_nome, coalesce(max(vendas) FILTER (ano = 2000), 0) AS vendas_2000, coalesce(max(contratos) FILTER (ano = 2000), 0) AS contratos_2000,
+       coalesce(max(vendas) FILTER (ano = 2001), 0) AS vendas_2001, coalesce(max(contratos) FILTER (ano = 2001), 0) AS contratos_2001
+FROM matrix GROUP BY mes, mes_nome"""
+
 TR7 = ", " + TR6_CTE + f""",
 py AS (SELECT ano, SUM(CAST(vendas AS DECIMAL(28,2))) AS tot,
               COUNT(CASE WHEN CAST(vendas AS DECIMAL(28,2)) > 0 THEN 1 END) AS meses,
@@ -112,6 +117,8 @@ BANDS = """COUNT(CASE WHEN COALESCE(dias_inativo, 0) > 365 THEN 1 END) AS mais_1
 IN4 = ", " + IN1_CTE.format(min_days=90) + f"""
 SELECT COUNT(*) AS total, {BANDS}, CAST(COUNT(*) * 15000 AS BIGINT) AS perda_estimada FROM in1"""
 
+IN4B = IN4 + " WHERE dias_inativo >= 200"
+
 IN5 = ", " + IN1_CTE.format(min_days=90) + f"""
 SELECT regiao, COUNT(*) AS total, {BANDS} FROM in1 GROUP BY regiao"""
 
@@ -119,9 +126,9 @@ IN6 = ", " + IN1_CTE.format(min_days=180) + """
 SELECT *, CASE WHEN dias_inativo > 365 THEN 'Crítico' WHEN dias_inativo > 180 THEN 'Alerta' ELSE 'Atenção' END AS rotulo
 FROM in1"""
 
-SQL = {
+SQL = {"IN4b_inactivity_kpis_min_days": IN4B,
     "TR1_monthly_trend": TR1, "TR2_monthly_trend_ytd": TR2, "TR3_monthly_trend_test": TR3,
-    "TR4_trend_kpis": TR4, "TR5_trend_table": TR5, "TR6_year_month_matrix": TR6,
+    "TR4_trend_kpis": TR4, "TR5_trend_table": TR5, "TR6_year_month_matrix": TR6, "TR6b_year_columns": TR6B,
     "TR7_year_comparison": TR7, "TR8_chart_feed": TR8, "TR9_trend_year_quarter": TR9,
     "IN1_inactive_customers": IN1, "IN2_inactive_or_never": IN2, "IN3_inactive_six_months": IN3,
     "IN4_inactivity_kpis": IN4, "IN5_inactivity_by_region": IN5, "IN6_inactivity_labels": IN6,

@@ -6,6 +6,7 @@ operator over them, whole.
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from collections.abc import Callable
 
@@ -225,6 +226,7 @@ from orderlens.operators import dashboard, divergence  # noqa: E402
 
 # parameter: the run timestamp written on correction rows (fixed for repeatable output)
 CORRECTION_TIME = "2001-08-02 10:00:00"
+AUDIT_REF = "2002-06-15 10:00:00"
 
 
 def _log_view(log):
@@ -414,6 +416,32 @@ def _h5(t):
                          "tipo_contrato", "status", F.col("valor_total").cast("double").alias("valor_total"))
 
 
+def _created(t, part):
+    req, req_lines = sharing.requests_from_shares(t.pedido_clientes, t.pedidos, t.itens_pedido)
+    return sharing.create_shared_orders(req, t.pedidos, req_lines)[part]
+
+
+@register("H5b_shared_order_owners")
+def _h5b(t):
+    return _created(t, 1).select("id_pedido", "id_cliente", F.col("percentual_propriedade").cast("double").alias("percentual_propriedade"),
+                                 F.col("valor_proporcional").cast("double").alias("valor_proporcional"), "tipo_participacao")
+
+
+@register("H5c_shared_order_lines")
+def _h5c(t):
+    return _created(t, 2).select("id_pedido", "id_produto", *[F.col(c).cast("double").alias(c) for c in ("quantidade", "preco_unitario", "subtotal")])
+
+
+@register("H5d_rejected_requests")
+def _h5d(t):
+    """Requests without owners, with broken JSON, without a client and with owners short of 100 %, by order id."""
+    req, req_lines = sharing.requests_from_shares(t.pedido_clientes, t.pedidos, t.itens_pedido)
+    k = F.col("id_solicitacao") % 5
+    broken = (F.when(k == 0, "[]").when(k == 1, "{bad").when(k == 2, '[{"percentual":100}]')
+              .when(k == 3, '[{"cliente_id":1,"percentual":60.5},{"cliente_id":2,"percentual":39}]').otherwise(F.col("proprietarios")))
+    return sharing.create_shared_orders(req.withColumn("proprietarios", broken), t.pedidos, req_lines)[3]
+
+
 @register("H6_refresh_proportional_values")
 def _h6(t):
     corrected, _, _ = _batch_log(t, with_log=False)
@@ -502,22 +530,41 @@ def _l6(t):
     return lineage.integrity_report(current)
 
 
+@register("L5b_refused_updates")
+def _l5b(t):
+    """Refused corrections: orders whose stored row was changed outside the system (here every seventh id's status)."""
+    traced = lineage.traced_orders(t.pedidos)
+    altered = traced.withColumn("status", F.when(F.col("id_pedido") % 7 == 0, F.concat("status", F.lit("*"))).otherwise(F.col("status")))
+    corrected, _, _ = _batch_log(t, with_log=False)
+    changed = corrected.join(t.pedidos.select("id_pedido", F.col("valor_total").alias("_old")), "id_pedido") \
+        .where(F.col("valor_total") != F.col("_old")).drop("_old")
+    _, refused = lineage.stamp_updates(altered, changed, "SISTEMA", CORRECTION_TIME)
+    return refused
+
+
 @register("L7_traced_view")
 def _l7(t):
+    """The traced view after every seventh order's status was changed outside the system: those are CORROMPIDO."""
     traced = lineage.traced_orders(t.pedidos)
+    altered = traced.withColumn("status", F.when(F.col("id_pedido") % 7 == 0, F.concat("status", F.lit("*"))).otherwise(F.col("status")))
     corrected, _, _ = _batch_log(t, with_log=False)
     audit = lineage.audit_rows(t.pedidos, corrected, "SISTEMA", CORRECTION_TIME)
-    return lineage.traced_view(traced, t.clientes, audit)
+    return lineage.traced_view(altered.select(*traced.columns), t.clientes, audit)
 
 
 @register("L8_duplicate_candidates")
 def _l8(t):
-    return lineage.duplicate_candidates(t.pedidos, t.clientes)
+    return lineage.duplicate_links(t.pedidos, t.clientes)
+
+
+@register("L8b_duplicate_groups")
+def _l8b(t):
+    return lineage.duplicate_groups(lineage.duplicate_links(t.pedidos, t.clientes))
 
 
 @register("L9_duplicate_alerts")
 def _l9(t):
-    alerts = lineage.duplicate_alerts(lineage.duplicate_candidates(t.pedidos, t.clientes), CORRECTION_TIME)
+    alerts = lineage.duplicate_alerts(lineage.duplicate_links(t.pedidos, t.clientes), CORRECTION_TIME)
     return alerts.select("tabela", "registros", "similaridade", "motivo",
                          F.date_format("data_detecao", "yyyy-MM-dd HH:mm:ss").alias("data_detecao"))
 
@@ -530,6 +577,20 @@ def _l10(t):
     return removed
 
 
+@register("L10b_retained_audit")
+def _l10b(t):
+    """The stored audit table after retention: corrections dated on their orders' days, between 8 and 12 o'clock, and a limit
+    of 10 o'clock on a day in their midst."""
+    corrected, _, _ = _batch_log(t, with_log=False)
+    audit = lineage.audit_rows(t.pedidos, corrected, "SISTEMA", CORRECTION_TIME)
+    day = F.get_json_object("dados_novos", "$.data_pedido").cast("timestamp")
+    audit = audit.withColumn("data_hora", day + F.make_dt_interval(hours=(8 + F.col("id_registro") % 5).cast("int")))
+    path = _scratch(t, "l10")
+    lineage.write_audit_table(audit, path)
+    lineage.retain_audit_table(t.spark, path, AUDIT_REF, years=2)
+    return t.spark.read.parquet(path).select("tabela_afetada", "operacao", "id_registro", F.date_format("data_hora", "yyyy-MM-dd HH:mm:ss").alias("data_hora"))
+
+
 @register("N1_item_keys")
 def _n1(t):
     """Contiguous surrogate keys of the order lines (distributed numbering)."""
@@ -654,6 +715,13 @@ def _s12(t):
                               [F.col("id_cliente").asc()], page=S12_PAGE)
 
 
+@register("S12b_next_page")
+def _s12b(t):
+    """The page after page 2 of S12, sought from that page's last row."""
+    last = _s12(t).agg(F.max("id_cliente")).first()[0]
+    return browse.next_page(browse.customer_browse(t.clientes), S12_TERM, ["nome", "regiao"], [("id_cliente", True)], {"id_cliente": last})
+
+
 @register("S14_customer_pick_list")
 def _s14(t):
     return browse.customer_pick_list(t.clientes)
@@ -683,6 +751,7 @@ def _x2b(t):
 from orderlens.streaming import alerts as st_alerts  # noqa: E402
 from orderlens.streaming import audit as st_audit  # noqa: E402
 from orderlens.streaming import shares as st_shares  # noqa: E402
+from orderlens.streaming import sink  # noqa: E402
 
 
 def _scratch(t, tag):
@@ -692,7 +761,7 @@ def _scratch(t, tag):
 @register("ST1_audit_stream")
 def _st1(t):
     """Change feed of every order (version 1) and its batch correction (version 2)
-    through the audit stream."""
+    through the keyed audit stream."""
     base = _scratch(t, "st1")
     corrected, _, _ = _batch_log(t, with_log=False)
     changed = corrected.join(t.pedidos.select("id_pedido", F.col("valor_total").alias("_old")), "id_pedido") \
@@ -704,25 +773,27 @@ def _st1(t):
     v2.write.parquet(f"{base}/in/part=2")
     schema = t.spark.read.parquet(f"{base}/in").schema
     stream = t.spark.readStream.schema(schema).parquet(f"{base}/in")
-    st_audit.start_audit(stream.drop("part"), f"{base}/out", f"{base}/ckpt").awaitTermination()
-    return st_audit.audit_rows(t.spark.read.parquet(f"{base}/out")).select("id_registro", "versao", "operacao", "resultado")
+    st_audit.start_audit_stream(stream.drop("part"), f"{base}/out", f"{base}/ckpt").awaitTermination()
+    return t.spark.read.parquet(f"{base}/out").select("id_registro", "versao", "operacao", "resultado")
 
 
 @register("ST2_divergence_alerts")
 def _st2(t):
-    """Header and line events of all orders through the alert stream; an end-of-stream
-    event makes the last orders complete."""
+    """Header and line events of all orders through the keyed alert stream; an end-of-stream
+    event, within the bound on event times, closes the last orders."""
     base = _scratch(t, "st2")
     ev = st_alerts.order_events(t.pedidos, t.itens_pedido)
     ev.write.parquet(f"{base}/in/b=0")
+    stored = t.spark.read.parquet(f"{base}/in")
+    newest = stored.agg(F.max("ts")).first()[0] or datetime.datetime(1970, 1, 1)
     end = t.spark.range(1).select(F.lit("fim").alias("tipo"), F.lit(None).cast("long").alias("id_pedido"),
-                                  F.lit("2999-01-01").cast("timestamp").alias("ts"),
-                                  F.lit(None).cast("decimal(15,2)").alias("valor"))
+                                  F.lit(newest + datetime.timedelta(days=10)).alias("ts"), F.lit(None).cast("decimal(15,2)").alias("valor"))
     end.write.parquet(f"{base}/in/b=1")
-    schema = t.spark.read.parquet(f"{base}/in").schema
-    stream = t.spark.readStream.schema(schema).parquet(f"{base}/in")
-    st_alerts.start_alerts(stream.drop("b"), f"{base}/out", f"{base}/ckpt").awaitTermination()
-    alerts = st_alerts.divergence_alerts(t.spark.read.parquet(f"{base}/out"))
+    stream = t.spark.readStream.schema(stored.schema).parquet(f"{base}/in").drop("b")
+    queries = st_alerts.start_alert_stream(stream, f"{base}/out", f"{base}/ckpt", newest=F.lit(newest + datetime.timedelta(days=30)))
+    for q in queries:
+        q.awaitTermination()
+    alerts = t.spark.read.parquet(f"{base}/out/alertas")
     return alerts.select("id_pedido", F.date_format("dia", "yyyy-MM-dd").alias("dia"), "valor_registrado",
                          "valor_calculado", "tipo_anomalia")
 
@@ -738,10 +809,11 @@ def _st3(t):
                        F.col("data_pedido").cast("timestamp").alias("ts")))
     changed.write.parquet(f"{base}/in")
     stream = t.spark.readStream.schema(changed.schema).parquet(f"{base}/in")
-    shares = sharing.generate_shares(t.pedidos, t.clientes)
-    q = st_shares.start_share_refresh(stream, shares, f"{base}/out", f"{base}/ckpt")
+    sharing.generate_shares(t.pedidos, t.clientes).write.parquet(f"{base}/shares")
+    q = st_shares.start_share_refresh(stream, lambda: t.spark.read.parquet(f"{base}/shares"), f"{base}/out", f"{base}/ckpt")
     q.awaitTermination()
-    return _shares_view(st_shares.current_shares(t.spark.read.parquet(f"{base}/out")))
+    sink.compact_epochs(t.spark, f"{base}/out", st_shares.newest_shares, 0)
+    return _shares_view(sink.read_compacted(t.spark, f"{base}/out", st_shares.newest_shares).drop("ts", "versao"))
 
 
 @register("W1_purchase_gaps")
@@ -765,6 +837,24 @@ def _b2b(t):
     return dashboard.value_histogram(t.pedidos, hole_free=True)
 
 
+@register("R6b_segment_kpis_filtered")
+def _r6b(t):
+    """Segment counts of one region."""
+    return rfv.segment_kpis(rfv.rfv_fixed(t.pedidos, t.clientes), regiao="AMERICA")
+
+
+@register("IN4b_inactivity_kpis_min_days")
+def _in4b(t):
+    """Inactivity totals of customers quiet for 200 days or more."""
+    return inactivity.inactivity_kpis(inactivity.inactive_customers(t.pedidos, t.clientes, min_days=90), min_days=200)
+
+
+@register("TR6b_year_columns")
+def _tr6b(t):
+    """Month table with a column of sales and orders per year (A12, wide form)."""
+    return trends.year_columns(trends.year_month_matrix(t.pedidos), datetime.date(2001, 1, 1))
+
+
 @register("Q1b_violating_rows")
 def _q1b(t):
     return quality.violating_rows("pedidos", t.pedidos, "id_pedido")
