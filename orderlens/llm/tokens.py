@@ -21,13 +21,38 @@ LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 ODD = re.compile(f"[^{SOLID}][ \n]|[ \n][^{SOLID}]|\\A[ \n]|[ \n]\\Z|[^{LETTER}0-9][.,]|\\A[.,]|\0")
 
 
+#: Chunks that a worker encodes both ways before it trusts the model's own.
+PROOF = 256
+
+# A byte-level model reads bytes as characters: printable ones as themselves, the others, in turn, as those from U+0100 on.
+_UNPRINTABLE = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+BYTE_NAMES = {byte: 0x100 + i for i, byte in enumerate(_UNPRINTABLE)}
+
+
 class _Memo(dict):
-    def __init__(self, tokenizer):
+    """Ids by chunk.  A chunk of letters is one pre-token, so the library's model takes it as it is, without the
+    steps around it; a worker compares the first PROOF of them with the whole way, and keeps to that if one differs."""
+
+    def __init__(self, tokenizer, spaces: str | None):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.tokenize, self.kept, self.proof = tokenizer, tokenizer.model.tokenize, spaces == "kept", PROOF
+
+    def _whole(self, chunk: str) -> list[int]:
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+
+    def _ids(self, chunk: str) -> list[int]:
+        word = chunk[1:] if self.kept and chunk[:1] == " " else chunk
+        if self.proof < 0 or not word.isalpha() or not (self.kept or word.isascii()):
+            return self._whole(chunk)
+        ids = [t.id for t in self.tokenize(chunk.encode().decode("latin-1").translate(BYTE_NAMES) if self.kept else chunk)]
+        if self.proof:
+            whole = self._whole(chunk)
+            self.proof = self.proof - 1 if ids == whole else -1
+            return whole
+        return ids
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        ids = array("I", self._ids(chunk)).tobytes()
         if len(self) < MEMO_CHUNKS and len(chunk) <= MEMO_LENGTH:
             self[chunk] = ids
         return ids
@@ -49,7 +74,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaces = spaces
-        self._of = _Memo(self.tokenizer).__getitem__
+        self._of = _Memo(self.tokenizer, spaces).__getitem__
 
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size()
