@@ -10,9 +10,6 @@ from orderlens.llm.common import BROADCAST_ROWS, by_keys, cut, join_groups, shar
 #: Leading tokens that lead to a leaf, below the token count.
 DEPTH = 3
 
-#: Lines of fewer tokens have no template.
-MIN_TOKENS = 3
-
 #: Least share of a template's places that hold a fixed token, in percent.
 SIMILARITY = 80
 
@@ -21,68 +18,60 @@ BLANKS, FIELD = r"[ \t\x0B\f\r]+", r"[^ \t\x0B\f\r]*[0-9][^ \t\x0B\f\r]*"
 TOKEN = r"[^ \t\x0B\f\r]+"
 
 
-def _normal(line: Column, numbers: bool) -> Column:
-    """A line's tokens, fields masked, one space apart.  Most lines are so already.  With ``numbers``, lines
-    with too few other tokens for a template keep their fields, behind a line break."""
+def _normal(line: Column) -> Column:
+    """A line's tokens, fields masked, one space apart.  Most lines are so already.  Lines with too few other tokens
+    for a template keep their fields, behind a line break."""
     odd = F.rlike(line, F.lit(r"[0-9\t\x0B\f\r]")) | F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
     masked = F.when(odd, F.trim(F.regexp_replace(F.regexp_replace(line, FIELD, "<*>"), BLANKS, " "))).otherwise(line)
-    if not numbers:
-        return masked
     few = F.rlike(line, F.lit("[0-9]")) & (100 * F.regexp_count(line, F.lit(FIELD)) > (100 - SIMILARITY) * F.regexp_count(line, F.lit(TOKEN)))
     return F.when(few, F.concat(F.lit("\n"), F.trim(F.regexp_replace(line, BLANKS, " ")))).otherwise(masked)
 
 
-def _lines(docs: DataFrame, short: bool, numbers: bool) -> DataFrame:
-    """One row per line of at least MIN_TOKENS tokens (``short``: of any): _id, _text (a hash), no (from 1),
-    normal, leaf, line (hashes), tokens.  Lines are made normal inside the exploded array, so once each.
-    With ``numbers``, lines with too few tokens but fields are leaves of their own."""
-    normal = F.transform(F.split("text", "\n"), lambda line: _normal(line, numbers))
-    lead = F.substring_index("normal", " ", DEPTH)
-    if numbers:
-        lead = F.when(F.startswith("normal", F.lit("\n")), F.col("normal")).otherwise(lead)
+def _lines(docs: DataFrame) -> DataFrame:
+    """One row per line with a token: _id, _text (a hash), no (from 1), normal, leaf, line (hashes), tokens.
+    Lines are made normal inside the exploded array, so once each.  Lines with too few tokens but fields are
+    leaves of their own."""
+    normal = F.transform(F.split("text", "\n"), _normal)
+    lead = F.when(F.startswith("normal", F.lit("\n")), F.col("normal")).otherwise(F.substring_index("normal", " ", DEPTH))
     count = F.length("normal") - F.length(F.replace(F.col("normal"), F.lit(" "), F.lit(""))) + 1
     return (docs.select("_id", F.xxhash64("text").alias("_text"), F.posexplode(normal).alias("no", "normal"))
             .select("_id", "_text", (F.col("no") + 1).alias("no"), "normal", count.alias("tokens"))
-            .where(F.col("normal") != "" if short else F.col("tokens") >= MIN_TOKENS)
+            .where(F.col("normal") != "")
             .select("_id", "_text", "no", "normal", F.xxhash64("tokens", lead).alias("leaf"),
                     F.xxhash64("normal").alias("line"), "tokens"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = True,
-               numbers: bool = True) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its lines deduplicated across documents, and n_lines, n_dropped.
 
     A tree of fixed depth sorts the lines: by token count, then by the first DEPTH tokens, where a
-    token that holds a digit is the variable field ``<*>``.  In a leaf, a token that no other document
-    has at its place is a variable field too.  Lines of one leaf with equal templates, of which at
-    least SIMILARITY of the places are fixed (or with equal tokens), form a group; a group found in
-    several documents is dropped from all but the one with the smallest id, which keeps its lines.
-    Order and line breaks of what stays are untouched.
-
-    Lines of which fewer than SIMILARITY of the tokens are without a digit, such as rows of numbers, form
-    groups by their tokens as they are, digits too, and take no part in the tree; without ``numbers`` they
-    are masked like others, and a group needs equal masked tokens only.
-
-    Lines of fewer than MIN_TOKENS tokens form groups by equal tokens, whatever their length in
-    characters; without ``short`` they stay.  Blank lines stay.  Null texts stay null, with no lines.  Documents with
+    token that holds a digit is the variable field ``<*>``.  In a leaf, each other place of a line may be a variable
+    field too: a template is the line with its fields and one more place masked, if at least SIMILARITY of the places
+    stay fixed.  A line goes if a document with a smaller id has an equal line, fields masked, or one of a
+    common template.  So the first document with a template keeps its lines, and documents that are added,
+    copies or others, never bring a dropped line back.  Order and line breaks of what stays are untouched.
+
+    Lines of which fewer than SIMILARITY of the tokens are without a digit, such as rows of numbers, must be
+    equal in all tokens, digits too, and take no part in the tree.  Short lines (a template needs
+    five tokens) go by equal tokens, whatever their length in characters.  Blank lines stay.  Null texts stay null,
+    with no lines.  Documents with
     a null id neither lose lines nor make others lose them.  Rows of one id are one document: repeats
     of the same row lose the same lines.  An empty table gives no rows; other columns are kept, but
     for clashing ones (n_lines, n_dropped), which are replaced.
 
     Hashes of lines are shuffled, not lines; a line itself only where its leaf holds unlike lines of
-    several documents, once for each unlike line, and then hashes of its tokens.  Hot lines are
+    several documents, once for each unlike line, and then hashes of its templates.  Hot lines are
     summed inside map tasks and joined apart.
     """
     read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    lines = cut(_lines(read, short, numbers).drop("normal"))
+    lines = cut(_lines(read).drop("normal"))
     unlike = cut(lines.groupBy("leaf", "line").agg(F.min("_id").alias("first"), F.max("_id").alias("last"), F.count(F.lit(1)).alias("n"), F.first("tokens").alias("tokens")))
     leaves = (unlike.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n"), F.min("first").alias("_a"), F.max("last").alias("_z"))
               .where("_n > 1 and _a < _z").select("leaf"))
-    mixed = cut(unlike.join(leaves, "leaf", "left_semi"))
-    template = _templates(read, mixed, short, numbers)
-    groups = unlike.join(template, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", "line"))
-    shared = (groups.groupBy("leaf", "template").agg(F.min("first").alias("stays"), F.max("last").alias("_z")).where("stays < _z").drop("_z"))
-    repeated = cut(groups.join(shared, ["leaf", "template"]).select("leaf", "line", "stays", "n"))
+    mixed = cut(unlike.where((100 - SIMILARITY) * F.col("tokens") >= 100).join(leaves, "leaf", "left_semi").select("leaf", "line", "first"))
+    stays = F.least("first", "earliest")  # a null is passed over
+    repeated = cut(unlike.join(_earliest(read, mixed), ["leaf", "line"], "left").withColumn("stays", stays).where("stays < last")
+                   .select("leaf", "line", "stays", "n"))
     drops = (join_groups(lines, repeated, ["leaf", "line"], "n").where(F.col("_id") > F.col("stays"))
              .groupBy("_id", "_text").agg(F.array_sort(F.collect_set("no")).alias("_drops")))
     drops = cut(drops)
@@ -97,23 +86,26 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
-def _templates(read: DataFrame, mixed: DataFrame, short: bool, numbers: bool) -> DataFrame:
-    """(leaf, line, template) of the ``mixed`` lines whose template has enough fixed places: a hash of
-    its tokens, ``<*>`` where no second document has the token at that place of the leaf."""
-    texts = by_keys(_lines(read, short, numbers).select("leaf", "line", "normal"), mixed.select("leaf", "line"), ["leaf", "line"])
-    path = shared_folder(read.sparkSession, "line-places")
+def _earliest(read: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(leaf, line, earliest) of the ``mixed`` lines that share a template with another: the smallest id that has it.
+
+    A template is known by its place and the XOR of the other places' token hashes, which takes one pass over
+    a line for all its templates."""
+    texts = by_keys(_lines(read).select("leaf", "line", "normal"), mixed.select("leaf", "line"), ["leaf", "line"])
+    tokens = F.split("normal", " ")
+    fixed = F.size(F.filter("tokens", lambda t: t != "<*>"))
+    places = F.transform("tokens", lambda t, i: F.when(t != "<*>", F.xxhash64(i, t)))
+    rest = F.aggregate("places", F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(F.coalesce(h, F.lit(0).cast("long"))))
+    other = F.filter(F.transform(F.slice("places", DEPTH + 1, F.size("places")), lambda h, i: F.when(h.isNotNull(), F.xxhash64(i, F.col("rest").bitwiseXOR(h)))),
+                     lambda v: v.isNotNull())
+    path = shared_folder(read.sparkSession, "line-templates")
     (texts.groupBy("leaf", "line").agg(F.first("normal").alias("normal")).join(mixed, ["leaf", "line"])
-     .select("leaf", "line", "first", "last", F.posexplode(F.split("normal", " ")).alias("place", "token"))
-     .select("leaf", "line", "first", "last", "place", F.when(F.col("token") != "<*>", F.xxhash64("token")).alias("token"))
-     .write.parquet(path))
-    places = read.sparkSession.read.schema("leaf long, line long, first long, last long, place int, token long").parquet(path)
-    fixed = cut(places.where("token is not null").groupBy("leaf", "place", "token")
-                .agg(F.min("first").alias("_a"), F.max("last").alias("_z"), F.count(F.lit(1)).alias("_n")).where("_a < _z")
-                .select("leaf", "place", "token", "_n"))
-    held = (join_groups(places.select("leaf", "line", "place", "token"), fixed, ["leaf", "place", "token"], "_n")
-            .groupBy("leaf", "line").agg(F.bit_xor(F.xxhash64("place", "token")).alias("template"), F.count(F.lit(1)).alias("_held")))
-    return (held.join(mixed.select("leaf", "line", "tokens"), ["leaf", "line"])
-            .where(100 * F.col("_held") >= SIMILARITY * F.col("tokens")).select("leaf", "line", "template"))
+     .withColumn("tokens", tokens).where(100 * (fixed - 1) >= SIMILARITY * F.size("tokens"))
+     .withColumn("places", places).withColumn("rest", rest)
+     .select("leaf", "line", "first", F.explode(other).alias("template")).write.parquet(path))
+    made = read.sparkSession.read.schema("leaf long, line long, first long, template long").parquet(path)
+    shared = cut(made.groupBy("leaf", "template").agg(F.min("first").alias("earliest"), F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    return join_groups(made.drop("first"), shared, ["leaf", "template"], "_n").groupBy("leaf", "line").agg(F.min("earliest").alias("earliest"))
 
 
 def _without(lines: Column, drops: Column) -> Column:

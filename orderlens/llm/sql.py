@@ -31,24 +31,18 @@ WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS no
   FROM documents),
 tokens AS (
-  SELECT doc_id, no, raw,
-         list_filter(string_split_regex(regexp_replace(raw, '[^ \t\x0B\f\r]*[0-9][^ \t\x0B\f\r]*', '<*>', 'g'), '[ \t\x0B\f\r]+'), lambda x: x <> '') AS t
-  FROM lines),
-long_lines AS (SELECT doc_id, no, t, {'n': len(t), 'lead': t[1:3]} AS leaf FROM tokens WHERE len(t) >= 3),
-places AS (
-  SELECT DISTINCT doc_id, leaf, t, generate_subscripts(t, 1) AS place, unnest(t) AS token FROM long_lines),
-held AS (
-  SELECT leaf, place, token, count(DISTINCT doc_id) > 1 AND token <> '<*>' AS held FROM places GROUP BY leaf, place, token),
-unlike AS (SELECT DISTINCT leaf, t, place, token FROM places),
+  SELECT doc_id, no, raw, list_filter(string_split_regex(raw, '[ \t\x0B\f\r]+'), lambda x: x <> '') AS w FROM lines),
+masked AS (SELECT *, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m FROM tokens WHERE len(w) > 0),
+counted AS (SELECT *, len(list_filter(w, lambda x: regexp_matches(x, '[0-9]'))) AS digits, len(list_filter(m, lambda x: x <> '<*>')) AS fixed FROM masked),
+keyed AS (SELECT doc_id, no, CASE WHEN 100 * digits > 20 * len(w) THEN {'numbers': true, 't': w} ELSE {'numbers': false, 't': m} END AS line, fixed FROM counted),
+unlike AS (SELECT line, any_value(fixed) AS fixed, min(doc_id) AS first FROM keyed GROUP BY line),
 templates AS (
-  SELECT leaf, t, list(CASE WHEN held THEN token ELSE '<*>' END ORDER BY place) AS template, avg(held::INT) AS share
-  FROM unlike JOIN held USING (leaf, place, token) GROUP BY leaf, t),
-leaves AS (SELECT leaf, count(DISTINCT t) AS n FROM long_lines GROUP BY leaf),
-grouped AS (
-  SELECT l.doc_id, l.no, l.leaf, CASE WHEN n > 1 AND share >= 0.8 THEN {'kind': 1, 'x': template} ELSE {'kind': 0, 'x': l.t} END AS template
-  FROM long_lines l JOIN templates USING (leaf, t) JOIN leaves USING (leaf)),
-stays AS (SELECT leaf, template, min(doc_id) AS stays FROM grouped GROUP BY ALL),
-dropped AS (SELECT doc_id, no FROM grouped JOIN stays USING (leaf, template) WHERE doc_id > stays),
+  SELECT line, first, {'place': p, 't': list_concat(line.t[:p - 1], line.t[p + 1:])} AS template
+  FROM (SELECT *, unnest(range(4, len(line.t) + 1)) AS p FROM unlike WHERE NOT line.numbers AND 100 * (fixed - 1) >= 80 * len(line.t))
+  WHERE line.t[p] <> '<*>'),
+shared AS (SELECT line, min(first) OVER (PARTITION BY template) AS earliest FROM templates),
+stays AS (SELECT line, least(any_value(first), min(earliest)) AS stays FROM unlike LEFT JOIN shared USING (line) GROUP BY line),
+dropped AS (SELECT doc_id, no FROM keyed JOIN stays USING (line) WHERE doc_id > stays),
 rest AS (
   SELECT doc_id, string_agg(raw, chr(10) ORDER BY no) FILTER (WHERE d.no IS NULL) AS text, count(*) AS n_lines, count(d.no) AS n_dropped
   FROM lines LEFT JOIN dropped d USING (doc_id, no) GROUP BY doc_id)

@@ -6,39 +6,32 @@ import re
 from collections import defaultdict
 
 
-def line_dedup(rows, depth=3, min_tokens=3, similarity=0.8):
+def line_dedup(rows, depth=3, similarity=0.8):
     """[(id, text)] -> [(id, text, n_lines, n_dropped)]; ids unique and not null."""
-    lines = {}
+    lines, first = {}, {}
     for i, text in rows:
         for no, raw in enumerate((text if text is not None else "").split("\n")):
-            t = [x for x in re.split(r"[ \t\x0b\f\r]+", re.sub(r"[^ \t\x0b\f\r\n]*[0-9][^ \t\x0b\f\r\n]*", "<*>", raw)) if x]
-            if text is not None and len(t) >= min_tokens:
-                lines[i, no] = tuple(t)
-    leaf = lambda t: (len(t), t[:depth])
-    seen, kinds = defaultdict(set), defaultdict(set)
-    for (i, _), t in lines.items():
-        kinds[leaf(t)].add(t)
-        for p, x in enumerate(t):
-            seen[leaf(t), p, x].add(i)
-
-    def group(t):
-        if len(kinds[leaf(t)]) > 1:
-            held = [len(seen[leaf(t), p, x]) > 1 and x != "<*>" for p, x in enumerate(t)]
-            if sum(held) / len(t) >= similarity:
-                return leaf(t), "template", tuple(x if h else "<*>" for x, h in zip(t, held))
-        return leaf(t), "line", t
-
-    first = {}
-    for (i, _), t in lines.items():
-        g = group(t)
-        first[g] = min(i, first.get(g, i))
+            t = [x for x in re.split(r"[ \t\x0b\f\r]+", raw) if x]
+            if text is None or not t:
+                continue
+            masked = ["<*>" if re.search("[0-9]", x) else x for x in t]
+            digits = sum(bool(re.search("[0-9]", x)) for x in t)
+            if 100 * digits > 20 * len(t):
+                keys = [("numbers", *t)]
+            else:
+                keys = [tuple(masked)]
+                if sum(x != "<*>" for x in masked) - 1 >= similarity * len(t) - 1e-9:
+                    keys += [(p, *masked[:p], *masked[p + 1:]) for p in range(depth, len(t)) if masked[p] != "<*>"]
+            lines[i, no] = keys
+            for k in keys:
+                first[k] = min(i, first.get(k, i))
     out = []
     for i, text in rows:
         if text is None:
             out.append((i, None, 0, 0))
             continue
         parts = text.split("\n")
-        stay = [x for no, x in enumerate(parts) if (i, no) not in lines or first[group(lines[i, no])] == i]
+        stay = [x for no, x in enumerate(parts) if (i, no) not in lines or min(first[k] for k in lines[i, no]) == i]
         out.append((i, "\n".join(stay), len(parts), len(parts) - len(stay)))
     return out
 
