@@ -18,6 +18,9 @@ BROADCAST_BYTES = 64 << 20
 #: A key holding at least this share of all rows is hot; there are at most 1 / HOT_SHARE such keys.
 HOT_SHARE = 0.001
 
+#: A key with at least so many rows is hot in any case, so that no task of a join gets more rows of one key.
+COLD_ROWS = 1_000_000
+
 #: White space that parts words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -59,13 +62,12 @@ def by_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_se
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
     """Inner join of ``rows`` with one row per group, hot groups apart.
 
-    ``size`` names the groups' row counts.  Groups with at least HOT_SHARE of the rows number
-    1 / HOT_SHARE at most, so that they are broadcast; in the shuffle join of the rest no key
-    holds more than that share.
+    ``size`` names the groups' row counts.  Groups with HOT_SHARE of the rows, or COLD_ROWS, are broadcast: they number
+    1 / HOT_SHARE at most, or a millionth of the rows; in the shuffle join of the rest no key holds more.
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
-    hot = groups.where(F.col(size) >= max(2.0, total * HOT_SHARE))
-    cold = groups.where(F.col(size) < max(2.0, total * HOT_SHARE))
+    limit = max(2.0, min(total * HOT_SHARE, COLD_ROWS))
+    hot, cold = groups.where(F.col(size) >= limit), groups.where(F.col(size) < limit)
     many = rows.join(F.broadcast(hot), on)
     few = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
     return many.unionByName(few)

@@ -27,7 +27,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     read = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.unhex(F.md5(text)).alias("_md5"))
     rows = cut(read.select("_id", "_md5", F.unhex(F.sha2("_text", 256)).alias("_sha"))
                .groupBy("_id", "_md5", "_sha").agg(F.count(F.lit(1)).alias("_n")))
-    hashes = rows.groupBy("_md5").agg(F.sum("_n").alias("_n"))
+    hashes = rows.groupBy("_md5").agg(F.sum("_n").alias("_n"), F.first("_id").alias("_id"), F.first("_sha").alias("_sha"))
     shared = hashes.where("_n > 1").select("_md5")
     texts = (by_keys(read, shared, ["_md5"])
              .groupBy("_md5", "_text").agg(best("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
@@ -39,8 +39,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             .otherwise(F.raise_error(F.lit("two texts share MD5 and SHA-256")).cast("long")))
                 .drop("_texts"))
     grouped = join_groups(rows, equal, ["_md5", "_sha"], "group_size")
-    single = (hashes.where("_n = 1").select("_md5").join(rows, "_md5")
-              .withColumn("keep_id", F.col("_id")).withColumn("group_size", F.lit(1).cast("long")))
+    single = hashes.where("_n = 1").withColumn("keep_id", F.col("_id")).withColumn("group_size", F.lit(1).cast("long"))
     return (grouped.unionByName(single)
             .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
             .select(F.col("_id").alias(id_col), "keep_id", "group_size",

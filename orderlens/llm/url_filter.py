@@ -86,8 +86,9 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     # an estimate: it sets a size only, exactness doesn't hang on it
     around = universe.agg(F.approx_count_distinct("key", 0.05)).first()[0]
     levels = [_bloom(listed, n, min(0.5, n / max(around, 1)), 0)]
+    # a listed key may stand on a third of all pages: it is merged in each task before it is dealt out
     wrong = cut(universe.select("key").where(_may_contain(F.col("key"), 0, levels[0]))
-                .join(listed, "key", "left_anti").distinct())
+                .distinct().join(listed, "key", "left_anti"))
     held, other = listed, wrong
     while (m := other.count()) > 0:
         k = len(levels)
