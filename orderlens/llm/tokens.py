@@ -18,7 +18,8 @@ LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 #: A text with a match is encoded as a whole.  Otherwise each space, newline, comma and full stop
 #: stands where the pre-tokenizers split anyway: single white space between solid characters, and
 #: marks after a letter or digit.
-ODD = re.compile(f"[^{SOLID}][ \n]|[ \n][^{SOLID}]|\\A[ \n]|[ \n]\\Z|[^{LETTER}0-9][.,]|\\A[.,]|\0")
+#: The pattern begins with the characters it is about, so that a search passes over all others.
+ODD = re.compile(f"[ \n.,\0](?:(?<=[ \n])(?:(?![{SOLID}])|(?<![{SOLID}].))|(?<=[.,])(?<![{LETTER}0-9].)|(?<=\0))", re.S)
 
 
 #: Chunks that a worker encodes both ways before it trusts the model's own.
