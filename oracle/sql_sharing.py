@@ -83,6 +83,24 @@ H5D = """
 SELECT id_pedido AS id_solicitacao, ['SEM_PROPRIETARIOS', 'JSON_INVALIDO', 'CLIENTE_AUSENTE', 'PERCENTUAL_99.50'][1 + id_pedido % 5] AS motivo
 FROM (SELECT DISTINCT id_pedido FROM pedido_clientes) WHERE id_pedido % 5 < 4"""
 
+H11 = """, donos AS (
+  SELECT id_pedido, string_agg(concat_ws('|', id_cliente, nome, tipo_cliente, percentual_rateio, valor_rateado), ';' ORDER BY percentual_rateio DESC, id_cliente) AS proprietarios
+  FROM pedido_clientes LEFT JOIN clientes USING (id_cliente) GROUP BY id_pedido),
+linhas AS (
+  SELECT id_pedido, string_agg(concat_ws('|', id_produto, nome, quantidade, i.preco_unitario, subtotal), ';'
+                               ORDER BY id_produto, i.preco_unitario, quantidade, subtotal) AS itens
+  FROM itens_pedido i JOIN produtos USING (id_produto) GROUP BY id_pedido)
+SELECT id_pedido, 0::BIGINT AS parte, 1::BIGINT AS partes, strftime(data_pedido, '%Y-%m-%d') AS data_pedido, id_cliente, status,
+       CAST(valor_total AS DOUBLE) AS valor_total, coalesce(proprietarios, '') AS proprietarios, coalesce(itens, '') AS itens
+FROM pedidos LEFT JOIN donos USING (id_pedido) LEFT JOIN linhas USING (id_pedido)"""
+
+L4C = """, somas AS (SELECT id_pedido, CAST(sum(subtotal) AS DECIMAL(15,2)) AS novo, sum(subtotal) AS v FROM itens_pedido GROUP BY id_pedido),
+corrigidos AS (SELECT id_pedido, novo FROM pedidos JOIN somas USING (id_pedido) WHERE abs(valor_total - v) > 0.01)
+SELECT id_pedido, 2 AS versao, CAST(novo AS DOUBLE) AS valor_total, 'UPDATE' AS operacao, 1 AS versao_anterior,
+       (SELECT CAST(sum(CAST(round(novo * percentual_rateio * 0.01, 2) AS DECIMAL(15,2))) AS DOUBLE) FROM pedido_clientes s
+        WHERE s.id_pedido = corrigidos.id_pedido) AS valor_rateado
+FROM corrigidos"""
+
 H11B = """, n_own AS (SELECT id_pedido, COUNT(*) AS k FROM pedido_clientes GROUP BY 1),
 n_it AS (SELECT id_pedido, COUNT(*) AS k FROM itens_pedido GROUP BY 1)
 SELECT p.id_pedido, CAST(0 AS BIGINT) AS parte,
@@ -102,7 +120,7 @@ FROM clientes JOIN customer ON c_custkey = id_cliente
 SELECT id_cliente, nome, tipo_cliente, regiao, (id_cliente % 1000) * 5 / 100.0 AS percentual_participacao, CAST(data_cadastro AS VARCHAR) AS data_entrada
 WHERE c_nationkey = 0 AND id_cliente % 4 <> 0"""
 
-SQL = {"H9_active_groups": H9, "H10_group_members": H10, "H5_create_shared_orders": H5, "H5b_shared_order_owners": H5B, "H5c_shared_order_lines": H5C, "H5d_rejected_requests": H5D, "H11b_order_document_sizes": H11B,
+SQL = {"H11_order_documents": H11, "L4c_published_correction": L4C, "H9_active_groups": H9, "H10_group_members": H10, "H5_create_shared_orders": H5, "H5b_shared_order_owners": H5B, "H5c_shared_order_lines": H5C, "H5d_rejected_requests": H5D, "H11b_order_document_sizes": H11B,
     "H1_shared_participants": H1, "H2_sharing_kpis": H2, "H3_sharing_by_region": H3,
     "H4_generate_shares": H4, "H6_refresh_proportional_values": H6, "H7_share_check": H7,
     "H8_ownership_view": H8,

@@ -238,31 +238,45 @@ def requests_from_shares(shares: DataFrame, pedidos: DataFrame, itens: DataFrame
     return requests, lines
 
 
+def _in_parts(df: DataFrame, order: list[str], size: int, entry: F.Column, name: str) -> DataFrame:
+    """(id_pedido, parte, partes, ``name``): each order's rows of ``df`` in ``order``, in lists of at most ``size``.
+
+    Rows are numbered over all orders (X1), so that an order with a third of all rows is spread; a list is
+    one part of an order, never an order."""
+    numbered = with_global_row_number(df, [F.col("id_pedido").asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order]], "_rn")
+    first = numbered.groupBy("id_pedido").agg(F.min("_rn").alias("_f"), F.count(F.lit(1)).alias("_n"))
+    parts = F.call_function("div", F.col("_n") + (size - 1), F.lit(size))
+    return (numbered.join(first, "id_pedido").withColumn("parte", F.call_function("div", F.col("_rn") - F.col("_f"), F.lit(size)))
+            .groupBy("id_pedido", "parte", parts.alias("partes"))
+            .agg(F.transform(F.sort_array(F.collect_list(F.struct("_rn", entry.alias("_e")))), lambda x: x["_e"]).alias(name)))
+
+
 def order_documents(pedidos: DataFrame, coowners: DataFrame, itens: DataFrame, produtos: DataFrame,
-                    max_items: int | None = None) -> DataFrame:
+                    max_items: int | None = None, clientes: DataFrame | None = None) -> DataFrame:
     """Nested documents for all orders at once: order fields, owners[] and items[].
 
-    One document per order; with ``max_items``, an order with more lines gets several parts
-    (``parte`` 0..``partes``-1); its lines are spread over the parts by a hash of
-    the line, so no collected group holds more than about ``max_items`` lines even
-    when one order carries a third of all lines.
+    Owners come by share descending, then id, with their percent and value (and, given ``clientes``, name and type);
+    lines by product id, price and quantity.  An order with more than ``max_items`` (10,000) owners or lines gets
+    several parts (``parte`` 0..``partes``-1), each with the next of them in order, so no list
+    holds more even when one order carries a third of all lines.
     """
-    own = coowners.groupBy("id_pedido").agg(F.sort_array(F.collect_list(F.struct(
-        "id_cliente", F.col("percentual_rateio").alias("percentual")))).alias("proprietarios"))
-    sizes = itens.groupBy("id_pedido").agg(F.count(F.lit(1)).alias("_n"))
-    count = F.lit(1) if max_items is None else F.ceil(F.col("_n") / F.lit(max_items))
-    parts = sizes.select("id_pedido", count.cast("long").alias("partes"))
-    line = F.xxhash64("id_produto", "quantidade", "preco_unitario", "subtotal", *[c for c in ("id_item",) if c in itens.columns])
-    its = (itens.join(parts, "id_pedido")
-           .withColumn("parte", F.pmod(line, F.col("partes")))
-           .join(produtos.select("id_produto", F.col("nome").alias("produto_nome")), "id_produto")
-           .groupBy("id_pedido", "parte", "partes")
-           .agg(F.sort_array(F.collect_list(F.struct(
-               "id_produto", "produto_nome", "quantidade", "preco_unitario", "subtotal"))).alias("itens")))
-    docs = pedidos.join(own, "id_pedido", "left").join(its, "id_pedido", "left")
+    size = 10_000 if max_items is None else max_items
+    owned = coowners.withColumn("_menos", -F.col("percentual_rateio"))
+    fields = [F.col("id_cliente"), F.col("percentual_rateio").alias("percentual")]
+    if "valor_rateado" in coowners.columns:
+        fields.append(F.col("valor_rateado").alias("valor"))
+    if clientes is not None:
+        owned = owned.join(clientes.select("id_cliente", F.col("nome").alias("_nome"), F.col("tipo_cliente").alias("_tipo")), "id_cliente", "left")
+        fields += [F.col("_nome").alias("nome"), F.col("_tipo").alias("tipo_cliente")]
+    own = _in_parts(owned, ["_menos", "id_cliente"], size, F.struct(*fields), "proprietarios")
+    named = itens.join(produtos.select("id_produto", F.col("nome").alias("produto_nome")), "id_produto")
+    line = ["id_produto", "preco_unitario", "quantidade", "subtotal", *[c for c in ("id_item",) if c in itens.columns]]
+    its = _in_parts(named, line, size, F.struct("id_produto", "produto_nome", "quantidade", "preco_unitario", "subtotal"), "itens")
+    parts = own.withColumnRenamed("partes", "_po").join(its.withColumnRenamed("partes", "_pi"), ["id_pedido", "parte"], "full_outer")
+    docs = pedidos.join(parts, "id_pedido", "left")
     return docs.select(
         "id_pedido", F.coalesce("parte", F.lit(0).cast("long")).alias("parte"),
-        F.coalesce("partes", F.lit(1).cast("long")).alias("partes"),
+        F.greatest(F.coalesce("_po", F.lit(1)), F.coalesce("_pi", F.lit(1))).cast("long").alias("partes"),
         "data_pedido", "id_cliente", "status", "valor_total",
         F.coalesce("proprietarios", F.array().cast(own.schema["proprietarios"].dataType)).alias("proprietarios"),
         F.coalesce("itens", F.array().cast(its.schema["itens"].dataType)).alias("itens"))

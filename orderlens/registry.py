@@ -474,11 +474,18 @@ def _h10(t):
 
 @register("H11_order_documents")
 def _h11(t):
-    return sharing.order_documents(t.pedidos, t.pedido_clientes, t.itens_pedido, t.produtos)
+    """Documents of all orders, owners and lines written out as text in their order."""
+    docs = sharing.order_documents(t.pedidos, t.pedido_clientes, t.itens_pedido, t.produtos, clientes=t.clientes)
+    text = lambda rows, *fields: F.array_join(F.transform(rows, lambda x: F.concat_ws("|", *[x[f].cast("string") for f in fields])), ";")
+    return docs.select("id_pedido", "parte", "partes", F.date_format("data_pedido", "yyyy-MM-dd").alias("data_pedido"), "id_cliente", "status",
+                       F.col("valor_total").cast("double").alias("valor_total"),
+                       text("proprietarios", "id_cliente", "nome", "tipo_cliente", "percentual", "valor").alias("proprietarios"),
+                       text("itens", "id_produto", "produto_nome", "quantidade", "preco_unitario", "subtotal").alias("itens"))
 
 
 # ---------------------------------------------------------------- lineage, integrity, duplicates
-from orderlens.operators import lineage  # noqa: E402
+from orderlens.operators import lineage, publishing  # noqa: E402
+from orderlens.sources.versions import read_published  # noqa: E402
 
 
 def _traced_view(df):
@@ -591,6 +598,19 @@ def _l10b(t):
     return t.spark.read.parquet(path).select("tabela_afetada", "operacao", "id_registro", F.date_format("data_hora", "yyyy-MM-dd HH:mm:ss").alias("data_hora"))
 
 
+@register("L4c_published_correction")
+def _l4c(t):
+    """Corrected orders of the version published after the first one, with their audit row and their shares' sum."""
+    path = _scratch(t, "versions")
+    publishing.first_version(t.spark, path, t.pedidos, t.itens_pedido, t.clientes, t.pedido_clientes)
+    publishing.correct_published(t.spark, path, quando=CORRECTION_TIME)
+    read = lambda name: read_published(t.spark, path, name)
+    shares = read("pedido_clientes").groupBy("id_pedido").agg(F.sum("valor_rateado").cast("double").alias("valor_rateado"))
+    audit = read("audit_log").select(F.col("id_registro").alias("id_pedido"), "operacao", F.get_json_object("dados_anteriores", "$.versao").cast("int").alias("versao_anterior"))
+    return (read("pedidos").select("id_pedido", "versao", F.col("valor_total").cast("double").alias("valor_total"))
+            .join(audit, "id_pedido").join(shares, "id_pedido", "left"))
+
+
 @register("N1_item_keys")
 def _n1(t):
     """Contiguous surrogate keys of the order lines (distributed numbering)."""

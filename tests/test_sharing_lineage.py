@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from orderlens.operators import dashboard, lineage, quality, sharing
@@ -183,6 +184,12 @@ def test_order_documents_split_large_orders(spark, seed):
     assert sum(len(r.itens) for r in by_order[1]) == 27
     assert len(by_order[4]) == 1 and by_order[4][0].itens == []  # no lines: one document, empty items
     assert [len(r.proprietarios) for r in by_order[2]] == [2]
+    assert sorted(len(r.itens) for r in by_order[1]) == [7, 10, 10]  # parts follow the lines' order
+    lines = [i.id_produto for r in sorted(by_order[1], key=lambda r: r.parte) for i in r.itens]
+    assert lines == sorted(lines)
+    named = sharing.order_documents(seed["pedidos"], seed["pedido_clientes"], itens, seed["produtos"], max_items=1, clientes=seed["clientes"])
+    owners = [r.proprietarios for r in named.where("id_pedido = 2").orderBy("parte").collect()]
+    assert [len(o) for o in owners[:2]] == [1, 1] and owners[0][0].percentual >= owners[1][0].percentual and owners[0][0].nome
     _ = product
 
 
@@ -200,3 +207,35 @@ def test_shared_order_creation_with_line_table(spark):
     assert owners.collect()[0].valor_proporcional == D("8.50")
     assert sorted(r.subtotal for r in out_lines.collect()) == [D("2.50"), D("6.00")]
     assert rejected.count() == 0
+
+
+def test_published_correction_is_all_or_nothing(spark, tmp_path, monkeypatch):
+    """Tampered orders are refused, audit rows are the difference of two versions, a failure leaves the version before."""
+    from orderlens.operators import publishing
+    from orderlens.sources import versions
+    from tests.conftest import item
+    pedidos = make(spark, "pedidos", [order(1, 1, "2025-01-01", "100.00"), order(2, 1, "2025-01-02", "50.00"), order(3, 1, "2025-01-03", "7.00")])
+    itens = make(spark, "itens_pedido", [item(1, 1, 1, 2, "60.00"), item(2, 2, 1, 1, "50.00"), item(3, 3, 1, 1, "9.00")])
+    shares = spark.createDataFrame([(1, 1, "60.00", "60.00"), (1, 2, "40.00", "40.00")], "id_pedido long, id_cliente long, p string, v string")
+    shares = shares.selectExpr("id_pedido", "id_cliente", "cast(p as decimal(5,2)) percentual_rateio", "cast(v as decimal(15,2)) valor_rateado")
+    clientes, path = make(spark, "clientes", [customer(1), customer(2)]), str(tmp_path)
+    assert publishing.first_version(spark, path, pedidos, itens, clientes, shares) == 1
+    read = lambda name, v=None: versions.read_published(spark, path, name, v)
+    # order 3 is changed outside the system: its hash no longer fits
+    tables = {n: read(n) for n in ("pedidos", "itens_pedido", "clientes", "pedido_clientes", "log_correcoes", "audit_log", "recusados")}
+    tables["pedidos"] = tables["pedidos"].withColumn("status", F.when(F.col("id_pedido") == 3, "X").otherwise(F.col("status")))
+    assert versions.publish(spark, path, tables) == 2
+    monkeypatch.setattr(publishing.lineage, "audit_rows", lambda *a, **k: tables["audit_log"].union(spark.range(1).select(
+        *[F.raise_error(F.lit("lost")).cast(f.dataType).alias(f.name) for f in tables["audit_log"].schema])))
+    with pytest.raises(Exception, match="lost"):
+        publishing.correct_published(spark, path, quando="2025-02-01 10:00:00")
+    assert versions.latest(spark, path).version == 2 and read("pedidos").where("versao > 1").count() == 0
+    monkeypatch.undo()
+    assert publishing.correct_published(spark, path, quando="2025-02-01 10:00:00") == 3
+    assert [(r.id_pedido, float(r.valor_total), r.versao) for r in read("pedidos").orderBy("id_pedido").collect()] == [(1, 120.0, 2), (2, 50.0, 1), (3, 7.0, 1)]
+    assert [r.id_pedido for r in read("recusados").collect()] == [3] and [r.id_pedido for r in read("log_correcoes").collect()] == [1]
+    assert sorted(float(r.valor_rateado) for r in read("pedido_clientes").collect()) == [48.0, 72.0]
+    differ = read("pedidos", 2).exceptAll(read("pedidos", 3)).select("id_pedido").collect()
+    assert {r.id_registro for r in read("audit_log").collect()} == {r.id_pedido for r in differ} == {1}
+    assert publishing.correct_published(spark, path, quando="2025-02-02 10:00:00") == 4  # nothing left to correct
+    assert read("audit_log").count() == 1
