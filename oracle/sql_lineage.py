@@ -98,6 +98,20 @@ FROM dated WHERE t >= TIMESTAMP '2000-06-15 10:00:00'"""
 
 N1 = "\nSELECT id_item, id_pedido, id_produto, CAST(subtotal AS DOUBLE) AS subtotal FROM itens_pedido"
 
+def _image(valor: str) -> str:
+    """An order as JSON text; NULL fields are left out."""
+    text = lambda c, x: f"""'"{c}":"' || {x} || '"'"""
+    return "'{' || concat_ws(',', " + ", ".join([
+        "'\"id_pedido\":' || id_pedido", text("data_pedido", "data_pedido::DATE::VARCHAR"), text("data_entrega", "data_entrega::DATE::VARCHAR"),
+        "'\"id_cliente\":' || id_cliente", text("tipo_contrato", "tipo_contrato"), text("status", "status"), text("regiao_origem", "regiao_origem"),
+        text("regiao_destino", "regiao_destino"), f"'\"valor_total\":' || CAST({valor} AS DECIMAL(15,2))"]) + ") || '}'"
+
+
+L4 = ", " + CORRECTED + f"""
+SELECT 'pedidos' AS tabela_afetada, 'UPDATE' AS operacao, id_pedido AS id_registro, {_image('valor_total')} AS dados_anteriores,
+       {_image('nv')} AS dados_novos, 'SISTEMA' AS usuario_aplicacao, '2001-08-02 10:00:00' AS data_hora
+FROM corr JOIN pedidos USING (id_pedido)"""
+
 # The snapshot before ends a year before the newest order; the one after starts a year after the oldest.
 L4B = ", " + CORRECTED + """,
 span AS (SELECT CAST(max(data_pedido) - INTERVAL 1 YEAR AS DATE) AS a, CAST(min(data_pedido) + INTERVAL 1 YEAR AS DATE) AS b FROM pedidos),
@@ -105,7 +119,7 @@ ops AS (SELECT CASE WHEN data_pedido > a THEN 'INSERT' WHEN data_pedido < b THEN
         FROM pedidos, span)
 SELECT 'pedidos' AS tabela_afetada, operacao, count(*) AS registros FROM ops WHERE operacao IS NOT NULL GROUP BY operacao"""
 
-SQL = {"L4b_audit_summary": L4B,
+SQL = {"L4_audit_rows": L4, "L4b_audit_summary": L4B,
     "L1_order_numbers": L1, "L5_stamp_updates": L5, "L6_integrity_report": L6, "L7_traced_view": L7,
     "L8_duplicate_candidates": L8, "L8b_duplicate_groups": L8B, "L9_duplicate_alerts": L9, "L10_audit_retention": L10, "L10b_retained_audit": L10B, "L5b_refused_updates": L5B, "N1_item_keys": N1,
 }

@@ -502,7 +502,8 @@ def _l1(t):
 def _l4(t):
     """Audit rows between the orders and their batch-corrected version."""
     corrected, _, _ = _batch_log(t, with_log=False)
-    return lineage.audit_rows(t.pedidos, corrected, "SISTEMA", CORRECTION_TIME)
+    rows = lineage.audit_rows(t.pedidos, corrected, "SISTEMA", CORRECTION_TIME)
+    return rows.withColumn("data_hora", F.date_format("data_hora", "yyyy-MM-dd HH:mm:ss"))
 
 
 @register("L4b_audit_summary")

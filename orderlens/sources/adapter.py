@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from orderlens.functions.numeric import MONEY, PRICE, dec
 from orderlens.model import TIPOS_GRUPO
 from orderlens.plans.ranking import with_global_row_number
+from orderlens.session import checkpoint_dir
 
 LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                 "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -136,11 +137,12 @@ class Tables:
 
     @cached_property
     def pedido_clientes(self) -> DataFrame:
-        """Shares produced by the share generator (H4) over these tables."""
+        """Shares produced by the share generator (H4) over these tables, written once: reports read them several times."""
         if "pedido_clientes" in self.extra:
             return self.extra["pedido_clientes"]
         from orderlens.operators.sharing import generate_shares
-        return generate_shares(self.pedidos, self.clientes)
+        checkpoint_dir(self.spark)
+        return generate_shares(self.pedidos, self.clientes).checkpoint(eager=True)
 
 
 def load_test_tables(spark: SparkSession, sf_dir: str) -> Tables:
