@@ -18,9 +18,6 @@ SHARD, BLOCK = 4096, 1024
 #: Points of a leaf, at most (more only when all are equal).
 LEAF = 64
 
-#: Vectors with a scaled component from here on take no part, but where large ones are asked for.
-TOO_LARGE = 1 << 28
-
 #: From here on a scaled component or a score leaves 64 bits.
 PAST_64_BITS = 2.0 ** 63
 
@@ -117,18 +114,16 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(flat), dims)
 
 
-def _usable(v: Column, large: bool) -> Column:
+def _usable(v: Column) -> Column:
     x = F.transform(v, lambda e: e.cast("double"))
-    bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf") if large else F.abs(e * 256) >= TOO_LARGE))
-    whole = lambda e: F.floor(e * 256).cast("long")
-    if large:
-        past = F.raise_error(F.lit("a component leaves 64 bits")).cast("long")
-        return F.when(v.isNotNull() & ~F.coalesce(bad, F.lit(True)), F.transform(x, lambda e: F.when(F.abs(e * 256) < PAST_64_BITS, whole(e)).otherwise(past)))
-    return F.when(v.isNotNull() & ~F.coalesce(bad, F.lit(True)), F.transform(x, whole))
+    bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
+    past = F.raise_error(F.lit("a component leaves 64 bits")).cast("long")
+    whole = F.transform(x, lambda e: F.when(F.abs(e * 256) < PAST_64_BITS, F.floor(e * 256).cast("long")).otherwise(past))
+    return F.when(v.isNotNull() & ~F.coalesce(bad, F.lit(True)), whole)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-          shard_rows: int = SHARD, block_rows: int = BLOCK, large: bool = False) -> DataFrame:
+          shard_rows: int = SHARD, block_rows: int = BLOCK) -> DataFrame:
     """The k highest integer inner products of every query vector with all other vectors: query_id,
     rank, vec_id, score; ties go to the smaller id.
 
@@ -138,15 +133,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     nodes that can't beat them aren't opened.  Each (shard, block) pair is a row, whatever the number
     of executors.
 
-    Vectors that are null or hold a null or non-finite component, and null ids take no part, nor do, but
-    with ``large``, vectors with a component of 2**20 or more.  With ``large``, their scores are exact,
-    and a component of 2**55 or more, or a score met that leaves 64 bits, is an error.  Vectors meet those of their own length only.  A query's own are all rows of its
+    Vectors that are null or hold a null or non-finite component, and null ids take no part.  Scores are exact,
+    whatever the components; a component of 2**55 or more, or a score met that leaves 64 bits, is an error.  Vectors meet those of their own length only.  A query's own are all rows of its
     id; a repeated query row is answered for each row.  Fewer than k others: all.  An empty table
     gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     python_ready(spark, 8)
-    rows = cut(vectors.select(F.col(id_col).cast("long").alias("id"), _usable(F.col(vector_col), large).alias("v"), is_query.alias("q"))
+    rows = cut(vectors.select(F.col(id_col).cast("long").alias("id"), _usable(F.col(vector_col)).alias("v"), is_query.alias("q"))
                .where("id is not null and v is not null").withColumn("row", F.monotonically_increasing_id()).withColumn("dims", F.size("v")))
     n, asked = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
     shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(asked / block_rows))

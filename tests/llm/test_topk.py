@@ -11,7 +11,7 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 
 def plain(rows, every, k=5):
     whole = lambda v: [math.floor(256 * float(np.float32(x))) for x in v]
-    ok = [(i, whole(v)) for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) and abs(x) < 2 ** 20 for x in v)]
+    ok = [(i, whole(v)) for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, a in ok:
         if q % every == 0:
