@@ -69,7 +69,7 @@ def _bloom(keys: DataFrame, n: int, rate: float, level: int) -> tuple[int, int,
     return bits, hashes, words
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
+def build_cascade(listed: DataFrame, universe: DataFrame, max_listed: int = MAX_LISTED) -> Cascade:
     """The cascade of the ``key`` column of ``listed``, exact for every key of ``universe``.
 
     The first filter's rate is |listed| / |universe|, so that about as many false positives as
@@ -79,8 +79,8 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     """
     listed = cut(listed.select("key").where("key is not null").distinct())
     n = listed.count()
-    if n > MAX_LISTED:
-        raise ValueError(f"{n} listed keys; split the list into parts of {MAX_LISTED} and use a cascade for each")
+    if n > max_listed:
+        raise ValueError(f"{n} listed keys are more than max_listed={max_listed}, the bound on what the driver and each task hold")
     if n == 0:
         return Cascade([])
     # an estimate: it sets a size only, exactness doesn't hang on it
@@ -97,7 +97,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     return Cascade(levels)
 
 
-def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
+def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", max_listed: int = MAX_LISTED) -> DataFrame:
     """A verdict for each row of ``pages`` (page_id, url): page_id, host, path, rule, verdict.
 
     ``rules`` (rule, verdict): a rule is ``host/`` or ``host/dir/.../`` with a lower-case host; it fits
@@ -108,7 +108,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     cut into no more labels and directories than the longest rule has, which loses no match.
 
     Null urls, and those without ``://``, have empty host and path, no rule and ``default``.  Repeated
-    rows are judged alike; other columns are ignored; no rules: ``default`` for all.
+    rows are judged alike; other columns are ignored; no rules: ``default`` for all.  Very long urls are judged whole.
+    More than ``max_listed`` rules of one verdict are an error: a cascade's bits, about 20 a listed key, pass through the
+    driver to every task, so the caller states how many that may be.
     """
     both = cut(rules.select("rule", "verdict").where("rule is not null").distinct())
     bad = both.where(~F.endswith("rule", F.lit("/")) | ~F.col("verdict").isin("allow", "block")).count()
@@ -121,7 +123,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     keys = urls.withColumn("_keys", _keys("host", "path", labels or 0, depth or 0))
     universe = keys.select(F.explode("_keys").alias("key"))
-    made = {v: build_cascade(both.where(F.col("verdict") == v).select(F.col("rule").alias("key")), universe)
+    made = {v: build_cascade(both.where(F.col("verdict") == v).select(F.col("rule").alias("key")), universe, max_listed)
             for v in ("allow", "block")}
     fits = F.transform("_keys", lambda k: F.when(made["allow"].contains(k), F.struct(F.length(k).alias("n"), k.alias("rule"), F.lit("allow").alias("verdict")))
                        .when(made["block"].contains(k), F.struct(F.length(k).alias("n"), k.alias("rule"), F.lit("block").alias("verdict"))))
