@@ -89,21 +89,30 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _earliest(read: DataFrame, mixed: DataFrame) -> DataFrame:
     """(leaf, line, earliest) of the ``mixed`` lines that share a template with another: the smallest id that has it.
 
-    A template is known by its place and the XOR of the other places' token hashes, which takes one pass over
-    a line for all its templates."""
+    Lines that differ in one place are alike in one half, before or after it, so only lines that share a half
+    with another line of their leaf make templates.  A template is known by its place and the XOR of the other
+    places' token hashes, which takes one pass over a line for all its templates."""
+    spark, path = read.sparkSession, shared_folder(read.sparkSession, "line-places")
     texts = by_keys(_lines(read).select("leaf", "line", "normal"), mixed.select("leaf", "line"), ["leaf", "line"])
     tokens = F.split("normal", " ")
     fixed = F.size(F.filter("tokens", lambda t: t != "<*>"))
-    places = F.transform("tokens", lambda t, i: F.when(t != "<*>", F.xxhash64(i, t)))
-    rest = F.aggregate("places", F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(F.coalesce(h, F.lit(0).cast("long"))))
-    other = F.filter(F.transform(F.slice("places", DEPTH + 1, F.size("places")), lambda h, i: F.when(h.isNotNull(), F.xxhash64(i, F.col("rest").bitwiseXOR(h)))),
-                     lambda v: v.isNotNull())
-    path = shared_folder(read.sparkSession, "line-templates")
     (texts.groupBy("leaf", "line").agg(F.first("normal").alias("normal")).join(mixed, ["leaf", "line"])
      .withColumn("tokens", tokens).where(100 * (fixed - 1) >= SIMILARITY * F.size("tokens"))
-     .withColumn("places", places).withColumn("rest", rest)
-     .select("leaf", "line", "first", F.explode(other).alias("template")).write.parquet(path))
-    made = read.sparkSession.read.schema("leaf long, line long, first long, template long").parquet(path)
+     .select("leaf", "line", "first", F.transform("tokens", lambda t, i: F.when(t != "<*>", F.xxhash64(i, t))).alias("places")).write.parquet(path))
+    lines = spark.read.schema("leaf long, line long, first long, places array<long>").parquet(path)
+
+    size, middle = F.size("places"), F.call_function("div", F.size("places") + DEPTH, F.lit(2)).cast("int")
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.xxhash64(F.slice("places", DEPTH + 1, middle - DEPTH)).alias("hash")),
+                    F.struct(F.lit(1).alias("side"), F.xxhash64(F.slice("places", middle + 1, size - middle)).alias("hash")))
+    halves = lines.select("leaf", "line", F.explode(sides).alias("s")).select("leaf", "line", "s.side", "s.hash")
+    common = cut(halves.groupBy("leaf", "side", "hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    near = cut(join_groups(halves, common, ["leaf", "side", "hash"], "_n").select("leaf", "line").distinct())
+
+    none = F.lit(0).cast("long")
+    rest = F.aggregate("places", none, lambda x, h: x.bitwiseXOR(F.coalesce(h, none)))
+    other = F.filter(F.transform(F.slice("places", DEPTH + 1, size), lambda h, i: F.when(h.isNotNull(), F.xxhash64(i, F.col("rest").bitwiseXOR(h)))),
+                     lambda v: v.isNotNull())
+    made = cut(by_keys(lines, near, ["leaf", "line"]).withColumn("rest", rest).select("leaf", "line", "first", F.explode(other).alias("template")))
     shared = cut(made.groupBy("leaf", "template").agg(F.min("first").alias("earliest"), F.count(F.lit(1)).alias("_n")).where("_n > 1"))
     return join_groups(made.drop("first"), shared, ["leaf", "template"], "_n").groupBy("leaf", "line").agg(F.min("earliest").alias("earliest"))
 
