@@ -113,19 +113,20 @@ def margin_ranking(itens: DataFrame, pedidos: DataFrame, produtos: DataFrame, re
 
 def margin_top(itens: DataFrame, pedidos: DataFrame, produtos: DataFrame, ref_date=None,
                k: int = 5, months: int = 12) -> DataFrame:
-    """PR4: top-k by revenue; missing reference cost counts as 0; margin at 2 dp."""
+    """PR4: top-k by revenue; missing reference cost counts as 0; margin at 2 dp.
+
+    Lines are summed per product and order first, so that a product's orders are its rows; the cost of a unit is constant per
+    product and meets the sums, not the lines."""
     ref = ref_column(pedidos, ref_date)
     orders = _orders(pedidos, months_before(ref, months))
     p = produtos.select("id_produto", "nome", "categoria", "subcategoria",
                         F.coalesce("custo_referencia", F.lit(0).cast("decimal(12,2)")).alias("_c"))
-    agg = (itens.join(orders, "id_pedido").join(p.select("id_produto", "_c"), "id_produto")
-           .groupBy("id_produto")
-           .agg(F.sum(_line_value()).alias("_tv"),
-                F.sum(F.col("quantidade") * F.col("_c")).alias("_tc"),
-                F.sum("quantidade").alias("_vol"),
-                F.count_distinct("id_pedido").alias("total_contratos")))
+    baskets = (itens.join(orders, "id_pedido").groupBy("id_produto", "id_pedido")
+               .agg(F.sum(_line_value()).alias("_tv"), F.sum("quantidade").alias("_vol")))
+    agg = (baskets.groupBy("id_produto").agg(F.sum("_tv").alias("_tv"), F.sum("_vol").alias("_vol"), F.count(F.lit(1)).alias("total_contratos"))
+           .join(p, "id_produto").withColumn("_tc", F.col("_vol") * F.col("_c")))
     top = agg.orderBy(F.col("_tv").desc(), F.col("id_produto").asc()).limit(k)
-    return top.join(p.drop("_c"), "id_produto").select(
+    return top.select(
         "id_produto", "nome", "categoria", "subcategoria",
         F.round("_tv", 2).cast("double").alias("total_vendas"),
         F.round("_tc", 2).cast("double").alias("total_custo"),
