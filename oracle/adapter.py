@@ -44,8 +44,8 @@ PEDIDOS = """pedidos AS (
               WHEN o.o_orderstatus = 'F' THEN 'Executado'
               WHEN o.o_orderstatus = 'O' THEN 'Em Andamento'
               WHEN o.o_orderstatus = 'P' THEN 'Pendente' END AS status,
-         CAST(NULL AS VARCHAR) AS regiao_origem,
-         CAST(NULL AS VARCHAR) AS regiao_destino,
+         CASE WHEN o.o_orderkey % 11 <> 0 THEN ['Norte', 'Nordeste', 'Centro-Oeste', 'Sudeste', 'Sul'][o.o_orderkey % 5 + 1] END AS regiao_origem,
+         CASE WHEN o.o_orderkey % 13 <> 0 THEN ['Norte', 'Nordeste', 'Centro-Oeste', 'Sudeste', 'Sul'][o.o_orderkey % 7 % 5 + 1] END AS regiao_destino,
          CAST(CASE WHEN o.o_orderkey % 7 = 0 OR s.itens IS NULL THEN CAST(o.o_totalprice AS DECIMAL(15,2))
                    ELSE s.itens END AS DECIMAL(15,2)) AS valor_total
   FROM orders o

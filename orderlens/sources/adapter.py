@@ -23,6 +23,9 @@ LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quant
                 "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
+REGIOES = ["Norte", "Nordeste", "Centro-Oeste", "Sudeste", "Sul"]
+
+
 @dataclass
 class Tables:
     """The order model's tables for one data set, built lazily."""
@@ -110,8 +113,9 @@ class Tables:
                         F.col("o_custkey").alias("id_cliente"),
                         F.col("o_orderpriority").alias("tipo_contrato"),
                         status.alias("status"),
-                        F.lit(None).cast("string").alias("regiao_origem"),
-                        F.lit(None).cast("string").alias("regiao_destino"),
+                        # every eleventh order has no origin, every thirteenth no destination
+                        F.when(key % 11 != 0, F.element_at(F.array(*[F.lit(r) for r in REGIOES]), (key % 5 + 1).cast("int"))).alias("regiao_origem"),
+                        F.when(key % 13 != 0, F.element_at(F.array(*[F.lit(r) for r in REGIOES]), (key % 7 % 5 + 1).cast("int"))).alias("regiao_destino"),
                         valor.alias("valor_total")))
 
     @cached_property
