@@ -62,5 +62,10 @@ def _q1b():
     return "\n" + "\nUNION ALL ".join(parts)
 
 
-SQL = {"Q1b_violating_rows": _q1b(),"Q1_constraint_report": _q1(), "Q2_key_report": _q2(), "Q3_orphan_report": _q3(), "Q4_header_vs_lines": Q4}
+Q2B = "\n" + "\nUNION ALL ".join(
+    f"SELECT 'itens_pedido' AS tabela, '{names}' AS chave, count(*) AS chaves_duplicadas, CAST(coalesce(sum(n), 0) AS BIGINT) AS linhas_em_duplicidade "
+    f"FROM (SELECT count(*) AS n FROM lineitem GROUP BY {cols} HAVING count(*) > 1)"
+    for names, cols in (("id_pedido,numero_linha", "l_orderkey, l_linenumber"), ("id_pedido,id_produto", "l_orderkey, l_partkey"), ("id_produto", "l_partkey")))
+
+SQL = {"Q2b_line_keys": Q2B, "Q1b_violating_rows": _q1b(),"Q1_constraint_report": _q1(), "Q2_key_report": _q2(), "Q3_orphan_report": _q3(), "Q4_header_vs_lines": Q4}
 NEEDS_SHARES = {"Q1_constraint_report", "Q2_key_report", "Q3_orphan_report"}

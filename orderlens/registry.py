@@ -639,6 +639,14 @@ def _q2(t):
     return quality.key_report(_model_tables(t, with_item_ids=True))
 
 
+@register("Q2b_line_keys")
+def _q2b(t):
+    """Keys that the lines bring along: order and line number, which must be one, and order and product, which need not."""
+    lines = t.raw("lineitem").select(F.col("l_orderkey").alias("id_pedido"), F.col("l_linenumber").alias("numero_linha"), F.col("l_partkey").alias("id_produto"))
+    return quality.key_report({"itens_pedido": lines}, [("itens_pedido", ["id_pedido", "numero_linha"]), ("itens_pedido", ["id_pedido", "id_produto"]),
+                                                        ("itens_pedido", ["id_produto"])])
+
+
 @register("Q3_orphan_report")
 def _q3(t):
     return quality.orphan_report(_model_tables(t))
@@ -667,7 +675,7 @@ def _s4(t):
 @register("S5_high_water_marks")
 def _s5(t):
     return sio.high_water_marks({"clientes": t.clientes, "produtos": t.produtos, "pedidos": t.pedidos,
-                                 "itens_pedido": t.itens_pedido_com_id})
+                                 "itens_pedido": t.chaves_itens})
 
 
 @register("S6_data_page_customers")

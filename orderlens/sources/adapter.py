@@ -92,6 +92,11 @@ class Tables:
         return self._lines(numbered).withColumnRenamed("_id_item", "id_item").select(
             "id_item", "id_pedido", "id_produto", "quantidade", "preco_unitario", "unidade", "subtotal")
 
+    @cached_property
+    def chaves_itens(self) -> DataFrame:
+        """The keys of ``itens_pedido_com_id`` alone: numbers from 1 on, so that a count gives them without a sort."""
+        return self.spark.range(1, self.raw("lineitem").count() + 1).withColumnRenamed("id", "id_item")
+
     @cached_property
     def pedidos(self) -> DataFrame:
         o = self.raw("orders")
