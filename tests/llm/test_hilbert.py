@@ -53,3 +53,13 @@ def test_odd_rows(odd, none):
     assert sorted(got, key=key) == sorted(plain(rows, 16), key=key)
     assert hilbert_shards(none).count() == 0
     assert {r.law for r in hilbert_shards(odd).collect()} == {"rows"}
+
+
+def test_filters_prune_shards(spark):
+    """A filter on one language, source or range of sizes needs some of the 16 shards only."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = hilbert_shards(docs, 16).join(docs.select("doc_id", "lang", "source"), "doc_id").collect()
+    shards = lambda keep: len({r.shard for r in rows if keep(r)})
+    assert all(shards(lambda r, x=x: r.lang == x) <= 8 for x in ("de", "es", "fr"))
+    assert all(shards(lambda r, x=x: r.source == x) <= 10 for x in {r.source for r in rows})
+    assert shards(lambda r: r.size > 20_000) <= 10
