@@ -1,4 +1,7 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -61,3 +64,47 @@ def test_labels_past_one_block(spark, monkeypatch):
     cut = run()
     assert all(whole[i][0] == cut[i][0] and abs(whole[i][1] - cut[i][1]) < 1e-9 for i in whole)
     assert all(cut[i][0] == lang for i, _, lang in rows) and cut[99] == ("und", 0.0)
+
+
+def plain_naive_bayes(rows, held_out, smoothing=0.5):
+    """{id: (language, probability)} by the textbook, n-gram by n-gram in plain integers."""
+    def grams(text):
+        s = re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ")
+        for n in langid.ORDERS:
+            for i in range(len(s) - n + 1):
+                h = n
+                for c in s[i:i + n]:
+                    h = (h * 0x9E3779B97F4A7C15 % 2 ** 64) ^ ord(c)
+                yield (h * 0xD6E8FEB86659FD93 % 2 ** 64) >> 48
+
+    letters = lambda t: any(c.isalpha() for c in t or "")
+    counts = {}
+    for i, text, lang, *_ in rows:
+        if lang is not None and letters(text) and not held_out(i):
+            counts.setdefault(lang, Counter()).update(grams(text))
+    out = {}
+    for i, text, *_ in rows:
+        if not letters(text) or not counts:
+            out[i] = ("und", 0.0)
+            continue
+        g = list(grams(text))
+        weight = min(1.0, langid.EVIDENCE / len(g))
+        scores = {}
+        for lang, c in counts.items():
+            whole = sum(c.values()) + smoothing * langid.FEATURES
+            scores[lang] = weight * sum(math.log((c[x] + smoothing) / whole) for x in g)
+        top = max(scores.values())
+        total = sum(math.exp(s - top) for s in scores.values())
+        best = min(x for x, s in scores.items() if s == top)
+        out[i] = (best, 1 / total)
+    return out
+
+
+def test_against_plain_naive_bayes(spark, rows):
+    few = [(i, f"{text[:300]} {'sehr schön über Straße' if lang == 'de' else 'very nice over street'}", lang) for i, text, lang, *_ in rows[:90]]
+    few += [(500, "schön", None), (501, "12 34", "en"), (502, None, "de"), (503, "", None)]
+    docs = spark.createDataFrame(few, "doc_id long, text string, lang string").repartition(4)
+    want = plain_naive_bayes(few, lambda i: zlib.crc32(str(i).encode()) % 3 == 1)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()} and {x[0] for x in want.values()} == {"en", "de", "und"}
+    assert all(abs(got[i][1] - want[i][1]) < 1e-4 for i in want)
