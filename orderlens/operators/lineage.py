@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from orderlens.functions.numeric import cents, dec, rhu_div
 from orderlens.plans.ordered import with_runs
 from orderlens.plans.ranking import with_global_row_number
+from orderlens.session import checkpoint_dir
 
 # Order number prefix, width of its sequence part and the first value
 # of the per-year sequences that are declared (other years start at 1).
@@ -213,6 +214,8 @@ def duplicate_links(pedidos: DataFrame, clientes: DataFrame) -> DataFrame:
     """
     o = (pedidos.select("id_pedido", "id_cliente", "data_pedido", "data_entrega", "valor_total")
          .where(F.col("id_cliente").isNotNull() & F.col("data_pedido").isNotNull() & F.col("valor_total").isNotNull()))
+    checkpoint_dir(pedidos.sparkSession)
+    o = o.checkpoint(eager=True)  # five columns, written once: both criteria sample and sort them
     order = [F.col("valor_total").asc(), F.col("id_pedido").asc()]
     v, before = F.col("valor_total"), F.col("antes_valor_total")
     by_value = with_runs(o.where(v > 0), ["id_cliente", "data_pedido"], order, ["valor_total"],
