@@ -792,13 +792,14 @@ def _st1(t):
     """Change feed of every order (version 1) and its batch correction (version 2)
     through the keyed audit stream."""
     base = _scratch(t, "st1")
-    corrected, _, _ = _batch_log(t, with_log=False)
-    changed = corrected.join(t.pedidos.select("id_pedido", F.col("valor_total").alias("_old")), "id_pedido") \
+    t.pedidos.withColumn("versao", F.lit(1)).withColumn("ts", F.col("data_pedido").cast("timestamp")).write.parquet(f"{base}/in/part=1")
+    pedidos = t.spark.read.parquet(f"{base}/in/part=1").drop("versao", "ts")  # derived once; the correction starts from the stored orders
+    corrected, _, _ = divergence.correct_all_pending(pedidos, t.itens_pedido, t.clientes, divergence.empty_log(t.spark),
+                                                     quando=CORRECTION_TIME, with_log=False)
+    changed = corrected.join(pedidos.select("id_pedido", F.col("valor_total").alias("_old")), "id_pedido") \
         .where(F.col("valor_total") != F.col("_old")).drop("_old")
-    v1 = t.pedidos.withColumn("versao", F.lit(1)).withColumn("ts", F.col("data_pedido").cast("timestamp"))
     v2 = changed.withColumn("versao", F.lit(2)).withColumn("ts", F.col("data_pedido").cast("timestamp")
                                                            + F.expr("INTERVAL 1 HOUR"))
-    v1.write.parquet(f"{base}/in/part=1")
     v2.write.parquet(f"{base}/in/part=2")
     schema = t.spark.read.parquet(f"{base}/in").schema
     stream = t.spark.readStream.schema(schema).parquet(f"{base}/in")

@@ -2,7 +2,7 @@
 
 ``start_audit_stream`` keeps, per order, the highest version seen and its image in keyed state that
 expires after a time to live, and writes each event's audit row once, as it comes: the history is never read
-again and the state holds at most one row per order.  Events below the stored version go to the late
+again and the state holds at most one entry per order, by buckets of orders.  Events below the stored version go to the late
 part of the table.
 
 ``start_audit`` and ``audit_rows`` are the variant without state.  That stream appends distinct change
@@ -15,6 +15,7 @@ version with another image is a CONFLITO.  Late events are kept, not dropped.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
@@ -62,55 +63,69 @@ def audit_rows(events: DataFrame) -> DataFrame:
                     F.col("_p.imagem").alias("dados_anteriores"), F.col("imagem").alias("dados_novos"), "ts")
 
 
-STATE = "versao int, imagem string, campos string"
+# Buckets of orders that share one row of state; fixed, as a checkpoint's state is by bucket.  Python calls the state store once per
+# bucket and batch, not per order, and a bucket that a batch touches is read and written whole.
+BUCKETS = 1 << 17
+
+STATE = "pedidos string"  # JSON rows (id, version, image, audited fields, time of the last new version in ms)
 AUDIT = ("id_registro long, versao int, operacao string, resultado string, dados_anteriores string, dados_novos string, ts timestamp, "
          "tardio boolean")
+AUDIT_ROW = Row("id_registro", "versao", "operacao", "resultado", "dados_anteriores", "dados_novos", "ts", "tardio")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class AuditTrail(StatefulProcessor):
-    """The audit rows of one order's events against its highest version so far."""
+    """The audit rows of a bucket's events, each order's against its highest version so far."""
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.top = handle.getValueState("top", STATE, self.ttl_ms)
+        self.tops = handle.getValueState("tops", STATE, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        now = timer_values.getCurrentProcessingTimeInMs()
+        stored = self.tops.get()
+        # an order's highest version, and when it came; orders quiet for the time to live start anew
+        tops = {t[0]: tuple(t[1:]) for t in (json.loads(stored[0]) if stored else ()) if t[4] + self.ttl_ms > now}
         first = {}
         for r in rows:  # exact repeats count once, at their first time
+            own = first.setdefault(r.id_pedido, {})
             k = (r.versao, r.imagem)
-            if k not in first or r.ts < first[k].ts:
-                first[k] = r
-        top = self.top.get() if self.top.exists() else None
-        before = top = None if top is None else tuple(top)
-        for r in sorted(first.values(), key=lambda r: (r.ts, r.versao, r.imagem)):
-            event = (r.versao, r.imagem, r.campos)
-            if top is not None and event[:2] == top[:2]:
-                continue
-            late = top is not None and r.versao < top[0]
-            result = ("AUDITADO" if top is None else "IGNORADO_VERSAO_ANTIGA" if late else "CONFLITO_VERSAO" if r.versao == top[0]
-                      else "AUDITADO" if r.campos != top[2] else "SEM_ALTERACAO")
-            yield Row(id_registro=key[0], versao=r.versao, operacao="INSERT" if top is None else "UPDATE", resultado=result,
-                      dados_anteriores=None if top is None else top[1], dados_novos=r.imagem, ts=r.ts, tardio=late)
-            if top is None or r.versao > top[0]:
-                top = event
-        if top != before:
-            self.top.update(top)
+            if k not in own or r.ts < own[k].ts:
+                own[k] = r
+        changed = False
+        for id_pedido, own in first.items():
+            top = before = tops.get(id_pedido)
+            for r in sorted(own.values(), key=lambda r: (r.ts, r.versao, r.imagem)):
+                event = (r.versao, r.imagem, r.campos, now)
+                if top is not None and event[:2] == top[:2]:
+                    continue
+                late = top is not None and r.versao < top[0]
+                result = ("AUDITADO" if top is None else "IGNORADO_VERSAO_ANTIGA" if late else "CONFLITO_VERSAO" if r.versao == top[0]
+                          else "AUDITADO" if r.campos != top[2] else "SEM_ALTERACAO")
+                yield AUDIT_ROW(id_pedido, r.versao, "INSERT" if top is None else "UPDATE", result, None if top is None else top[1], r.imagem, r.ts, late)
+                if top is None or r.versao > top[0]:
+                    top = event
+            if top is not before:
+                tops[id_pedido] = top
+                changed = True
+        if changed:
+            self.tops.update((json.dumps([(i, *top) for i, top in tops.items()], ensure_ascii=False, separators=(",", ":")),))
 
     def close(self) -> None:
         pass
 
 
 def keyed_audit(changes: DataFrame, ttl: int) -> DataFrame:
-    """Audit rows of a change stream, by keyed state that lives ``ttl`` seconds after an order's last new version."""
+    """Audit rows of a change stream, by keyed state in which an order lives ``ttl`` seconds after its last new version."""
     ship_package(changes.sparkSession)
     fields = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in AUDITED])
     image_cols = [c for c in changes.columns if c not in ("ts", "versao")]
     events = changes.select(F.col("id_pedido").cast("long").alias("id_pedido"), F.col("versao").cast("int").alias("versao"),
                             F.to_json(F.struct(*image_cols)).alias("imagem"), fields.alias("campos"), "ts")
-    return events.groupBy("id_pedido").transformWithState(AuditTrail(ttl * 1000), AUDIT, "Append", "ProcessingTime")
+    bucket = F.pmod(F.xxhash64("id_pedido"), F.lit(BUCKETS)).cast("int")
+    return events.withColumn("balde", bucket).groupBy("balde").transformWithState(AuditTrail(ttl * 1000), AUDIT, "Append", "ProcessingTime")
 
 
 def start_audit_stream(changes_stream: DataFrame, out_path: str, checkpoint: str, ttl: int = 90 * 86_400, available_now: bool = True):

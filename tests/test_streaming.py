@@ -2,8 +2,10 @@
 
 import datetime as dt
 import random
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from orderlens.streaming import alerts, audit, shares, sink
@@ -183,3 +185,37 @@ def test_refresh_sees_the_current_share_table(spark, tmp_path):
         s = s.withColumn("valor_total", s.valor_total.cast("decimal(15,2)"))
         shares.start_share_refresh(s, lambda: spark.read.parquet(f"{tmp_path}/shares"), f"{tmp_path}/out", f"{tmp_path}/ckpt").awaitTermination()
     assert [float(r.valor_rateado) for r in shares.current_shares(spark.read.parquet(f"{tmp_path}/out")).collect()] == [100.0]
+
+
+def test_keyed_audit_calls_the_state_once_per_bucket(spark, tmp_path, monkeypatch):
+    """Many orders share a bucket's state: rows equal the batch rule, and the state has a row per bucket, not per order."""
+    monkeypatch.setattr(audit, "BUCKETS", 4)
+    rows = [(i, v, f"{i * (v > 1)}.00", "Pendente", None, T0 + v * HOUR) for i in range(60) for v in (1, 2, 3)]
+    got, q = _keyed(spark, tmp_path, rows, [range(0, 100), range(100, 180)])
+    batch = audit.audit_rows(audit.prepare_events(spark.createDataFrame(rows, AUDIT_EVENTS))).collect()
+    want = [(r.id_registro, r.versao, r.operacao, r.resultado, r.dados_anteriores is None, r.resultado == "IGNORADO_VERSAO_ANTIGA") for r in batch]
+    assert got == sorted(want) and len(got) == 180
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2 * 4
+
+
+def test_order_expires_in_a_bucket_that_lives():
+    """An order quiet for the time to live starts anew though its bucket's state is still read and written."""
+    class State:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    trail = audit.AuditTrail(1000)
+    trail.tops = State()
+    event = lambda i, v, value: Row(id_pedido=i, versao=v, imagem=f"é{value}", campos=value, ts=T0)
+
+    def batch(ms, *events):
+        out = trail.handleInputRows((0,), iter(events), SimpleNamespace(getCurrentProcessingTimeInMs=lambda: ms))
+        return [(r.id_registro, r.operacao, r.resultado, r.dados_anteriores) for r in out]
+    assert batch(0, event(1, 1, "a"), event(2, 1, "a")) == [(1, "INSERT", "AUDITADO", None), (2, "INSERT", "AUDITADO", None)]
+    assert batch(600, event(2, 2, "b")) == [(2, "UPDATE", "AUDITADO", "éa")]
+    assert batch(1200, event(1, 1, "a"), event(2, 2, "b"), event(2, 3, "b")) == [(1, "INSERT", "AUDITADO", None), (2, "UPDATE", "SEM_ALTERACAO", "éb")]
