@@ -16,6 +16,7 @@ from orderlens.functions.dates import days_before, ref_column
 from orderlens.functions.numeric import MONEY, dec, ratio_pct
 from orderlens.functions.predicates import abs_divergence
 from orderlens.plans.ranking import with_global_row_number
+from orderlens.session import checkpoint_dir
 
 # Absolute tolerance (currency units) and relative tolerance (fraction).
 TOLERANCIA = "0.01"
@@ -133,7 +134,8 @@ def _next_ids(df: DataFrame, log: DataFrame, order: list[str], name: str) -> Dat
 
 def _log_rows(fixes: DataFrame, log: DataFrame, usuario: str, motivo: str, when_ts) -> DataFrame:
     """Log rows of the orders whose valor_total becomes _novo."""
-    fixes = fixes.select("id_pedido", "valor_total", "_novo")
+    checkpoint_dir(fixes.sparkSession)
+    fixes = fixes.select("id_pedido", "valor_total", "_novo").checkpoint(eager=True)  # written once: numbering samples and sorts them
     return _next_ids(fixes, log, ["id_pedido"], "id_correcao").select(
         "id_correcao", "id_pedido", F.lit("valor_total").alias("campo_corrigido"),
         F.col("valor_total").alias("valor_anterior"), F.col("_novo").alias("valor_novo"),

@@ -84,7 +84,7 @@ def integrity_report(current: DataFrame) -> DataFrame:
 
 
 def _image(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(F.col("id_pedido").alias(f"{prefix}id"), F.to_json(F.struct(*df.columns)).alias(f"{prefix}json"),
+    return df.select(F.col("id_pedido").alias(f"{prefix}id"), F.struct(*df.columns).alias(f"{prefix}row"),
                      *[F.col(c).alias(f"{prefix}{c}") for c in CAMPOS_AUDITADOS])
 
 
@@ -92,7 +92,7 @@ def audit_rows(before: DataFrame, after: DataFrame, usuario: str | None = None,
                tabela: str = "pedidos") -> DataFrame:
     """L4: audit rows from two snapshots -- INSERT (only after), DELETE (only before),
     UPDATE when value, status or delivery date changed (IS DISTINCT FROM); before and
-    after images as JSON."""
+    after images as JSON, printed for these rows only."""
     when_ts = F.current_timestamp() if quando is None else F.lit(str(quando)).cast("timestamp")
     b, a = _image(before, "b_"), _image(after, "a_")
     j = b.join(a, F.col("b_id") == F.col("a_id"), "full_outer")
@@ -104,8 +104,8 @@ def audit_rows(before: DataFrame, after: DataFrame, usuario: str | None = None,
     return (j.withColumn("operacao", op).where(F.col("operacao").isNotNull())
             .select(F.lit(tabela).alias("tabela_afetada"), "operacao",
                     F.coalesce("a_id", "b_id").alias("id_registro"),
-                    F.when(F.col("operacao") != "INSERT", F.col("b_json")).alias("dados_anteriores"),
-                    F.when(F.col("operacao") != "DELETE", F.col("a_json")).alias("dados_novos"),
+                    F.when(F.col("operacao") != "INSERT", F.to_json("b_row")).alias("dados_anteriores"),
+                    F.when(F.col("operacao") != "DELETE", F.to_json("a_row")).alias("dados_novos"),
                     F.lit(usuario).cast("string").alias("usuario_aplicacao"),
                     when_ts.alias("data_hora")))
 

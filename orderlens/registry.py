@@ -603,6 +603,7 @@ def _l10b(t):
 def _l4c(t):
     """Corrected orders of the version published after the first one, with their audit row and their shares' sum."""
     path = _scratch(t, "versions")
+    t.pedidos = t.pedidos.checkpoint(eager=True)  # numbering and shares start from the orders, derived once
     publishing.first_version(t.spark, path, t.pedidos, t.itens_pedido, t.clientes, t.pedido_clientes)
     publishing.correct_published(t.spark, path, quando=CORRECTION_TIME)
     read = lambda name: read_published(t.spark, path, name)

@@ -8,6 +8,7 @@ tables leaves the version before whole, and no reader sees half of one.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +24,16 @@ def latest(spark: SparkSession, path: str, version: int | None = None):
     return rows.agg(F.max(F.struct("version", "folder")).alias("v")).first().v
 
 
-def publish(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> int:
-    """Write ``tables`` as the next version and name it when all are written; returns its number (from 1)."""
+def publish(spark: SparkSession, path: str, tables: dict[str, DataFrame | Callable]) -> int:
+    """Write ``tables`` as the next version and name it when all are written; returns its number (from 1).
+
+    They are written in order; one given as a function gets a reader of the tables written before it (name ->
+    DataFrame), so that what depends on a table of the same version starts from its files."""
     before = latest(spark, path)
     version = 1 if before is None else before.version + 1
     folder = f"{path}/v{version}-{uuid.uuid4().hex}"
     for name, df in tables.items():
+        df = df(lambda written: spark.read.parquet(f"{folder}/{written}")) if callable(df) else df
         df.write.parquet(f"{folder}/{name}")
     spark.createDataFrame([(version, folder)], "version int, folder string").coalesce(1).write.mode("append").parquet(f"{path}/versions")
     return version

@@ -239,3 +239,23 @@ def test_published_correction_is_all_or_nothing(spark, tmp_path, monkeypatch):
     assert {r.id_registro for r in read("audit_log").collect()} == {r.id_pedido for r in differ} == {1}
     assert publishing.correct_published(spark, path, quando="2025-02-02 10:00:00") == 4  # nothing left to correct
     assert read("audit_log").count() == 1
+
+
+def test_publish_reads_the_tables_written_before(spark, tmp_path):
+    """A table given as a function starts from the files of the same version."""
+    from orderlens.sources.versions import publish, read_published
+    rows = spark.range(3).withColumnRenamed("id", "id_pedido")
+    publish(spark, f"{tmp_path}/v", {"a": rows, "b": lambda written: written("a").where("id_pedido > 0")})
+    assert sorted(r.id_pedido for r in read_published(spark, f"{tmp_path}/v", "b").collect()) == [1, 2]
+
+
+def test_audit_images_are_printed_after_the_join(spark):
+    """JSON of the rows with an operation only: none of it is shuffled."""
+    before = spark.createDataFrame([(1, "1.00", "P", None), (2, "2.00", "P", None), (None, "3.00", "P", None)],
+                                   "id_pedido long, valor_total string, status string, data_entrega string")
+    after = before.withColumn("status", F.when(F.col("id_pedido") == 2, "E").otherwise(F.col("status")))
+    audit = lineage.audit_rows(before, after)
+    plan = audit._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" in plan[:plan.index("Join FullOuter")].lower().replace("structstojson", "to_json")
+    assert "to_json" not in plan[plan.index("Join FullOuter"):].lower().replace("structstojson", "to_json")
+    assert sorted((r.operacao, r.id_registro) for r in audit.collect() if r.id_registro) == [("UPDATE", 2)]
