@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import BROADCAST_ROWS, by_keys, cut, join_groups, python_ready, shared_folder
+from orderlens.llm.common import BROADCAST_ROWS, by_keys, cut, join_groups, python_ready
 from orderlens.llm.graph import components
 
 #: Fragments that the global n-gram order is cut into.
@@ -27,6 +27,9 @@ MEETING = 512
 #: Words whose hashes one Python worker remembers.
 MEMO_WORDS = 400_000
 
+#: Sets whose copies one task leaves out of the prefixes.
+MEMO_SETS = 200_000
+
 # Odd 64-bit multipliers of the n-gram hash.
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -136,10 +139,11 @@ def _order(docs: DataFrame, k: int) -> Order:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, order) -> DataFrame:
-    """(gram, h1, h2, n, rest): the rarest n-grams of each set, one of which any similar set shares
-    among its own rarest; ``rest`` counts the set's n-grams from this one on."""
+    """(gram, h1, rest): the rarest n-grams of each set, one of which any similar set shares
+    among its own rarest; ``rest`` counts the set's n-grams from this one on.  Copies that one task meets
+    (while it remembers MEMO_SETS sets) come once."""
     def post(batches):
-        by = order.value
+        by, seen = order.value, set()
         for batch in batches:
             for text in batch.column(1):
                 grams = ngram_set(text.as_py(), k)
@@ -147,10 +151,13 @@ def _prefixes(docs: DataFrame, k: int, percent: int, order) -> DataFrame:
                 if not n:
                     continue
                 p = n - -(-percent * n // 100) + 1
-                h1, h2 = _name(grams)
-                yield pa.RecordBatch.from_arrays([_signed(by.sort(grams)[:p]), pa.array(np.full(p, h1)), pa.array(np.full(p, h2)),
-                                                  pa.array(np.full(p, n, np.int32)), pa.array(np.arange(n, n - p, -1, dtype=np.int32))],
-                                                 ["gram", "h1", "h2", "n", "rest"])
+                name = _name(grams)
+                if name in seen:
+                    continue
+                if len(seen) < MEMO_SETS:
+                    seen.add(name)
+                yield pa.RecordBatch.from_arrays([_signed(by.sort(grams)[:p]), pa.array(np.full(p, name[0])),
+                                                  pa.array(np.arange(n, n - p, -1, dtype=np.int32))], ["gram", "h1", "rest"])
 
     def joined(batches, rows=65_536):
         held, size = [], 0
@@ -163,7 +170,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, order) -> DataFrame:
         if held:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    return docs.mapInArrow(joined, "gram long, h1 long, h2 long, n int, rest int")
+    return docs.mapInArrow(joined, "gram long, h1 long, rest int")
 
 
 def _segments(docs: DataFrame, k: int, order) -> DataFrame:
@@ -233,13 +240,11 @@ def _candidates(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
                   .withColumn("node", F.monotonically_increasing_id()))
     order = spark.sparkContext.broadcast(_order(docs, k))
 
-    path = shared_folder(spark, "prefixes")
-    _prefixes(docs, k, percent, order).write.parquet(path)
-    prefixes = spark.read.schema("gram long, h1 long, h2 long, n int, rest int").parquet(path)
-    shared = prefixes.groupBy("gram").agg(F.min("h1").alias("_a"), F.max("h1").alias("_z")).where("_a < _z")
-    met = cut(prefixes.join(shared.select("gram"), "gram", "left_semi")
-              .groupBy("gram", "h1", "h2").agg(F.first("n").alias("n"), F.first("rest").alias("rest"))
-              .join(classes.where("rep is not null").select("h1", "h2", "node"), ["h1", "h2"]).select("gram", "node", "n", "rest"))
+    # the n-grams are shuffled once, with half of the sets' names: those of one set alone are dropped where they meet
+    gram = Window.partitionBy("gram")
+    shared = (_prefixes(docs, k, percent, order).withColumn("_a", F.min("h1").over(gram)).withColumn("_z", F.max("h1").over(gram))
+              .where("_a < _z").groupBy("gram", "h1").agg(F.max("rest").alias("rest")))
+    met = cut(shared.join(classes.where("rep is not null").select("h1", "node", "n"), "h1").select("gram", "node", F.col("n").cast("int").alias("n"), F.col("rest").cast("int").alias("rest")))
     return docs, rows, classes, order, met
 
 

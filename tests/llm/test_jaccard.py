@@ -84,3 +84,13 @@ def test_links_are_whole(spark, monkeypatch, meeting):
     named = {sets[m.doc_id]: m.class_id for m in members if m.doc_id is not None}
     assert pairs == {(named[s], named[t]) for s in named for t in named if named[s] and named[t] and named[s] < named[t] and like(s, t)}
     assert [(m.class_id, m.n_links) for m in members if m.doc_id is None] == [(named[sets[0]], 0)]
+
+
+def test_ngrams_are_shuffled_once(spark):
+    """A task's copies give a set's rarest n-grams once, in narrow rows."""
+    text = " ".join(f"w{i}" for i in range(100))
+    df = spark.createDataFrame([(i, text) for i in range(5)] + [(9, text + " x")], "doc_id long, text string").coalesce(1)
+    docs = df.toDF("_id", "_text")
+    got = jaccard._prefixes(docs, 3, 90, spark.sparkContext.broadcast(jaccard._order(docs, 3)))
+    assert got.columns == ["gram", "h1", "rest"] and got.count() == 10 + 10  # of 98 and 99 n-grams
+    assert {c for _, _, c in run(df, 3, 90)} == {0}
