@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,9 @@ COLD_ROWS = 1_000_000
 #: White space that parts words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: What this Python worker keeps from task to task, of one step at a time.
+_KEPT: dict[Hashable, Any] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,6 +53,20 @@ def python_ready(spark: SparkSession, rows_per_batch: int = 512) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_per_batch)
 
 
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What this Python worker keeps under ``key`` for its next tasks, made if missing.  Workers outlive their
+    stage, so what another step kept goes first: an executor never holds the memory of two."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Drops what an earlier step kept; for steps that keep nothing themselves."""
+    _KEPT.clear()
+
+
 def words(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import BROADCAST_ROWS, by_keys, cut, join_groups, python_ready
+from orderlens.llm.common import BROADCAST_ROWS, by_keys, cut, forget, join_groups, python_ready
 from orderlens.llm.graph import components
 
 #: Fragments that the global n-gram order is cut into.
@@ -24,9 +24,6 @@ BUCKETS = 1 << 18
 #: Sets of one n-gram that meet all others of it in one task, when all pairs are taken.
 MEETING = 512
 
-#: Words whose hashes one Python worker remembers.
-MEMO_WORDS = 400_000
-
 #: Sets whose copies one task leaves out of the prefixes.
 MEMO_SETS = 200_000
 
@@ -34,24 +31,13 @@ MEMO_SETS = 200_000
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < MEMO_WORDS:
-            self[word] = h
-        return h
-
-
-_WORDS = _Words()
-
-
 def ngram_set(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's k-word n-grams, A-Z lower-cased; of fewer words, of
     the whole sequence; none without words."""
     words = text.encode().lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    of = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    of = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = min(k, len(words))
     h = np.full(len(words) - n + 1, n, np.uint64)
     for i in range(n):
@@ -106,6 +92,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
     types = [pa.int64()] * 4 + [pa.list_(pa.int16())]
 
     def sign(batches):
+        forget()
         shift = np.uint64(64 - FINE.bit_length() + 1)
         for batch in batches:
             out = []
@@ -124,6 +111,7 @@ def _order(docs: DataFrame, k: int) -> Order:
     bits = BUCKETS.bit_length() - 1
 
     def count(batches):
+        forget()
         sums = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             grams = [ngram_set(text.as_py(), k) for text in batch.column(1)]
@@ -143,6 +131,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, order) -> DataFrame:
     among its own rarest; ``rest`` counts the set's n-grams from this one on.  Copies that one task meets
     (while it remembers MEMO_SETS sets) come once."""
     def post(batches):
+        forget()
         by, seen = order.value, set()
         for batch in batches:
             for text in batch.column(1):
@@ -176,6 +165,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, order) -> DataFrame:
 def _segments(docs: DataFrame, k: int, order) -> DataFrame:
     """(h1, h2, fragment, grams): each set cut by the fragments of the global order."""
     def cut_up(batches):
+        forget()
         by = order.value
         for batch in batches:
             out = ([], [], [], [])

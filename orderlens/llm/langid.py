@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import cut, python_ready
+from orderlens.llm.common import cut, forget, python_ready
 
 #: n-gram lengths and the number of hashed features (a power of two).
 ORDERS, FEATURES = (1, 2, 3), 1 << 16
@@ -23,6 +23,9 @@ EVIDENCE = 64
 #: Characters of a text that are hashed at a time.
 STRETCH = 1 << 20
 
+#: n-grams whose evidence is looked up at a time: 16 MB with MAX_LANGS languages.
+LOOKUP = 1 << 14
+
 
 @cache
 def _letters() -> np.ndarray:
@@ -84,7 +87,8 @@ def _best(text: str | None, langs: list[str], prior: float, matrix: np.ndarray)
         return "und", 0.0, np.inf
     total, n = np.zeros(len(langs)), 0
     for h in _features(text):
-        total += matrix[h].sum(axis=0, dtype=np.float64)
+        for at in range(0, len(h), LOOKUP):
+            total += matrix[h[at:at + LOOKUP]].sum(axis=0, dtype=np.float64)
         n += len(h)
     score = prior + total * min(1.0, EVIDENCE / max(n, 1))
     best = int(score.argmax())
@@ -98,6 +102,7 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
     python_ready(spark)
 
     def count(batches):
+        forget()
         sums: dict[str, np.ndarray] = {}
 
         def flush():
@@ -141,6 +146,7 @@ def predict(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         names = now.columns
 
         def score(batches, shared=shared, names=names):
+            forget()
             for batch in batches:
                 old = zip(*(batch.column(names.index(c)).to_pylist() for c in ("lang_pred", "score", "_sum")))
                 found = []

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from orderlens.llm.common import cut, python_ready
+from orderlens.llm.common import cut, forget, python_ready
 from orderlens.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -125,6 +125,7 @@ def pack(pieces: DataFrame, limit: int = 2048, group: int = GROUP) -> DataFrame:
     schema = StructType(pieces.schema.fields).add("sequence_id", "long").add("offset", "long")
 
     def fill(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        forget()
         rows = rows.drop_columns(["_group"])
         bins, offsets = best_two_fit(rows["length"].to_numpy(), limit)
         bins += key[0].as_py() << 32

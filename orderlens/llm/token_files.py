@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import python_ready
+from orderlens.llm.common import forget, python_ready
 from orderlens.llm.tokens import encoder
 
 # A row of <path>/blocks: whole documents of one part in order.  ``first`` counts the part's ids before it.
@@ -99,6 +99,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     python_ready(spark, 16)
 
     def documents(batches):
+        forget()
         for batch in batches:
             for r in batch.to_pylist():
                 ids = unpack_bits(r["packed"], r["width"], 0, r["n_ids"])

@@ -6,6 +6,8 @@ import os
 import re
 from array import array
 
+from orderlens.llm.common import kept
+
 #: Chunks that one Python worker remembers, and the length up to which it does.
 MEMO_CHUNKS, MEMO_LENGTH = 600_000, 48
 
@@ -90,12 +92,6 @@ class Encoder:
         return b"".join(map(self._of, cut.replace(",", "\0,").replace(".", "\0.").split("\0")))
 
 
-_ENCODERS: dict[tuple[str, str | None], Encoder] = {}
-
-
 def encoder(path: str, spaces: str | None) -> Encoder:
-    """The worker's encoder of a file; tasks that run in one worker share what it remembers."""
-    key = (path, spaces)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, spaces)
-    return _ENCODERS[key]
+    """The worker's encoder of a file; tasks that run in one worker share what it remembers, until it runs another step."""
+    return kept((path, spaces), lambda: Encoder(path, spaces))

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -94,3 +95,15 @@ def test_ngrams_are_shuffled_once(spark):
     got = jaccard._prefixes(docs, 3, 90, spark.sparkContext.broadcast(jaccard._order(docs, 3)))
     assert got.columns == ["gram", "h1", "rest"] and got.count() == 10 + 10  # of 98 and 99 n-grams
     assert {c for _, _, c in run(df, 3, 90)} == {0}
+
+
+def test_words_leave_nothing_behind():
+    """A worker's memory doesn't grow with the words it has met."""
+    tracemalloc.start()
+    try:
+        for part in range(20):
+            jaccard.ngram_set(" ".join(f"word{part}x{i}" for i in range(2000)), 3)
+        left = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert left < 1 << 20

@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -108,3 +109,22 @@ def test_against_plain_naive_bayes(spark, rows):
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
     assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()} and {x[0] for x in want.values()} == {"en", "de", "und"}
     assert all(abs(got[i][1] - want[i][1]) < 1e-4 for i in want)
+
+
+def test_long_text_of_many_languages_in_bounded_memory():
+    """The evidence of a long text is looked up in parts, with the sums of the whole."""
+    r = np.random.default_rng(3)
+    langs = [f"l{i:02d}" for i in range(64)]
+    matrix = r.normal(-9, 1, (langid.FEATURES, len(langs))).astype(np.float32)
+    text = "".join(map(chr, r.integers(97, 123, 300_000)))
+    tracemalloc.start()
+    try:
+        got = langid._best(text, langs, -1.0, matrix)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    grams = np.concatenate(list(langid._features(text)))
+    times = np.bincount(grams, minlength=langid.FEATURES)
+    want = -1.0 + times @ matrix.astype(np.float64) * (langid.EVIDENCE / len(grams))
+    assert got[0] == langs[int(want.argmax())] and abs(got[1] - want.max()) < 1e-9
+    assert peak < 50 << 20

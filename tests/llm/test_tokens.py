@@ -6,9 +6,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from orderlens.llm import common, jaccard, langid
 from orderlens.llm.packing import best_two_fit, pack, token_pieces
 from orderlens.llm.token_files import pack_bits, read_documents, read_ids, unpack_bits, write_token_files
-from orderlens.llm.tokens import Encoder
+from orderlens.llm.tokens import Encoder, encoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -108,3 +109,21 @@ def test_token_files(spark, odd, docs, tmp_path, path, spaces):
 def test_no_documents(spark, none, tmp_path):
     write_token_files(none, f"{tmp_path}/t", BYTE, "kept")
     assert read_documents(spark, f"{tmp_path}/t").count() == 0
+
+
+def test_a_worker_keeps_one_steps_memory(spark, docs, monkeypatch):
+    """Encoders stay for the tasks of their step and go with the first task of another."""
+    one = encoder(WORD, "dropped")
+    assert encoder(WORD, "dropped") is one
+    encoder(BYTE, "kept")
+    assert list(common._KEPT) == [(BYTE, "kept")]
+    steps, real = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **k: (steps.append(f), real(self, f, *a, **k))[1])
+    langid.identify(docs)
+    order = spark.sparkContext.broadcast(jaccard._order(docs, 3))
+    jaccard._signatures(docs, 3), jaccard._prefixes(docs, 3, 90, order), jaccard._segments(docs, 3, order)
+    assert len(steps) == 6
+    for step in steps:
+        encoder(WORD, "dropped")
+        list(step(iter([])))
+        assert not common._KEPT
