@@ -23,6 +23,21 @@ LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 #: The pattern begins with the characters it is about, so that a search passes over all others.
 ODD = re.compile(f"[ \n.,\0](?:(?<=[ \n])(?:(?![{SOLID}])|(?<![{SOLID}].))|(?<=[.,])(?<![{LETTER}0-9].)|(?<=\0))", re.S)
 
+# Classes of Latin-1 characters: a letter or digit, blank, point (full stop, comma), other solid, or 0.
+_CLASSES = bytes(next((ord(c) for c, of in (("a", f"[{LETTER}0-9]"), (" ", "[ \n]"), (".", "[.,]"), ("!", f"[{SOLID}]")) if re.match(of, chr(i))), 0)
+                 for i in range(256))
+
+
+def odd(text: str) -> bool:
+    """Whether ODD is in a text.  Texts of Latin-1 show it by pairs of neighbours' classes, in a quarter of the search's time."""
+    try:
+        of = text.encode("latin-1").translate(_CLASSES)
+    except UnicodeEncodeError:
+        return ODD.search(text) is not None
+    if b"\0" in of:
+        return ODD.search(text) is not None
+    return of[:1] in (b" ", b".") or of[-1:] == b" " or any(pair in of for pair in (b"  ", b" .", b"..", b"!."))
+
 
 #: Chunks that a worker encodes both ways before it trusts the model's own.
 PROOF = 256
@@ -30,6 +45,7 @@ PROOF = 256
 # A byte-level model reads bytes as characters: printable ones as themselves, the others, in turn, as those from U+0100 on.
 _UNPRINTABLE = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
 BYTE_NAMES = {byte: 0x100 + i for i, byte in enumerate(_UNPRINTABLE)}
+SPACE_NAME = chr(BYTE_NAMES[0x20])
 
 
 class _Memo(dict):
@@ -47,7 +63,13 @@ class _Memo(dict):
         word = chunk[1:] if self.kept and chunk[:1] == " " else chunk
         if self.proof < 0 or not word.isalpha() or not (self.kept or word.isascii()):
             return self._whole(chunk)
-        ids = [t.id for t in self.tokenize(chunk.encode().decode("latin-1").translate(BYTE_NAMES) if self.kept else chunk)]
+        if not self.kept:
+            named = chunk
+        elif chunk.isascii():
+            named = chunk if word is chunk else SPACE_NAME + word
+        else:
+            named = chunk.encode().decode("latin-1").translate(BYTE_NAMES)
+        ids = [t.id for t in self.tokenize(named)]
         if self.proof:
             whole = self._whole(chunk)
             self.proof = self.proof - 1 if ids == whole else -1
@@ -83,7 +105,7 @@ class Encoder:
         return self.tokenizer.get_vocab_size()
 
     def ids(self, text: str) -> bytes:
-        if self.spaces is None or ODD.search(text):
+        if self.spaces is None or odd(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if self.spaces == "kept":
             cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0")

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from orderlens.llm import common, jaccard, langid
+from orderlens.llm import common, jaccard, langid, tokens
 from orderlens.llm.packing import best_two_fit, pack, token_pieces
 from orderlens.llm.token_files import pack_bits, read_documents, read_ids, unpack_bits, write_token_files
 from orderlens.llm.tokens import Encoder, encoder
@@ -127,3 +127,12 @@ def test_a_worker_keeps_one_steps_memory(spark, docs, monkeypatch):
         encoder(WORD, "dropped")
         list(step(iter([])))
         assert not common._KEPT
+
+
+def test_plain_texts_are_not_searched(monkeypatch):
+    r = random.Random(3)
+    texts = ["".join(r.choice("aZ9é .,\n!\0\t\x85\xa0\xad¡ÿ×÷ıŁα\x7f") for _ in range(r.randint(0, 6))) for _ in range(20_000)]
+    assert [tokens.odd(t) for t in texts] == [tokens.ODD.search(t) is not None for t in texts]
+    mine, text = Encoder(BYTE, "kept"), "Plain text, été, of words.\nAnd another line."
+    monkeypatch.setattr(tokens, "ODD", None)
+    assert np.frombuffer(mine.ids(text), "<u4").tolist() == library(BYTE)(text)
