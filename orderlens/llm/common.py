@@ -23,6 +23,9 @@ HOT_SHARE = 0.001
 #: A key with at least so many rows is hot in any case, so that no task of a join gets more rows of one key.
 COLD_ROWS = 1_000_000
 
+#: Groups up to which a join takes all of them by broadcast.
+FEW_GROUPS = 20_000
+
 #: White space that parts words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -81,11 +84,16 @@ def by_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_se
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
     """Inner join of ``rows`` with one row per group, hot groups apart.
 
-    ``size`` names the groups' row counts.  Groups with HOT_SHARE of the rows, or COLD_ROWS, are broadcast: they number
-    1 / HOT_SHARE at most, or a millionth of the rows; in the shuffle join of the rest no key holds more.
+    ``size`` names the groups' row counts.  Up to FEW_GROUPS groups are broadcast whole.  Of more, those with HOT_SHARE of the
+    rows, or COLD_ROWS, are broadcast: they number 1 / HOT_SHARE at most, or a millionth of the rows; in the shuffle join of
+    the rest no key holds more.  Without such groups there is nothing to part.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    limit = max(2.0, min(total * HOT_SHARE, COLD_ROWS))
+    total, most, n = groups.agg(F.sum(size), F.max(size), F.count(F.lit(1))).first()
+    if n <= FEW_GROUPS:
+        return rows.join(F.broadcast(groups), on)
+    limit = max(2.0, min((total or 0) * HOT_SHARE, COLD_ROWS))
+    if most is not None and most < limit:
+        return rows.join(groups, on)
     hot, cold = groups.where(F.col(size) >= limit), groups.where(F.col(size) < limit)
     many = rows.join(F.broadcast(hot), on)
     few = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)

@@ -4,7 +4,9 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from orderlens.llm import jaccard
+from pyspark.sql import functions as F
+
+from orderlens.llm import common, jaccard
 from orderlens.llm.graph import components
 from tests.llm import brute
 
@@ -107,3 +109,15 @@ def test_words_leave_nothing_behind():
     finally:
         tracemalloc.stop()
     assert left < 1 << 20
+
+
+def test_groups_are_parted_only_where_one_is_hot(spark, monkeypatch):
+    rows = spark.range(300).selectExpr("id % 100 key", "id")
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"))
+    want = sorted(map(tuple, rows.join(groups, "key").collect()))
+    for few, share, joins in ((100, 0.001, 1), (99, 0.1, 1), (99, 0.001, 3)):
+        monkeypatch.setattr(common, "FEW_GROUPS", few)
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        got = common.join_groups(rows, groups, ["key"], "n")
+        assert sorted(map(tuple, got.collect())) == want
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == joins
