@@ -17,6 +17,11 @@ FRAGMENTS = 4
 #: Fine fragments by hash, whose sizes bound the overlap of a pair before any n-gram is compared.
 FINE = 64
 
+#: Pairs are compared by the low 32 bits of their n-grams first, which moves half of the bytes.  Sets have up to NARROW n-grams
+#: for that.  A few n-grams may then be alike or lost by chance; more than SLACK's number (of sets up to its key) of
+#: them are far less likely than two equal 64-bit hashes, so pairs nearer the bound than that are compared in 64 bits.
+NARROW, SLACK = 1 << 14, {1 << 10: 4, 1 << 14: 12}
+
 #: Buckets of the n-gram counts (a power of two).  Frequent n-grams stand out from a bucket's mean count;
 #: the larger the corpus, the more frequent they must be.
 BUCKETS = 1 << 18
@@ -162,8 +167,10 @@ def _prefixes(docs: DataFrame, k: int, percent: int, order) -> DataFrame:
     return docs.mapInArrow(joined, "gram long, h1 long, rest int")
 
 
-def _segments(docs: DataFrame, k: int, order) -> DataFrame:
-    """(h1, h2, fragment, grams): each set cut by the fragments of the global order."""
+def _segments(docs: DataFrame, k: int, order, bits: int = 64) -> DataFrame:
+    """(h1, h2, fragment, grams): each set cut by the fragments of the global order; the grams' low ``bits``."""
+    kind, arrow, named = (np.int32, pa.int32(), "int") if bits == 32 else (np.int64, pa.int64(), "long")
+
     def cut_up(batches):
         forget()
         by = order.value
@@ -174,12 +181,12 @@ def _segments(docs: DataFrame, k: int, order) -> DataFrame:
                 h1, h2 = _name(grams)
                 part = by.fragment(grams)
                 for f in np.unique(part).tolist():
-                    for column, value in zip(out, (h1, h2, f, grams[part == f].view(np.int64))):
+                    for column, value in zip(out, (h1, h2, f, grams[part == f].astype(f"u{bits // 8}").view(kind))):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
-                                              pa.array(out[3], pa.list_(pa.int64()))], ["h1", "h2", "fragment", "grams"])
+                                              pa.array(out[3], pa.list_(arrow))], ["h1", "h2", "fragment", "grams"])
 
-    return docs.mapInArrow(cut_up, "h1 long, h2 long, fragment int, grams array<long>")
+    return docs.mapInArrow(cut_up, f"h1 long, h2 long, fragment int, grams array<{named}>")
 
 
 def _may_be(n: str, rest: str, m: str, rest2: str, percent: int) -> Column:
@@ -187,10 +194,25 @@ def _may_be(n: str, rest: str, m: str, rest2: str, percent: int) -> Column:
     return (100 + percent) * F.least(F.col(rest), F.col(rest2)) >= percent * (F.col(n) + F.col(m))
 
 
+def _linked(overlap: Column, percent: int) -> Column:
+    """Whether two sets of na and nb n-grams with so many in common are similar."""
+    return 100 * overlap >= percent * (F.col("na") + F.col("nb") - overlap)
+
+
+def _overlaps(docs: DataFrame, sides: DataFrame, k: int, order, bits: int) -> DataFrame:
+    """(a, b, na, nb, _o) of the pairs whose two ``sides`` are given.  The two meet fragment by fragment of the
+    global order, each fragment's overlap is counted apart, and the counts are summed."""
+    segments = _segments(by_keys(docs, sides.select("_id").distinct(), ["_id"]), k, order, bits)
+    few = sides.count() <= BROADCAST_ROWS
+    met = segments.join(F.broadcast(sides.drop("_id")) if few else sides.drop("_id"), ["h1", "h2"])
+    a, b = (F.first(F.when(F.col("side") == x, F.col("grams")), ignorenulls=True) for x in "ab")
+    return (met.groupBy("a", "b", "na", "nb", "fragment").agg(a.alias("_a"), b.alias("_b"))
+            .groupBy("a", "b", "na", "nb").agg(F.sum(F.coalesce(F.size(F.array_intersect("_a", "_b")), F.lit(0))).alias("_o")))
+
+
 def _similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, order) -> DataFrame:
     """The ``pairs`` (a, b, na, nb) that are similar.  The sizes of the fine fragments bound a pair's
-    overlap; of those that it leaves, the two sides meet fragment by fragment of the global order,
-    each fragment's overlap is counted apart, and the counts are summed."""
+    overlap; those that it leaves are compared by 32 bits of each n-gram, and by 64 where that may not decide."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sized = cut(classes.join(nodes, "node", "left_semi").select("node", "sizes", F.struct("h1", "h2", F.col("rep").alias("_id")).alias("is")))
     few = sized.count() <= BROADCAST_ROWS
@@ -199,15 +221,16 @@ def _similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perc
         pairs = pairs.join(F.broadcast(one) if few else one, x)
     most = F.aggregate(F.zip_with("_a", "_b", lambda u, v: F.least(u, v)), F.lit(0), lambda u, v: u + v.cast("int"))
     most = F.coalesce(most, F.col("na"))
-    sides = cut(pairs.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
-                .select("a", "b", "na", "nb", F.explode(F.array("_sa", "_sb")).alias("_s")).select("a", "b", "na", "nb", "_s.*"))
-    segments = _segments(by_keys(docs, sides.select("_id").distinct(), ["_id"]), k, order)
-    few = sides.count() <= BROADCAST_ROWS
-    met = segments.join(F.broadcast(sides.drop("_id")) if few else sides.drop("_id"), ["h1", "h2"])
-    a, b = (F.first(F.when(F.col("side") == x, F.col("grams")), ignorenulls=True) for x in "ab")
-    return (met.groupBy("a", "b", "na", "nb", "fragment").agg(a.alias("_a"), b.alias("_b"))
-            .groupBy("a", "b", "na", "nb").agg(F.sum(F.coalesce(F.size(F.array_intersect("_a", "_b")), F.lit(0))).alias("_o"))
-            .where(100 * F.col("_o") >= percent * (F.col("na") + F.col("nb") - F.col("_o"))).select("a", "b"))
+    small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    slack = F.when(large <= min(SLACK), F.lit(SLACK[min(SLACK)])).otherwise(F.lit(SLACK[NARROW]))
+    narrow = (large <= NARROW) & _linked(small - slack, percent)
+    sides = cut(pairs.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).withColumn("_narrow", narrow)
+                .select("_narrow", "a", "b", "na", "nb", F.explode(F.array("_sa", "_sb")).alias("_s")).select("_narrow", "a", "b", "na", "nb", "_s.*"))
+    near = cut(_overlaps(docs, sides.where("_narrow").drop("_narrow"), k, order, 32).where(_linked(F.col("_o") + slack, percent))
+               .select("a", "b", _linked(F.col("_o") - slack, percent).alias("_sure")))
+    unsure = sides.where("not _narrow").unionByName(sides.where("_narrow").join(near.where("not _sure").select("a", "b"), ["a", "b"], "left_semi"))
+    exact = _overlaps(docs, cut(unsure.drop("_narrow")), k, order, 64).where(_linked(F.col("_o"), percent))
+    return near.where("_sure").select("a", "b").unionByName(exact.select("a", "b"))
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -257,12 +280,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     equal sets; other columns are ignored; an empty table gives no rows.
     """
     docs, rows, classes, order, met = _candidates(docs, k, percent, id_col, text_col)
-    pivots = cut(met.groupBy("gram").agg(F.max(F.struct((F.col("rest") / F.col("n")).alias("share"), (-F.col("node")).alias("node"), "n", "rest")).alias("_p"),
-                                         F.min("n").alias("_least"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
-                 .select("gram", "_c", "_least", (-F.col("_p.node")).alias("node2"), F.col("_p.n").alias("m"), F.col("_p.rest").alias("rest2")))
-    # with the n-gram's pivot, and only where some set of the n-gram could still be similar
-    near = cut(join_groups(met, pivots, ["gram"], "_c")
-               .where((100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("_least"))).drop("_c", "_least"))
+    # each n-gram's sets with its pivot, in one shuffle; only where some set of the n-gram could still be similar
+    gram = Window.partitionBy("gram")
+    pivot = F.max(F.struct((F.col("rest") / F.col("n")).alias("share"), (-F.col("node")).alias("node"), "n", "rest")).over(gram)
+    near = cut(met.withColumn("_p", pivot).withColumn("_least", F.min("n").over(gram)).withColumn("_c", F.count(F.lit(1)).over(gram))
+               .where((F.col("_c") > 1) & ((100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("_least"))))
+               .select("gram", "node", "n", "rest", (-F.col("_p.node")).alias("node2"), F.col("_p.n").alias("m"), F.col("_p.rest").alias("rest2")))
     stars = cut(_pairs(near.where((F.col("node") != F.col("node2")) & _may_be("n", "rest", "m", "rest2", percent))))
     links = cut(_similar(docs, classes, stars, k, percent, order))
     labels = cut(components(links, "a", "b"))

@@ -111,6 +111,21 @@ def test_words_leave_nothing_behind():
     assert left < 1 << 20
 
 
+def test_clear_pairs_move_half_of_the_bytes(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*words, f"end{i}"])) for i in range(5)] + [(9, " ".join(words[:20])), (10, " ".join([*words[:20], "end"]))]
+    moved, segments = [], jaccard._segments
+
+    def recorded(docs, k, order, bits):
+        moved.append((bits, sorted(r[0] for r in docs.select("_id").collect())))
+        return segments(docs, k, order, bits)
+
+    monkeypatch.setattr(jaccard, "_segments", recorded)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert run(df, 3, 90) == brute.jaccard_components(rows, 3, 90)
+    assert moved[:2] == [(32, [0, 1, 2, 3, 4]), (64, [9, 10])]  # short sets may hang on one n-gram
+
+
 def test_groups_are_parted_only_where_one_is_hot(spark, monkeypatch):
     rows = spark.range(300).selectExpr("id % 100 key", "id")
     groups = rows.groupBy("key").agg(F.count("*").alias("n"))
