@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from orderlens.llm import common, jaccard
+from orderlens.llm import common, graph, jaccard
 from orderlens.llm.graph import components
 from tests.llm import brute
 
@@ -136,3 +136,12 @@ def test_groups_are_parted_only_where_one_is_hot(spark, monkeypatch):
         got = common.join_groups(rows, groups, ["key"], "n")
         assert sorted(map(tuple, got.collect())) == want
         assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == joins
+
+
+def test_small_graphs_are_one_partition(spark, monkeypatch):
+    r = random.Random(5)
+    edges = spark.createDataFrame([(r.randrange(300), r.randrange(300)) for _ in range(200)], "a long, b long").repartition(8, "a")
+    got = components(edges, "a", "b")
+    monkeypatch.setattr(graph, "SMALL", 0)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, components(edges, "a", "b").collect()))
+    assert got.rdd.getNumPartitions() == 1
