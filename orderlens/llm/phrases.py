@@ -8,13 +8,13 @@ phrases left, whose parts occur at least as often and so are all there.
 
 from __future__ import annotations
 
-import gc
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.llm.common import cut, join_groups
-from orderlens.llm.hat_trie import PART_BYTES, HatTrie, merged
+from orderlens.llm.hat_trie import AHEAD, END, PART_BYTES, HatTrie, merged
 from orderlens.session import ship_package
 
 #: ASCII capitals become small letters, the marks that part pieces line ends, tabs spaces.
@@ -28,35 +28,36 @@ _DEALT = 64
 _CHUNK = 1 << 18
 
 
-def _chunks(text: bytes, depth: int):
-    """(words, own): the words of each stretch of the text, with line ends between pieces, of which the first ``own`` begin
-    phrases; the others follow them and come again."""
-    text, at, held, ends = text.translate(_NORMAL), 0, [], b" " + b"\n " * (depth - 1)
+_BREAK = re.compile(rb"[ \n]")
+
+
+def _stretches(text: bytes, depth: int):
+    """Stretches of the text with ends between pieces; where a piece is cut, the next words follow, marked as ahead, and come again."""
+    text, at, ends = text.translate(_NORMAL), 0, b" " + (END + b" ") * (depth - 1)
+    following = re.compile(rb"(?: ++[^ \n]++){0,%d}+" % (depth - 1))
     while at < len(text):
-        cut = text.find(b" ", at + _CHUNK)
-        end = len(text) if cut < 0 else cut
-        words = held + [w for w in text[at:end].replace(b"\n", ends).split(b" ") if w]
-        if end == len(text):
-            words += [b"\n"] * (depth - 1)
-        own = max(len(words) - depth + 1, 0)
-        yield words, own
-        at, held = end, words[own:]
+        cut = _BREAK.search(text, at + _CHUNK)
+        end = cut.start() if cut else len(text)
+        stretch = text[at:end].replace(b"\n", ends)
+        ahead = following.match(text, end).group().split()
+        if ahead:
+            stretch += b" ".join([b"", *ahead, *[END] * (depth - 1 - len(ahead)), AHEAD])
+        else:
+            stretch += ends
+        yield stretch
+        at = end
 
 
 def _runs(depth: int, parts: int):
     def count(batches):
         trie = HatTrie(depth, parts)
-        gc.disable()  # millions of tuples without cycles
-        try:
-            for batch in batches:
-                for lang, text in zip(batch.column("lang"), batch.column("text")):
-                    for words, own in _chunks((text.as_py() or "").encode("utf-8", "replace"), depth):
-                        trie.add(lang.as_py(), words, own)
-                        if trie.full():
-                            yield from trie.spill()
-            yield from trie.spill()
-        finally:
-            gc.enable()
+        for batch in batches:
+            for lang, text in zip(batch.column("lang"), batch.column("text")):
+                for stretch in _stretches((text.as_py() or "").encode("utf-8", "replace"), depth):
+                    trie.add(lang.as_py(), stretch)
+                    if trie.full():
+                        yield from trie.spill()
+        yield from trie.spill()
     return count
 
 

@@ -1,4 +1,6 @@
+import random
 import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -98,3 +100,54 @@ def test_wide_products(spark):
     a, big = 10**14, 10**15 - 1
     row = spark.range(1).select(phrases._score(F.lit(a), F.lit(big), F.lit(3 * a)).alias("s")).first()
     assert row.s == 10**6 * a * a // (big * 3 * a)
+
+
+def _counted(texts, depth, parts, least=1):
+    """Counts by language and phrase, through runs and their sums."""
+    import pyarrow as pa
+    batches = [pa.RecordBatch.from_pydict({"lang": [lang for lang, _ in texts], "text": [text for _, text in texts]})]
+    runs = sorted((r for run in phrases._runs(depth, parts)(iter(batches)) for r in run.to_pylist()), key=lambda r: (r["part"], r["lang"]))
+    got = [r for b in hat_trie.merged([pa.RecordBatch.from_pylist(runs, schema=hat_trie.RUN)], least) for r in b.to_pylist()]
+    assert len({(r["lang"], r["phrase"]) for r in got}) == len(got)
+    return {(r["lang"], r["phrase"]): r["f"] for r in got}
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 6])
+@pytest.mark.parametrize("chunk", [1 << 18, 1, 9])
+def test_cuts_and_sums_at_any_depth(monkeypatch, depth, chunk):
+    """Odd characters, cuts inside pieces, bursts, spills and sums in several rounds change no count."""
+    for name, value in (("OWN", 3), ("BURST", 6), ("PATHS", 300), ("MERGE_BYTES", 200)):
+        monkeypatch.setattr(hat_trie, name, value)
+    monkeypatch.setattr(phrases, "_CHUNK", chunk)
+    rng = random.Random(depth)
+    words = ["a", "b", "a", "c", "\x1c", "d\x85e", "f\u00a0g", "\x00", "\ufffd", "\u2028x", "\U0001f600", *map(str, range(40))]
+    texts = [(rng.choice(["en", "de", "und"]), "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\t ", ", ", "\n\n", ".  ", "\x0b", "\r"])
+              for _ in range(rng.randrange(60)))) for _ in range(60)]
+    texts += [("en", None), ("en", ""), ("none", " \n . "), ("de", "  a b"), ("de", "a b c d e f  ")]
+    want = Counter()
+    for lang, text in texts:
+        want[lang, ""] += 0
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text or ""):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            want[lang, ""] += len(w)
+            want.update((lang, " ".join(w[i:i + m])) for m in range(1, depth + 1) for i in range(len(w) - m + 1))
+    assert _counted(texts, depth, 12) == want
+    assert _counted(texts, depth, 300, 4) == {k: n for k, n in want.items() if n >= 4 or not k[1]}
+
+
+def test_words_are_counted_in_bulk():
+    """Lines of Python that the trie runs don't grow with a text's words."""
+    texts, lines = [("en", "one two, three four five six one two three. " * 20_000)], 0
+
+    def trace(frame, event, arg):
+        nonlocal lines
+        if frame.f_code.co_filename != hat_trie.__file__:
+            return None
+        lines += event == "line"
+        return trace
+    sys.settrace(trace)
+    try:
+        got = _counted(texts, 3, 20)
+    finally:
+        sys.settrace(None)
+    assert got["en", ""] == 180_000 and got["en", "one two"] == 40_000 and lines < 18_000
