@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import BROADCAST_ROWS, by_keys, cut, forget, join_groups, python_ready
+from orderlens.llm.common import BROADCAST_ROWS, cut, forget, join_groups, python_ready
 from orderlens.llm.graph import components
 
 #: Fragments that the global n-gram order is cut into.
@@ -29,9 +30,15 @@ BUCKETS = 1 << 18
 #: Sets of one n-gram that meet all others of it in one task, when all pairs are taken.
 MEETING = 512
 
-#: Sets whose copies one task leaves out of the prefixes.
+#: Sets whose copies one task leaves out of the prefixes, and of the n-grams that are dealt to ranges.
 MEMO_SETS = 200_000
 
+#: N-grams of a range of their hashes, whose repeats one task finds, about; n-grams and sets of a parcel that is dealt to them, at most.
+RANGE, PARCEL, PARCEL_SETS = 2_000_000, 1_000_000, 1 << 16
+
+#: Ids up to which texts are chosen by broadcast; the texts are shuffled for more of them.
+BROADCAST_IDS = 1_000_000
+
 # Odd 64-bit multipliers of the n-gram hash.
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -110,6 +117,95 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(sign, "_id long, n long, h1 long, h2 long, sizes array<smallint>")
 
 
+def _steps(x: np.ndarray) -> bytes:
+    """An ascending array of 16-bit numbers by its steps, in a byte each where all fit."""
+    steps = np.diff(x, prepend=x.dtype.type(0))
+    return (steps.astype(np.uint8) if steps.max(initial=0) < 256 else steps).tobytes()
+
+
+def _places(steps: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, np.uint8 if len(steps) == n else np.uint16), dtype=np.int64)
+
+
+def _kindred(docs: DataFrame, k: int, percent: int, total: int) -> DataFrame:
+    """(h1) of the sets that may be similar to another one: those with percent of their n-grams in other sets too, as any that is
+    similar to an unlike set has.  Some more may come (n-grams are compared by 32 bits inside a range of their hashes, and
+    copies that two tasks meet share all of theirs), none are missed.
+
+    All n-grams are shuffled once, in parcels: 32 bits of each, by ranges of their hashes.  A range finds those
+    that repeat, and the parcel's sets count them.  ``total`` is about the number of n-grams."""
+    bits = min(16, max(1, (total // RANGE).bit_length()))
+    ranges = 1 << bits
+    types, names = [pa.int32(), pa.int64(), pa.binary(), pa.binary()], ["part", "parcel", "sets", "grams"]
+
+    def parcel(number: int, held: list[np.ndarray], named: list[int]) -> pa.RecordBatch:
+        grams = np.concatenate(held)
+        own = np.repeat(np.arange(len(held), dtype=np.uint16), [len(g) for g in held])
+        part = (grams >> np.uint64(64 - bits)).astype(np.uint16)
+        by = np.argsort(part, kind="stable")
+        part, own, low = part[by], own[by], ((grams[by] << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        rows = [(int(part[i]), number, _steps(own[i:j]), low[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])]
+        rows.append((ranges + number % ranges, number, np.array(named, np.int64).tobytes(), np.array([len(g) for g in held], np.int64).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    def deal(batches):
+        forget()
+        number, seen, held, named, size = TaskContext.get().partitionId() << 32, set(), [], [], 0
+        for batch in batches:
+            for text in batch.column(1):
+                grams = ngram_set(text.as_py(), k)
+                name = _name(grams)
+                if not len(grams) or name in seen:
+                    continue
+                if len(seen) < MEMO_SETS:
+                    seen.add(name)
+                held.append(grams)
+                named.append(name[0])
+                size += len(grams)
+                if size >= PARCEL or len(held) == PARCEL_SETS:
+                    yield parcel(number, held, named)
+                    number, held, named, size = number + 1, [], [], 0
+        if held:
+            yield parcel(number, held, named)
+
+    def find(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        if key[0].as_py() >= ranges:
+            return table
+        low = [np.frombuffer(x, np.uint32) for x in table["grams"].to_pylist()]
+        every = np.concatenate(low)
+        by = np.argsort(every)
+        repeats = np.flatnonzero(every[by[1:]] == every[by[:-1]])
+        shared = np.zeros(len(every), bool)
+        shared[by[repeats]] = shared[by[repeats + 1]] = True
+        sets, at = [], 0
+        for steps, grams in zip(table["sets"].to_pylist(), low):
+            sets.append(_steps(_places(steps, len(grams))[shared[at:at + len(grams)]].astype(np.uint16)))
+            at += len(grams)
+        counts = np.add.reduceat(shared.astype(np.int64), np.cumsum([0, *map(len, low[:-1])]))
+        found = pa.table([table["part"], table["parcel"], pa.array(sets, pa.binary()), pa.array([int(c).to_bytes(4, "little") for c in counts], pa.binary())], names)
+        return found.filter(pa.array(counts > 0))
+
+    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        named, sizes, places = None, None, []
+        for part, sets, grams in zip(table["part"].to_pylist(), table["sets"].to_pylist(), table["grams"].to_pylist()):
+            if part >= ranges:
+                named, sizes = np.frombuffer(sets, np.int64), np.frombuffer(grams, np.int64)
+            else:
+                places.append(_places(sets, int.from_bytes(grams, "little")))
+        common = np.bincount(np.concatenate(places), minlength=len(named)) if places else np.zeros(len(named), np.int64)
+        return pa.table({"h1": pa.array(named[100 * common >= percent * sizes])})
+
+    dealt = docs.mapInArrow(deal, "part int, parcel long, sets binary, grams binary")
+    found = dealt.groupBy("part").applyInArrow(find, "part int, parcel long, sets binary, grams binary")
+    return found.groupBy("parcel").applyInArrow(count, "h1 long").distinct()
+
+
+def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``docs`` whose _id is among ``ids``."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["_id"], "left_semi")
+
+
 def _order(docs: DataFrame, k: int) -> Order:
     """The order of all n-grams, by counts in BUCKETS buckets of their hashes: a task sends one number
     for each at most, and so does the sum of all to the driver."""
@@ -202,7 +298,7 @@ def _linked(overlap: Column, percent: int) -> Column:
 def _overlaps(docs: DataFrame, sides: DataFrame, k: int, order, bits: int) -> DataFrame:
     """(a, b, na, nb, _o) of the pairs whose two ``sides`` are given.  The two meet fragment by fragment of the
     global order, each fragment's overlap is counted apart, and the counts are summed."""
-    segments = _segments(by_keys(docs, sides.select("_id").distinct(), ["_id"]), k, order, bits)
+    segments = _segments(_of_ids(docs, cut(sides.select("_id").distinct())), k, order, bits)
     few = sides.count() <= BROADCAST_ROWS
     met = segments.join(F.broadcast(sides.drop("_id")) if few else sides.drop("_id"), ["h1", "h2"])
     a, b = (F.first(F.when(F.col("side") == x, F.col("grams")), ignorenulls=True) for x in "ab")
@@ -242,7 +338,7 @@ def _pairs(met: DataFrame) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str):
-    """What both joins start from: (_id, _text) of the rows, their signatures, the classes of equal sets, the
+    """What both joins start from: (_id, _text) of the rows, their signatures, the classes of equal sets, an
     n-gram order, and (gram, node, n, rest) of the rarest n-grams that several classes share."""
     spark = docs.sparkSession
     python_ready(spark)
@@ -251,13 +347,17 @@ def _candidates(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
     rows = signed.drop("sizes")
     classes = cut(signed.where("n > 0").groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("sizes").alias("sizes"), F.count(F.lit(1)).alias("rows"))
                   .withColumn("node", F.monotonically_increasing_id()))
-    order = spark.sparkContext.broadcast(_order(docs, k))
+    # only sets that share enough of their n-grams go on, so that what follows grows with these
+    total = signed.agg(F.sum("n")).first()[0] or 0
+    kindred = cut(classes.where("rep is not null").join(_kindred(docs, k, percent, total), "h1", "left_semi").select("h1", "node", "n", "rep"))
+    some = _of_ids(docs, cut(kindred.select(F.col("rep").alias("_id")).distinct()))
+    order = spark.sparkContext.broadcast(_order(some, k))
 
     # the n-grams are shuffled once, with half of the sets' names: those of one set alone are dropped where they meet
     gram = Window.partitionBy("gram")
-    shared = (_prefixes(docs, k, percent, order).withColumn("_a", F.min("h1").over(gram)).withColumn("_z", F.max("h1").over(gram))
+    shared = (_prefixes(some, k, percent, order).withColumn("_a", F.min("h1").over(gram)).withColumn("_z", F.max("h1").over(gram))
               .where("_a < _z").groupBy("gram", "h1").agg(F.max("rest").alias("rest")))
-    met = cut(shared.join(classes.where("rep is not null").select("h1", "node", "n"), "h1").select("gram", "node", F.col("n").cast("int").alias("n"), F.col("rest").cast("int").alias("rest")))
+    met = cut(shared.join(kindred, "h1").select("gram", "node", F.col("n").cast("int").alias("n"), F.col("rest").cast("int").alias("rest")))
     return docs, rows, classes, order, met
 
 

@@ -145,3 +145,21 @@ def test_small_graphs_are_one_partition(spark, monkeypatch):
     monkeypatch.setattr(graph, "SMALL", 0)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, components(edges, "a", "b").collect()))
     assert got.rdd.getNumPartitions() == 1
+
+
+@pytest.mark.parametrize("total", [0, 10 ** 9])
+def test_only_sets_that_share_enough_go_on(spark, total):
+    """Texts that share a passage with others cost nothing further; copies, near copies and sets inside others do go on."""
+    r = random.Random(3)
+    some = lambda n: [f"w{r.randrange(10 ** 9)}" for _ in range(n)]
+    passage, base = some(60), some(100)
+    texts = [" ".join([*some(40 + i), *passage, *some(30)]) for i in range(30)] + [" ".join([*base, w]) for w in some(4)] + [" ".join(passage), " ".join(some(20)), "", None]
+    df = spark.createDataFrame([*enumerate(texts), (90, texts[3]), (91, "x y")], "_id long, _text string").repartition(5)
+    sets = {i: jaccard.ngram_set(t, 5) for i, t in df.collect()}
+    named = {jaccard._name(s)[0]: s for s in sets.values() if len(s)}
+    want = {h for h, s in named.items() if 100 * len(np.intersect1d(s, np.concatenate([t for g, t in named.items() if g != h]))) >= 80 * len(s)}
+    got = [h for h, in jaccard._kindred(df, 5, 80, total).collect()]
+    assert len(set(got)) == len(got) and len(want) == 5 and want <= set(got) <= want | {jaccard._name(sets[3])[0]}
+    met = jaccard._candidates(df, 5, 80, "_id", "_text")[-1]
+    assert 0 < met.count() < 4 * 50 and {n for n, in met.select("n").distinct().collect()} <= {97}  # of four sets of 97 n-grams, not of all 60
+    assert run(df.toDF("doc_id", "text"), 5, 80) == sorted((i, len(s), 30 if i in range(30, 34) else 3 if i == 90 else i) for i, s in sets.items())
