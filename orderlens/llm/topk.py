@@ -15,8 +15,11 @@ from orderlens.llm.common import cut, python_ready
 #: Vectors of a shard and queries of a block, about.
 SHARD, BLOCK = 4096, 1024
 
-#: Points of a leaf, at most (more only when all are equal).
-LEAF = 64
+#: Points of a leaf, at most (more only when all are equal).  Large enough that a leaf's products take longer than the step to it.
+LEAF = 256
+
+#: Bytes of trees, and of queries, that one task has at a time, about; tasks for each core, at least.
+CELL_BYTES, CELLS = 32 << 20, 8
 
 #: From here on a scaled component or a score leaves 64 bits.
 PAST_64_BITS = 2.0 ** 63
@@ -44,6 +47,8 @@ class BallTree:
             one = x[far.argmax()]
             two = x[((x - one) ** 2).sum(axis=1).argmax()]
             left = ((x - one) ** 2).sum(axis=1) <= ((x - two) ** 2).sum(axis=1)
+            if left.all():  # equal as floats, though not to their mean
+                continue
             order[start:stop] = np.concatenate([here[left], here[~left]])
             at = start + int(left.sum())
             me = len(nodes) - 1
@@ -61,15 +66,18 @@ class BallTree:
         inside = (bound < PAST_64_BITS) & (bound > -PAST_64_BITS)
         return np.where(inside, np.where(inside, bound, 0.0).astype(np.int64), np.where(bound > 0, np.iinfo(np.int64).max, LOWEST + 1))
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, kth: np.ndarray, kth_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (scores, ids) of each query among the points but its ``own`` id.  ``kth`` and
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, kth: np.ndarray, kth_id: np.ndarray,
+               found: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k best (scores, ids) of each query among the points but its ``own`` id, and those ``found`` before.  ``kth`` and
         ``kth_id`` are the k-th scores and ids that the queries have elsewhere; what can't beat them is
         passed over, and so is left out.  Nodes are opened in the order of their bounds."""
-        scores = np.full((len(queries), k), LOWEST)
-        ids = np.full((len(queries), k), NO_ID)
+        scores, ids = (x.copy() for x in found) if found else (np.full((len(queries), k), LOWEST), np.full((len(queries), k), NO_ID))
         upper, least = self.upper(queries), self.spans[:, 4]
-        kth, kth_id = kth.copy(), kth_id.copy()
-        exact = 4.0 * self.points.shape[1] * float(np.abs(queries).max(initial=0)) * float(np.abs(self.points).max(initial=0)) < 2.0 ** 53
+        kth, kth_id = _better(scores, ids, kth, kth_id)
+        # no sum of a product's terms, in any order, is beyond the product of the lengths: whole numbers that the float type holds
+        most = math.sqrt((queries.astype(np.float64) ** 2).sum(axis=1).max(initial=0)) * (math.sqrt((self.centers[0] ** 2).sum()) + self.radii[0])
+        kind = np.float32 if most < 2.0 ** 23 else np.float64 if most < 2.0 ** 52 else None
+        asked = queries.astype(kind or np.int64)
         heap = [(-int(upper[:, 0].max(initial=LOWEST + 1)), 0)]
         while heap:
             _, node = heapq.heappop(heap)
@@ -82,21 +90,43 @@ class BallTree:
                     heapq.heappush(heap, (-int(upper[on, child].max()), child))
                 continue
             points, names = self.points[start:stop], self.ids[start:stop]
-            mine = own[on][:, None] == names[None, :]
-            if exact:
-                new = (queries[on].astype(np.float64) @ points.T.astype(np.float64)).astype(np.int64)
+            if kind:
+                new = asked[on] @ points.T.astype(kind)
+                at, to = np.divmod(np.flatnonzero(new >= kth[on].astype(kind)[:, None]), stop - start)
             else:
-                new = _products(queries[on], points, ~mine)
-            all_scores = np.concatenate([scores[on], np.where(mine, LOWEST, new)], axis=1)
-            all_ids = np.concatenate([ids[on], np.where(mine, NO_ID, names[None, :])], axis=1)
-            best = np.lexsort((all_ids, ~all_scores), axis=1)[:, :k]  # ~x: descending without overflow
-            scores[on], ids[on] = np.take_along_axis(all_scores, best, 1), np.take_along_axis(all_ids, best, 1)
-            better = (scores[on, -1] > kth[on]) | ((scores[on, -1] == kth[on]) & (ids[on, -1] < kth_id[on]))
-            kth[on] = np.where(better, scores[on, -1], kth[on])
-            kth_id[on] = np.where(better, ids[on, -1], kth_id[on])
+                new = _products(asked[on], points.astype(np.int64), own[on][:, None] != names[None, :])
+                at, to = np.nonzero(new >= kth[on][:, None])
+            new, row, name = new[at, to].astype(np.int64), on[at], names[to]
+            good = (name != own[row]) & ((new > kth[row]) | (name < kth_id[row]))
+            if not good.any():
+                continue
+            new, row, name = new[good], row[good], name[good]
+            rows = np.unique(row)
+            row, new, name = (np.concatenate(x) for x in ((np.repeat(rows, k), row), (scores[rows].ravel(), new), (ids[rows].ravel(), name)))
+            best = np.lexsort((name, ~new, row))  # ~x: descending without overflow
+            first = np.searchsorted(row[best], rows)
+            best = best[(first[:, None] + np.arange(k)[None, :])]
+            scores[rows], ids[rows] = new[best], name[best]
+            kth[rows], kth_id[rows] = _better(scores[rows], ids[rows], kth[rows], kth_id[rows])
         return scores, ids
 
 
+def _better(scores: np.ndarray, ids: np.ndarray, kth: np.ndarray, kth_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The better of the k-th (score, id) here and elsewhere, for each query."""
+    here = (scores[:, -1] > kth) | ((scores[:, -1] == kth) & (ids[:, -1] < kth_id))
+    return np.where(here, scores[:, -1], kth), np.where(here, ids[:, -1], kth_id)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers in the fewest of 2, 4 or 8 bytes each that hold them all."""
+    low, high = x.min(initial=0), x.max(initial=0)
+    return x.astype(next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)).tobytes()
+
+
+def _unpacked(x: bytes, rows: int, dims: int) -> np.ndarray:
+    return np.frombuffer(x, f"i{len(x) // (rows * dims)}" if rows * dims else np.int16).reshape(rows, dims)
+
+
 def _products(a: np.ndarray, b: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """The integer inner products of the rows of ``a`` and ``b``; an error for one ``asked`` that leaves 64 bits.  Sums modulo
     2**64 are right when the product is inside; what may not be is computed again in Python."""
@@ -130,8 +160,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     A component x counts as floor(256 * x).  Vectors are dealt to shards by their place, not by id or
     value; each shard's ball tree is built once and written.  Blocks of queries first search one
     shard each; the k-th scores found there are shared with the search of all other shards, where
-    nodes that can't beat them aren't opened.  Each (shard, block) pair is a row, whatever the number
-    of executors.
+    nodes that can't beat them aren't opened.  For that, groups of shards and bands of blocks that fit one task
+    meet in cells: each block goes to each group once, not to each shard, and a query has k rows of a cell.
 
     Vectors that are null or hold a null or non-finite component, and null ids take no part.  Scores are exact,
     whatever the components; a component of 2**55 or more, or a score met that leaves 64 bits, is an error.  Vectors meet those of their own length only.  A query's own are all rows of its
@@ -139,7 +169,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
-    python_ready(spark, 8)
+    python_ready(spark)
     rows = cut(vectors.select(F.col(id_col).cast("long").alias("id"), _usable(F.col(vector_col)).alias("v"), is_query.alias("q"))
                .where("id is not null and v is not null").withColumn("row", F.monotonically_increasing_id()).withColumn("dims", F.size("v")))
     n, asked = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
@@ -148,48 +178,62 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     def plant(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         dims, shard = (x.as_py() for x in key)
         t = BallTree(table["id"].to_numpy(), _matrix(table["v"], dims))
-        parts = [x.tobytes() for x in (t.ids, t.points, t.spans, t.centers, t.radii)]
-        return pa.table({"dims": pa.array([dims], pa.int32()), "shard": pa.array([shard], pa.int64()), "tree": pa.array([parts], pa.list_(pa.binary()))})
+        parts = [t.ids.tobytes(), _packed(t.points), *(x.tobytes() for x in (t.spans, t.centers, t.radii))]
+        return pa.table({"dims": pa.array([dims], pa.int32()), "shard": pa.array([shard], pa.int64()), "bytes": pa.array([sum(map(len, parts))], pa.int64()),
+                         "tree": pa.array([parts], pa.list_(pa.binary()))})
 
     def grown(dims: int, parts: list[bytes]) -> BallTree:
         t = BallTree.__new__(BallTree)
-        t.ids, t.points, t.spans = (np.frombuffer(x, np.int64) for x in parts[:3])
-        t.points, t.spans = t.points.reshape(len(t.ids), dims), t.spans.reshape(-1, 5)
-        t.centers, t.radii = np.frombuffer(parts[3]).reshape(len(t.spans), dims), np.frombuffer(parts[4])
+        t.ids, t.spans, t.radii = np.frombuffer(parts[0], np.int64), np.frombuffer(parts[2], np.int64).reshape(-1, 5), np.frombuffer(parts[4])
+        t.points, t.centers = _unpacked(parts[1], len(t.ids), dims), np.frombuffer(parts[3]).reshape(len(t.spans), dims)
         return t
 
     def bundle(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         dims, block = (x.as_py() for x in key)
-        parts = [np.ascontiguousarray(x, np.int64).tobytes() for x in
-                 (table["row"].to_numpy(), table["id"].to_numpy(), _matrix(table["v"], dims), table["kth"].to_numpy(), table["kth_id"].to_numpy())]
+        parts = [np.ascontiguousarray(table[x].to_numpy(), np.int64).tobytes() for x in ("row", "id", "kth", "kth_id")] + [_packed(_matrix(table["v"], dims))]
         return pa.table({"dims": pa.array([dims], pa.int32()), "block": pa.array([block], pa.int64()), "queries": pa.array([parts], pa.list_(pa.binary()))})
 
-    def search(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                row, own, v, kth, kth_id = (np.frombuffer(x, np.int64) for x in r["queries"])
-                scores, ids = grown(r["dims"], r["tree"]).search(v.reshape(len(row), r["dims"]), own, k, kth, kth_id)
-                at, _ = np.nonzero(ids != NO_ID)
-                found = ids != NO_ID
-                yield pa.RecordBatch.from_arrays([pa.array(row[at]), pa.array(own[at]), pa.array(ids[found]), pa.array(scores[found])],
-                                                 ["row", "query_id", "vec_id", "score"])
+    def searched(trees: DataFrame, queries: DataFrame, on: str, at_home: bool) -> DataFrame:
+        """The best of each query in all trees of its cell ``on``: in its block's home shard, or in the others."""
+        def search(key: tuple[pa.Scalar, ...], planted: pa.Table, bundles: pa.Table) -> pa.Table:
+            dims, out = key[0].as_py(), [[np.empty(0, np.int64)] for _ in range(4)]
+            forest = [(s, grown(dims, t)) for s, t in zip(planted["shard"].to_pylist(), planted["tree"].to_pylist())]
+            for block, parts in zip(bundles["block"].to_pylist(), bundles["queries"].to_pylist()):
+                row, own, kth, kth_id = (np.frombuffer(x, np.int64) for x in parts[:4])
+                v, best = _unpacked(parts[4], len(row), dims), None
+                for shard, tree in forest:
+                    if (block % shards == shard) == at_home:
+                        best = tree.search(v, own, k, kth, kth_id, best)
+                if best:
+                    found = best[1] != NO_ID
+                    at, _ = np.nonzero(found)
+                    for column, values in zip(out, (row[at], own[at], best[1][found], best[0][found])):
+                        column.append(values)
+            return pa.table([pa.array(np.concatenate(c)) for c in out], ["row", "query_id", "vec_id", "score"])
+
+        return (trees.select(*{"dims": 0, on: 0, "shard": 0, "tree": 0}).groupBy("dims", on).cogroup(queries.select("dims", on, "block", "queries").groupBy("dims", on))
+                .applyInArrow(search, "row long, query_id long, vec_id long, score long"))
 
     def bundled(queries: DataFrame) -> DataFrame:
         return (queries.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
                 .groupBy("dims", "block").applyInArrow(bundle, "dims int, block long, queries array<binary>"))
 
-    def searched(pairs: DataFrame) -> DataFrame:
-        return pairs.select("dims", "tree", "queries").mapInArrow(search, "row long, query_id long, vec_id long, score long")
-
     trees = cut(rows.withColumn("shard", F.pmod(F.xxhash64(F.col("row"), F.lit(1)), F.lit(shards))).groupBy("dims", "shard")
-                .applyInArrow(plant, "dims int, shard long, tree array<binary>"))
+                .applyInArrow(plant, "dims int, shard long, bytes long, tree array<binary>"))
     queries = rows.where("q")
-    first = bundled(queries.withColumn("kth", F.lit(LOWEST)).withColumn("kth_id", F.lit(NO_ID)))
-    home = F.pmod(F.col("block"), F.lit(shards))
-    near = cut(searched(first.withColumn("shard", home).join(trees, ["dims", "shard"])))
-    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))  # k rows of a query and shard at most
+    first = bundled(queries.withColumn("kth", F.lit(LOWEST)).withColumn("kth_id", F.lit(NO_ID))).withColumn("shard", F.pmod(F.col("block"), F.lit(shards)))
+    near = cut(searched(trees.where(F.col("shard") < blocks), first, "shard", True))
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))  # k rows of a query and cell at most
     known = near.withColumn("_at", place).where(F.col("_at") == k).select("row", F.col("score").alias("kth"), F.col("vec_id").alias("kth_id"))
-    again = bundled(queries.join(known, "row", "left").withColumn("kth", F.coalesce("kth", F.lit(LOWEST))).withColumn("kth_id", F.coalesce("kth_id", F.lit(NO_ID))))
-    rest = again.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>"))).where(F.col("shard") != home)
-    return (near.unionByName(searched(rest.join(trees, ["dims", "shard"])))
+    again = cut(bundled(queries.join(known, "row", "left").withColumn("kth", F.coalesce("kth", F.lit(LOWEST))).withColumn("kth_id", F.coalesce("kth_id", F.lit(NO_ID)))))
+    # a cell is a group of shards and a band of blocks that fit one task; queries are shuffled once for each group, trees once for each band
+    size = trees.agg(F.sum("bytes")).first()[0] or 0
+    asks = again.agg(F.sum(F.aggregate("queries", F.lit(0).cast("long"), lambda x, y: x + F.octet_length(y)))).first()[0] or 0
+    groups = min(shards, max(math.ceil(size / CELL_BYTES), CELLS * spark.sparkContext.defaultParallelism))
+    bands = min(blocks, math.ceil(asks / CELL_BYTES) or 1)
+    cell = lambda group, band: F.concat_ws(" ", group, band)
+    numbers = lambda most: F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
+    grid = trees.withColumn("_band", numbers(bands)).withColumn("cell", cell(F.pmod("shard", F.lit(groups)), F.col("_band")))
+    rest = again.withColumn("_group", numbers(groups)).withColumn("cell", cell(F.col("_group"), F.pmod("block", F.lit(bands))))
+    return (near.unionByName(searched(grid, rest, "cell", False))
             .withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

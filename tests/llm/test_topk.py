@@ -81,3 +81,39 @@ def test_large_components(spark, tmp_path):
     spark.createDataFrame([(0, [2.0 ** 30], 0), (1, [2.0 ** 30], 0)], SCHEMA).write.parquet(f"{tmp_path}/past/embeddings.parquet")
     with pytest.raises(Exception, match="leaves 64 bits"):
         op2_exact_topk(spark, f"{tmp_path}/past").collect()
+
+
+def test_many_equal_large_vectors():
+    """Equal vectors whose mean isn't theirs as floats are a leaf, however many."""
+    points = np.tile([0x2ab54a98ceb1f0b, 0x3243f6a8885a308, 0x1b7e151628aed2a], (1000, 1))
+    tree = BallTree(np.arange(1000), points)
+    assert len(tree.ids) == 1000 and sorted(tree.ids) == list(range(1000))
+    scores, ids = tree.search(np.ones((2, 3), np.int64), np.array([0, 5000]), 2, np.full(2, LOWEST), np.full(2, NO_ID))
+    assert ids.tolist() == [[1, 2], [0, 1]] and (scores == points[0].sum()).all()
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 12, 1 << 20, 1 << 27])
+def test_scores_are_exact_at_all_sizes(scale):
+    """Products in 32-bit floats, 64-bit floats or integers, whichever holds them; ties and found rows count."""
+    r = np.random.default_rng(scale)
+    points = r.integers(-9, 9, (700, 5)) * scale + r.integers(0, 2, (700, 5))
+    ids, queries = r.permutation(700).astype(np.int64), points[:40]
+    half = [BallTree(ids[x], points[x]) for x in (slice(0, 300), slice(300, 700))]
+    none, found = (np.full(40, LOWEST), np.full(40, NO_ID)), None
+    for tree in half:
+        found = tree.search(queries, ids[:40], 5, *none, found)
+    true = np.where(ids[:40, None] == ids[None, :], LOWEST, queries @ points.T)
+    best = np.lexsort((np.broadcast_to(ids, true.shape), ~true), axis=1)[:, :5]
+    assert (found[0] == np.take_along_axis(true, best, 1)).all() and (found[1] == ids[best]).all()
+
+
+def test_cells_hold_every_pair_once(spark, monkeypatch):
+    """Blocks go to groups of shards, not to each shard, in as many bands as their bytes ask for."""
+    from orderlens.llm import topk
+
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=8).tolist(), 0) for i in range(600)] + [(i, r.normal(size=3).tolist(), 0) for i in range(600, 640)]
+    for size, cells in ((topk.CELL_BYTES, topk.CELLS), (2000, 0)):
+        monkeypatch.setattr(topk, "CELL_BYTES", size)
+        monkeypatch.setattr(topk, "CELLS", cells)
+        assert run(spark, rows, 10, shard_rows=20, block_rows=8) == plain(rows, 10)
